@@ -164,7 +164,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score, lang_mix (the set with its proportions): one row for each input row."""
     prepare(docs.sparkSession)
     predict = _predictor(model, "lang_pred string, score double, lang_mix string")
-    return docs.select("doc_id", predict("text").alias("_p")).select("doc_id", held_out().alias("held_out"), "_p.lang_pred", "_p.score", "_p.lang_mix")
+    return docs.select("doc_id", predict("text").alias("__language")).select("doc_id", held_out().alias("held_out"), "__language.lang_pred", "__language.score", "__language.lang_mix")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
@@ -172,4 +172,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -
     prepare(docs.sparkSession)
     names = docs.columns
     predict = _predictor(model, "lang_pred string, score double, lang_mix string")
-    return docs.withColumn("_p", predict("text")).where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least)).select(*names)
+    return docs.withColumn("__language", predict("text")).where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= least)).select(*names)

@@ -1,9 +1,11 @@
 """Quality classifier: two zstandard dictionaries, one of good and one of bad text; whichever compresses a text better tells its kind.
 
-score = calibrated(d), where d = (bytes under the bad dictionary - bytes under the good one) / their sum. Whole texts are
-compressed, in blocks of ``block`` bytes so that the dictionary keeps its weight in long texts.
+d = (bytes under the bad dictionary - bytes under the good one) / their sum, the normalised size difference, becomes a
+score by logistic calibration; r = log(bytes under the good dictionary / bytes of text) goes into the calibration too, since
+a difference means less where a text (one word again and again) shrinks to nothing under either. Whole texts are compressed,
+in blocks of ``BLOCK`` bytes so that the dictionary keeps its weight in long texts.
 
-Nulls and empty texts: no bytes, so d = 0 and the score is the calibration's value there. Rows with a null id are scored
+Nulls and empty texts: no bytes, so d = r = 0 and the score is the calibration's value there. Rows with a null id are scored
 as any other. Repeated rows are scored alike, one output row for each. Without labelled rows of both classes every score is
 0.5. Columns of the input other than doc_id and text are ignored.
 """
@@ -23,7 +25,7 @@ from refloom.llm.base import held_out, labelled_sample, prepare
 
 #: The sample that is learned from: rows of each label, characters of a row. Half trains dictionaries, half calibrates.
 PER_CLASS, MAX_CHARS = 1500, 50_000
-DICTIONARY_BYTES, BLOCK, LEVEL = 65_536, 4096, 1
+DICTIONARY_BYTES, BLOCK, LEVEL = 112_640, 2048, 3
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -51,35 +53,40 @@ class Sizes:
         return sum(len(self.z.compress(raw[i : i + block])) for i in range(0, len(raw), block))
 
 
-def difference(raw: bytes, good: Sizes, bad: Sizes) -> float:
+def measures(text: str | None, good: Sizes, bad: Sizes) -> tuple[float, float]:
+    """The normalised size difference d and the log ratio r of a text."""
+    raw = (text or "").encode("utf-8", "replace")
+    if not raw:
+        return 0.0, 0.0
     g, b = good.of(raw), bad.of(raw)
-    return (b - g) / (b + g) if b + g else 0.0
+    return (b - g) / (b + g), float(np.log(g / len(raw)))
 
 
 @dataclass
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
+    weights: tuple[float, float]
     offset: float
 
-    def score(self, d):
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(d) + self.offset, -30, 30)))
+    def score(self, m) -> np.ndarray:
+        """Scores of rows (d, r)."""
+        return 1 / (1 + np.exp(-np.clip(np.asarray(m, dtype=np.float64).reshape(-1, 2) @ np.array(self.weights) + self.offset, -30, 30)))
 
 
-def _calibrate(d: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one variable by Newton's method, lightly regularised."""
-    scale = max(float(np.std(d)), 1e-6)
-    x = np.column_stack([d / scale, np.ones_like(d)])
-    w = np.zeros(2)
+def _calibrate(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Logistic regression by Newton's method, lightly regularised."""
+    scale = np.maximum(m.std(0), 1e-6)
+    x = np.column_stack([m / scale, np.ones(len(m))])
+    w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         s = weight * p * (1 - p) + 1e-9
-        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag([1e-2, 1e-4]), x.T @ (weight * (y - p)) - np.array([1e-2, 1e-4]) * w)
+        step = np.linalg.solve((x * s[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (weight * (y - p)) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return (float(w[0] / scale[0]), float(w[1] / scale[1])), float(w[2])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> QualityModel:
@@ -89,47 +96,38 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     share = labels.where(~held_out() & F.col("quality").isin(0, 1)).agg(F.avg(F.col("quality").cast("double"))).first()[0]
     by = {y: list(rows.text[rows.y == y]) for y in (0, 1)}
     if len(by[0]) < 2 or len(by[1]) < 2:
-        return QualityModel(b"", b"", 0.0, 0.0)
+        return QualityModel(b"", b"", (0.0, 0.0), 0.0)
     fit, rest = {y: t[0::2] for y, t in by.items()}, {y: t[1::2] for y, t in by.items()}
     good, bad = (_dictionary(fit[y], DICTIONARY_BYTES) for y in (1, 0))
     g, b = Sizes(good), Sizes(bad)
-    d = np.array([difference(t.encode("utf-8", "replace"), g, b) for y in (0, 1) for t in rest[y]])
+    m = np.array([measures(t, g, b) for y in (0, 1) for t in rest[y]])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     weight = np.where(y == 1, share / len(rest[1]), (1 - share) / len(rest[0])) * len(y)
-    return QualityModel(good, bad, *_calibrate(d, y, weight))
+    return QualityModel(good, bad, *_calibrate(m, y, weight))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, and the size difference they rest on: one row for each input row."""
-
-    @F.pandas_udf("double")
-    def size_difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        good, bad = Sizes(model.good), Sizes(model.bad)
-        for texts in batches:
-            yield pd.Series([difference((t or "").encode("utf-8", "replace"), good, bad) for t in texts], dtype="float64")
-
     prepare(docs.sparkSession)
-    z = F.least(F.greatest(F.lit(model.slope) * F.col("size_difference") + F.lit(model.offset), F.lit(-30.0)), F.lit(30.0))
     return (
-        docs.select("doc_id", size_difference("text").alias("size_difference"))
-        .withColumn("score", 1 / (1 + F.exp(-z)))
-        .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "size_difference")
+        docs.select("doc_id", _scorer(model)("text").alias("__quality"))
+        .select("doc_id", held_out().alias("held_out"), F.col("__quality.score").alias("score"), F.col("__quality.size_difference").alias("size_difference"))
+        .select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "size_difference")
     )
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier accepts, with the columns they came with."""
     names = docs.columns
-    scored = docs.withColumn("_kept", _accept(model, threshold)(F.col("text")))
-    return scored.where("_kept").select(*names)
+    return docs.withColumn("__quality", _scorer(model)("text")).where(F.col("__quality.score") >= threshold).select(*names)
 
 
-def _accept(model: QualityModel, threshold: float):
-    @F.pandas_udf("boolean")
-    def accept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _scorer(model: QualityModel):
+    @F.pandas_udf("score double, size_difference double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         good, bad = Sizes(model.good), Sizes(model.bad)
         for texts in batches:
-            d = [difference((t or "").encode("utf-8", "replace"), good, bad) for t in texts]
-            yield pd.Series(model.score(d) >= threshold)
+            m = np.array([measures(t, good, bad) for t in texts], dtype=np.float64).reshape(-1, 2)
+            yield pd.DataFrame({"score": model.score(m), "size_difference": m[:, 0]})
 
-    return accept
+    return score
