@@ -115,17 +115,22 @@ def edited_copies(docs: DataFrame) -> DataFrame:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     prepare(docs.sparkSession)
-    same_id = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("nth", F.row_number().over(same_id))
-    rows = rows.withColumn("row", F.struct("doc_id", "nth")).withColumn("n_chars", F.length("text").cast("long"))
-    signed = rows.select("row", "doc_id", "nth", "n_chars", fingerprint(F.col("text")).alias("fingerprint")).checkpoint()
-    chain = following(signed.select("row", "doc_id", "nth", "n_chars"), [F.col("doc_id").desc_nulls_last(), F.col("nth")], "row")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = rows.groupBy("doc_id").count()
+    if ids.where("count > 1 or doc_id is null").limit(1).count():  # only then is it worth a sort of the texts
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    else:
+        rows = rows.withColumn("nth", F.lit(1))
+    # a key without nulls, so that every row finds itself
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "nth", "doc_id", "text")
+    signed = rows.select("key", "nth", "doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint")).checkpoint()
+    chain = following(signed.select(F.struct("key", "nth").alias("row"), "doc_id", "nth", "n_chars"), [F.col("doc_id").desc_nulls_last(), F.col("nth")], "row")
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    # what each document lends to the one before it, and its fingerprint
-    lent = chain.select(F.col("next_row").alias("row"), F.col("row").alias("to"), third.alias("take"))
-    lent = lent.join(signed.select("row", F.col("fingerprint").alias("next_fingerprint")), "row")
-    lent = rows.select("row", "text").join(lent, "row").select(F.col("to").alias("row"), F.substr(F.col("text"), F.lit(1), F.col("take")).alias("start"), "next_fingerprint")
-    both = rows.select("row", "text", "n_chars").join(lent, "row").join(signed.select("row", "fingerprint"), "row")
-    edited = both.withColumn("edited", F.concat(F.substr(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.col("start")))
-    done = edited.select(F.col("row.doc_id").alias("doc_id"), "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    # what each document lends to the one before it: the start of its text, and its fingerprint
+    asked = chain.select("next_row.key", "next_row.nth", F.col("row.key").alias("to_key"), F.col("row.nth").alias("to_nth"), third.alias("take"))
+    asked = asked.join(signed.select("key", "nth", F.col("fingerprint").alias("next_fingerprint")), ["key", "nth"])
+    lent = rows.select("key", "nth", "text").join(asked, ["key", "nth"]).select(F.col("to_key").alias("key"), F.col("to_nth").alias("nth"), F.substr(F.col("text"), F.lit(1), F.col("take")).alias("start"), "next_fingerprint")
+    own = lent.join(signed, ["key", "nth"])
+    edited = rows.select("key", "nth", "text").join(own, ["key", "nth"]).withColumn("edited", F.concat(F.substr(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.col("start")))
+    done = edited.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
