@@ -123,14 +123,15 @@ def edited_copies(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("nth", F.lit(1))
     # a key without nulls, so that every row finds itself
     rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "nth", "doc_id", "text")
-    signed = rows.select("key", "nth", "doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint")).checkpoint()
-    chain = following(signed.select(F.struct("key", "nth").alias("row"), "doc_id", "nth", "n_chars"), [F.col("doc_id").desc_nulls_last(), F.col("nth")], "row")
+    sizes = rows.select("key", "nth", "doc_id", F.length("text").cast("long").alias("n_chars")).checkpoint()
+    chain = following(sizes.select(F.struct("key", "nth").alias("row"), "doc_id", "nth", "n_chars"), [F.col("doc_id").desc_nulls_last(), F.col("nth")], "row")
     third = F.floor(F.col("n_chars") / 3).cast("int")
+    # texts are dealt once, with their fingerprints: both joins below take the same columns, so they share the exchange
+    texts = rows.select("key", "nth", "text", fingerprint(F.col("text")).alias("fingerprint"))
     # what each document lends to the one before it: the start of its text, and its fingerprint
     asked = chain.select("next_row.key", "next_row.nth", F.col("row.key").alias("to_key"), F.col("row.nth").alias("to_nth"), third.alias("take"))
-    asked = asked.join(signed.select("key", "nth", F.col("fingerprint").alias("next_fingerprint")), ["key", "nth"])
-    lent = rows.select("key", "nth", "text").join(asked, ["key", "nth"]).select(F.col("to_key").alias("key"), F.col("to_nth").alias("nth"), F.substr(F.col("text"), F.lit(1), F.col("take")).alias("start"), "next_fingerprint")
-    own = lent.join(signed, ["key", "nth"])
-    edited = rows.select("key", "nth", "text").join(own, ["key", "nth"]).withColumn("edited", F.concat(F.substr(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.col("start")))
+    lent = texts.join(asked, ["key", "nth"]).select(F.col("to_key").alias("key"), F.col("to_nth").alias("nth"), F.substr(F.col("text"), F.lit(1), F.col("take")).alias("start"), F.col("fingerprint").alias("next_fingerprint"))
+    own = lent.join(sizes, ["key", "nth"])
+    edited = texts.join(own, ["key", "nth"]).withColumn("edited", F.concat(F.substr(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.col("start")))
     done = edited.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
