@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from refloom.llm.base import mix, prepare, word_hashes
 
 MIN_COUNT, BACKOFF, HEAVY = 2, 0.4, 20_000
-CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS = 2_000_000, 60_000, 4_000_000
+CHUNK_TOKENS, CHUNK_DOCS, PART_TOKENS = 1_500_000, 60_000, 2_000_000
 _START, _END = np.uint64(1), np.uint64(2)
 _BITS = np.uint64(48)
 _PACKED = "part long, kind string, chunk long, a binary, b binary, c binary"
@@ -140,7 +140,7 @@ def _sums(chunks: np.ndarray, docs: np.ndarray, values: np.ndarray, known: list[
     """Rows of partial sums by chunk and document."""
     order = np.lexsort((docs, chunks))
     chunks, docs, values = chunks[order], docs[order], values[order]
-    first = np.flatnonzero(np.diff(chunks * (1 << 16) + docs, prepend=-1))
+    first = np.flatnonzero(np.diff(chunks.astype(np.int64) * (1 << 16) + docs, prepend=-1))
     total = np.add.reduceat(values, first) if len(first) else values
     out = []
     owner = chunks[first]
@@ -163,19 +163,20 @@ def _score_pairs(heavy: np.ndarray, counts: np.ndarray, total: int, parts: int,
                 n = int(np.frombuffer(a[:4], dtype="<u4")[0])
                 v.append(_unruns(a[4 : 4 + n], a[4 + n :]))
                 w.append(_unsqueeze(b, 6))
-                d.append(_unsqueeze(c, 2).astype(np.int64))
-                chunk.append(np.full(len(d[-1]), k))
+                d.append(_unsqueeze(c, 2).astype(np.int32))
+                chunk.append(np.full(len(d[-1]), k, dtype=np.int32))
             v, w, d, chunk = (np.concatenate(x) for x in (v, w, d, chunk))
             _, at, seen = np.unique(mix(v * np.uint64(0x9E3779B97F4A7C15) + w), return_inverse=True, return_counts=True)
-            both = seen[at]
+            both = seen[at].astype(np.float64)
             _, at, seen = np.unique(v, return_inverse=True, return_counts=True)
-            of_heavy = _lookup(heavy, counts, v)
-            context = np.where(of_heavy > 0, of_heavy, seen[at])
+            context = _lookup(heavy, counts, v)
+            context = np.where(context > 0, context, seen[at])
+            del v, at, seen
             scored = w != _END
             near = scored & (both >= min_count)
             plain = _lookup(heavy, counts, w)
             known_word = scored & ~near & (plain > 0)
-            value = np.zeros(len(v))
+            value = np.zeros(len(w))
             value[near] = np.log(both[near] / context[near])
             value[known_word] = floor + np.log(plain[known_word])
             done = near | known_word
@@ -185,7 +186,7 @@ def _score_pairs(heavy: np.ndarray, counts: np.ndarray, total: int, parts: int,
             part = (mix(w) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((w, chunk, part))
             w, d, chunk, part = w[order], d[order], chunk[order], part[order]
-            cuts = np.flatnonzero(np.diff(part * len(known) + chunk, prepend=-1))
+            cuts = np.flatnonzero(np.diff(part * len(known) + chunk.astype(np.int64), prepend=-1))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
                 steps, runs = _runs(w[lo:hi])
                 out.append((int(part[lo]), "asks", known[chunk[lo]], steps, runs, _squeeze(d[lo:hi].astype(np.uint64), 2)))
