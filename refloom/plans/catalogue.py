@@ -1,11 +1,357 @@
-"""All registered queries with their oracles."""
+"""All registered queries over the given tables, with their oracles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from refloom.functions import identifiers as ident
+from refloom.functions import names, rendering
+from refloom.operators import library, ordered, resolver, retractions
+from refloom.plans.relations import inline, relation
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None):
+    """Register a query under its function's name, with the SQL that must give the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _doi(x: str) -> str:
+    """The oracle's form of a normalised DOI."""
+    return rf"""list_reduce(list_prepend(lower(regexp_replace(trim({x}), '(?i)^https?://(dx\.)?doi\.org/', '')), list_transform(range(12), lambda i: '')), lambda a, i: CASE
+  WHEN right(a, 1) IN ('.', ',', ';', ':') OR (right(a, 1) = ')' AND length(replace(a, '(', '')) > length(replace(a, ')', ''))) OR (right(a, 1) = ']' AND length(replace(a, '[', '')) > length(replace(a, ']', '')))
+  THEN a[1:length(a) - 1] ELSE a END)"""
+
+
+def _array(x: str) -> str:
+    return f"coalesce(array_to_string({x}, '|'), '')"
+
+
+_LIB = rf"""(SELECT pos, key, nullif({_doi("coalesce(nullif(doi, ''), nullif(regexp_extract(extra, '(?im)^\s*DOI:\s*(.+)', 1), ''))")}, '') AS doi,
+  nullif(regexp_extract(extra, '(?im)^\s*PMID:\s*(\d+)', 1), '') AS pmid, lower(trim(regexp_replace(strip_accents(title), '\s+', ' ', 'g'))) AS title_key FROM {inline("lib_items")})"""
+_INDEX = f"""(SELECT 'doi' AS kind, doi AS value, max_by(key, pos) AS key FROM {_LIB} WHERE doi IS NOT NULL GROUP BY doi
+  UNION ALL SELECT 'pmid', pmid, max_by(key, pos) FROM {_LIB} WHERE pmid IS NOT NULL GROUP BY pmid
+  UNION ALL SELECT 'title', title_key, min_by(key, pos) FROM {_LIB} GROUP BY title_key)"""
+
+# --- retractions
+
+_VERDICTS = f"""
+notes AS (SELECT * REPLACE ({_doi("doi")} AS doi), lower(trim(nature)) AS kind,
+  CASE lower(trim(nature)) WHEN 'retraction' THEN 3 WHEN 'expression of concern' THEN 2 WHEN 'correction' THEN 1 WHEN 'reinstatement' THEN 0 ELSE -1 END AS sev,
+  try_strptime(regexp_replace(trim(date), 'Z$', ''), ['%Y-%m-%d', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%m/%d/%Y %H:%M', '%m/%d/%Y']) AS moment FROM {inline("notices")}),
+won AS (SELECT doi, arg_max(nature, (sev, -pos)) AS nature, arg_max(date, (sev, -pos)) AS date, arg_max(notice_doi, (sev, -pos)) AS notice_doi, max(sev) AS sev, min_by(title, pos) AS title,
+  max(moment) FILTER (kind = 'retraction') AS retracted, max(moment) FILTER (kind = 'reinstatement') AS reinstated, arg_max(date, moment) FILTER (kind = 'reinstatement' AND moment IS NOT NULL) AS reinstated_text, bool_or(kind = 'reinstatement') AS was FROM notes GROUP BY doi),
+seen AS (SELECT doi, string_agg(nature, '|' ORDER BY pos) AS all_natures FROM (SELECT doi, nature, min(pos) AS pos FROM notes GROUP BY doi, nature) GROUP BY doi),
+verdicts AS (SELECT doi, CASE WHEN sev = 3 AND was AND NOT coalesce(reinstated < retracted, false) THEN 'Reinstatement' ELSE nature END AS nature, all_natures,
+  CASE WHEN sev = 3 AND was AND NOT coalesce(reinstated < retracted, false) THEN coalesce(reinstated_text, '') ELSE date END AS date, title, notice_doi FROM won JOIN seen USING (doi))"""
+
+
+@query(f"WITH {_VERDICTS} SELECT * FROM verdicts")
+def retraction_verdicts(spark, sf_dir):
+    return retractions.collapse_notices(relation(spark, sf_dir, "notices")).withColumn("all_natures", F.array_join("all_natures", "|"))
+
+
+@query(f"""WITH {_VERDICTS} SELECT CASE WHEN lower(trim(nature)) = 'retraction' THEN 'CITE-RETRACTED' ELSE 'CITE-CONCERN' END AS "check",
+  CASE WHEN lower(trim(nature)) = 'retraction' THEN 'ERROR' ELSE 'WARN' END AS severity, count(*) AS n_citations, count(DISTINCT doc) AS n_docs
+  FROM {inline("citations")} c JOIN verdicts v ON {_doi("c.doi")} = v.doi WHERE lower(trim(nature)) IN ('retraction', 'expression of concern') GROUP BY 1, 2""")
+def retraction_screen(spark, sf_dir):
+    found = retractions.screen(relation(spark, sf_dir, "citations"), retractions.collapse_notices(relation(spark, sf_dir, "notices")))
+    return found.groupBy("check", "severity").agg(F.count(F.lit(1)).alias("n_citations"), F.countDistinct("doc").alias("n_docs"))
+
+
+@query(f"""SELECT pos, strftime(try_strptime(regexp_replace(trim(date), 'Z$', ''), ['%Y-%m-%d', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%m/%d/%Y %H:%M', '%m/%d/%Y']), '%Y-%m-%d %H:%M:%S') AS at,
+  coalesce(nullif(regexp_extract(date, '\\d{{4}}'), ''), date) AS year FROM {inline("notices")}""")
+def parse_dates(spark, sf_dir):
+    return relation(spark, sf_dir, "notices").select("pos", F.date_format(rendering.parse_notice_date(F.col("date")), "yyyy-MM-dd HH:mm:ss").alias("at"), rendering.year_in(F.col("date")).alias("year"))
+
+
+# --- identifiers and keys
+
+
+@query(f"SELECT doc, n, {_doi('doi')} AS doi FROM {inline('citations')}")
+def norm_doi(spark, sf_dir):
+    return relation(spark, sf_dir, "citations").select("doc", "n", ident.normalise_doi(F.col("doi")).alias("doi"))
+
+
+@query(rf"""WITH x AS (SELECT ref, list_transform(regexp_extract_all(text, '(?i)(?:doi:\s*|https?://(?:dx\.)?doi\.org/)?(10\.\d{{4,9}}/[^\s"<>'']+)', 1), lambda d: regexp_replace(d, '[.,);:\]]+$', '')) AS d FROM {inline("refs")})
+SELECT ref, {_array("list_filter(d, lambda v, i: list_position(list_transform(d, lambda q: lower(q)), lower(v)) = i)")} AS dois FROM x""")
+def extract_dois(spark, sf_dir):
+    return relation(spark, sf_dir, "refs").select("ref", F.array_join(ident.extract_dois(F.col("text")), "|").alias("dois"))
+
+
+@query(rf"""WITH x AS (SELECT ref, text, regexp_extract_all(text, '(?i)PMC\d+') AS p, upper(regexp_replace(regexp_extract(text, '(?i)ISBN[-: ]*([\dX][\d\- X]{{8,17}})', 1), '[^0-9Xx]', '', 'g')) AS isbn FROM {inline("refs")})
+SELECT ref, {_array("regexp_extract_all(text, '(?i)(?:PubMed\\s+PMID|PMID)\\s*:?\\s*(\\d+)', 1)")} AS pmids, {_array("list_filter(p, lambda v, i: list_position(list_transform(p, lambda q: lower(q)), lower(v)) = i)")} AS pmcids,
+  'PMC' || nullif(regexp_extract(upper(trim(p[1])), '^(?:PMC)?(\d+)', 1), '') AS pmcid, nullif(regexp_extract(text, '(?i)arxiv:\s*(\d{{4}}\.\d{{4,5}})', 1), '') AS arxiv,
+  CASE WHEN length(isbn) IN (10, 13) THEN isbn END AS isbn FROM x""")
+def extract_ids(spark, sf_dir):
+    t = F.col("text")
+    return relation(spark, sf_dir, "refs").select(
+        "ref", F.array_join(ident.extract_pmids(t), "|").alias("pmids"), F.array_join(ident.extract_pmcids(t), "|").alias("pmcids"), ident.normalise_pmcid(F.get(ident.extract_pmcids(t), 0)).alias("pmcid"), ident.extract_arxiv(t).alias("arxiv"), ident.extract_isbn(t).alias("isbn")
+    )
+
+
+@query(rf"""WITH x AS (SELECT ref, text, regexp_extract_all(text, '(?i)(10\.\d{{4,9}}/[^\s"<>'']+)', 1) AS d FROM {inline("refs")})
+SELECT ref, CASE WHEN len(d) > 0 THEN len(list_filter(d, lambda v: NOT (starts_with(lower(v), '10.1101/') OR starts_with(lower(v), '10.21203/') OR starts_with(lower(v), '10.2139/')))) = 0
+  ELSE regexp_matches(text, '(?i)arxiv:\s*(\d{{4}}\.\d{{4,5}})') END AS preprint FROM x""")
+def preprint_flag(spark, sf_dir):
+    return relation(spark, sf_dir, "refs").select("ref", ident.is_preprint(F.col("text")).alias("preprint"))
+
+
+@query(f"SELECT key, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS fuzzy, lower(trim(regexp_replace(strip_accents(title), '\\s+', ' ', 'g'))) AS exact FROM {inline('lib_items')}")
+def title_keys(spark, sf_dir):
+    return relation(spark, sf_dir, "lib_items").select("key", names.fuzzy_title_key(F.col("title")).alias("fuzzy"), names.library_title_key(F.col("title")).alias("exact"))
+
+
+@query(f"""SELECT ref, k AS surname, regexp_replace(k, '[\\s\\-]', '', 'g') AS compact FROM (SELECT ref, trim(regexp_replace(replace(replace(lower(strip_accents(surname)), 'ø', 'o'), 'ß', 'ss'), '[^a-z \\-]', '', 'g')) AS k FROM {inline("refs")})""")
+def surname_keys(spark, sf_dir):
+    return relation(spark, sf_dir, "refs").select("ref", names.surname_key(F.col("surname")).alias("surname"), names.compact_surname(F.col("surname")).alias("compact"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in names.STOP_WORDS)
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z]+')), lambda w: length(w) > 2 AND w NOT IN ({_STOP}))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort({_tokens('text')}), ' ') AS tokens FROM documents")
+def title_tokens(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(F.sort_array(names.title_tokens(F.col("text"))), " ").alias("tokens"))
+
+
+@query(f"""WITH t AS (SELECT key, pos, {_tokens("title")} AS t FROM {inline("lib_items")})
+SELECT a.key AS a, b.key AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS overlap FROM t a JOIN t b ON b.pos = a.pos + 1""")
+def jaccard_pairs(spark, sf_dir):
+    t = relation(spark, sf_dir, "lib_items").select("key", "pos", names.title_tokens(F.col("title")).alias("t"))
+    a, b = t.alias("a"), t.alias("b")
+    return a.join(b, F.col("b.pos") == F.col("a.pos") + 1).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.round(names.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("overlap"))
+
+
+# --- library
+
+
+@query(f"SELECT * FROM {_INDEX}")
+def index_build(spark, sf_dir):
+    return library.build_indexes(relation(spark, sf_dir, "lib_items"))
+
+
+_LOOKED = f"""looked AS (SELECT r.ref, r.doc, r.number, r.surname, r.year, r.title, r.doi, coalesce(d.key, p.key, t.key) AS library_key, CASE WHEN d.key IS NOT NULL THEN 'doi' WHEN p.key IS NOT NULL THEN 'pmid' WHEN t.key IS NOT NULL THEN 'title' END AS matched_by
+  FROM {inline("refs")} r LEFT JOIN {_INDEX} d ON d.kind = 'doi' AND d.value = nullif({_doi("r.doi")}, '') LEFT JOIN {_INDEX} p ON p.kind = 'pmid' AND p.value = nullif(trim(r.pmid), '')
+  LEFT JOIN {_INDEX} t ON t.kind = 'title' AND t.value = lower(trim(r.title || ' ' || replace(replace(r.journal, 'Journal of ', ''), '.', ''))))"""
+
+
+def _looked(spark, sf_dir):
+    refs = relation(spark, sf_dir, "refs")
+    title = F.concat_ws(" ", "title", F.replace(F.replace("journal", F.lit("Journal of "), F.lit("")), F.lit("."), F.lit("")))
+    return library.lookup(refs, library.build_indexes(relation(spark, sf_dir, "lib_items")), F.col("doi"), F.col("pmid"), title)
+
+
+@query(f"WITH {_LOOKED} SELECT ref, library_key, matched_by FROM looked")
+def presence_lookup(spark, sf_dir):
+    return _looked(spark, sf_dir).select("ref", "library_key", "matched_by")
+
+
+@query(f"""WITH {_LOOKED} SELECT doc, count(*) AS n, count(library_key) AS in_library, count(*) - count(library_key) AS missing, count(*) FILTER (matched_by = 'title') AS by_title FROM looked GROUP BY doc""")
+def plan_summary(spark, sf_dir):
+    return _looked(spark, sf_dir).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count("library_key").alias("in_library"), (F.count(F.lit(1)) - F.count("library_key")).alias("missing"), F.count_if(F.col("matched_by") == "title").alias("by_title"))
+
+
+@query(f"""WITH c AS (SELECT doc * 100 + n AS pos, CASE WHEN cited % 3 = 0 THEN doi END AS doi, CASE WHEN cited % 3 = 1 THEN CAST(10000000 + cited AS VARCHAR) END AS pmid, 'work ' || cited % 500 AS title FROM {inline("citations")}),
+f AS (SELECT c.*, coalesce(d.key, p.key, t.key) AS library_key, coalesce('doi:' || nullif({_doi("c.doi")}, ''), 'pmid:' || c.pmid, 'title:' || lower(c.title)) AS identity FROM c
+  LEFT JOIN {_INDEX} d ON d.kind = 'doi' AND d.value = nullif({_doi("c.doi")}, '') LEFT JOIN {_INDEX} p ON p.kind = 'pmid' AND p.value = c.pmid LEFT JOIN {_INDEX} t ON t.kind = 'title' AND t.value = lower(c.title))
+SELECT pos, identity, CASE WHEN library_key IS NOT NULL THEN 'skipped' WHEN min(pos) OVER (PARTITION BY identity) < pos THEN 'repeated' ELSE 'created' END AS outcome FROM f""")
+def create_dedup(spark, sf_dir):
+    c = relation(spark, sf_dir, "citations").select((F.col("doc") * 100 + F.col("n")).alias("pos"), F.when(F.col("cited") % 3 == 0, F.col("doi")).alias("doi"), F.when(F.col("cited") % 3 == 1, (F.col("cited") + 10000000).cast("string")).alias("pmid"), F.concat(F.lit("work "), F.col("cited") % 500).alias("title"))
+    return library.gate_creation(c, library.build_indexes(relation(spark, sf_dir, "lib_items"))).select("pos", "identity", "outcome")
+
+
+@query(f"""WITH cited AS (SELECT DISTINCT doc, cited AS key FROM {inline("citations")} WHERE n <= 3), custom AS (SELECT DISTINCT doc, cited + 1 AS key FROM {inline("citations")} WHERE n = 1 AND doc % 2 = 0),
+omitted AS (SELECT doc, cited AS key FROM {inline("citations")} WHERE n = 2 AND doc % 5 = 0), listed AS (SELECT DISTINCT doc, cited AS key FROM {inline("citations")} WHERE n >= 2),
+e AS (SELECT * FROM (SELECT * FROM cited UNION SELECT * FROM custom) x ANTI JOIN omitted o USING (doc, key))
+SELECT doc, key, CASE WHEN l.key IS NULL THEN 'orphan' WHEN e.key IS NULL THEN 'uncited' ELSE 'ok' END AS status FROM e FULL JOIN listed l USING (doc, key)""")
+def reconcile_keys(spark, sf_dir):
+    c = relation(spark, sf_dir, "citations").withColumn("key", F.col("cited"))
+    return library.reconcile(c.where("n <= 3"), c.where("n = 1 and doc % 2 = 0").withColumn("key", F.col("key") + 1), c.where("n = 2 and doc % 5 = 0"), c.where("n >= 2"))
+
+
+@query("""WITH l AS (SELECT key, max(version) AS version FROM (SELECT event_id AS version, user_id AS key FROM events) GROUP BY key)
+SELECT user_id AS key, event_id AS version, event_type || ':' || event_id AS payload FROM events JOIN l ON l.key = user_id AND l.version = event_id WHERE event_type <> 'error'""")
+def delta_merge_latest(spark, sf_dir):
+    return library.merge_changes(relation(spark, sf_dir, "changelog"))
+
+
+@query("""WITH c AS (SELECT user_id AS key, event_type, event_id FROM events WHERE event_id >= 500), gone AS (SELECT DISTINCT key FROM c WHERE event_type = 'error'), got AS (SELECT DISTINCT key FROM c WHERE event_type <> 'error' AND event_id % 7 <> 0)
+SELECT count(DISTINCT key) AS changed, count(DISTINCT key) FILTER (key NOT IN (SELECT key FROM got) AND key NOT IN (SELECT key FROM gone)) AS lacking FROM c""")
+def changelog_completeness(spark, sf_dir):
+    c = relation(spark, sf_dir, "changelog").where("version >= 500")
+    by = c.groupBy("key").agg(F.max((F.col("op") == "delete") | (F.col("version") % 7 != 0)).alias("known"))
+    return by.agg(F.count(F.lit(1)).alias("changed"), F.count_if(~F.col("known")).alias("lacking"))
+
+
+@query(f"""SELECT c.doc, c.n, CASE WHEN i.key IS NOT NULL THEN 'ok' WHEN cited % 10 = 9 THEN 'external' WHEN cited % 10 = 8 THEN 'unverified' ELSE 'broken' END AS link
+FROM {inline("citations")} c LEFT JOIN (SELECT key FROM {inline("lib_items")} WHERE pos % 2 = 0) i ON i.key = 'K' || lpad(CAST(c.cited AS VARCHAR), 7, '0') AND c.cited % 10 < 8""")
+def check_links(spark, sf_dir):
+    c = relation(spark, sf_dir, "citations").withColumn("where", F.when(F.col("cited") % 10 == 9, "other").when(F.col("cited") % 10 == 8, "unknown").otherwise("own")).withColumn("key", F.concat(F.lit("K"), F.lpad(F.col("cited").cast("string"), 7, "0")))
+    return resolver.link_status(c, relation(spark, sf_dir, "lib_items").where("pos % 2 = 0").select("key")).select("doc", "n", "link")
+
+
+# --- resolver
+
+
+_CANDIDATES = f"""w AS (SELECT pos, key, title, {_tokens("title")} AS t FROM {inline("lib_items")}), r AS (SELECT ref, text, {_tokens("title")} AS t, {_tokens("text")} AS tt, surname, year FROM {inline("refs")} WHERE ref % 4 = 0),
+pairs AS (SELECT r.ref, w.pos AS work, count(*) AS shared FROM (SELECT ref, unnest(t) AS g FROM r) r JOIN (SELECT pos, unnest(t) AS g FROM w) w USING (g) WHERE abs(r.ref - w.pos) < 40 GROUP BY 1, 2),
+scored AS (SELECT p.ref, p.work, round(len(list_intersect(w.t, r.tt)) / len(list_distinct(list_concat(w.t, r.tt))), 6) AS score FROM pairs p JOIN w ON w.pos = p.work JOIN r ON r.ref = p.ref),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, work) AS rank FROM scored)"""
+
+
+def _ranked(spark, sf_dir, n: int):
+    refs = relation(spark, sf_dir, "refs").where("ref % 4 = 0").select(F.col("ref").alias("ref"), names.title_tokens(F.col("title")).alias("keys"), names.title_tokens(F.col("text")).alias("tokens"))
+    works = relation(spark, sf_dir, "lib_items").select(F.col("pos").alias("work"), names.title_tokens(F.col("title")).alias("tokens"))
+    return resolver.rank_candidates(refs, works, n, near=lambda ref, work: F.abs(ref - work) < 40)
+
+
+@query(f"WITH {_CANDIDATES} SELECT ref, work, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
+def top5_candidates(spark, sf_dir):
+    return _ranked(spark, sf_dir, 5)
+
+
+@query(f"""WITH {_CANDIDATES}, top AS (SELECT ref, work, score, lead(score) OVER (PARTITION BY ref ORDER BY rank) AS second, rank FROM ranked)
+SELECT t.ref, t.work, CASE WHEN score >= 0.55 AND year_ok AND author_ok AND (second IS NULL OR (score - second) / score >= 0.1) THEN 'high' WHEN score >= 0.55 OR (score >= 0.3)::INT + year_ok::INT + author_ok::INT >= 2 THEN 'medium' ELSE 'low' END AS confidence
+FROM top t JOIN (SELECT ref, contains(text, CAST(1990 + ref % 30 AS VARCHAR)) AS year_ok, ref % 3 <> 0 AS author_ok FROM {inline("refs")}) y USING (ref) WHERE rank = 1""")
+def resolve_confidence(spark, sf_dir):
+    found = resolver.top_candidates(_ranked(spark, sf_dir, 5))
+    refs = relation(spark, sf_dir, "refs").select("ref", F.contains("text", (F.lit(1990) + F.col("ref") % 30).cast("string")).alias("year_ok"), (F.col("ref") % 3 != 0).alias("author_ok"))
+    return found.join(refs, "ref").select("ref", "work", resolver.confidence(F.col("score"), F.col("second"), F.col("author_ok"), F.col("year_ok")).alias("confidence"))
+
+
+@query(f"""SELECT ref, CASE WHEN n_cited = 0 OR n_real = 0 THEN 'unknown' WHEN n_cited > n_real THEN 'mismatch' WHEN ref % 6 = 0 AND n_cited > 1 THEN 'mismatch' ELSE 'ok' END AS verdict
+FROM (SELECT ref, ref % 4 AS n_cited, ref % 3 AS n_real FROM {inline("refs")})""")
+def author_compare(spark, sf_dir):
+    base = F.array(F.lit("Smith"), F.lit("Lee"), F.lit("Müller"), F.lit("Ng"))
+    other = F.array(F.lit("Smith"), F.lit("Lopez"), F.lit("Müller"), F.lit("Ng"))
+    r = relation(spark, sf_dir, "refs").select("ref", F.slice(F.when(F.col("ref") % 6 == 0, other).otherwise(base), F.lit(1), (F.col("ref") % 4).cast("int")).alias("cited"), F.slice(base, F.lit(1), (F.col("ref") % 3).cast("int")).alias("real"))
+    return r.select("ref", resolver.compare_families(F.col("cited"), F.col("real")).alias("verdict"))
+
+
+# --- ordered text
+
+_PARA = inline("paragraphs")
+
+
+@query(f"""WITH x AS (SELECT *, sum(CASE WHEN is_ref THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY para) AS gap FROM {_PARA}), r AS (SELECT doc, gap, min(para) AS start, count(*) AS length FROM x WHERE is_ref GROUP BY doc, gap HAVING count(*) >= 3)
+SELECT doc, max(start) AS start, arg_max(length, start) AS length FROM r GROUP BY doc""")
+def ref_runs_last(spark, sf_dir):
+    return ordered.last_run(relation(spark, sf_dir, "paragraphs"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY para) AS k FROM {_PARA}),
+s AS (SELECT doc, k, para, is_ref AS accepted, CASE WHEN is_ref THEN number END AS last FROM p WHERE k = 1
+  UNION ALL SELECT p.doc, p.k, p.para, p.is_ref OR coalesce(p.filler_ok AND p.number = s.last + 1, false), CASE WHEN p.is_ref OR coalesce(p.filler_ok AND p.number = s.last + 1, false) THEN p.number ELSE s.last END FROM s JOIN p ON p.doc = s.doc AND p.k = s.k + 1)
+SELECT doc, para, accepted FROM s""")
+def numbered_filler(spark, sf_dir):
+    return ordered.bridge_fillers(relation(spark, sf_dir, "paragraphs"))
+
+
+@query(f"""SELECT doc, heading, para AS start, coalesce(lead(para) OVER (PARTITION BY doc ORDER BY para), stop) AS stop FROM {_PARA} JOIN (SELECT doc, max(para) + 1 AS stop FROM {_PARA} GROUP BY doc) USING (doc) WHERE heading IS NOT NULL""")
+def section_spans(spark, sf_dir):
+    return ordered.section_spans(relation(spark, sf_dir, "paragraphs"))
+
+
+@query(f"""WITH m AS (SELECT doc, pos, number, coalesce(number <> lag(number) OVER w + 1 OR boundary, true) AS broken FROM {inline("markers")} WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+r AS (SELECT *, sum(CASE WHEN broken THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS run FROM m), f AS (SELECT doc, min(run) AS run FROM (SELECT doc, run FROM r GROUP BY doc, run HAVING min(number) = 1 AND count(*) >= 2) GROUP BY doc)
+SELECT r.doc, pos, number FROM r JOIN f USING (doc, run)""")
+def enumerator_suppress(spark, sf_dir):
+    return ordered.enumerator_run(relation(spark, sf_dir, "markers"))
+
+
+_NUMBERS = f"""(SELECT doc, pos, list_doc, list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(marker, '[^0-9,\\-]', '', 'g'), ','), lambda p: p <> ''), lambda p: CASE
+  WHEN NOT contains(p, '-') THEN [CAST(p AS INT)] WHEN CAST(split_part(p, '-', 2) AS INT) >= CAST(split_part(p, '-', 1) AS INT) AND CAST(split_part(p, '-', 2) AS INT) - CAST(split_part(p, '-', 1) AS INT) <= 100
+  THEN range(CAST(split_part(p, '-', 1) AS INT), CAST(split_part(p, '-', 2) AS INT) + 1)::INT[] ELSE [CAST(split_part(p, '-', 1) AS INT), CAST(split_part(p, '-', 2) AS INT)] END))) AS v FROM {inline("markers")})"""
+
+
+@query(f"SELECT doc, pos, array_to_string(list_sort(v), ',') AS numbers FROM {_NUMBERS}")
+def range_expand(spark, sf_dir):
+    return relation(spark, sf_dir, "markers").select("doc", "pos", F.array_join(F.sort_array(rendering.marker_numbers(F.col("marker"))), ",").alias("numbers"))
+
+
+@query(f"""SELECT list_doc AS doc, n.doc * 100 + pos AS marker, number, entry FROM (SELECT list_doc, doc, pos, unnest(v) AS number FROM {_NUMBERS}) n JOIN (SELECT doc AS d, number, min(ref) AS entry FROM {inline("refs")} GROUP BY 1, 2) e ON e.d = n.list_doc AND e.number = n.number""".replace("AS marker, number,", "AS marker, n.number AS number,"))
+def intext_link_numeric(spark, sf_dir):
+    m = relation(spark, sf_dir, "markers").select(F.col("list_doc").alias("doc"), (F.col("doc") * 100 + F.col("pos")).alias("marker"), F.explode(rendering.marker_numbers(F.col("marker"))).alias("number"))
+    return ordered.link_numeric(m, relation(spark, sf_dir, "refs").select("doc", F.col("ref").alias("entry"), "number")).select("doc", "marker", "number", "entry")
+
+
+@query(f"""WITH e AS (SELECT ref AS entry, doc, surname, CAST(2000 + ref % 4 AS VARCHAR) AS year, suffix FROM {inline("refs")}), i AS (SELECT ref AS item, doc, surname, CAST(2000 + ref % 4 AS VARCHAR) AS year, CASE WHEN ref % 2 = 0 THEN suffix END AS suffix FROM {inline("refs")}),
+h AS (SELECT i.doc, item, entry, i.suffix IS NOT DISTINCT FROM e.suffix AS exact FROM i JOIN e ON i.doc = e.doc AND i.surname = e.surname AND i.year = e.year WHERE i.suffix IS NULL OR e.suffix IS NULL OR i.suffix = e.suffix)
+SELECT doc, item, CASE WHEN count(*) = 1 THEN min(entry) ELSE min(entry) FILTER (exact) END AS entry FROM h GROUP BY doc, item HAVING count(*) = 1 OR count(*) FILTER (exact) = 1""")
+def intext_link_authoryear(spark, sf_dir):
+    r = relation(spark, sf_dir, "refs").withColumn("year", (F.lit(2000) + F.col("ref") % 4).cast("string"))
+    items = r.select(F.col("ref").alias("item"), "doc", "surname", "year", F.when(F.col("ref") % 2 == 0, F.col("suffix")).alias("suffix"))
+    return ordered.link_author_year(items, r.select(F.col("ref").alias("entry"), "doc", "surname", "year", "suffix"))
+
+
+@query(f"SELECT doc, count(*) AS n, count(*) FILTER (NOT regexp_matches(text, '^\\d+\\.')) AS off FROM {inline('refs')} GROUP BY doc HAVING count(*) >= 3 AND count(*) FILTER (NOT regexp_matches(text, '^\\d+\\.')) >= count(*) * 0.1")
+def refstyle_numbering(spark, sf_dir):
+    return ordered.numbering_disagreement(relation(spark, sf_dir, "refs").select("doc", F.col("text").rlike(r"^\d+\.").alias("has_number")), True, share=0.1)
+
+
+@query(f"SELECT doc, count(*) AS n, count(*) FILTER (contains(lower(text), '10.1234/')) AS with_doi FROM {inline('refs')} GROUP BY doc HAVING count(*) >= 10 AND count(*) FILTER (contains(lower(text), '10.1234/')) < count(*) * 0.25")
+def refstyle_doi_coverage(spark, sf_dir):
+    return ordered.doi_coverage(relation(spark, sf_dir, "refs").select("doc", F.exists(ident.extract_dois(F.col("text")), lambda d: F.lower(d).startswith("10.1234/")).alias("has_doi")), share=0.25)
+
+
+# --- rendering
+
+_AUTHORS = "list_slice([surname || ' AB', 'Other CD', 'Third E', 'Fourth FG', 'Fifth H', 'Sixth I', 'Seventh JK', 'Eighth L'], 1, ref % 9)"
+
+
+def _with_authors(spark, sf_dir):
+    rest = [F.lit(a) for a in ("Other CD", "Third E", "Fourth FG", "Fifth H", "Sixth I", "Seventh JK", "Eighth L")]
+    return relation(spark, sf_dir, "refs").withColumn("authors", F.slice(F.array(F.concat("surname", F.lit(" AB")), *rest), F.lit(1), (F.col("ref") % 9).cast("int")))
+
+
+def _dot(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN regexp_matches({x}, '[.?!]$') THEN {x} ELSE {x} || '.' END"
+
+
+@query(f"""WITH x AS (SELECT *, nullif(array_to_string({_AUTHORS}[1:6], ', ') || CASE WHEN ref % 9 > 6 THEN ', et al' ELSE '' END, '') AS a, volume || CASE WHEN issue <> '' THEN '(' || issue || ')' ELSE '' END AS vi FROM {inline("refs")}),
+y AS (SELECT *, vi || CASE WHEN pages = '' THEN '' WHEN vi <> '' THEN ':' || pages ELSE pages END AS loc FROM x)
+SELECT ref, concat_ws(' ', {_dot("a")}, {_dot("title")}, {_dot("journal")}, concat_ws(';', year, nullif(loc, '')) || '.', 'doi: ' || nullif(doi, '') || '.', 'PMID: ' || nullif(pmid, '') || '.') AS reference FROM y""")
+def format_vancouver(spark, sf_dir):
+    c = F.col
+    return _with_authors(spark, sf_dir).select("ref", rendering.vancouver(c("authors"), c("title"), c("journal"), c("year"), c("volume"), c("issue"), c("pages"), c("pmid"), c("doi")).alias("reference"))
+
+
+@query(f"""SELECT ref, '(' || CASE ref % 9 WHEN 0 THEN 'Anon' WHEN 1 THEN surname WHEN 2 THEN surname || ' & Other' ELSE surname || ' et al.' END || ', ' || year || ')' AS marker FROM {inline("refs")}""")
+def intext_markers(spark, sf_dir):
+    return _with_authors(spark, sf_dir).select("ref", rendering.marker_author_year(F.col("authors"), F.col("year")).alias("marker"))
+
+
+@query(f"""SELECT doc, ref, row_number() OVER (PARTITION BY doc ORDER BY trim(regexp_replace(replace(lower(strip_accents(surname)), 'ø', 'o'), '[^a-z \\-]', '', 'g')), year, ref) AS place FROM {inline("refs")}""")
+def bibliography_order(spark, sf_dir):
+    r = relation(spark, sf_dir, "refs").withColumn("k", names.surname_key(F.col("surname")))
+    return r.select("doc", "ref", F.row_number().over(Window.partitionBy("doc").orderBy("k", "year", "ref")).cast("long").alias("place"))
+
+
+@query("""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[\\s\\x{85}\\p{Z}]+'), lambda w: w <> '')) AS INT) AS words, CAST(length(text) AS INT) AS chars, CAST(length(translate(text, ' ' || chr(10) || chr(9), '')) AS INT) AS dense FROM documents""")
+def view_counts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", rendering.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"), rendering.chars_without_spaces(F.col("text")).alias("dense"))
