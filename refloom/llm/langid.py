@@ -13,76 +13,76 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.base import LETTERS, held_out, prepare
+from refloom.llm.base import held_out, prepare
 
 #: The sample that is learned from: documents of each language, characters of a document.
 PER_LANGUAGE, MAX_CHARS = 300, 20_000
 #: At most so many languages, the most frequent ones, so that the sample stays bounded.
 MAX_LANGUAGES = 64
-PIECE, ROUNDS, PENALTY, FLOOR = 24, 12, 3.0, -12.0
-_CACHE = 200_000
+#: Entries of the trigram table at most; they set how many letters are told apart, the rest being one class.
+TABLE, ROUNDS, PENALTY, FLOOR = 4_000_000, 10, 3.0, -12.0
 
 
-def _grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[max(0, i - 2) : i + 1] for i in range(1, len(padded))]
+@lru_cache(maxsize=4)
+def _places(letters: str) -> np.ndarray:
+    """Code point -> 0 for what isn't a letter, 1 for letters outside the alphabet, 2 and up for its letters."""
+    out = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+    out[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+    return out
+
+
+def _events(text: str, letters: str) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams (as table places) of the words of a text, each word's end included, and where each word begins among them."""
+    x = _places(letters)[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")].astype(np.int64)
+    x = np.concatenate([[0, 0], x, [0]])
+    now, before = x[2:], x[1:-1]
+    earlier = np.where(before == 0, 0, x[:-2])
+    used = (now > 0) | (before > 0)
+    size = len(letters) + 2
+    return ((earlier * size + before) * size + now)[used], np.flatnonzero((before == 0)[used])
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    rows: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
+    letters: str = ""
+    table: np.ndarray | None = None  # log-likelihood of each trigram under each language
 
-    def word(self, word: str) -> np.ndarray:
-        """Log-likelihood of a word under each language; a gram that was never seen falls back to its shorter ends."""
-        at = []
-        for g in _grams(word):
-            while g and g not in self.rows:
-                g = g[1:]
-            at.append(self.rows.get(g, 0))
-        return self.table[at].sum(0)
+    def words(self, text: str | None) -> np.ndarray:
+        """Log-likelihoods of a text's words (rows) under the languages (columns)."""
+        events, starts = _events(text or "", self.letters)
+        return np.add.reduceat(self.table[events], starts, axis=0) if len(starts) else np.zeros((0, len(self.languages)))
 
 
 def _train(texts: dict[str, list[str]]) -> LanguageModel:
     languages = sorted(texts)
-    counts = [Counter() for _ in languages]
+    seen = Counter()
+    for some in texts.values():
+        for t in some:
+            seen.update(t.lower())
+    most = max(8, min(250, int((TABLE / len(languages)) ** (1 / 3)) - 2))
+    letters = "".join(sorted(c for c, _ in sorted(((c, n) for c, n in seen.items() if c.isalpha() and len(c) == 1), key=lambda x: (-x[1], x[0]))[:most]))
+    size = len(letters) + 2
+    table = np.zeros((size**3, len(languages)), dtype=np.float32)
     for k, lang in enumerate(languages):
+        three = np.zeros(size**3)
         for t in texts[lang]:
-            for w, n in Counter(LETTERS.findall(t.lower())).items():
-                for g in _grams(w[:PIECE]):
-                    for j in range(len(g)):
-                        counts[k][g[j:]] += n
-    grams = sorted(set().union(*counts), key=lambda g: (len(g), g))
-    rows = {g: i + 1 for i, g in enumerate(grams)}
-    seen = np.zeros((len(grams) + 1, len(languages)))
-    for k, c in enumerate(counts):
-        for g, n in c.items():
-            seen[rows[g], k] = n
-    letters = sum(len(g) == 1 for g in grams)
-    total = seen[1 : letters + 1].sum(0)
-    context = np.zeros_like(seen)  # how often what precedes a gram's last letter was followed by any letter
-    for g, i in rows.items():
-        if len(g) > 1:
-            context[rows.setdefault(g[:-1], 0)] += seen[i]
-    p = np.zeros_like(seen)
-    p[0] = 0.1 / (total + letters + 1)
-    for g, i in rows.items():
-        if i == 0:
-            continue
-        if len(g) == 1:
-            p[i] = (seen[i] + 0.1) / (total + letters + 1)
-        else:
-            lower = p[rows[g[1:]]]
-            p[i] = (seen[i] + 4 * lower) / (context[rows[g[:-1]]] + 4)
-    return LanguageModel(languages, {g: i for g, i in rows.items() if i}, np.log(np.maximum(p, 1e-9)).astype(np.float32))
+            three += np.bincount(_events(t, letters)[0], minlength=size**3)
+        three = three.reshape(size, size, size)
+        two, one = three.sum(0), three.sum((0, 1))
+        p1 = (one + 0.1) / (one.sum() + 0.1 * size)
+        p2 = (two + 4 * p1) / (two.sum(1, keepdims=True) + 4)
+        p3 = (three + 4 * p2) / (three.sum(2, keepdims=True) + 4)
+        table[:, k] = np.log(p3).reshape(-1)
+    return LanguageModel(languages, letters, table)
 
 
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> LanguageModel:
@@ -101,32 +101,34 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars:
     return _train({lang: list(g.text) for lang, g in rows.groupby("lang")})
 
 
-def mixture(counts: np.ndarray, loglik: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """EM for the proportions of the languages (columns), given word counts and their log-likelihoods; and the log-likelihood."""
-    top = loglik.max(1, keepdims=True)
-    like = np.exp(np.maximum(loglik - top, FLOOR))
-    share = np.full(loglik.shape[1], 1 / loglik.shape[1])
-    for _ in range(rounds if loglik.shape[1] > 1 else 0):
+def mixture(like: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """EM for the proportions of the languages (columns), given each word's likelihoods, relative to its best language."""
+    share = np.full(like.shape[1], 1 / like.shape[1])
+    for _ in range(rounds if like.shape[1] > 1 else 0):
         joint = like * share
-        share = counts @ (joint / joint.sum(1, keepdims=True)) / counts.sum()
-    return share, float(counts @ (np.log((like * share).sum(1)) + top[:, 0]))
+        new = (joint / joint.sum(1, keepdims=True)).mean(0)
+        if np.abs(new - share).max() < 1e-4:
+            return new
+        share = new
+    return share
 
 
-def choose(counts: np.ndarray, loglik: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
+def choose(loglik: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
     """The language set of highest penalised likelihood, its members by share."""
-    loglik = np.maximum(loglik, loglik.max(1, keepdims=True) + FLOOR)
-    full, _ = mixture(counts, loglik)
-    order = np.argsort(-full, kind="stable")
-    cost = penalty * np.log(counts.sum() + 1)
-    best, shares, value = [int(order[0])], np.ones(1), float(counts @ loglik[:, order[0]]) - cost
+    like = np.exp(np.maximum(loglik - loglik.max(1, keepdims=True), FLOOR))
+    full = mixture(like)
+    order = [int(i) for i in np.argsort(-full, kind="stable")]
+    cost = penalty * np.log(len(like) + 1)
+    best, shares, value = order[:1], np.ones(1), float(np.log(like[:, order[0]]).sum()) - cost
     for k in range(2, min(5, len(order)) + 1):
-        some = [int(i) for i in order[:k]]
+        some = order[:k]
         if full[some[-1]] < 0.02:
             break
-        share, ll = mixture(counts, loglik[:, some])
-        if ll - k * cost <= value:
+        share = mixture(like[:, some])
+        gained = float(np.log(np.maximum(like[:, some] @ share, 1e-12)).sum()) - k * cost
+        if gained <= value:
             break
-        best, shares, value = some, share, ll - k * cost
+        best, shares, value = some, share, gained
     by = np.argsort(-shares, kind="stable")
     return [best[i] for i in by], shares[by]
 
@@ -134,26 +136,14 @@ def choose(counts: np.ndarray, loglik: np.ndarray, penalty: float = PENALTY) ->
 def _predictor(model: LanguageModel, fields: str):
     @F.pandas_udf(fields)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
         for texts in batches:
             out = []
             for t in texts:
-                words = Counter()
-                for w, n in Counter(LETTERS.findall((t or "").lower())).items():
-                    for i in range(0, len(w), PIECE):
-                        words[w[i : i + PIECE]] += n
-                if not words or not model.languages:
+                words = model.words(t) if model.languages else ()
+                if not len(words):
                     out.append(("und", 0.0, ""))
                     continue
-                rows = []
-                for w in words:
-                    row = known.get(w)
-                    if row is None:
-                        if len(known) >= _CACHE:
-                            known.clear()
-                        known[w] = row = model.word(w)
-                    rows.append(row)
-                members, shares = choose(np.fromiter(words.values(), dtype=np.float64, count=len(words)), np.array(rows, dtype=np.float64))
+                members, shares = choose(words.astype(np.float64))
                 out.append((model.languages[members[0]], float(min(1.0, shares[0])), ",".join(f"{model.languages[i]}:{s:.3f}" for i, s in zip(members, shares, strict=True))))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "lang_mix"])
 
