@@ -113,7 +113,7 @@ def _deal(heavy: np.ndarray, parts: int):
             order = np.lexsort((v, part))
             v, w, d, part = v[order], w[order], d[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
+            for lo, hi in zip(cuts, np.append(cuts, len(part))[1:], strict=True):
                 steps, runs = _runs(v[lo:hi])
                 head = np.array([len(steps)], dtype="<u4").tobytes()
                 out.append((int(part[lo]), "pairs", chunk, head + steps + runs, _squeeze(w[lo:hi], 6), _squeeze(d[lo:hi], 2)))
@@ -187,7 +187,7 @@ def _score_pairs(heavy: np.ndarray, counts: np.ndarray, total: int, parts: int,
             order = np.lexsort((w, chunk, part))
             w, d, chunk, part = w[order], d[order], chunk[order], part[order]
             cuts = np.flatnonzero(np.diff(part * len(known) + chunk.astype(np.int64), prepend=-1))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
+            for lo, hi in zip(cuts, np.append(cuts, len(part))[1:], strict=True):
                 steps, runs = _runs(w[lo:hi])
                 out.append((int(part[lo]), "asks", known[chunk[lo]], steps, runs, _squeeze(d[lo:hi].astype(np.uint64), 2)))
         return pd.DataFrame(out, columns=_COLUMNS)
