@@ -18,6 +18,7 @@ import sys
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from operator import itemgetter
 from zlib import crc32
 
 import pandas as pd
@@ -28,8 +29,7 @@ from refloom.llm.base import prepare
 
 CAPACITY, GROUP, END_ID = 1024, 256, 0
 #: What needs more care than most texts: characters on which the libraries' Unicode tables might differ, or white space in a row.
-_UNUSUAL = "[^\x00-\u024f\u2010-\u2027\u20ac]"
-_ODD = re.compile(rf"({_UNUSUAL})|\s\s")
+_UNUSUAL, _GAPS = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]"), re.compile(r"\s\s")
 _LONG = 100_000
 
 
@@ -59,12 +59,9 @@ def encode(text: str, json_path: str, ranks_path: str | None, pattern: str | Non
     slow, fast, plain = _encoders(json_path, ranks_path, pattern)
     if fast is None:
         return slow.encode(text, add_special_tokens=False).ids
-    odd = _ODD.search(text)
-    if odd is None and len(text) <= _LONG:
-        return plain.encode_ordinary(text)
-    if re.search(_UNUSUAL, text) or len(text) > _LONG and re.search(r"\S{5000}|\s{5000}", text):
+    if not text.isascii() and _UNUSUAL.search(text) or len(text) > _LONG and re.search(r"\S{5000}|\s{5000}", text):
         return slow.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+    return (fast if _GAPS.search(text) else plain).encode_ordinary(text)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -80,22 +77,21 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
     """Karmarkar-Karp: divide the sizes among so many ways with near-equal sums; the members of each way, by index."""
-    heap = [(-s, i, [s], [[i]]) for i, s in enumerate(sizes)]
+    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    made = len(heap)
+    made, largest = len(heap), itemgetter(0)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
         # both hold their non-empty ways, largest first; the k-th largest of one meets the k-th smallest of the other
-        alone = max(0, ways - len(b))
-        rows = [(a[i], in_a[i]) for i in range(min(alone, len(a)))]
-        rows += [(a[i] + b[ways - 1 - i], in_a[i] + in_b[ways - 1 - i]) for i in range(alone, len(a))]
-        rows += [(b[j], in_b[j]) for j in range(min(len(b), ways - len(a)))]
-        rows.sort(key=lambda r: -r[0])
-        sums = [r[0] for r in rows]
-        heapq.heappush(heap, (-(sums[0] - (sums[-1] if len(sums) == ways else 0)), made, sums, [r[1] for r in rows]))
+        if len(a) + len(b) <= ways:
+            rows = a + b
+        else:
+            alone = ways - len(b)
+            rows = a[:alone] + [(x + y, p + q) for (x, p), (y, q) in zip(a[alone:], reversed(b), strict=False)] + b[: ways - len(a)]
+        rows.sort(key=largest, reverse=True)
+        heapq.heappush(heap, ((rows[-1][0] if len(rows) == ways else 0) - rows[0][0], made, rows))
         made += 1
-    return heap[0][3] if heap else []
+    return [members for _, members in heap[0][2]] if heap else []
 
 
 def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
