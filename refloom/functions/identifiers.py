@@ -34,8 +34,11 @@ def normalise_doi(raw: Column) -> Column:
         loose = (_last(x).isin(".", ",", ";", ":")) | ((_last(x) == ")") & (_count(x, ")") > _count(x, "("))) | ((_last(x) == "]") & (_count(x, "]") > _count(x, "[")))
         return F.when(loose, F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
 
-    tail = F.length(F.regexp_extract(bare, r"[.,;:)\]]*$", 0))
-    return F.when(tail == 0, bare).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), tail)), bare, peel))
+    def clean(x: Column) -> Column:
+        tail = F.length(F.regexp_extract(x, r"[.,;:)\]]*$", 0))
+        return F.when(tail == 0, x).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), tail)), x, peel))
+
+    return F.element_at(F.transform(F.array(bare), clean), 1)  # bound once, used several times
 
 
 def first_seen(values: Column, key=lambda x: F.lower(x)) -> Column:

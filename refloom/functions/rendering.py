@@ -78,3 +78,21 @@ def word_count(text: Column) -> Column:
 
 def chars_without_spaces(text: Column) -> Column:
     return F.length(F.translate(text, " \n\t", ""))
+
+
+def author_year(authors: Column, title: Column, journal: Column, year: Column, volume: Column, issue: Column, pages: Column, doi: Column) -> Column:
+    """Authors (Year). Title. Journal, Volume(Issue):Pages. doi: ..."""
+    who = F.coalesce(filled(join_authors(authors)), F.lit("Anon"))
+    head = F.concat(F.concat_ws(" ", who, F.concat(F.lit("("), filled(year), F.lit(")"))), F.lit("."))
+    where = F.concat_ws(", ", F.regexp_replace(filled(journal), r"\.$", ""), filled(volume_issue_pages(volume, issue, pages)))
+    return F.concat_ws(" ", head, ensure_period(filled(title)), ensure_period(F.nullif(where, F.lit(""))), F.concat(F.lit("doi: "), filled(doi), F.lit(".")))
+
+
+def strip_tags(html: Column) -> Column:
+    return F.regexp_replace(html, "<[^>]+>", "")
+
+
+def cache_key(url: Column, accept: Column) -> Column:
+    """Key of a cached response: the request without credentials, hashed."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"(?i)([?&])api_key=[^&#]*&?", "$1"), r"[?&]$", "")
+    return F.sha2(F.concat(F.lit("GET\n"), bare, F.lit("\n"), accept), 256)

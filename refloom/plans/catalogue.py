@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions import identifiers as ident
 from refloom.functions import names, rendering
-from refloom.operators import library, ordered, resolver, retractions
+from refloom.operators import documents, library, ordered, resolver, retractions
 from refloom.plans.relations import inline, relation
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,8 @@ def _array(x: str) -> str:
     return f"coalesce(array_to_string({x}, '|'), '')"
 
 
-_LIB = rf"""(SELECT pos, key, nullif({_doi("coalesce(nullif(doi, ''), nullif(regexp_extract(extra, '(?im)^\s*DOI:\s*(.+)', 1), ''))")}, '') AS doi,
+_ITEM_DOI = r"coalesce(nullif(doi, ''), nullif(regexp_extract(extra, '(?im)^\s*DOI:\s*(.+)', 1), ''))"
+_LIB = rf"""(SELECT pos, key, nullif({_doi(_ITEM_DOI)}, '') AS doi,
   nullif(regexp_extract(extra, '(?im)^\s*PMID:\s*(\d+)', 1), '') AS pmid, lower(trim(regexp_replace(strip_accents(title), '\s+', ' ', 'g'))) AS title_key FROM {inline("lib_items")})"""
 _INDEX = f"""(SELECT 'doi' AS kind, doi AS value, max_by(key, pos) AS key FROM {_LIB} WHERE doi IS NOT NULL GROUP BY doi
   UNION ALL SELECT 'pmid', pmid, max_by(key, pos) FROM {_LIB} WHERE pmid IS NOT NULL GROUP BY pmid
@@ -99,8 +100,11 @@ def extract_dois(spark, sf_dir):
     return relation(spark, sf_dir, "refs").select("ref", F.array_join(ident.extract_dois(F.col("text")), "|").alias("dois"))
 
 
+_PMIDS = r"regexp_extract_all(text, '(?i)(?:PubMed\s+PMID|PMID)\s*:?\s*(\d+)', 1)"
+
+
 @query(rf"""WITH x AS (SELECT ref, text, regexp_extract_all(text, '(?i)PMC\d+') AS p, upper(regexp_replace(regexp_extract(text, '(?i)ISBN[-: ]*([\dX][\d\- X]{{8,17}})', 1), '[^0-9Xx]', '', 'g')) AS isbn FROM {inline("refs")})
-SELECT ref, {_array("regexp_extract_all(text, '(?i)(?:PubMed\\s+PMID|PMID)\\s*:?\\s*(\\d+)', 1)")} AS pmids, {_array("list_filter(p, lambda v, i: list_position(list_transform(p, lambda q: lower(q)), lower(v)) = i)")} AS pmcids,
+SELECT ref, {_array(_PMIDS)} AS pmids, {_array("list_filter(p, lambda v, i: list_position(list_transform(p, lambda q: lower(q)), lower(v)) = i)")} AS pmcids,
   'PMC' || nullif(regexp_extract(upper(trim(p[1])), '^(?:PMC)?(\d+)', 1), '') AS pmcid, nullif(regexp_extract(text, '(?i)arxiv:\s*(\d{{4}}\.\d{{4,5}})', 1), '') AS arxiv,
   CASE WHEN length(isbn) IN (10, 13) THEN isbn END AS isbn FROM x""")
 def extract_ids(spark, sf_dir):
@@ -355,3 +359,44 @@ def bibliography_order(spark, sf_dir):
 @query("""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[\\s\\x{85}\\p{Z}]+'), lambda w: w <> '')) AS INT) AS words, CAST(length(text) AS INT) AS chars, CAST(length(translate(text, ' ' || chr(10) || chr(9), '')) AS INT) AS dense FROM documents""")
 def view_counts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", rendering.word_count(F.col("text")).alias("words"), F.length("text").alias("chars"), rendering.chars_without_spaces(F.col("text")).alias("dense"))
+
+
+@query(f"""WITH x AS (SELECT *, coalesce(nullif(array_to_string({_AUTHORS}[1:6], ', ') || CASE WHEN ref % 9 > 6 THEN ', et al' ELSE '' END, ''), 'Anon') AS a, volume || CASE WHEN issue <> '' THEN '(' || issue || ')' ELSE '' END AS vi FROM {inline("refs")}),
+y AS (SELECT *, vi || CASE WHEN pages = '' THEN '' WHEN vi <> '' THEN ':' || pages ELSE pages END AS loc FROM x), z AS (SELECT *, concat_ws(', ', regexp_replace(journal, '\\.$', ''), nullif(loc, '')) AS place FROM y)
+SELECT ref, concat_ws(' ', a || ' (' || year || ').', {_dot("title")}, {_dot("place")}, 'doi: ' || nullif(doi, '') || '.') AS reference FROM z""")
+def format_author_year(spark, sf_dir):
+    c = F.col
+    return _with_authors(spark, sf_dir).select("ref", rendering.author_year(c("authors"), c("title"), c("journal"), c("year"), c("volume"), c("issue"), c("pages"), c("doi")).alias("reference"))
+
+
+@query("SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS plain, url FROM pages")
+def strip_markup(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.trim(rendering.strip_tags(F.col("html"))).alias("plain"), "url")
+
+
+@query("""SELECT page_id, sha256('GET' || chr(10) || url || chr(10) || 'text/html') AS key FROM pages""")
+def cache_keys(spark, sf_dir):
+    url = F.concat(F.col("url"), F.when(F.contains("url", F.lit("?")), F.lit("&api_key=s3cret")).otherwise(F.lit("?api_key=s3cret")))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").where(~F.contains("url", F.lit("#"))).select("page_id", rendering.cache_key(url, F.lit("text/html")).alias("key"))
+
+
+_ORACLES["cache_keys"] += " WHERE NOT contains(url, '#')"
+
+_INSTRUCTION = "CASE cited % 6 WHEN 0 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION {}' WHEN 1 THEN ' ADDIN CSL_CITATION {}' WHEN 2 THEN 'ADDIN EN.CITE x' WHEN 3 THEN 'CITATION Abc20 \\\\l 1033' WHEN 4 THEN 'PAGEREF CITATION' ELSE 'Mendeley Citation' END"
+
+
+@query(f"""SELECT doc, count(*) FILTER (cited % 6 = 0) AS zotero, count(*) FILTER (cited % 6 IN (1, 5)) AS mendeley, count(*) FILTER (cited % 6 = 2) AS endnote, count(*) FILTER (cited % 6 = 3) AS word FROM {inline("citations")} GROUP BY doc""")
+def manager_counts(spark, sf_dir):
+    return documents.manager_counts(relation(spark, sf_dir, "citations").select("doc", F.expr(_INSTRUCTION).alias("instruction")))
+
+
+@query(f"""WITH {_VERDICTS}, f AS (
+  SELECT c.doc, CASE WHEN lower(trim(nature)) = 'retraction' THEN 'CITE-RETRACTED' ELSE 'CITE-CONCERN' END AS "check", CASE WHEN lower(trim(nature)) = 'retraction' THEN 'ERROR' ELSE 'WARN' END AS severity FROM {inline("citations")} c JOIN verdicts v ON {_doi("c.doi")} = v.doi WHERE lower(trim(nature)) IN ('retraction', 'expression of concern')
+  UNION ALL SELECT doc, 'CITE-ORPHAN', 'ERROR' FROM {inline("citations")} WHERE cited % 50 = 0 UNION ALL SELECT doc, 'CITE-FOREIGN', 'WARN' FROM {inline("citations")} WHERE cited % 6 = 2)
+SELECT doc, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARN') AS warnings, count(DISTINCT "check") AS kinds FROM f GROUP BY doc""")
+def citecheck_findings(spark, sf_dir):
+    c = relation(spark, sf_dir, "citations")
+    found = retractions.screen(c, retractions.collapse_notices(relation(spark, sf_dir, "notices"))).select("doc", "check", "severity")
+    found = found.unionByName(c.where("cited % 50 = 0").select("doc", F.lit("CITE-ORPHAN").alias("check"), F.lit("ERROR").alias("severity")))
+    foreign = c.withColumn("m", documents.manager(F.expr(_INSTRUCTION))).where("m = 'endnote'").select("doc", F.lit("CITE-FOREIGN").alias("check"), F.lit("WARN").alias("severity"))
+    return found.unionByName(foreign).groupBy("doc").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARN").alias("warnings"), F.countDistinct("check").alias("kinds"))
