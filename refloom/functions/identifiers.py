@@ -94,3 +94,14 @@ def is_preprint(text: Column) -> Column:
 def pmid_in(text: Column) -> Column:
     """A PMID: bare digits or a prefixed number; else null."""
     return F.coalesce(none_if_empty(F.regexp_extract(text, PMID, 1)), F.when(F.trim(text).rlike(r"^\d+$"), F.trim(text)))
+
+
+def identifier_kind(raw: Column) -> Column:
+    """What a user's identifier is: pmid (digits, prefixed or not), key (eight capitals and digits), doi, or null; in this order."""
+    x = F.trim(raw)
+    return F.when(pmid_in(x).isNotNull(), "pmid").when(x.rlike(r"^[A-Z0-9]{8}$"), "key").when(normalise_doi(x).rlike(r"^10\.\d{4,9}/\S+$"), "doi")
+
+
+def is_plausible_slug(x: Column) -> Column:
+    """Lower-case words joined by hyphens, at least three characters, with a letter and a word of at least three characters."""
+    return x.rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$") & (F.length(x) >= 3) & x.rlike("[a-z]") & F.exists(F.split(x, "-"), lambda w: F.length(w) >= 3)

@@ -96,3 +96,16 @@ def cache_key(url: Column, accept: Column) -> Column:
     """Key of a cached response: the request without credentials, hashed."""
     bare = F.regexp_replace(F.regexp_replace(url, r"(?i)([?&])api_key=[^&#]*&?", "$1"), r"[?&]$", "")
     return F.sha2(F.concat(F.lit("GET\n"), bare, F.lit("\n"), accept), 256)
+
+
+def excerpt(text: Column, n: int = 140) -> Column:
+    """White space folded, at most n characters, with an ellipsis where something was cut."""
+    x = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(x) > n, F.concat(F.substr(x, F.lit(1), F.lit(n)), F.lit("…"))).otherwise(x)
+
+
+def heading_number(text: Column) -> Column:
+    """Numbers of a heading such as 2.1.3; a bare number over 99 is no heading's."""
+    raw = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)*)[.)]?(?:\s|$)", 1)
+    parts = F.transform(F.split(raw, r"\."), lambda x: F.try_to_number(x, F.lit("999999999")).cast("int"))
+    return F.when((raw != "") & ~((F.size(parts) == 1) & (F.coalesce(F.get(parts, 0), F.lit(100)) > 99)), parts)

@@ -400,3 +400,29 @@ def citecheck_findings(spark, sf_dir):
     found = found.unionByName(c.where("cited % 50 = 0").select("doc", F.lit("CITE-ORPHAN").alias("check"), F.lit("ERROR").alias("severity")))
     foreign = c.withColumn("m", documents.manager(F.expr(_INSTRUCTION))).where("m = 'endnote'").select("doc", F.lit("CITE-FOREIGN").alias("check"), F.lit("WARN").alias("severity"))
     return found.unionByName(foreign).groupBy("doc").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARN").alias("warnings"), F.countDistinct("check").alias("kinds"))
+
+
+_RAW_ID = "CASE cited % 5 WHEN 0 THEN 'PMID: ' || CAST(cited AS STRING) WHEN 1 THEN CAST(cited AS STRING) WHEN 2 THEN 'K' || lpad(CAST(cited AS STRING), 7, '0') WHEN 3 THEN doi ELSE 'none of these' END"
+
+
+@query(f"SELECT doc, n, CASE cited % 5 WHEN 0 THEN 'pmid' WHEN 1 THEN 'pmid' WHEN 2 THEN 'key' WHEN 3 THEN CASE WHEN regexp_matches({_doi('doi')}, '^10\\.\\d{{4,9}}/\\S+$') THEN 'doi' END END AS kind FROM {inline('citations')}")
+def identifier_kinds(spark, sf_dir):
+    return relation(spark, sf_dir, "citations").select("doc", "n", ident.identifier_kind(F.expr(_RAW_ID)).alias("kind"))
+
+
+@query("""SELECT p_partkey, slug, regexp_matches(slug, '^[a-z0-9]+(?:-[a-z0-9]+)*$') AND length(slug) >= 3 AND regexp_matches(slug, '[a-z]') AND len(list_filter(string_split(slug, '-'), lambda w: length(w) >= 3)) > 0 AS plausible
+  FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lower(replace(p_name, ' ', '-')) WHEN 1 THEN p_name WHEN 2 THEN CAST(p_partkey AS VARCHAR) ELSE 'a-' || CAST(p_size AS VARCHAR) END AS slug FROM part)""")
+def plausible_slugs(spark, sf_dir):
+    slug = F.expr("CASE p_partkey % 4 WHEN 0 THEN lower(replace(p_name, ' ', '-')) WHEN 1 THEN p_name WHEN 2 THEN CAST(p_partkey AS STRING) ELSE 'a-' || CAST(p_size AS STRING) END")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", slug.alias("slug")).withColumn("plausible", ident.is_plausible_slug(F.col("slug")))
+
+
+@query("""SELECT conv_id, turn, role, CASE WHEN length(x) > 140 THEN x[1:140] || '…' ELSE x END AS excerpt FROM (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM conversations)""")
+def excerpts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", rendering.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size || '.' || (p_partkey % 7) WHEN p_partkey % 3 = 1 AND p_partkey <= 99 THEN CAST(p_partkey AS VARCHAR) END AS number FROM part""")
+def heading_numbers(spark, sf_dir):
+    text = F.expr("CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) || ') ' || p_name WHEN 1 THEN CAST(p_partkey AS STRING) || '. ' || p_name ELSE p_name END")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.array_join(rendering.heading_number(text), ".").alias("number"))
