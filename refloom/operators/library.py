@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.identifiers import none_if_empty, normalise_doi
-from refloom.functions.names import library_title_key
+from refloom.functions.names import fuzzy_title_key, library_title_key
 
 
 def item_doi(doi: Column, extra: Column) -> Column:
@@ -66,3 +66,13 @@ def merge_changes(changes: DataFrame, since: int = -1) -> DataFrame:
 def reorder(asked: DataFrame, items: DataFrame) -> DataFrame:
     """asked(pos, key) with the item of each key, in the order asked for; null where there is none."""
     return asked.join(items, "key", "left")
+
+
+def cited_key(doi: Column, title: Column, year: Column, first_author: Column) -> Column:
+    """Key of a cited work: its DOI, else title with year and first author."""
+    return F.coalesce(F.concat(F.lit("doi:"), none_if_empty(normalise_doi(doi))), F.concat(F.lit("title:"), fuzzy_title_key(title), F.lit("|"), F.coalesce(year, F.lit("")), F.lit("|"), F.coalesce(first_author, F.lit(""))))
+
+
+def not_yet_cited(rows: DataFrame, cited: DataFrame) -> DataFrame:
+    """rows(cited_key) without those whose key is among the cited ones; rows without a key stay."""
+    return rows.join(cited.select("cited_key").distinct(), "cited_key", "left_anti").select(*rows.columns)

@@ -52,3 +52,8 @@ def link_status(cited: DataFrame, library_keys: DataFrame) -> DataFrame:
     """cited(key, where: own/other/unknown) with link: ok, broken, external, unverified."""
     found = cited.join(library_keys.select("key").distinct().withColumn("_there", F.lit(True)), "key", "left")
     return found.withColumn("link", F.when(F.col("where") == "other", "external").when(F.col("where") == "unknown", "unverified").when(F.col("_there"), "ok").otherwise("broken")).drop("_there")
+
+
+def tier(confidence: Column) -> Column:
+    """Tier of a plan entry: what has no confidence at all counts as low."""
+    return F.when(confidence == "high", "high").when(confidence == "medium", "medium").otherwise("low")

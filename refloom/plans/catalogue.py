@@ -426,3 +426,27 @@ def excerpts(spark, sf_dir):
 def heading_numbers(spark, sf_dir):
     text = F.expr("CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) || ') ' || p_name WHEN 1 THEN CAST(p_partkey AS STRING) || '. ' || p_name ELSE p_name END")
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.array_join(rendering.heading_number(text), ".").alias("number"))
+
+
+@query(f"""SELECT a.doc, a.place, a.key, i.title FROM (SELECT doc, n AS place, 'K' || lpad(CAST(cited * 3 % 5000 AS VARCHAR), 7, '0') AS key FROM {inline("citations")} WHERE doc % 10 = 0) a LEFT JOIN {inline("lib_items")} i ON i.key = a.key""")
+def reorder_by_keys(spark, sf_dir):
+    asked = relation(spark, sf_dir, "citations").where("doc % 10 = 0").select("doc", F.col("n").alias("place"), F.concat(F.lit("K"), F.lpad((F.col("cited") * 3 % 5000).cast("string"), 7, "0")).alias("key"))
+    return library.reorder(asked, relation(spark, sf_dir, "lib_items").select("key", "title")).select("doc", "place", "key", "title")
+
+
+@query(f"""WITH f AS (SELECT ref, CASE WHEN doi <> '' THEN 'doi:' || {_doi("doi")} ELSE 'title:' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || '|' || year || '|' || surname END AS k FROM {inline("refs")}),
+seen AS (SELECT DISTINCT k FROM f WHERE ref % 4 = 1)
+SELECT ref, k AS cited_key FROM f WHERE ref % 4 <> 1 AND k NOT IN (SELECT k FROM seen)""")
+def already_cited_anti(spark, sf_dir):
+    r = relation(spark, sf_dir, "refs")
+    keyed = r.select("ref", library.cited_key(F.col("doi"), F.col("title"), F.col("year"), F.col("surname")).alias("cited_key"))
+    return library.not_yet_cited(keyed.where("ref % 4 <> 1"), keyed.where("ref % 4 = 1"))
+
+
+@query(f"""WITH f AS (SELECT doc, ref, CASE WHEN ref % 8 < 3 THEN 'high' WHEN ref % 8 < 5 THEN 'medium' WHEN ref % 8 = 5 THEN 'low' ELSE 'none' END AS confidence FROM {inline("refs")})
+SELECT doc, count(*) FILTER (confidence = 'high') AS auto, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence IN ('low', 'none')) AS low FROM f GROUP BY doc""")
+def tier_summary(spark, sf_dir):
+    k = F.col("ref") % 8
+    c = F.when(k < 3, "high").when(k < 5, "medium").when(k == 5, "low").otherwise("none")
+    r = relation(spark, sf_dir, "refs").select("doc", resolver.tier(c).alias("tier"))
+    return r.groupBy("doc").agg(F.count_if(F.col("tier") == "high").alias("auto"), F.count_if(F.col("tier") == "medium").alias("medium"), F.count_if(F.col("tier") == "low").alias("low"))
