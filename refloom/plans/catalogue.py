@@ -2,40 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from refloom.functions import identifiers as ident
 from refloom.functions import names, rendering
 from refloom.operators import documents, library, ordered, resolver, retractions
+from refloom.plans import manuscripts  # noqa: F401
+from refloom.plans.registry import ORACLES, oracle_sql, queries, query  # noqa: F401
 from refloom.plans.relations import inline, relation
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None):
-    """Register a query under its function's name, with the SQL that must give the same rows."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
 def _doi(x: str) -> str:
     """The oracle's form of a normalised DOI."""
     return rf"""list_reduce(list_prepend(lower(regexp_replace(trim({x}), '(?i)^https?://(dx\.)?doi\.org/', '')), list_transform(range(12), lambda i: '')), lambda a, i: CASE
@@ -380,7 +356,7 @@ def cache_keys(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").where(~F.contains("url", F.lit("#"))).select("page_id", rendering.cache_key(url, F.lit("text/html")).alias("key"))
 
 
-_ORACLES["cache_keys"] += " WHERE NOT contains(url, '#')"
+ORACLES["cache_keys"] += " WHERE NOT contains(url, '#')"
 
 _INSTRUCTION = "CASE cited % 6 WHEN 0 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION {}' WHEN 1 THEN ' ADDIN CSL_CITATION {}' WHEN 2 THEN 'ADDIN EN.CITE x' WHEN 3 THEN 'CITATION Abc20 \\\\l 1033' WHEN 4 THEN 'PAGEREF CITATION' ELSE 'Mendeley Citation' END"
 

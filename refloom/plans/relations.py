@@ -55,6 +55,27 @@ SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER
     WHEN 2 THEN '[' || CAST(l_partkey % 9 + 1 AS STRING) || '-' || CAST(l_partkey % 20 + 1 AS STRING) || ']' ELSE '(' || CAST(l_partkey % 5 + 1 AS STRING) || ', ' || CAST(l_partkey % 5 + 2 AS STRING) || '-' || CAST(l_partkey % 500 + 2 AS STRING) || ')' END AS marker,
   CAST(floor(l_partkey / 20) AS BIGINT) AS list_doc
 FROM {lineitem}""",
+    "lines": """
+SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc, p_partkey AS para, CASE p_partkey % 20 WHEN 0 THEN 'Results were significant (p < 0.05) with OR = 1.8 and SD 2' WHEN 1 THEN '2.1 ' || p_name WHEN 2 THEN 'Table ' || CAST(p_size AS STRING) || '. ' || p_type
+    WHEN 3 THEN 'Fig. 3 shows ' || p_name || '.' WHEN 4 THEN '[12] Smith AB, Jones C. ' || p_name || '. J ' || p_brand || '. 2019;5:1-9. PMID: 123' WHEN 5 THEN 'van der Berg H. ' || p_name || ' ' || p_type || '. Brain. 2001. Accessed May 2, 2020.'
+    WHEN 6 THEN 'ENIGMA Consortium. ' || p_name || ' ' || p_type || ' and more. 2012. PMCID: PMC55' WHEN 7 THEN 'World Health Organization. ' || p_name || '. Geneva; 1999. accession GSE1' WHEN 8 THEN 'See doi.org/10.1016/j.x.2019.5678 for ' || p_name
+    WHEN 9 THEN 'Methods. ' || p_name || ' in 2014 and later years were taken from the list.' WHEN 10 THEN 'Adapted from Smith AB, Jones C. 2010.' WHEN 11 THEN '3. Lee K and Ng P. ' || p_name || ' 2020' WHEN 12 THEN p_name
+    WHEN 13 THEN 'the p-value, standard error and 95% CI of ' || p_name || ' (odds ratio 2)' WHEN 14 THEN '(4) ' || p_name || ' PMC123 https://x.org/2011' WHEN 15 THEN '' WHEN 16 THEN 'Cohen et al. found that ' || p_name || ' in 2013.' WHEN 17 THEN '7) First step'
+    WHEN 18 THEN 'Accessed https://x.org' ELSE 'Smith & Co, a study of ' || p_name || ' and ' || p_type || ', 2018' END AS line
+FROM {part}""",
+    "payloads": """
+SELECT pos, CASE WHEN pos % 17 = 0 THEN '[' ELSE translate(work, '<>', chr(123) || chr(125)) END AS work, CASE WHEN pos % 13 = 0 THEN 'no' ELSE translate(metrics, '<>', chr(123) || chr(125)) END AS metrics,
+  CASE WHEN pos % 11 = 0 THEN '' ELSE translate(profile, '<>', chr(123) || chr(125)) END AS profile, CASE WHEN pos % 19 = 0 THEN '' ELSE translate(access, '<>', chr(123) || chr(125)) END AS access
+FROM (SELECT p_partkey AS pos,
+  '<"DOI":" ' || CASE WHEN p_partkey % 5 = 0 THEN '10.1101/p.' ELSE '10.1234/p.' END || CAST(p_partkey AS STRING) || '","title":["' || p_name || ' "],"author":[<"family":"Smith","given":"Ann">,<"name":"Data Group">],"issued":<"date-parts":[[' || CAST(1990 + p_size AS STRING) || ']]>'
+    || CASE p_partkey % 3 WHEN 0 THEN ',"published-print":<"date-parts":[[2001,2]]>' WHEN 1 THEN ',"published-online":<"date-parts":[[2002]]>' ELSE '' END || ',"container-title":["' || p_brand || '"],"type":"' || CASE p_partkey % 4 WHEN 0 THEN 'posted-content' ELSE 'journal-article' END
+    || '","relation":<"has-version":[<"id-type":"doi","id":"10.9/later">],"is-preprint-of":[<"id-type":"doi","id":"10.1101/x">,<"id-type":"doi","id":" 10.5/final.' || CAST(p_partkey AS STRING) || '">'
+    || CASE WHEN p_partkey % 3 = 0 THEN ',<"id-type":"arxiv","id":"2101.' || lpad(CAST(p_partkey % 10000 AS STRING), 5, '0') || '">' ELSE '' END || ']>,"alternative-id":["S1"' || CASE WHEN p_partkey % 3 = 1 THEN ',"1999.12345"' ELSE '' END || '],"link":[<"URL":"https://x.org">,<"URL":"http://arxiv.org/abs/2002.00001v2">]>' AS work,
+  '<"pmid":' || CAST(p_partkey AS STRING) || ',"relative_citation_ratio":' || CASE p_partkey % 3 WHEN 0 THEN 'null' WHEN 1 THEN '0.5' ELSE '"x"' END || ',"citation_count":' || CASE WHEN p_partkey % 4 = 0 THEN 'null' ELSE CAST(p_size AS STRING) END || ',"year":2011,"authors":'
+    || CASE WHEN p_partkey % 2 = 0 THEN '[<"lastName":"Lee","firstName":"Ann","fullName":" Ann Lee">,<"fullName":"Bo Ng">]' ELSE '"Ann Lee, Cy Po, "' END || '>' AS metrics,
+  '<"group":[<"work-summary":[<"title":<"title":<"value":"A title">>,"publication-date":<"year":<"value":"2011">>,"external-ids":<"external-id":[<"external-id-type":"DOI","external-id-value":" 10.7/' || CAST(p_partkey AS STRING) || '">,<"external-id-type":"doi","external-id-value":"10.8/x">,<"external-id-type":"pmid","external-id-value":"'
+    || CAST(p_partkey AS STRING) || '">]>>,<"title":null>]>,<"work-summary":[]>,<"work-summary":[<"title":<"title":<"value":"Only a title">>,"publication-date":null,"external-ids":null>]>,<"work-summary":[<"title":null>]>]>' AS profile,
+  '<"best_oa_location":<"url_for_pdf":' || CASE WHEN p_partkey % 3 = 0 THEN '"https://x.org/best.pdf"' ELSE 'null' END || ',"url":"https://x.org/landing">,"oa_locations":[<"url_for_pdf":null>' || CASE WHEN p_partkey % 3 = 1 THEN ',<"url_for_pdf":"https://x.org/other.pdf">' ELSE '' END || ']>' AS access FROM {part})""",
 }
 
 
