@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from refloom.functions import payloads, shapes
-from refloom.operators import workflows
+from refloom.functions import payloads, people, shapes
+from refloom.operators import items, workflows
 from refloom.plans.registry import query
 from refloom.plans.relations import inline, relation
 
@@ -280,3 +281,61 @@ SELECT list, coalesce(min(page) FILTER (k = 0), max(page)) AS pages FROM n GROUP
 def pagination_stop(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("list"), (F.col("event_id") % 97).cast("int").alias("page"), (F.col("event_id") % 41).alias("id"))
     return workflows.pages_until_nothing_new(e)
+
+
+# --- items, people, comments
+
+_KINDS = "CASE p_partkey % 6 WHEN 0 THEN 'article-journal' WHEN 1 THEN 'chapter' WHEN 2 THEN 'posted-content' WHEN 3 THEN 'report' WHEN 4 THEN 'monograph' ELSE 'dataset' END"
+
+
+@query("""SELECT p_partkey AS pos, CASE p_partkey % 6 WHEN 1 THEN 'bookSection' WHEN 2 THEN 'preprint' WHEN 3 THEN 'report' WHEN 4 THEN 'book' ELSE 'journalArticle' END AS item_type, p_name AS title, CASE p_partkey % 6 WHEN 1 THEN p_brand WHEN 2 THEN p_brand WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE p_brand END AS container,
+  CASE WHEN p_partkey % 6 IN (0, 5) THEN '7' END AS issue, CASE WHEN p_partkey % 6 IN (2, 4) THEN NULL ELSE '1-9' END AS pages, '10.1/' || p_partkey AS doi FROM part""")
+def item_payloads(spark, sf_dir):
+    works = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS pos", f"{_KINDS} AS type", "p_name AS title", "'2020' AS year", "p_brand AS journal", "'3' AS volume", "'7' AS issue", "'1-9' AS pages", "'10.1/' || CAST(p_partkey AS STRING) AS doi")
+    at = lambda k: F.get_json_object("item", f"$.{k}")
+    return items.to_items(works).select("pos", "item_type", at("title").alias("title"), F.coalesce(at("publicationTitle"), at("bookTitle"), at("repository")).alias("container"), at("issue").alias("issue"), at("pages").alias("pages"), at("DOI").alias("doi"))
+
+
+@query(f"""SELECT ref, CASE ref % 3 WHEN 0 THEN surname WHEN 1 THEN surname ELSE 'Example Consortium ABC' END AS family, CASE ref % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'AB' ELSE '' END AS given FROM {inline("refs")}""")
+def author_strings(spark, sf_dir):
+    text = F.when(F.col("ref") % 3 == 0, F.concat("surname", F.lit(" , Ann"))).when(F.col("ref") % 3 == 1, F.concat("surname", F.lit(" AB"))).otherwise("Example Consortium ABC")
+    return relation(spark, sf_dir, "refs").select("ref", people.split_author(text).alias("a")).select("ref", "a.family", "a.given")
+
+
+@query(f"""SELECT ref, CASE surname WHEN 'van der Berg' THEN 'van der Berg' WHEN 'O''Brien' THEN 'O''Brien' ELSE surname END AS family, CASE WHEN ref % 2 = 0 THEN 'Anna-Maria' ELSE 'JA' END AS given FROM {inline("refs")}""")
+def recased_authors(spark, sf_dir):
+    given = F.when(F.col("ref") % 2 == 0, "ANNA-MARIA").otherwise("JA")
+    return relation(spark, sf_dir, "refs").select("ref", people.normalise_person(F.upper("surname"), given).alias("a")).select("ref", "a.family", "a.given")
+
+
+@query("SELECT p_partkey, p_name || ' & ' || p_type || ' <' || p_size AS title FROM part")
+def title_markup(spark, sf_dir):
+    raw = F.concat(F.lit("<i>"), "p_name", F.lit("</i>  &amp;amp;<br/>"), "p_type", F.lit(" &lt;"), F.col("p_size").cast("string"), F.lit("&lt;/sup&gt;"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", people.clean_markup(raw).alias("title"))
+
+
+@query(f"""WITH t AS (SELECT doc, max(n) AS top FROM {inline("citations")} WHERE cited % 2 = 0 GROUP BY doc) SELECT c.doc, c.n AS place, coalesce(top, -1) + row_number() OVER (PARTITION BY c.doc ORDER BY c.n) AS id FROM {inline("citations")} c LEFT JOIN t USING (doc) WHERE cited % 3 = 0""")
+def comment_ids(spark, sf_dir):
+    c = relation(spark, sf_dir, "citations")
+    return items.number_comments(c.where("cited % 3 = 0").select("doc", F.col("n").alias("place")), c.where("cited % 2 = 0").select("doc", F.col("n").alias("id"))).select("doc", "place", "id")
+
+
+@query(f"""SELECT doc, cited AS id FROM {inline("citations")} EXCEPT SELECT doc, cited FROM {inline("citations")} WHERE n % 3 = 0""")
+def comments_without_anchor(spark, sf_dir):
+    c = relation(spark, sf_dir, "citations").select("doc", F.col("cited").alias("id"), "n")
+    return items.orphan_comments(c.select("doc", "id").distinct(), c.where("n % 3 = 0"))
+
+
+@query(None)
+def redlines(spark, sf_dir):
+    """Word changes between each turn of a conversation and the one before it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before"))
+    return turns.select("conv_id", "turn", F.posexplode(items.redline(F.col("before"), F.col("text"))).alias("place", "s")).select("conv_id", "turn", "place", "s.op", "s.old", "s.new")
+
+
+@query(None)
+def style_suggestions(spark, sf_dir):
+    """The three brands nearest to each product name."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return items.nearest_styles(part.select(F.col("p_partkey").alias("name"), F.lower("p_name").alias("key")), part.select(F.col("p_type").alias("style"), F.lower("p_type").alias("key")).distinct())

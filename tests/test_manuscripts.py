@@ -1,10 +1,12 @@
 """Named cases of line shapes, payloads and workflow operators."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from refloom.functions import payloads, shapes
-from refloom.operators import workflows
+from refloom.functions import payloads, people, shapes
+from refloom.operators import items, workflows
 
 
 @pytest.fixture
@@ -57,3 +59,38 @@ def test_overlaps_and_cycles(spark):
     assert sorted(map(tuple, workflows.drop_overlaps(spans).collect())) == [(1, 0, 3, 6), (1, 1, 6, 8), (2, 0, 0, 1)]
     styles = spark.createDataFrame([(1, "a", "b", None), (1, "b", "a", None), (1, "c", "d", None), (1, "d", None, "sup"), (1, "e", "gone", None)], "doc int, style string, based_on string, value string")
     assert dict(r[1:] for r in workflows.inherited(styles).collect()) == {"a": None, "b": None, "c": "sup", "d": "sup", "e": None}
+
+
+def test_people(one):
+    p = lambda f, g: tuple(one(people.normalise_person(F.lit(f), F.lit(g))))
+    assert p("VAN DER BERG-SMITH", "JOHN A.") == ("van der Berg-Smith", "John A.") and p("O'BRIEN", "JA") == ("O'Brien", "JA") and p("MCDONALD", "ANNA-MARIA") == ("McDonald", "Anna-Maria")
+    assert p("DeLisi", "Ann") == ("DeLisi", "Ann") and p("ENIGMA", "") == ("ENIGMA", "") and p("DE", "JRR") == ("De", "JRR")
+    s = lambda t: (lambda r: r and tuple(r))(one(people.split_author(F.lit(t))))
+    assert s("Smith, Ann") == ("Smith", "Ann") and s("van Dyk AB") == ("van Dyk", "AB") and s("Nice AB") == ("Nice", "AB") and s("EXAMPLE CONSORTIUM ABC") == ("EXAMPLE CONSORTIUM ABC", "") and s(" ") is None
+    assert one(people.clean_markup(F.lit("A <i>b</i>&amp;amp; c<br/>d &lt;sub&gt;2&lt;/sub&gt; a < b"))) == "A b& c d 2 a < b"
+
+
+def test_items(spark, one):
+    works = spark.createDataFrame([(1, "posted-content", "T", "2020", "bioRxiv", "1", "2", "3", "10.1/x"), (2, "dataset", "U", None, "J", "1", "2", "", "")], "pos int, type string, title string, year string, journal string, volume string, issue string, pages string, doi string")
+    got = {r.pos: (r.item_type, json.loads(r.item)) for r in items.to_items(works).collect()}
+    assert got[1] == ("preprint", {"itemType": "preprint", "title": "T", "date": "2020", "DOI": "10.1/x", "repository": "bioRxiv"})
+    assert got[2] == ("journalArticle", {"itemType": "journalArticle", "title": "U", "date": "", "DOI": "", "publicationTitle": "J", "volume": "1", "issue": "2", "pages": ""})
+    c = F.expr("array(named_struct('creatorType', 'author', 'lastName', 'Lee', 'firstName', 'ann b', 'name', null), named_struct('creatorType', 'editor', 'lastName', 'X', 'firstName', '', 'name', null), named_struct('creatorType', null, 'lastName', '', 'firstName', '', 'name', 'Data Group'))")
+    assert one(items.creators_to_authors(c)) == ["Lee AB", "Data Group"]
+    assert one(items.prefs_chunks(F.lit("abcde"), 2)) == ["ab", "cd", "e"] and one(items.prefs_chunks(F.lit(""), 2)) == []
+
+
+def test_comments_and_styles(spark):
+    new = spark.createDataFrame([(1, 5), (1, 3), (2, 1)], "doc int, place int")
+    have = spark.createDataFrame([(1, 4), (1, 2)], "doc int, id int")
+    assert sorted((r.doc, r.place, r.id) for r in items.number_comments(new, have).collect()) == [(1, 3, 5), (1, 5, 6), (2, 1, 0)]
+    assert [tuple(r) for r in items.orphan_comments(have, spark.createDataFrame([(1, 4), (2, 2)], "doc int, id int")).collect()] == [(1, 2)]
+    styles = spark.createDataFrame([("b", "brain"), ("a", "brain"), ("n", "nature"), ("n", "nat")], "style string, key string")
+    got = items.nearest_styles(spark.createDataFrame([(1, "brains"), (2, None)], "name int, key string"), styles, 2).collect()
+    assert [(r.name, r.style, r.rank) for r in sorted(got, key=lambda r: (r.name, r.rank))] == [(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "b", 2)]
+
+
+@pytest.mark.parametrize(("old", "new", "ops"), [("a b c", "a b c", ["equal"]), ("", "x", ["insert"]), ("x y", "", ["delete"]), ("one two three and something long here", "one 2 three and something long there", ["equal", "replace", "equal", "replace"]), ("p q r", "s q t", ["replace"])])
+def test_redline(one, old, new, ops):
+    got = one(items.redline(F.lit(old), F.lit(new)))
+    assert [r.op for r in got] == ops and "".join(r.old for r in got) == old and "".join(r.new for r in got) == new
