@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def parsed(payload: Column, schema: str) -> Column:
     return F.from_json(payload, schema)
 
 
+def read(payload: Column, schema: str, fields: Callable[[Column], Column]) -> Column:
+    """Fields of a payload that is parsed once, however many of its parts they use."""
+    return F.get(F.transform(F.array(parsed(payload, schema)), fields), 0)
+
+
 def _blank(x: Column) -> Column:
     return F.coalesce(F.trim(x), F.lit(""))
 

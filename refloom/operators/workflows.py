@@ -74,12 +74,16 @@ def whole_markers(members: DataFrame) -> DataFrame:
 def resolve_by_words(names: DataFrame, styles: DataFrame) -> DataFrame:
     """names(name, words) against styles(style, words): a name's style, if its words are all in the words of exactly one.
 
-    Goes by single words: a style holds the name if it shares as many words as the name has.
+    A name meets only the styles that hold its rarest word (rare among the styles), so frequent words make no rows.
     """
-    q = names.select("name", F.size("words").alias("n"), F.explode("words").alias("w"))
-    s = styles.select("style", F.explode(F.array_distinct("words")).alias("w"))
-    small = s.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = q.join(F.broadcast(s) if small else s, "w").groupBy("name", "style").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where("shared = n")
+    words = styles.select("style", F.array_distinct("words").alias("words"))
+    by_word = words.select("style", "words", F.explode("words").alias("w"))
+    counts = by_word.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    asked = names.select("name", F.array_distinct("words").alias("asked"))
+    rarest = asked.select("name", "asked", F.explode("asked").alias("w")).join(F.broadcast(counts) if small else counts, "w", "left")
+    rarest = rarest.groupBy("name").agg(F.first("asked").alias("asked"), F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w")).alias("r")).where("r.f > 0").select("name", "asked", "r.w")
+    hits = rarest.join(by_word, "w").where(F.size(F.array_except("asked", "words")) == 0)
     return hits.groupBy("name").agg(F.count_distinct("style").alias("k"), F.min("style").alias("style")).where("k = 1").select("name", "style")
 
 

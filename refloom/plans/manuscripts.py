@@ -125,34 +125,34 @@ _VALID = f"(SELECT pos, TRY_CAST(work AS JSON) AS w, TRY_CAST(metrics AS JSON) A
   trim(w->>'$."container-title"[0]') AS journal, w->>'type' AS type, coalesce(w->>'type' = 'posted-content', false) OR coalesce(starts_with(trim(w->>'DOI'), '10.1101/'), false) AS preprint,
   coalesce(array_to_string(list_transform(CAST(w->'author' AS JSON[]), lambda x: coalesce(x->>'name', (x->>'family') || ' ' || (x->>'given'))), '|'), '') AS authors FROM {_VALID}""")
 def work_payloads(spark, sf_dir):
-    rows = relation(spark, sf_dir, "payloads").select("pos", payloads.work_fields(payloads.parsed(F.col("work"), payloads.WORK)).alias("w"))
+    rows = relation(spark, sf_dir, "payloads").select("pos", payloads.read(F.col("work"), payloads.WORK, payloads.work_fields).alias("w"))
     authors = F.array_join(F.transform("w.authors", lambda a: F.coalesce(a["literal"], F.concat_ws(" ", a["family"], a["given"]))), "|")
     return rows.select("pos", "w.doi", "w.title", "w.year", "w.journal", "w.type", "w.preprint", authors.alias("authors"))
 
 
 @query(f"""SELECT pos, CASE WHEN w IS NOT NULL THEN '10.5/final.' || pos END AS published, CASE WHEN w IS NOT NULL THEN 'https://arxiv.org/pdf/' || CASE WHEN pos % 3 = 0 THEN '2101.' || lpad(CAST(pos % 10000 AS VARCHAR), 5, '0') WHEN pos % 3 = 1 THEN '1999.12345' ELSE '2002.00001v2' END || '.pdf' END AS arxiv FROM {_VALID}""")
 def related_versions(spark, sf_dir):
-    w = payloads.parsed(F.col("work"), payloads.WORK)
-    return relation(spark, sf_dir, "payloads").select("pos", payloads.published_doi(w).alias("published"), payloads.arxiv_pdf(w).alias("arxiv"))
+    both = payloads.read(F.col("work"), payloads.WORK, lambda w: F.struct(payloads.published_doi(w).alias("published"), payloads.arxiv_pdf(w).alias("arxiv")))
+    return relation(spark, sf_dir, "payloads").select("pos", both.alias("b")).select("pos", "b.published", "b.arxiv")
 
 
 @query(f"""SELECT pos, m->>'pmid' AS pmid, TRY_CAST(m->>'relative_citation_ratio' AS DOUBLE) AS rcr, m->>'citation_count' AS citation_count, m->>'year' AS year,
   CASE WHEN m IS NULL THEN NULL WHEN json_type(m, '$.authors') = 'ARRAY' THEN 'Ann Lee|Bo Ng' ELSE 'Ann Lee|Cy Po' END AS authors FROM {_VALID}""")
 def metric_payloads(spark, sf_dir):
-    rows = relation(spark, sf_dir, "payloads").select("pos", payloads.metric_fields(payloads.parsed(F.col("metrics"), payloads.METRICS)).alias("m"))
+    rows = relation(spark, sf_dir, "payloads").select("pos", payloads.read(F.col("metrics"), payloads.METRICS, payloads.metric_fields).alias("m"))
     return rows.select("pos", "m.pmid", "m.rcr", F.col("m.citation_count").cast("string").alias("citation_count"), F.col("m.year").cast("string").alias("year"), F.array_join("m.authors", "|").alias("authors"))
 
 
 @query(f"""SELECT pos, CAST(i - 1 AS INT) AS place, coalesce(s->>'$.title.title.value', '') AS title, CASE i WHEN 1 THEN '10.7/' || pos ELSE '' END AS doi, CASE i WHEN 1 THEN CAST(pos AS VARCHAR) ELSE '' END AS pmid, CASE i WHEN 1 THEN 'A title (2011)' ELSE 'Only a title' END AS citation
   FROM (SELECT pos, i, json_extract(p, '$.group[' || (CASE i WHEN 1 THEN 0 ELSE 2 END) || ']."work-summary"[0]') AS s FROM {_VALID}, (SELECT unnest([1, 2]) AS i) WHERE p IS NOT NULL)""")
 def profile_payloads(spark, sf_dir):
-    rows = relation(spark, sf_dir, "payloads").select("pos", F.posexplode(payloads.profile_works(payloads.parsed(F.col("profile"), payloads.PROFILE))).alias("place", "w"))
+    rows = relation(spark, sf_dir, "payloads").select("pos", F.posexplode(payloads.read(F.col("profile"), payloads.PROFILE, payloads.profile_works)).alias("place", "w"))
     return rows.select("pos", "place", "w.title", "w.doi", "w.pmid", "w.citation")
 
 
 @query(f"""SELECT pos, CASE WHEN a IS NULL THEN NULL WHEN pos % 3 = 0 THEN 'https://x.org/best.pdf' WHEN pos % 3 = 1 THEN 'https://x.org/other.pdf' ELSE 'https://x.org/landing' END AS pdf FROM {_VALID}""")
 def open_access_cascade(spark, sf_dir):
-    return relation(spark, sf_dir, "payloads").select("pos", payloads.open_pdf(payloads.parsed(F.col("access"), payloads.OPEN_ACCESS)).alias("pdf"))
+    return relation(spark, sf_dir, "payloads").select("pos", payloads.read(F.col("access"), payloads.OPEN_ACCESS, payloads.open_pdf).alias("pdf"))
 
 
 _ADDRESS = "CASE p_partkey % 7 WHEN 0 THEN 'http://10.0.0.' WHEN 1 THEN 'https://example.org/' WHEN 2 THEN 'ftp://example.org/' WHEN 3 THEN 'http://169.254.169.' WHEN 4 THEN 'https://8.8.8.' WHEN 5 THEN 'http://172.20.1.' ELSE 'http://localhost/' END || CAST(p_size AS STRING)"
