@@ -74,17 +74,20 @@ def whole_markers(members: DataFrame) -> DataFrame:
 def resolve_by_words(names: DataFrame, styles: DataFrame) -> DataFrame:
     """names(name, words) against styles(style, words): a name's style, if its words are all in the words of exactly one.
 
-    A name meets only the styles that hold its rarest word (rare among the styles), so frequent words make no rows.
+    Names and styles of the same words are handled as one. A set of words meets only the styles that hold its rarest word (rare among
+    the styles), so frequent words make no rows.
     """
-    words = styles.select("style", F.array_distinct("words").alias("words"))
-    by_word = words.select("style", "words", F.explode("words").alias("w"))
+    bag = lambda c: F.array_sort(F.array_distinct(c))
+    kinds = styles.groupBy(bag("words").alias("words")).agg(F.min("style").alias("lo"), F.max("style").alias("hi"))
+    by_word = kinds.select("words", "lo", "hi", F.explode("words").alias("w"))
     counts = by_word.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
     small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    asked = names.select("name", F.array_distinct("words").alias("asked"))
-    rarest = asked.select("name", "asked", F.explode("asked").alias("w")).join(F.broadcast(counts) if small else counts, "w", "left")
-    rarest = rarest.groupBy("name").agg(F.first("asked").alias("asked"), F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w")).alias("r")).where("r.f > 0").select("name", "asked", "r.w")
+    named = names.select("name", bag("words").alias("asked"))
+    rarest = named.select("asked").distinct().select("asked", F.explode("asked").alias("w")).join(F.broadcast(counts) if small else counts, "w", "left")
+    rarest = rarest.groupBy("asked").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w")).alias("r")).where("r.f > 0").select("asked", "r.w")
     hits = rarest.join(by_word, "w").where(F.size(F.array_except("asked", "words")) == 0)
-    return hits.groupBy("name").agg(F.count_distinct("style").alias("k"), F.min("style").alias("style")).where("k = 1").select("name", "style")
+    one = hits.groupBy("asked").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").select("asked", F.col("lo").alias("style"))
+    return named.join(one, "asked").select("name", "style")
 
 
 def spread_times(events: DataFrame, start: str, stop: str) -> DataFrame:
