@@ -168,3 +168,35 @@ def changed_span(old: Column, new: Column) -> Column:
     tails = F.struct(F.substr(old, start + 1, F.length(old)).alias("o"), F.substr(new, start + 1, F.length(new)).alias("n"))
     span = F.transform(F.array(tails), lambda t: F.transform(F.array(shared(F.reverse(t["o"]), F.reverse(t["n"]))), lambda e: F.struct(cut(t["o"], F.lit(0), e).alias("removed"), cut(t["n"], F.lit(0), e).alias("added"))))
     return F.when(old != new, F.get(F.flatten(span), 0))
+
+
+# Words that may follow a number of a list without making it a quantity.
+_GOES_ON = r"(?:and|to|through|or|figs?|figures?|tables?|panels?)"
+_LIST = rf"\d+(?:\s*(?:,\s*and\b|,|\band\b|\bor\b|\bto\b|\bthrough\b|[-–])\s*\d+(?!\d)(?!\s*(?!{_GOES_ON}\b)[A-Za-z]))*"
+WIDEST = 1000
+
+
+def _listed_numbers(text: Column, lead: str) -> Column:
+    runs = F.regexp_extract_all(text, F.lit(rf"(?i)\b{lead}\s+(?!S\d)({_LIST})"), F.lit(1))
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, piece: Column) -> Column:
+        n = F.regexp_extract(piece, r"(\d+)$", 1).try_cast("int")
+        reach = piece.rlike(r"(?i)^\s*(?:to|through|[-–])") & (F.abs(n - s["last"]) <= WIDEST)
+        return F.struct(n.alias("last"), F.concat(s["out"], F.when(reach, F.sequence(F.least(s["last"], n), F.greatest(s["last"], n))).otherwise(F.array(n))).alias("out"))
+
+    expand = lambda run: F.aggregate(F.regexp_extract_all(run, F.lit(r"([^\d]*\d+)"), F.lit(1)), start, step, lambda s: s["out"])
+    return F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.transform(runs, expand)))))
+
+
+def figure_numbers(text: Column) -> Column:
+    """Numbers of figures that a text refers to, sorted: lists and ranges expanded up to the first number that counts something else.
+
+    A range over more than WIDEST numbers gives its ends.
+    """
+    return _listed_numbers(text, r"Fig(?:s|ures?)?\.?")
+
+
+def table_numbers(text: Column) -> Column:
+    """As figure_numbers, for tables."""
+    return _listed_numbers(text, "Tables?")

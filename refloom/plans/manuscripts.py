@@ -339,3 +339,11 @@ def style_suggestions(spark, sf_dir):
     """The three brands nearest to each product name."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return items.nearest_styles(part.select(F.col("p_partkey").alias("name"), F.lower("p_name").alias("key")), part.select(F.col("p_type").alias("style"), F.lower("p_type").alias("key")).distinct())
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || ',' || (p_size + 1) || ',' || (p_size + 2) WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN '' ELSE '60,61' END AS figures, CASE WHEN p_partkey % 4 = 1 THEN '2,4' ELSE '' END AS tables FROM part""")
+def figure_references(spark, sf_dir):
+    n = "CAST(p_size AS STRING)"
+    text = F.expr(f"CASE p_partkey % 4 WHEN 0 THEN 'see Figs. ' || {n} || '-' || CAST(p_size + 2 AS STRING) || '.' WHEN 1 THEN 'Figure ' || {n} || ', 100 cells (Tables 2 and 4)' WHEN 2 THEN 'Fig. S1' ELSE 'Figures 60 and 61.' END")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", joined(shapes.figure_numbers(text)).alias("figures"), joined(shapes.table_numbers(text)).alias("tables"))

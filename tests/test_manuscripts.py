@@ -94,3 +94,11 @@ def test_comments_and_styles(spark):
 def test_redline(one, old, new, ops):
     got = one(items.redline(F.lit(old), F.lit(new)))
     assert [r.op for r in got] == ops and "".join(r.old for r in got) == old and "".join(r.new for r in got) == new
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Figures 1 and 2 and Table 1", [1, 2]), ("Figs 1-3, 7", [1, 2, 3, 7]), ("Figure 1 and 23 patients", [1]), ("Fig. 1, 100 cells", [1]), ("figures 3 through 5 or 9", [3, 4, 5, 9]), ("Fig. S1", []), ("Figure 1-5000000", [1, 5000000]), ("Fig 5–3 and, later, Figure 8", [3, 4, 5, 8]), ("Figure 99999999999", []), ("", [])],
+)
+def test_figure_numbers(one, text, want):
+    assert one(shapes.figure_numbers(F.lit(text))) == want
