@@ -5,10 +5,12 @@
 2. Empty registers borrow from others (densification), then 30 bands of five registers make bucket keys. A pair at
    similarity 0.85 shares no bucket with probability (1 - 0.85**5)**30 = 2e-8. Classes of up to five shingles are left
    out: two different ones can't reach 0.85.
-3. In a bucket every class meets two centres only, those with the smallest and largest (id xor key): rows grow with the
-   bucket, not with its square, and centres differ from bucket to bucket.
-4. A pair passes if its sizes allow 0.85 and its collision-corrected estimate is within five standard errors of it. The
-   components of passing pairs are clusters.
+3. In a bucket every class first meets two centres, those with the smallest and largest (id xor key); centres differ from
+   bucket to bucket. A pair passes if its sizes allow 0.85 and its collision-corrected estimate is within five standard
+   errors of it. The components of passing pairs are clusters.
+4. Where a bucket of four or more still holds several clusters, all its pairs of different clusters meet, in blocks of 256
+   members: the bucket's largest cluster against the rest, and the rest against each other. Rows grow with the square of
+   the rest only, over the block. Clusters are taken anew with the pairs that pass.
 5. Within clusters all pairs are confirmed on full shingle sets made from the texts, in blocks of 256 members against each
    other where a cluster is larger. Only a spanning forest of confirmed links leaves a task.
 6. The confirmed links' components, carried over to all members of each class.
@@ -104,6 +106,39 @@ def _may_link(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Seri
     return pd.Series(passes(x, y, n.to_numpy(dtype=np.float64), m.to_numpy(dtype=np.float64)))
 
 
+def meet(sketches: np.ndarray, n: np.ndarray, labels: list[int], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the passing pairs of a row in ``left`` with one in ``right``, of those that labels don't join already."""
+    root: dict[int, int] = {k: k for k in labels}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    links = []
+    low = PERCENT / 100
+    for i in left.tolist():
+        # sizes alone rule out most of a mixed bucket
+        js = right[(np.minimum(n[right], n[i]) >= low * np.maximum(n[right], n[i]) - 1e-6) & (right != i)]
+        if len(js):
+            for j in js[passes(np.broadcast_to(sketches[i], (len(js), REGISTERS)), sketches[js], np.full(len(js), n[i]), n[js])].tolist():
+                p, q = find(labels[i]), find(labels[j])
+                if p != q:
+                    root[p] = q
+                    links.append((i, j))
+    return links
+
+
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for (_, i, j), g in frame.groupby(["key", "i", "j"], sort=False):
+        ids, own = g.cid.to_numpy(), g.own.to_numpy()
+        sketches = np.frombuffer(b"".join(g.registers), dtype=np.uint16).reshape(-1, REGISTERS)
+        links = meet(sketches, g.n.to_numpy(dtype=np.float64), g.label.tolist(), np.flatnonzero(own == i), np.flatnonzero(own == j))
+        out += [(ids[a], ids[b]) for a, b in links]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
 def confirmed(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets that reach the threshold, by exact intersection sizes of all pairs."""
     k = len(sets)
@@ -160,10 +195,26 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _left_over(keyed: DataFrame, lean: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(u, v): passing pairs of buckets' members that the centres left in different clusters. Up to three members have all met."""
+    full = keyed.groupBy("key").count().where("count > 3").select("key").checkpoint()
+    named = keyed.join(_sent(full, full.count()), "key").join(clusters.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label"))
+    by = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    opened = by.select("key", "main", F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("m") / BLOCK).cast("int").alias("mains")).checkpoint()
+    members = named.join(_sent(opened, opened.count()), "key")
+    is_main = F.col("label") == F.col("main")
+    h = F.xxhash64("cid")
+    members = members.select("key", "cid", "label", F.when(is_main, F.col("rest") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("rest"))).cast("int").alias("own"), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")).alias("others")).checkpoint()
+    dealt = members.join(lean, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "label", "registers")
+    groups = max(1, members.count() // 2048)
+    return dealt.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).groupBy("g").applyInPandas(_meet, "u long, v long")
+
+
 def find_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): confirmed links between classes, named by their smallest doc_id; enough of them to span each component."""
     large = classes.where((F.col("n") >= LEAST_SET) & F.col("cid").isNotNull())
-    keyed = large.select("cid", F.explode(F.pandas_udf(_keys, "array<long>")("registers")).alias("key"))
+    keyed = large.select("cid", F.explode(F.pandas_udf(_keys, "array<long>")("registers")).alias("key")).checkpoint()
     ends = keyed.select("key", F.col("cid").bitwiseXOR(F.col("key")).alias("x")).groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a != b")
     centres = ends.select("key", F.array(F.col("a").bitwiseXOR(F.col("key")), F.col("b").bitwiseXOR(F.col("key"))).alias("centres"))
     pairs = keyed.join(centres, "key").select("cid", F.explode("centres").alias("c")).where("cid != c").select(F.least("cid", "c").alias("u"), F.greatest("cid", "c").alias("v")).distinct()
@@ -175,6 +226,7 @@ def find_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sized = pairs.join(left.select("u", "n"), "u").join(right.select("v", "m"), "v").where(fit)
     passing = sized.join(left.select("u", "a"), "u").join(right.select("v", "b"), "v").where(F.pandas_udf(_may_link, "boolean")("a", "b", "n", "m")).select("u", "v").checkpoint()
 
+    passing = passing.unionByName(_left_over(keyed, lean, components(passing).checkpoint())).checkpoint()
     clusters = components(passing).checkpoint()
     members = clusters.join(large.select(F.col("cid").alias("id"), "n", "hi", "lo"), "id").join(clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "component")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")

@@ -98,6 +98,15 @@ def test_large_clusters_are_confirmed_in_blocks(spark):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
+def test_pairs_in_buckets_full_of_others_are_found(spark):
+    passage = " ".join(f"p{k}" for k in range(204))
+    rows = [(i, passage + " " + " ".join(f"o{i}_{k}" for k in range(110 + i % 20)), "en", 0.0, 1) for i in range(2000)]
+    for i in (1010, 1500):
+        rows[i] = (i, passage + " " + " ".join(f"x{i}_{k}" for k in range(15)), "en", 0.0, 1)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i for i in range(2000)} | {1500: 1010}
+
+
 def test_long_texts_hash_alike_in_segments(monkeypatch):
     text = random_text(np.random.default_rng(1), 5000) + " " + "y" * 900 + " end"
     whole = base.word_hashes(text)
