@@ -305,6 +305,21 @@ def test_pages_of_a_host(main):
     assert texts[2] == "Title n2\nFirst & boldn2 é line\nSecond paragraph n2\nitem n2"
 
 
+def test_text_beside_the_largest_part_is_kept():
+    long = "Sentence {i} of the body goes on. " * 20
+    page = "<body><div><h1>Head {i}</h1><p>Lead {i}</p><div><p>" + long + "</p><ul><li>" + long + "</li><li>last {i}</li></ul></div><section><p>Second {i}</p></section></div><p>Template line</p></body>"
+    body = lambda i: " ".join([f"Sentence {i} of the body goes on."] * 20)
+    got = htmltext.extract_batch([page.format(i=f"n{i}") for i in range(4)])
+    assert got[1] == f"Head n1\nLead n1\n{body('n1')}\n{body('n1')}\nlast n1\nSecond n1"
+    alone = htmltext.extract_batch([page.format(i="x")])
+    assert alone == [f"Head x\nLead x\n{body('x')}\n{body('x')}\nlast x\nSecond x\nTemplate line"]
+
+
+def test_all_article_elements_are_joined():
+    page = "<body><p>Outside {i}</p><article><p>First {i}</p><article><p>inner {i}</p></article></article><article><h2>Second {i}</h2><p>more {i}</p></article></body>"
+    assert htmltext.extract_batch([page.format(i=f"n{i}") for i in range(4)])[1] == "First n1\ninner n1\nSecond n1\nmore n1"
+
+
 def test_page_edges(spark):
     rows = [(1, "http://a.example/x", PAGE.format(i=1, main="article")), (1, "http://a.example/x", PAGE.format(i=1, main="article")), (2, None, None), (3, "http://b.example", ""), (None, "x", "plain <b>text</b> &lt;ok&gt;"), (5, "http://c.example", "<div><p>unclosed <a href='q\">x</p><!-- never ends")]
     got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
