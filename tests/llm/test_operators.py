@@ -329,7 +329,68 @@ def test_page_edges(spark):
     assert htmltext.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_tree_matching_keeps_order_and_parents():
-    a = ("r", (("x", (("k", ()),)), ("y", ()), ("z", ())))
-    b = ("r", (("y", ()), ("x", (("k", ()), ("m", ()))), ("z", ())))
-    assert htmltext.match_trees(a, b) == {0: 0, 2: 1, 3: 2, 5: 4}
+def build(kinds, tree):
+    key, children = tree
+    numbers = [build(kinds, c) for c in children]
+    return kinds.number(key, tuple(k for i, k in enumerate(numbers) if i == 0 or k != numbers[i - 1]), False)
+
+
+def matched(a, b, kinds):
+    """Brute force: the most nodes that an order-preserving map matches, over all choices for each child."""
+    ka, kb = kinds.kinds[a], kinds.kinds[b]
+    if ka[0] != kb[0]:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(best(xs[1:], ys), *(matched(xs[0], y, kinds) + best(xs[1:], ys[j + 1 :]) for j, y in enumerate(ys)))
+
+    return 1 + best(ka[1], kb[1])
+
+
+def test_tree_matching_is_the_best_of_all():
+    rng = np.random.default_rng(8)
+
+    def tree(depth):
+        return (str(rng.choice(["a", "b", "c"])), [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else [])
+
+    for _ in range(300):
+        kinds = htmltext.Kinds()
+        a, b = (build(kinds, ("r", tree(3)[1])) for _ in range(2))
+        pairs = kinds.match(a, b) if a != b else []
+        assert kinds.weight(a, b) == matched(a, b, kinds)
+        assert pairs == sorted(pairs) and len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs)
+
+
+def test_structure_decides_where_names_say_nothing():
+    """Only containers without names: the slot of the article is found, since the others hold links or one short bare text."""
+    rng = np.random.default_rng(12)
+    pages, bodies = [], []
+    for i in range(12):
+        body = [random_text(rng, 8), *(random_text(rng, int(n)) for n in rng.integers(5, 80, int(rng.integers(1, 6))))]
+        bodies.append("\n".join(body))
+        pages.append(f"<div><div><ul><li><a href=x>{random_text(rng, 1)}</a><li><a href=y>{random_text(rng, 1)}</a></ul></div><div>{random_text(rng, 7)}</div><div><h1>{body[0]}</h1>{''.join(f'<p>{b}</p>' for b in body[1:])}</div><div>Read this every day</div><div>{random_text(rng, 6)}</div></div>")
+    assert htmltext.extract_batch(pages) == bodies
+    assert all(htmltext.extract_batch([p]) != [b] for p, b in zip(pages, bodies, strict=True))
+
+
+def test_copies_do_not_turn_content_into_template():
+    text = ["A long paragraph that many pages of this host have in common, word by word, with each other. " * 2] * 3
+    pages = [f"<body><h1>Title</h1><p>{text[0]}</p><p>{text[1]} {i if i else ''}</p><p>own {i}</p></body>" for i in range(8)]
+    pages += [f"<body><h1>Other {i}</h1><p>{random_text(np.random.default_rng(i), 60)}</p></body>" for i in range(4)]
+    got = htmltext.extract_batch(pages)
+    assert got[3] == "\n".join(["Title", text[0].strip(), f"{text[1].strip()} 3", "own 3"])
+
+
+@pytest.mark.parametrize("tag", ["div", "li", "span", "p", "blockquote", "x-y"])
+def test_deep_pages(tag):
+    pages = ["<html><body>" + f"<{tag}>" * 5000 + f"deep {i}" + f"</{tag}>" * 5000 for i in range(4)]
+    assert htmltext.extract_batch(pages) == [f"deep {i}" for i in range(4)]
+
+
+def test_long_pages():
+    pages = ["<body><div>" + "".join(f"<div><h2>{k} {i}</h2><p>t{i} {k}</p>{'<ul><li>q' + f'{i} {k}' + '</ul>' * (k % 3)}</div>" for k in range(3000)) + "</div></body>" for i in range(3)]
+    got = htmltext.extract_batch(pages)
+    assert all(f"2999 {i}" in g and g.count("\n") == 8999 for i, g in enumerate(got))
+    assert htmltext.extract_batch(["<!-- never closed", "<a " * 100_000 + ">", "1 < 2 &amp; 3"]) == ["", "", "1 < 2 & 3"]
