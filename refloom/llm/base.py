@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 import numpy as np
 import xxhash
@@ -14,16 +15,30 @@ ARROW_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches and make sure that checkpoint() has a folder.
+    """Bound the Arrow batches and make sure that checkpoint() has a folder that all executors share.
 
-    The folder is the one the cluster names; only where none is named (tests) one under /tmp is taken.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only a local session, where all is one machine, gets a
+    folder of its own if none is named; on a cluster that is an error.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/refloom-checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="refloom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     return spark
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet, whatever the letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,10 +52,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     """Texts and labels to learn from, as a pandas frame on the driver.
 
     Bounded: at most ``per_class`` rows of each label, none over ``max_chars`` characters. Rows are those with the
-    smallest hash of their id, so the same ones at every run; held-out rows never take part.
+    smallest hash of their id, so the same ones at every run; held-out rows never take part. Of several labels of one id
+    the smallest counts.
     """
     picked = None
-    usable = labels.select("doc_id", F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out())
+    usable = labels.select("doc_id", F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("y").alias("y"))
     for y in (0, 1):
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)

@@ -2,7 +2,7 @@
 
 A document's ids are cut into full windows of ``capacity`` ids, each a sequence of its own without padding, and a rest.
 Rests over ``capacity // 4`` ids are halved until they are not, so that differencing has enough small pieces to even out
-windows. Documents are dealt by hash into groups of about ``GROUP`` documents; within a group the rests are divided among
+windows. Documents are dealt by a hash of id and row number into groups of about ``GROUP`` documents; within a group the rests are divided among
 W = ceil(ids / capacity) windows: partial partitions with the largest imbalance are merged again and again, largest sums of
 one against smallest of the other. Whenever a window exceeds the capacity, W rises and the group is divided anew.
 
@@ -134,7 +134,9 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
     """
     groups = max(1, -(-docs.select(F.lit(1)).count() // GROUP))
     rows = tokenize(docs, json_path, ranks_path, pattern, capacity)
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.col("pieces")[0]["ids_crc32"], "doc_tokens"), F.lit(groups)).alias("g"), "doc_id", "doc_tokens", F.inline("pieces"))
+    # by the row's number too: copies and rows without an id spread like any others
+    numbered = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = numbered.select("g", "doc_id", "doc_tokens", F.inline("pieces"))
 
     def divide(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)

@@ -1,13 +1,17 @@
 """Quality classifier: two zstandard dictionaries, one of good and one of bad text; whichever compresses a text better tells its kind.
 
-d = (bytes under the bad dictionary - bytes under the good one) / their sum, the normalised size difference, becomes a
-score by logistic calibration; r = log(bytes under the good dictionary / bytes of text) goes into the calibration too, since
-a difference means less where a text (one word again and again) shrinks to nothing under either. Whole texts are compressed,
-in blocks of ``BLOCK`` bytes so that the dictionary keeps its weight in long texts.
-
-Nulls and empty texts: no bytes, so d = r = 0 and the score is the calibration's value there. Rows with a null id are scored
-as any other. Repeated rows are scored alike, one output row for each. Without labelled rows of both classes every score is
-0.5. Columns of the input other than doc_id and text are ignored.
+d = (bytes under the bad dictionary - bytes under the good one) / bytes of the text, the normalised compressed-size
+difference, becomes a score by logistic calibration; nothing else goes into it. (Over the text's own bytes, a text that
+shrinks to nothing under either dictionary, one word again and again, has next to no difference; over the sum of the
+compressed sizes it would have a chance one.) A text of a few words shows no difference because it is too short to be
+compressed, so every text counts as if ``USUAL_BYTES`` bytes of usual text, of the labelled sample's mean difference, came
+with it. Whole texts are compressed, in blocks of ``BLOCK`` bytes so that the
+dictionary keeps its weight in long texts.
+
+Nulls and empty texts: no bytes, so d is the mean difference and the score is the calibration's value there. Rows with a null id are scored
+as any other. Repeated rows are scored alike, one output row for each. An empty table gives no rows. Without labelled rows
+of both classes every score is 0.5. Where an id has several label rows, the smallest label counts. Columns of the input
+other than doc_id and text are ignored, or kept as they are by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.base import held_out, labelled_sample, prepare
+from refloom.llm.base import free_name, held_out, labelled_sample, prepare
 
 #: The sample that is learned from: rows of each label, characters of a row. Half trains dictionaries, half calibrates.
 PER_CLASS, MAX_CHARS = 1500, 50_000
-DICTIONARY_BYTES, BLOCK, LEVEL = 112_640, 2048, 3
+DICTIONARY_BYTES, BLOCK, LEVEL, USUAL_BYTES = 112_640, 512, 3, 64
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -53,40 +57,37 @@ class Sizes:
         return sum(len(self.z.compress(raw[i : i + block])) for i in range(0, len(raw), block))
 
 
-def measures(text: str | None, good: Sizes, bad: Sizes) -> tuple[float, float]:
-    """The normalised size difference d and the log ratio r of a text."""
+def difference(text: str | None, good: Sizes, bad: Sizes, usual: float = 0.0) -> float:
+    """The normalised size difference of a text."""
     raw = (text or "").encode("utf-8", "replace")
-    if not raw:
-        return 0.0, 0.0
-    g, b = good.of(raw), bad.of(raw)
-    return (b - g) / (b + g), float(np.log(g / len(raw)))
+    return (bad.of(raw) - good.of(raw) + USUAL_BYTES * usual) / (len(raw) + USUAL_BYTES)
 
 
 @dataclass
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: tuple[float, float]
+    slope: float
     offset: float
+    usual: float = 0.0
 
-    def score(self, m) -> np.ndarray:
-        """Scores of rows (d, r)."""
-        return 1 / (1 + np.exp(-np.clip(np.asarray(m, dtype=np.float64).reshape(-1, 2) @ np.array(self.weights) + self.offset, -30, 30)))
+    def score(self, d) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.asarray(d, dtype=np.float64) * self.slope + self.offset, -30, 30)))
 
 
-def _calibrate(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, float], float]:
-    """Logistic regression by Newton's method, lightly regularised."""
-    scale = np.maximum(m.std(0), 1e-6)
-    x = np.column_stack([m / scale, np.ones(len(m))])
-    w = np.zeros(3)
+def _calibrate(d: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Logistic regression on one number by Newton's method, lightly regularised."""
+    scale = max(float(d.std()), 1e-6)
+    x = np.column_stack([d / scale, np.ones(len(d))])
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         s = weight * p * (1 - p) + 1e-9
-        step = np.linalg.solve((x * s[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (weight * (y - p)) - 1e-3 * w)
+        step = np.linalg.solve((x * s[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (weight * (y - p)) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return (float(w[0] / scale[0]), float(w[1] / scale[1])), float(w[2])
+    return float(w[0] / scale), float(w[1])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> QualityModel:
@@ -96,30 +97,35 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     share = labels.where(~held_out() & F.col("quality").isin(0, 1)).agg(F.avg(F.col("quality").cast("double"))).first()[0]
     by = {y: list(rows.text[rows.y == y]) for y in (0, 1)}
     if len(by[0]) < 2 or len(by[1]) < 2:
-        return QualityModel(b"", b"", (0.0, 0.0), 0.0)
+        return QualityModel(b"", b"", 0.0, 0.0)
     fit, rest = {y: t[0::2] for y, t in by.items()}, {y: t[1::2] for y, t in by.items()}
     good, bad = (_dictionary(fit[y], DICTIONARY_BYTES) for y in (1, 0))
     g, b = Sizes(good), Sizes(bad)
-    m = np.array([measures(t, g, b) for y in (0, 1) for t in rest[y]])
+    sizes = [[(g.of(raw), b.of(raw), len(raw)) for raw in (t.encode("utf-8", "replace") for t in rest[y])] for y in (0, 1)]
+    means = [np.mean([(v - u) / max(1, n) for u, v, n in rows]) for rows in sizes]
+    usual = float((1 - share) * means[0] + share * means[1])
+    d = np.array([(v - u + USUAL_BYTES * usual) / (n + USUAL_BYTES) for rows in sizes for u, v, n in rows])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     weight = np.where(y == 1, share / len(rest[1]), (1 - share) / len(rest[0])) * len(y)
-    return QualityModel(good, bad, *_calibrate(m, y, weight))
+    return QualityModel(good, bad, *_calibrate(d, y, weight), usual)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, and the size difference they rest on: one row for each input row."""
     prepare(docs.sparkSession)
     return (
-        docs.select("doc_id", _scorer(model)("text").alias("__quality"))
-        .select("doc_id", held_out().alias("held_out"), F.col("__quality.score").alias("score"), F.col("__quality.size_difference").alias("size_difference"))
+        docs.select("doc_id", _scorer(model)("text").alias("found"))
+        .select("doc_id", held_out().alias("held_out"), "found.score", "found.size_difference")
         .select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "size_difference")
     )
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier accepts, with the columns they came with."""
-    names = docs.columns
-    return docs.withColumn("__quality", _scorer(model)("text")).where(F.col("__quality.score") >= threshold).select(*names)
+    """The documents that the classifier accepts, with the columns they came with. Null and empty texts get the
+    calibration's value at the mean difference; repeated rows stay or go together."""
+    prepare(docs.sparkSession)
+    found = free_name(docs, "quality")
+    return docs.withColumn(found, _scorer(model)("text")).where(F.col(found)["score"] >= threshold).drop(found)
 
 
 def _scorer(model: QualityModel):
@@ -127,7 +133,7 @@ def _scorer(model: QualityModel):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         good, bad = Sizes(model.good), Sizes(model.bad)
         for texts in batches:
-            m = np.array([measures(t, good, bad) for t in texts], dtype=np.float64).reshape(-1, 2)
-            yield pd.DataFrame({"score": model.score(m), "size_difference": m[:, 0]})
+            d = np.array([difference(t, good, bad, model.usual) for t in texts], dtype=np.float64)
+            yield pd.DataFrame({"score": model.score(d), "size_difference": d})
 
     return score

@@ -2,10 +2,13 @@
 
 score = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>) over the distinct terms of the whole text: words, and their first
 four and five letters, hashed into 2**18 buckets. The pairwise part sees combinations (an insult together with a group)
-that additive weights miss. Buckets that say nothing about the label in the sample are left out, so long texts don't drift.
+that additive weights miss. The machine has up to ``FEATURES`` buckets by their own effect on the label and up to
+``BY_PAIRS`` more by the effect of a pair, so a bucket that matters only beside another one is in it too. Other buckets say nothing about
+the label in the sample and are left out, so long texts don't drift.
 
-Nulls and empty texts have no terms: their score is sigmoid(w0). Repeated rows score alike, a row each. Without labelled
-rows of both classes every score is 0.5. Columns other than doc_id and text are ignored.
+Nulls and empty texts have no terms: their score is sigmoid(w0). Repeated rows score alike, a row each. An empty table gives
+no rows. Without labelled rows of both classes every score is 0.5. Where an id has several label rows, the smallest label
+counts. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,10 @@ from pyspark.sql import functions as F
 from refloom.llm.base import LETTERS, held_out, labelled_sample, prepare
 
 PER_CLASS, MAX_CHARS = 2500, 20_000
-BUCKETS, FEATURES, RANK, STEPS = 1 << 18, 1024, 6, 120
+BUCKETS, FEATURES, BY_PAIRS, RANK, STEPS = 1 << 18, 1024, 128, 6, 120
+#: Buckets of which all pairs are tested, the most frequent ones of the sample; effects (squared z) from which one counts,
+#: and rows that a pair needs in common.
+PAIRED, OWN_EFFECT, PAIR_EFFECT, MET = 4096, 8.0, 40.0, 8
 _CACHE = 400_000
 
 
@@ -56,7 +62,7 @@ def _fit(x: np.ndarray, y: np.ndarray, rank: int, steps: int) -> tuple[float, np
         z = p[0][0] + x @ p[1] + 0.5 * ((xv**2).sum(1) - x @ (p[2] ** 2).sum(1))
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         xe = x.T @ e
-        grads = [np.array([e.sum()]), xe + 1e-5 * p[1], x.T @ (e[:, None] * xv) - p[2] * xe[:, None] + 1e-4 * p[2]]
+        grads = [np.array([e.sum()]), xe + 1e-4 * p[1], x.T @ (e[:, None] * xv) - p[2] * xe[:, None] + 1e-3 * p[2]]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             s[i] = 0.99 * s[i] + 0.01 * g**2
@@ -72,20 +78,53 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 0.0, np.zeros(0, np.float32), np.zeros((0, RANK), np.float32))
     sets = [{b for w in set(LETTERS.findall(t.lower())) for b in term_buckets(w)} for t in rows.text]
+    chosen = choose_buckets(sets, y)
+    index = {b: i for i, b in enumerate(chosen)}
+    return ToxicityModel(index, *_fit(_matrix(sets, index), y, RANK, STEPS))
+
+
+def _matrix(sets: list[set[int]], index: dict[int, int]) -> np.ndarray:
+    x = np.zeros((len(sets), len(index)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        x[i, [index[b] for b in s if b in index]] = 1
+    return x
+
+
+def choose_buckets(sets: list[set[int]], y: np.ndarray) -> list[int]:
+    """Buckets with an effect on the label, by themselves or in a pair, strongest first."""
     count = np.zeros((2, BUCKETS), dtype=np.float32)
     for s, label in zip(sets, y, strict=True):
         count[int(label), list(s)] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=np.float32)
-    rate = count / n[:, None]
-    both = count.sum(0) / n.sum()
+    seen, n = count.sum(0), len(y)
+    rate = count / np.array([(y == 0).sum(), (y == 1).sum()], dtype=np.float32)[:, None]
+    both = seen / n
     strength = (rate[1] - rate[0]) ** 2 / np.maximum(both * (1 - both), 1e-6)
-    strength[count.sum(0) < 3] = 0
-    chosen = [int(b) for b in np.argsort(-strength, kind="stable")[:FEATURES] if strength[b] > 8 / n.sum()]
-    index = {b: i for i, b in enumerate(chosen)}
-    x = np.zeros((len(y), len(chosen)), dtype=np.float32)
-    for i, s in enumerate(sets):
-        x[i, [index[b] for b in s if b in index]] = 1
-    return ToxicityModel(index, *_fit(x, y, RANK, STEPS))
+    strength[seen < 3] = 0
+    chosen = [int(b) for b in np.argsort(-strength, kind="stable")[:FEATURES] if strength[b] > OWN_EFFECT / n]
+
+    # the effect of a pair beyond those of its members: the mean of (y - mean)(a - mean)(b - mean), as a z value
+    often = np.argsort(-seen, kind="stable")[:PAIRED]
+    often = often[(seen[often] >= 3) & (seen[often] < n)]
+    x = _matrix(sets, {int(b): i for i, b in enumerate(often)})
+    raw = x.copy()
+    x -= x.mean(0)
+    x /= np.sqrt((x**2).mean(0))
+    error = (y - y.mean())[:, None] / float(y.std())
+    known = np.isin(often, chosen)
+    pairs = []
+    for lo in range(0, len(often), 256):
+        z2 = (x[:, lo : lo + 256].T @ (x * error)) ** 2 / n
+        z2[raw[:, lo : lo + 256].T @ raw < MET] = 0
+        z2[known[lo : lo + 256, None] & known[None, :]] = 0
+        i, j = np.nonzero(z2 > PAIR_EFFECT)
+        ahead = lo + i < j
+        pairs += zip((-z2[i[ahead], j[ahead]]).tolist(), (lo + i[ahead]).tolist(), j[ahead].tolist(), strict=True)
+    found = dict.fromkeys(chosen)
+    for _, i, j in sorted(pairs):
+        new = [b for b in (int(often[i]), int(often[j])) if b not in found]
+        if len(found) + len(new) <= len(chosen) + BY_PAIRS:
+            found.update(dict.fromkeys(new))
+    return list(found)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
