@@ -1,23 +1,27 @@
-"""Near-duplicates by HyperMinHash: exact components of the links with Jaccard similarity >= 0.85 of 5-word shingle sets.
+"""Near-duplicates by HyperMinHash: exact components of the links between 5-word shingle sets of a Jaccard similarity of
+at least ``percent`` / 100.
 
 1. A set's sketch has 128 registers. A shingle's hash picks one; the smallest rest of the hash in it is stored as its
    leading-zero count and ten more bits, 16 bits in all. Equal sets become one class; links are sought between classes.
 2. Empty registers borrow from others (densification), then 30 bands of five registers make bucket keys. A pair at
-   similarity 0.85 shares no bucket with probability (1 - 0.85**5)**30 = 2e-8. Classes of up to five shingles are left
-   out: two different ones can't reach 0.85.
+   similarity 0.8 shares no bucket with probability (1 - 0.8**5)**30 = 7e-6, at 0.85 with 2e-8. Classes so small that no
+   different set can reach the threshold are left out.
 3. In a bucket every class first meets two centres, those with the smallest and largest (id xor key); centres differ from
-   bucket to bucket. A pair passes if its sizes allow 0.85 and its collision-corrected estimate is within five standard
-   errors of it. The components of passing pairs are clusters.
+   bucket to bucket. A pair passes if its sizes allow the threshold and its collision-corrected estimate is within five
+   standard errors of it. The components of passing pairs are clusters.
 4. Where a bucket of four or more still holds several clusters, all its pairs of different clusters meet, in blocks of 256
    members: the bucket's largest cluster against the rest, and the rest against each other. Rows grow with the square of
    the rest only, over the block. Clusters are taken anew with the pairs that pass.
-5. Within clusters all pairs are confirmed on full shingle sets made from the texts, in blocks of 256 members against each
-   other where a cluster is larger. Only a spanning forest of confirmed links leaves a task.
+5. Clusters are confirmed on full shingle sets made from the texts. Members meet within blocks of 256 first, each text
+   once. In clusters of several blocks the smallest members of the confirmed parts then meet each other, and at last the
+   members of all parts but the largest meet whom they haven't met. So a cluster of true copies costs each text little more
+   than once; pairs of one confirmed part are not compared again, and no other pair is left out. Only a spanning forest of
+   confirmed links leaves a task.
 6. The confirmed links' components, carried over to all members of each class.
 
 Texts without words, empty ones and nulls have the empty set: n_shingles 0, linked with nothing. Rows without an id take
-part in no link; their component_id is null. Repeated rows are members of one class and each have a row. Columns other than
-doc_id and text are ignored.
+part in no link; their component_id is null. Repeated rows are members of one class and each have a row. An empty
+table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.base import mix, prepare, shingle_set
 from refloom.llm.components import components
 
 REGISTERS, MANTISSA, BANDS, ROWS = 128, 10, 30, 5
-PERCENT, LEAST_SET, BLOCK = 85, 6, 256
+PERCENT, BLOCK, GROUP_ROWS = 80, 256, 512
 BROADCAST_ROWS = 1_000_000
 
 _REST = 64 - REGISTERS.bit_length() + 1
@@ -75,9 +79,9 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 0.1699194871597391 * REGISTERS / 2**MANTISSA * 4 * ratio / (1 + ratio) ** 2
 
 
-def passes(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def passes(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether pairs of sketches (rows of a and b) may reach the threshold: the estimate is within five standard errors."""
-    t = PERCENT / 100
+    t = percent / 100
     used = ((a > 0) | (b > 0)).sum(1)
     same = ((a == b) & (a > 0)).sum(1)
     chance = expected_collisions(n, m)
@@ -99,14 +103,18 @@ def _keys(registers: pd.Series) -> pd.Series:
     return pd.Series([band_keys(np.frombuffer(r, dtype=np.uint16)) for r in registers], dtype="object")
 
 
-def _may_link(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="bool")
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(-1, REGISTERS) for s in (a, b))
-    return pd.Series(passes(x, y, n.to_numpy(dtype=np.float64), m.to_numpy(dtype=np.float64)))
+def _may_link(percent: int):
+    def may_link(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="bool")
+        x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(-1, REGISTERS) for s in (a, b))
+        return pd.Series(passes(x, y, n.to_numpy(dtype=np.float64), m.to_numpy(dtype=np.float64), percent))
 
+    may_link.__annotations__ = {"a": pd.Series, "b": pd.Series, "n": pd.Series, "m": pd.Series, "return": pd.Series}
+    return F.pandas_udf(may_link, "boolean")
 
-def meet(sketches: np.ndarray, n: np.ndarray, labels: list[int], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+
+def meet(sketches: np.ndarray, n: np.ndarray, labels: list[int], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A forest of the passing pairs of a row in ``left`` with one in ``right``, of those that labels don't join already."""
     root: dict[int, int] = {k: k for k in labels}
 
@@ -116,12 +124,12 @@ def meet(sketches: np.ndarray, n: np.ndarray, labels: list[int], left: np.ndarra
         return k
 
     links = []
-    low = PERCENT / 100
+    low = percent / 100
     for i in left.tolist():
         # sizes alone rule out most of a mixed bucket
         js = right[(np.minimum(n[right], n[i]) >= low * np.maximum(n[right], n[i]) - 1e-6) & (right != i)]
         if len(js):
-            for j in js[passes(np.broadcast_to(sketches[i], (len(js), REGISTERS)), sketches[js], np.full(len(js), n[i]), n[js])].tolist():
+            for j in js[passes(np.broadcast_to(sketches[i], (len(js), REGISTERS)), sketches[js], np.full(len(js), n[i]), n[js], percent)].tolist():
                 p, q = find(labels[i]), find(labels[j])
                 if p != q:
                     root[p] = q
@@ -129,17 +137,20 @@ def meet(sketches: np.ndarray, n: np.ndarray, labels: list[int], left: np.ndarra
     return links
 
 
-def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for (_, i, j), g in frame.groupby(["key", "i", "j"], sort=False):
-        ids, own = g.cid.to_numpy(), g.own.to_numpy()
-        sketches = np.frombuffer(b"".join(g.registers), dtype=np.uint16).reshape(-1, REGISTERS)
-        links = meet(sketches, g.n.to_numpy(dtype=np.float64), g.label.tolist(), np.flatnonzero(own == i), np.flatnonzero(own == j))
-        out += [(ids[a], ids[b]) for a, b in links]
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+def _meet(percent: int):
+    def meet_all(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, i, j), g in frame.groupby(["key", "i", "j"], sort=False):
+            ids, own = g.cid.to_numpy(), g.own.to_numpy()
+            sketches = np.frombuffer(b"".join(g.registers), dtype=np.uint16).reshape(-1, REGISTERS)
+            links = meet(sketches, g.n.to_numpy(dtype=np.float64), g.label.tolist(), np.flatnonzero(own == i), np.flatnonzero(own == j), percent)
+            out += [(ids[a], ids[b]) for a, b in links]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return meet_all
 
 
-def confirmed(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def confirmed(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets that reach the threshold, by exact intersection sizes of all pairs."""
     k = len(sets)
     size = np.array([len(s) for s in sets])
@@ -157,7 +168,7 @@ def confirmed(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         held[rows[a:b], cols[a:b] - lo] = 1
         both += held @ held.T
     union = size[:, None] + size[None, :] - both
-    left, right = np.nonzero(np.triu(100 * both >= PERCENT * union, 1))
+    left, right = np.nonzero(np.triu(100 * both >= percent * union, 1))
     root = list(range(k))
 
     def find(i: int) -> int:
@@ -174,20 +185,26 @@ def confirmed(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def _confirm(frame: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for _, g in frame.groupby(["cluster", "i", "j"], sort=False):
-        ids, sets = [], []
-        for cid, n, hi, lo, text in g[["cid", "n", "hi", "lo", "text"]].itertuples(index=False):
-            s = shingle_set(text)
-            d = xxhash.xxh3_128_digest(s.tobytes())
-            # another text under the same id isn't the class's
-            if cid not in ids and len(s) == n and (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)) == (hi, lo):
-                ids.append(cid)
-                sets.append(s)
-        if len(ids) > 1:
-            out += [(ids[i], ids[j]) for i, j in confirmed(sets)]
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+def _confirm(percent: int):
+    def confirm(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in frame.groupby(["cluster", "i", "j"], sort=False):
+            ids, sets, known = [], [], set()
+            for cid, n, hi, lo, text in g[["cid", "n", "hi", "lo", "text"]].itertuples(index=False):
+                if cid in known:
+                    continue
+                s = shingle_set(text)
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                # another text under the same id isn't the class's
+                if len(s) == n and (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)) == (hi, lo):
+                    ids.append(cid)
+                    sets.append(s)
+                    known.add(cid)
+            if len(ids) > 1:
+                out += [(ids[i], ids[j]) for i, j in confirmed(sets, percent)]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return confirm
 
 
 def _sent(df: DataFrame, rows: int) -> DataFrame:
@@ -195,7 +212,7 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _left_over(keyed: DataFrame, lean: DataFrame, clusters: DataFrame) -> DataFrame:
+def _left_over(keyed: DataFrame, lean: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """(u, v): passing pairs of buckets' members that the centres left in different clusters. Up to three members have all met."""
     full = keyed.groupBy("key").count().where("count > 3").select("key").checkpoint()
     named = keyed.join(_sent(full, full.count()), "key").join(clusters.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label"))
@@ -207,13 +224,68 @@ def _left_over(keyed: DataFrame, lean: DataFrame, clusters: DataFrame) -> DataFr
     members = members.select("key", "cid", "label", F.when(is_main, F.col("rest") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("rest"))).cast("int").alias("own"), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")).alias("others")).checkpoint()
     dealt = members.join(lean, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "label", "registers")
-    groups = max(1, members.count() // 2048)
-    return dealt.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).groupBy("g").applyInPandas(_meet, "u long, v long")
-
-
-def find_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    groups = max(1, int(members.agg(F.coalesce(F.sum("others"), F.lit(0))).first()[0]) // 2048)
+    return dealt.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).groupBy("g").applyInPandas(_meet(percent), "u long, v long")
+
+
+def _compare(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(u, v): confirmed links of members (cluster, cid, n, hi, lo, own, others): each is dealt to its block's meetings with
+    the blocks of ``others``. Groups are sized by what is dealt."""
+    members = members.where(F.size("others") > 0).checkpoint()
+    count, dealt = members.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("others")), F.lit(0))).first()
+    groups = F.lit(max(1, int(dealt) // GROUP_ROWS))
+    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(_sent(members, count), "cid").withColumn("other", F.explode("others"))
+    rows = texts.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "hi", "lo", "text")
+    return rows.withColumn("g", F.pmod(F.xxhash64("cluster", "i", "j"), groups)).groupBy("g").applyInPandas(_confirm(percent), "u long, v long").checkpoint()
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _others(own: Column, total: Column, meets) -> Column:
+    """Blocks 0 .. total - 1 that ``meets``."""
+    return F.filter(F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>")), meets)
+
+
+def confirm_clusters(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(u, v): a forest of the links of members (cluster, cid, n, hi, lo), which may be linked within clusters only."""
+    sizes = members.groupBy("cluster").agg(_blocks(F.count(F.lit(1))).alias("blocks"))
+    named = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).checkpoint()
+    links = _compare(docs, named.drop("blocks").withColumn("others", F.array("own")), percent)
+    large = named.where("blocks > 1").drop("blocks", "own")
+    if not large.limit(1).count():
+        return links
+
+    def parts(links: DataFrame) -> DataFrame:
+        found = components(links).select(F.col("id").alias("cid"), "component")
+        return large.join(found, "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component").checkpoint()
+
+    # the smallest members of the parts, all with all
+    first = parts(links).where("cid = part").drop("part")
+    total = first.groupBy("cluster").agg(_blocks(F.count(F.lit(1))).alias("total"))
+    first = first.join(total, "cluster").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("total")).cast("int"))
+    met = first.withColumn("others", _others(F.col("own"), F.col("total"), lambda x: F.lit(True))).drop("total")
+    links = links.unionByName(_compare(docs, met, percent))
+
+    # then those of parts (0), single members (1), and of the largest part (2) that haven't met
+    after = parts(links)
+    count = after.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
+    main = count.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    kind = F.when(F.col("part") == F.col("main"), 2).when(F.col("size") > 1, 0).otherwise(1)
+    kinds = after.join(count, ["cluster", "part"]).join(main, "cluster").withColumn("kind", kind).drop("part", "size", "main", "parts").checkpoint()
+    width = kinds.groupBy("cluster").agg(*(_blocks(F.count_if(F.col("kind") == k)).alias(f"w{k}") for k in range(3)))
+    begins = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, F.col("w0")).otherwise(F.col("w0") + F.col("w1"))
+    mine = F.when(F.col("kind") == 0, F.col("w0")).when(F.col("kind") == 1, F.col("w1")).otherwise(F.col("w2"))
+    dealt = kinds.join(width, "cluster").withColumn("own", (begins + F.pmod(F.xxhash64("cid"), mine)).cast("int")).withColumn("begins", begins).withColumn("ends", begins + mine)
+    rest = _others(F.col("own"), F.col("w0") + F.col("w1") + F.col("w2"), lambda x: (F.col("kind") == 0) | (x < F.col("begins")) | (x >= F.col("ends")))
+    return links.unionByName(_compare(docs, dealt.withColumn("others", rest).select("cluster", "cid", "n", "hi", "lo", "own", "others"), percent))
+
+
+def find_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): confirmed links between classes, named by their smallest doc_id; enough of them to span each component."""
-    large = classes.where((F.col("n") >= LEAST_SET) & F.col("cid").isNotNull())
+    least_set = -(-percent // (100 - percent))  # a set of n reaches n / (n + 1) at most with a different one
+    large = classes.where((F.col("n") >= least_set) & F.col("cid").isNotNull())
     keyed = large.select("cid", F.explode(F.pandas_udf(_keys, "array<long>")("registers")).alias("key")).checkpoint()
     ends = keyed.select("key", F.col("cid").bitwiseXOR(F.col("key")).alias("x")).groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a != b")
     centres = ends.select("key", F.array(F.col("a").bitwiseXOR(F.col("key")), F.col("b").bitwiseXOR(F.col("key"))).alias("centres"))
@@ -222,39 +294,40 @@ def find_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     lean = large.select("cid", "n", "registers")
     left = lean.toDF("u", "n", "a")
     right = lean.toDF("v", "m", "b")
-    fit = (F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
+    fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     sized = pairs.join(left.select("u", "n"), "u").join(right.select("v", "m"), "v").where(fit)
-    passing = sized.join(left.select("u", "a"), "u").join(right.select("v", "b"), "v").where(F.pandas_udf(_may_link, "boolean")("a", "b", "n", "m")).select("u", "v").checkpoint()
+    passing = sized.join(left.select("u", "a"), "u").join(right.select("v", "b"), "v").where(_may_link(percent)("a", "b", "n", "m")).select("u", "v").checkpoint()
 
-    passing = passing.unionByName(_left_over(keyed, lean, components(passing).checkpoint())).checkpoint()
+    passing = passing.unionByName(_left_over(keyed, lean, components(passing).checkpoint(), percent)).checkpoint()
     clusters = components(passing).checkpoint()
-    members = clusters.join(large.select(F.col("cid").alias("id"), "n", "hi", "lo"), "id").join(clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "component")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = members.select(F.col("component").alias("cluster"), F.col("id").alias("cid"), "n", "hi", "lo", "blocks", own.alias("own")).checkpoint()
-    count = members.count()
-    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(_sent(members, count), "cid")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "hi", "lo", "text")
-    groups = max(1, count // 512)
-    kept = dealt.withColumn("g", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)))
-    return kept.groupBy("g").applyInPandas(_confirm, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each input row."""
+    members = clusters.join(large.select(F.col("cid").alias("id"), "n", "hi", "lo"), "id").select(F.col("component").alias("cluster"), F.col("id").alias("cid"), "n", "hi", "lo")
+    return confirm_clusters(docs, members, percent)
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each input row. Links reach ``percent`` (50 to 99) / 100."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.select("doc_id", F.pandas_udf(_sketches, "n long, hi long, lo long, registers binary")("text").alias("_s")).select("doc_id", "_s.*").checkpoint()
     classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n"), F.max("registers").alias("registers"), F.count(F.lit(1)).alias("copies")).checkpoint()
-    found = components(find_links(docs, classes)).withColumnRenamed("id", "cid")
+    found = components(find_links(docs, classes, percent)).withColumnRenamed("id", "cid")
     named = classes.select("hi", "lo", "cid", "copies").join(found, "cid", "left").where("component is not null or copies > 1").select("hi", "lo", F.coalesce("component", "cid").alias("component"))
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = rows.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id; columns as they came. Repeated rows count as one."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct().checkpoint()
-    rest = docs.join(_sent(dropped, dropped.count()), "doc_id", "left_anti").select(*docs.columns)
-    ids = rest.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rest.dropDuplicates(["doc_id", "text"]) if ids else rest
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id; columns as they came.
+
+    Rows that repeat id and text count as one. Null and empty texts and rows without an id are in no group: they stay. An id
+    with several texts stays if one of them is its group's smallest. An empty table stays empty.
+    """
+    out = near_duplicates(docs, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1").checkpoint()
+    gone, again = out.where("not kept").select("doc_id"), out.where("kept").select("doc_id")
+    n_gone, n_again = out.agg(F.count_if(~F.col("kept")), F.count_if(F.col("kept"))).first()
+    rest = docs.join(_sent(gone, n_gone), "doc_id", "left_anti").select(*docs.columns)
+    if not n_again:
+        return rest
+    single = rest.join(_sent(again, n_again), "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(rest.join(_sent(again, n_again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -46,7 +46,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def jaccard_components(rows):
+def jaccard_components(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = words(t)
@@ -62,14 +62,14 @@ def jaccard_components(rows):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
 def test_near_duplicates_match_brute_force(docs):
-    rows = neardup.near_duplicates(docs).collect()
+    rows = neardup.near_duplicates(docs, 85).collect()
     assert len(rows) == docs.count()
     want = jaccard_components([(r.doc_id, r.text) for r in docs.collect()])
     for r in rows:
@@ -80,6 +80,49 @@ def test_near_duplicates_match_brute_force(docs):
             assert r.component_id is None
 
 
+def test_small_sets_link_at_lower_similarity(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for k in range(40):
+        w = random_text(rng, int(rng.integers(6, 14)), 9000).split()
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join([*w, "more"])), (3 * k + 2, " ".join(w[:-2]))]
+    rows = [(i, t, "en", 0.0, 1) for i, t in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == jaccard_components([(r[0], r[1]) for r in rows], 80)
+
+
+def test_clusters_of_many_blocks_lose_no_link(spark, monkeypatch):
+    """One cluster of families whose members link at random: every pair that blocks keep apart is compared in the end."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = np.random.default_rng(16)
+    rows = []
+    for i in range(60):
+        family = int(rng.integers(4))
+        w = [f"f{family}_{k}" for k in range(40)]
+        for k in rng.integers(0, 40, int(rng.integers(0, 3))):
+            w[k] = f"x{rng.integers(5)}"
+        rows.append((i, " ".join(w), "en", 0.0, 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sketched = docs.select("doc_id", neardup.F.pandas_udf(neardup._sketches, "n long, hi long, lo long, registers binary")("text").alias("s")).select("doc_id", "s.*")
+    classes = sketched.groupBy("hi", "lo").agg(neardup.F.min("doc_id").alias("cid"), neardup.F.max("n").alias("n"))
+    members = classes.selectExpr("0L AS cluster", "cid", "n", "hi", "lo")
+    links = neardup.confirm_clusters(docs, members, 80)
+    found = {r.id: r.component for r in components.components(links).collect()}
+    firsts = {r.cid for r in classes.collect()}
+    want = {i: c for i, (_, c) in jaccard_components([(r[0], r[1]) for r in rows if r[0] in firsts], 80).items()}
+    assert {i: found.get(i, i) for i in want} == want and len(set(want.values())) > 4
+
+
+def test_one_of_each_group_stays(spark):
+    body = random_text(np.random.default_rng(17), 60, 9000)
+    rows = [(1, body, 0), (2, body + " tail", 0), (2, body + " tail", 1), (3, "alone here", 0), (3, "alone here", 1), (None, body, 0), (None, body, 1), (4, None, 0), (5, "", 0), (6, "one two three four five six", 0), (6, body, 0)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n int, kept string")
+    got = neardup.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, [1, 3, None, None, 4, 5, 6, 6]))
+    assert neardup.keep_one_of_each(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
@@ -93,7 +136,7 @@ def test_large_clusters_are_confirmed_in_blocks(spark):
         for k in rng.integers(0, 150, 3):
             w[k] = f"e{i}_{k}"
         rows.append((i, " ".join(w), "en", 0.0, 1))
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 85).collect()}
     want = jaccard_components([(r[0], r[1]) for r in rows])
     assert got == {i: c for i, (_, c) in want.items()}
 
@@ -103,7 +146,7 @@ def test_pairs_in_buckets_full_of_others_are_found(spark):
     rows = [(i, passage + " " + " ".join(f"o{i}_{k}" for k in range(110 + i % 20)), "en", 0.0, 1) for i in range(2000)]
     for i in (1010, 1500):
         rows[i] = (i, passage + " " + " ".join(f"x{i}_{k}" for k in range(15)), "en", 0.0, 1)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 85).collect()}
     assert got == {i: i for i in range(2000)} | {1500: 1010}
 
 
