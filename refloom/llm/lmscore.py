@@ -98,11 +98,16 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def _home(chunk: int, parts: int) -> int:
+    """The partition of what belongs to a chunk; hashed, since numbers of first chunks have many factors of two in common."""
+    return int(mix(np.array([chunk], dtype=np.uint64))[0] % np.uint64(parts))
+
+
 def _deal(heavy: np.ndarray, parts: int):
     def pack(ids: list, words: list[np.ndarray], chunk: int) -> pd.DataFrame:
         n = np.array([len(w) for w in words])
         full = [i for i in range(len(words)) if n[i]]
-        out = [(chunk % parts, "docs", chunk, np.array([0 if pd.isna(i) else int(i) for i in ids], dtype="<i8").tobytes(), np.array([pd.isna(i) for i in ids], dtype=np.uint8).tobytes(), n.astype("<i8").tobytes())]
+        out = [(_home(chunk, parts), "docs", chunk, np.array([0 if pd.isna(i) else int(i) for i in ids], dtype="<i8").tobytes(), np.array([pd.isna(i) for i in ids], dtype=np.uint8).tobytes(), n.astype("<i8").tobytes())]
         if full:
             edge = np.array([_START], dtype=np.uint64), np.array([_END], dtype=np.uint64)
             v = np.concatenate([x for i in full for x in (edge[0], words[i])])
@@ -146,7 +151,7 @@ def _sums(chunks: np.ndarray, docs: np.ndarray, values: np.ndarray, known: list[
     owner = chunks[first]
     for k in np.unique(owner):
         lo, hi = np.searchsorted(owner, [k, k + 1])
-        out.append((known[k] % parts, "sums", known[k], docs[first[lo:hi]].astype("<u2").tobytes(), total[lo:hi].astype("<f8").tobytes(), b""))
+        out.append((_home(known[k], parts), "sums", known[k], docs[first[lo:hi]].astype("<u2").tobytes(), total[lo:hi].astype("<f8").tobytes(), b""))
     return out
 
 
@@ -205,12 +210,13 @@ def _answer(total: int, parts: int):
             order = np.argsort(words.w.to_numpy(), kind="stable")
             keys, n = words.w.to_numpy()[order].astype(np.uint64), words.n.to_numpy()[order]
             known = sorted(set(asked.chunk.tolist()))
+            place = {k: i for i, k in enumerate(known)}
             chunk, d, value = [], [], []
             for k, a, b, c in asked[["chunk", "a", "b", "c"]].itertuples(index=False):
                 x = _unruns(a, b)
                 value.append(floor + np.log(np.maximum(1, _lookup(keys, n, x))))
                 d.append(_unsqueeze(c, 2).astype(np.int64))
-                chunk.append(np.full(len(x), known.index(k)))
+                chunk.append(np.full(len(x), place[k]))
             out += _sums(np.concatenate(chunk), np.concatenate(d), np.concatenate(value), known, parts)
         return pd.DataFrame(out, columns=_COLUMNS)
 
