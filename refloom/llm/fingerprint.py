@@ -1,6 +1,9 @@
 """Order MinHash fingerprints, within Spark's own functions.
 
-Tokens are runs of non-space characters, cut after 16. The elements of a text are its 3-token k-mers, each numbered by its
+Tokens are words, runs of up to 16 characters between spaces; characters from U+0E00 on, most of which belong to scripts
+without spaces, are tokens of their own. A longer run (an address, encoded data) is cut after each vowel, low digit or
+letter beyond ASCII, and after 16 characters without any: by what it holds, not by where it begins, so an edit moves only
+the tokens around it. The elements of a text are its 3-token k-mers, each numbered by its
 occurrence, so repeats differ. Hashes deal the elements into ``SLOTS`` slots; a slot takes its two minimal elements, keeps
 them in text order and hashes the pair. A slot agrees only if both k-mers survive an edit in the same order, so likeness
 (agreeing slots among those filled on either side) follows edit distance rather than set overlap.
@@ -25,6 +28,7 @@ from refloom.llm.native import at, let, lengths, positions, run_starts
 K, SLOTS, TUPLE = 3, 64, 2
 _POS_BITS, _EMPTY = 26, "...."
 _POS_MASK = (1 << _POS_BITS) - 1
+_TOKEN = r"(?<![!-\u0DFF])[!-\u0DFF]{1,16}(?![!-\u0DFF])|[\u0E00-\x{10FFFF}]|[!-\u0DFF]{0,15}?[aeiouAEIOU0-4\x80-\u0DFF]|[!-\u0DFF]{1,16}"
 
 
 def _kmers(tokens: Column) -> Column:
@@ -40,7 +44,7 @@ def _with_position(h: Column, i: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text column."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,16}"), F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
     def key(x: Column) -> Column:
         return F.shiftright(x, _POS_BITS)

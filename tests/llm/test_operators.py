@@ -227,6 +227,22 @@ def test_fingerprints_feel_order(spark):
     assert near > far + 0.2
 
 
+def test_fingerprints_stand_an_inserted_character(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 3000)), "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 6000)), "".join(chr(c) for c in rng.integers(0xE01, 0xE2E, 2000)), random_text(rng, 500)]
+    rows = [(i, t, "\u4e01" + t, t[:1000] + "b" + t[1000:]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, a string, b string, c string").select("i", *(fingerprint.fingerprint(fingerprint.F.col(x)).alias(x) for x in "abc"))
+    near = df.select("i", fingerprint.likeness(df.a, df.b).alias("b"), fingerprint.likeness(df.a, df.c).alias("c")).collect()
+    assert len(near) == 4 and all(r.b > 0.8 and r.c > 0.8 for r in near), near
+
+
+def test_likeness_counts_equal_slots(spark):
+    a, b = "0001" * 32 + "...." * 32, "0001" * 16 + "0002" * 16 + "...." * 16 + "0003" * 16
+    row = spark.createDataFrame([(a, b, "...." * 64)], "a string, b string, c string")
+    got = row.select(fingerprint.likeness(row.a, row.b), fingerprint.likeness(row.a, row.a), fingerprint.likeness(row.c, row.c), fingerprint.likeness(row.a, row.c)).first()
+    assert list(got) == [16 / 48, 1.0, 1.0, 0.0]
+
+
 def test_packing_is_a_partition_of_all_ids(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).toPandas()
