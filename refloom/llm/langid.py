@@ -105,6 +105,11 @@ def _passages(text: Column, max_chars: int) -> Column:
     return F.when(n <= max_chars, text).otherwise(F.concat_ws(" ", *parts))
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A small table, broadcast if it is as small as it should be."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> LanguageModel:
     """Learn from text and lang of rows that aren't held out: a bounded sample of each language, the smallest hashes of ids.
 
@@ -112,9 +117,11 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars:
     """
     prepare(docs.sparkSession)
     named = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))  # limited in each task before the shuffle
-    picked = named.select("doc_id", "lang", F.xxhash64("doc_id").alias("o")).withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct().checkpoint()
-    picked = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
+    # hashes below a bound under which a language has four times as many rows as needed, then the smallest of those
+    sizes = named.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share")).checkpoint()
+    near = named.select("doc_id", "lang", F.xxhash64("doc_id").alias("o")).join(_sent(sizes), "lang").where(F.col("o") / F.lit(2.0**64) + 0.5 < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
+    picked = _sent(near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct().checkpoint())
     texts = named.join(picked, ["doc_id", "lang"]).select("doc_id", "lang", _passages(F.col("text"), max_chars).alias("text"))
     counts = texts.groupBy("lang").applyInPandas(_count, "lang string, key long, n long").toPandas()
     return build(counts) if len(counts) else LanguageModel([])
