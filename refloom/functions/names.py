@@ -23,6 +23,42 @@ def fold_accents(x: Column) -> Column:
     return F.when(x.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_folded, "string")(x)).otherwise(x)
 
 
+def _one_letter_folds() -> tuple[str, str]:
+    """Characters whose decomposition without marks is one other character, by Unicode's own tables."""
+    pairs = []
+    for code in range(0xA0, 0x2FFF):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            pairs.append((chr(code), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_FOLDS = _one_letter_folds()
+
+
+def fold_letters(x: Column) -> Column:
+    """As fold_accents, by a character table instead of Python, so it may stand inside a lambda. Characters that decompose
+    into several letters (such as ligatures) stay as they are."""
+    return F.regexp_replace(F.translate(x, *_FOLDS), r"\p{M}", "")
+
+
+def _surname(folded: Column) -> Column:
+    key = F.lower(folded)
+    for a, b in LETTERS.items():
+        key = F.replace(key, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(key, r"[^a-z \-]", ""))
+
+
+def surname_fold(name: Column) -> Column:
+    """surname_key for use inside a lambda."""
+    return _surname(fold_letters(name))
+
+
+def group_key(name: Column) -> Column:
+    """A group's name as a key: as a surname's, without a leading "the"."""
+    return F.regexp_replace(surname_fold(name), "^the ", "")
+
+
 def library_title_key(title: Column) -> Column:
     """Accents folded, white space collapsed, lower case; punctuation stays."""
     return F.lower(F.trim(F.regexp_replace(fold_accents(title), r"(?U)\s+", " ")))
@@ -34,10 +70,7 @@ def fuzzy_title_key(title: Column) -> Column:
 
 
 def surname_key(name: Column) -> Column:
-    key = F.lower(fold_accents(name))
-    for a, b in LETTERS.items():
-        key = F.replace(key, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(key, r"[^a-z \-]", ""))
+    return _surname(fold_accents(name))
 
 
 def compact_surname(name: Column) -> Column:

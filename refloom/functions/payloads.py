@@ -154,12 +154,21 @@ def retry_wait(header: Column) -> Column:
 
 
 def is_public_address(url: Column) -> Column:
-    """http(s), and no address of private, loopback, link-local, shared, multicast or reserved ranges where the host is a literal IPv4 address.
+    """http(s) with a host that may be public: a name with a dot, or a literal address outside the ranges kept for private,
+    loopback, link-local, shared, documentation, multicast and other reserved use.
 
+    IPv4 addresses count only as four decimal numbers without leading zeros; other spellings of numbers (one integer, octal,
+    hexadecimal) and local names are refused. IPv6 literals stand in brackets; those that carry an IPv4 address are refused.
     Names aren't resolved; that is for whoever connects.
     """
-    host = F.lower(F.regexp_extract(url, r"^(?i:https?)://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    bracketed = F.lower(F.regexp_extract(url, r"^(?i:https?)://(?:[^/@?#]*@)?\[([^\]/?#]*)\](?::\d*)?(?:[/?#]|$)", 1))
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i:https?)://(?:[^/@?#]*@)?([^\[\]/:?#@]+)(?::\d*)?(?:[/?#]|$)", 1)), r"\.$", "")
     part = lambda i: F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int")
-    a, b = part(1), part(2)
-    inner = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19))
-    return (host != "") & ~host.isin("localhost") & ~F.coalesce(inner, F.lit(False))
+    a, b, c = part(1), part(2), part(3)
+    kept = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19))
+    kept = kept | ((a == 192) & ((b == 168) | ((b == 0) & c.isin(0, 2)) | ((b == 88) & (c == 99)))) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    decimal = host.rlike(r"^(?:0|[1-9]\d{0,2})(?:\.(?:0|[1-9]\d{0,2})){3}$") & (F.greatest(a, b, c, part(4)) <= 255)
+    numeric = host.rlike(r"(?:^|\.)(?:\d+|0x[0-9a-f]*)$")
+    name = host.rlike(r"^[^.\s]+(?:\.[^.\s]+)+$") & ~host.rlike(r"(?:^|\.)(?:localhost|local|internal|localdomain|home\.arpa)$")
+    v6 = bracketed.rlike(r"^[23][0-9a-f]{3}:[0-9a-f:]*$") & ~bracketed.rlike(r"^(?:2001:0{0,3}db8:|2001:(?:0{1,4})?:|2002:|3fff:)")
+    return F.when(bracketed != "", v6).when(numeric, decimal & ~F.coalesce(kept, F.lit(False))).otherwise(name)

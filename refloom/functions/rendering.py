@@ -94,7 +94,7 @@ def strip_tags(html: Column) -> Column:
 
 def cache_key(url: Column, accept: Column) -> Column:
     """Key of a cached response: the request without credentials, hashed."""
-    bare = F.regexp_replace(F.regexp_replace(url, r"(?i)([?&])api_key=[^&#]*&?", "$1"), r"[?&]$", "")
+    bare = F.regexp_replace(F.regexp_replace(url, r"(?i)([?&])api_key=[^&#]*&?", "$1"), r"[?&](?=#|$)", "")
     return F.sha2(F.concat(F.lit("GET\n"), bare, F.lit("\n"), accept), 256)
 
 

@@ -17,11 +17,20 @@ def _visible(view: str) -> Column:
 
 
 def paragraphs(tokens: DataFrame, view: str = "accepted") -> DataFrame:
-    """doc, part, para, text of a view: accepted (without deletions), rejected (without insertions) or raw."""
-    rows = tokens.where("error is null").groupBy("doc", "part", "para").agg(F.array_sort(F.collect_list(F.when(_visible(view), F.struct("pos", "text")))).alias("t"), F.max("pstyle").alias("pstyle"))
+    """doc, part, para, text of a view: accepted (without deletions), rejected (without insertions) or raw.
+
+    Each visible paragraph once: those inside text boxes belong to their box, not to the text (see text_boxes).
+    """
+    rows = tokens.where("error is null and not in_txbx").groupBy("doc", "part", "para").agg(F.array_sort(F.collect_list(F.when(_visible(view), F.struct("pos", "text")))).alias("t"), F.max("pstyle").alias("pstyle"))
     return rows.select("doc", "part", "para", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"), "pstyle")
 
 
+def text_boxes(tokens: DataFrame, view: str = "accepted") -> DataFrame:
+    """doc, part, para, text of the paragraphs inside text boxes; a box's copy for old readers is left out."""
+    rows = tokens.where("error is null and in_txbx and not in_fallback").groupBy("doc", "part", "para").agg(F.array_sort(F.collect_list(F.when(_visible(view), F.struct("pos", "text")))).alias("t"))
+    return rows.select("doc", "part", "para", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
+
+
 def fields(tokens: DataFrame) -> DataFrame:
     """doc, part, pos, instruction of the outermost complete fields and of simple ones."""
     w = Window.partitionBy("doc", "part").orderBy("pos")

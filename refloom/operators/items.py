@@ -67,45 +67,52 @@ def orphan_comments(comments: DataFrame, anchors: DataFrame) -> DataFrame:
     return comments.join(anchors.select("doc", "id"), ["doc", "id"], "left_anti")
 
 
-def nearest_styles(names: DataFrame, styles: DataFrame, n: int = 3, most: int = 10_000) -> DataFrame:
+def nearest_styles(names: DataFrame, styles: DataFrame, n: int = 3, chunk: int = 10_000) -> DataFrame:
     """names(name, key) against styles(style, key): the n of the best matching ratio, the smaller id of equals.
 
-    The catalogue goes to every executor, so its size is checked; a larger one is refused.
+    A matching ratio has no index, so every name meets the whole catalogue: ``chunk`` keys at a time go to the names' tasks,
+    each keeping its n best, and the best of the chunks' best are the catalogue's.
     """
-    catalogue = styles.select("style", "key").limit(most + 1).toPandas()
-    if len(catalogue) > most:
-        raise ValueError(f"a catalogue of more than {most} keys")
-    keys = sorted(zip(catalogue["style"], catalogue["key"], strict=True))
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for name, key in zip(b["name"], b["key"], strict=True):
-                best: dict[str, float] = {}
-                for style, k in keys:
-                    best[style] = max(best.get(style, 0.0), SequenceMatcher(None, key or "", k or "").ratio())
-                out += [(name, style, float(r), i + 1) for i, (style, r) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n])]
-            yield pd.DataFrame(out, columns=["name", "style", "ratio", "rank"])
-
-    return names.select("name", "key").mapInPandas(rank, f"name {names.schema['name'].dataType.simpleString()}, style string, ratio double, rank int")
+    kind = names.schema["name"].dataType.simpleString()
+    parts = max(1, -(-styles.count() // chunk))
+    dealt = styles.select("style", "key", F.pmod(F.xxhash64("style"), F.lit(parts)).alias("part"))
+
+    def rank(keys: list[tuple[str, str]]):
+        def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for name, key in zip(b["name"], b["key"], strict=True):
+                    best: dict[str, float] = {}
+                    for style, k in keys:
+                        best[style] = max(best.get(style, 0.0), SequenceMatcher(None, key or "", k or "").ratio())
+                    out += [(name, style, float(r)) for style, r in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n]]
+                yield pd.DataFrame(out, columns=["name", "style", "ratio"])
+
+        return best_of
+
+    found = None
+    for part in range(parts):
+        keys = [(r["style"], r["key"]) for r in dealt.where(F.col("part") == part).select("style", "key").collect()]  # about ``chunk`` rows
+        some = names.select("name", "key").mapInPandas(rank(keys), f"name {kind}, style string, ratio double")
+        found = some if found is None else found.unionByName(some)
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ratio"), "style"))
+    return found.groupBy("name", "style").agg(F.max("ratio").alias("ratio")).withColumn("rank", place).where(F.col("rank") <= n)
 
 
 def _redline(old: str, new: str) -> list[dict]:
-    """Word by word; kept text shorter than LEAST_KEPT characters between two edits joins them."""
+    """Word by word. A kept stretch between two edits stands for itself only if it has LEAST_KEPT characters, white space at
+    its ends aside; a shorter one joins the edits on both sides. Kept text before the first and after the last edit stays."""
     a, b = re.findall(r"^\s+|\S+\s*", old), re.findall(r"^\s+|\S+\s*", new)
-    spans: list[list] = []
-    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        spans.append([op == "equal", "".join(a[i:j]), "".join(b[k:m])])
-    for at in range(1, len(spans) - 1):
-        if spans[at][0] and len(spans[at][1]) < LEAST_KEPT:
-            spans[at][0] = False
+    steps = [(op == "equal", "".join(a[i:j]), "".join(b[k:m])) for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
+    edits = [k for k, step in enumerate(steps) if not step[0]]
     out: list[list] = []
-    for same, x, y in spans:
-        if out and not same and not out[-1][0]:
+    for k, (same, x, y) in enumerate(steps):
+        stays = same and (not edits or k < edits[0] or k > edits[-1] or len(x.strip()) >= LEAST_KEPT)
+        if out and not stays and not out[-1][0]:
             out[-1][1] += x
             out[-1][2] += y
         else:
-            out.append([same, x, y])
+            out.append([stays, x, y])
     return [{"op": "equal" if s else "delete" if not y else "insert" if not x else "replace", "old": x, "new": y} for s, x, y in out]
 
 

@@ -42,10 +42,11 @@ def lookup(rows: DataFrame, index: DataFrame, doi: Column, pmid: Column, title:
 def gate_creation(candidates: DataFrame, index: DataFrame, degraded: bool = False) -> DataFrame:
     """candidates(pos, doi, pmid, title) with an outcome: skipped if the library has it, repeated within the batch, refused
     where an unreadable library could hide a title, else created."""
-    found = lookup(candidates, index, F.col("doi"), F.col("pmid"), F.col("title"))
     identity = F.coalesce(F.concat(F.lit("doi:"), none_if_empty(normalise_doi(F.col("doi")))), F.concat(F.lit("pmid:"), none_if_empty(F.col("pmid"))), F.concat(F.lit("title:"), none_if_empty(library_title_key(F.col("title")))))
-    found = found.withColumn("identity", identity)
-    first = found.where("identity is not null").groupBy("identity").agg(F.min("pos").alias("first"))
+    keyed = candidates.withColumn("identity", identity)
+    # a window would send all rows of a hot identity to one task; the smallest position is an aggregate
+    first = keyed.where("identity is not null").groupBy("identity").agg(F.min("pos").alias("first"))
+    found = lookup(keyed, index, F.col("doi"), F.col("pmid"), F.col("title"))
     outcome = F.when(F.col("library_key").isNotNull(), "skipped").when(F.col("first") < F.col("pos"), "repeated").when(F.lit(degraded) & ~F.col("identity").startswith("doi:"), "refused").otherwise("created")
     return found.join(first, "identity", "left").withColumn("outcome", outcome).drop("first")
 
@@ -68,6 +69,14 @@ def reorder(asked: DataFrame, items: DataFrame) -> DataFrame:
     return asked.join(items, "key", "left")
 
 
+def bind_positions(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """asked(request, pos, key) against rows(request, place, key, value): by key; only where no row of a request has a key, by place."""
+    by = rows.groupBy("request").agg(F.max(F.col("key").isNotNull()).alias("_by_key"))
+    match = lambda place: F.when(F.coalesce("_by_key", F.lit(False)), F.concat(F.lit("k"), "key")).otherwise(F.concat(F.lit("p"), F.col(place).cast("string"))).alias("_match")
+    given = rows.join(by, "request").select("request", match("place"), "value")
+    return asked.join(by, "request", "left").select("request", "pos", "key", match("pos")).join(given, ["request", "_match"], "left").drop("_match")
+
+
 def cited_key(doi: Column, title: Column, year: Column, first_author: Column) -> Column:
     """Key of a cited work: its DOI, else title with year and first author."""
     return F.coalesce(F.concat(F.lit("doi:"), none_if_empty(normalise_doi(doi))), F.concat(F.lit("title:"), fuzzy_title_key(title), F.lit("|"), F.coalesce(year, F.lit("")), F.lit("|"), F.coalesce(first_author, F.lit(""))))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refloom.functions.citations import author_year_items, entry_years, first_author_keys
+from refloom.functions.names import compact_surname
+
 
 def _by_place(*keys: str) -> Window:
     return Window.partitionBy("doc").orderBy(*keys)
@@ -67,6 +70,27 @@ def link_author_year(items: DataFrame, entries: DataFrame) -> DataFrame:
     return found.where("n = 1 or n_exact = 1").select("doc", "item", F.when(F.col("n") == 1, F.col("any")).otherwise(F.col("one")).alias("entry"))
 
 
+def marker_items(markers: DataFrame) -> DataFrame:
+    """markers(doc, marker, text) -> doc, marker, item, surname, year, suffix: the works that author-year markers cite, from 0."""
+    return markers.select("doc", "marker", F.posexplode(author_year_items(F.col("text"))).alias("item", "x")).select("doc", "marker", "item", "x.*")
+
+
+def link_markers(markers: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each work of markers(doc, marker, text) with the one entry(doc, entry, text) it means, null if there is none or several.
+
+    An entry is a hit by its first author, with or without particles, and the year; an entry's letter must be the item's.
+    Several hits are narrowed to those of the item's letter; what is still ambiguous stays unlinked.
+    """
+    items = marker_items(markers).withColumn("key", compact_surname(F.col("surname")))
+    by_name = entries.select("doc", "entry", F.explode(first_author_keys(F.col("text"))).alias("key"), "text")
+    dated = by_name.select("doc", "entry", "key", F.explode(entry_years(F.col("text"))).alias("y")).select("doc", "entry", "key", F.col("y.year").alias("year"), F.col("y.suffix").alias("entry_suffix"))
+    hits = items.where("key <> '' and year <> ''").join(dated, ["doc", "key", "year"]).where("entry_suffix = '' or entry_suffix = suffix")
+    exact = F.when((F.col("suffix") != "") & (F.col("suffix") == F.col("entry_suffix")), F.col("entry"))
+    found = hits.groupBy("doc", "marker", "item").agg(F.countDistinct("entry").alias("n"), F.min("entry").alias("any"), F.countDistinct(exact).alias("n_exact"), F.min(exact).alias("one"))
+    linked = found.select("doc", "marker", "item", F.when(F.col("n") == 1, F.col("any")).when(F.col("n_exact") == 1, F.col("one")).alias("entry"))
+    return items.drop("key").join(linked, ["doc", "marker", "item"], "left")
+
+
 def numbering_disagreement(entries: DataFrame, numbered: bool, share: float = 0.6, least: int = 3) -> DataFrame:
     """Documents in which most entries disagree with the style's numbering."""
     out = entries.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has_number") != numbered).alias("off"))

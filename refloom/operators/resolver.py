@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.functions.names import jaccard
+from refloom.functions.names import jaccard, surname_fold
+from refloom.functions.rendering import filled
+from refloom.functions.shapes import is_corporate
 
 # Thresholds of the confidence ladder.
 HIGH, MEDIUM, LEAD = 0.55, 0.30, 0.10
 
 
-def rank_candidates(refs: DataFrame, works: DataFrame, n: int, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def rank_candidates(refs: DataFrame, works: DataFrame, n: int, rarest: int = 2) -> DataFrame:
     """refs(ref, keys, tokens) and works(work, tokens) -> ref, work, score, rank of the n best works.
 
-    Candidates share a title token; the score is the overlap of the work's title with all of the reference's text. ``near``
-    is a blocking condition on the two ids that keeps common tokens from pairing everything with everything.
+    Works that share one of the ``rarest`` title tokens (by the number of different titles that have them) of the reference
+    are candidates; the score is the overlap of the work's title with all of the reference's text. Works and references
+    with the same tokens are compared once: a title that a third of the works have is one row until the ranking, which
+    takes the n smallest ids of a title.
     """
-    left = refs.select("ref", F.explode("keys").alias("token"))
-    right = works.select("work", F.explode("tokens").alias("token"))
-    met = left.join(right, (left.token == right.token) & (near(left.ref, right.work) if near else F.lit(True)))
-    pairs = met.select("ref", "work").distinct()
-    scored = pairs.join(works, "work").withColumnRenamed("tokens", "t").join(refs.select("ref", "tokens"), "ref").select("ref", "work", F.round(jaccard(F.col("t"), F.col("tokens")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("score"), "work"))).where(F.col("rank") <= n)
+    titles = _first_works(works, n)
+    asked = refs.select("ref", F.array_sort("keys").alias("keys"), F.array_sort("tokens").alias("tokens"))
+    forms = asked.select("keys", "tokens").distinct()
+    seen = titles.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    words = forms.select("keys").distinct().select("keys", F.explode("keys").alias("token")).join(seen, "token")
+    rare = words.withColumn("k", F.row_number().over(Window.partitionBy("keys").orderBy("c", "token"))).where(F.col("k") <= rarest).select("keys", "token")
+    pairs = rare.join(titles.select(F.col("tokens").alias("title"), F.explode("tokens").alias("token")), "token").select("keys", "title").distinct()
+    scored = forms.join(pairs, "keys").select("keys", "tokens", "title", F.round(jaccard(F.col("title"), F.col("tokens")), 6).alias("score"))
+    with_works = scored.join(titles.withColumnRenamed("tokens", "title"), "title").select("keys", "tokens", "score", F.explode("firsts").alias("work"))
+    ranked = with_works.withColumn("rank", F.row_number().over(Window.partitionBy("keys", "tokens").orderBy(F.desc("score"), "work"))).where(F.col("rank") <= n)
+    return asked.join(ranked, ["keys", "tokens"]).select("ref", "work", "score", "rank")
+
+
+def _first_works(works: DataFrame, n: int) -> DataFrame:
+    """tokens (sorted), firsts: the n smallest ids of works with these tokens."""
+    place = F.row_number().over(Window.partitionBy("tokens").orderBy("work"))
+    few = works.select(F.array_sort("tokens").alias("tokens"), "work").withColumn("k", place).where(F.col("k") <= n)
+    return few.groupBy("tokens").agg(F.array_sort(F.collect_list("work")).alias("firsts"))
 
 
 def top_candidates(ranked: DataFrame) -> DataFrame:
@@ -39,13 +53,29 @@ def confidence(score: Column, second: Column, author_ok: Column, year_ok: Column
     return F.when((score >= HIGH) & author_ok & year_ok & lead, "high").when((score >= HIGH) | (signs >= 2), "medium").otherwise("low")
 
 
+def persons(authors: Column) -> Column:
+    """Surnames of the persons among ARRAY<(family, given, literal)>: without groups, however they are written."""
+    named = F.filter(authors, lambda a: ~is_group(a) & ~is_corporate(a["family"], a["given"]))
+    return F.transform(named, lambda a: F.coalesce(F.trim(a["family"]), F.lit("")))
+
+
+def is_group(author: Column) -> Column:
+    """An author of one field only."""
+    return filled(author["family"]).isNull() & filled(author["given"]).isNull() & filled(author["literal"]).isNotNull()
+
+
 def compare_families(cited: Column, real: Column) -> Column:
-    """Surnames compared place by place: fewer than there are is et al and fine, more or other ones are a mismatch."""
-    # the fold of accents may run in Python, which lambdas can't hold: names are joined, folded together and split again
-    keys = lambda names: F.split(F.regexp_replace(F.lower(F.array_join(names, "|")), r"[\s'-]", ""), r"\|")
-    a, b = keys(cited), keys(real)
-    differ = F.exists(F.arrays_zip(a.alias("a"), F.slice(b, F.lit(1), F.size(a)).alias("b")), lambda p: ~p["a"].eqNullSafe(p["b"]))
-    return F.when((F.size(cited) == 0) | (F.size(real) == 0), "unknown").when((F.size(cited) > F.size(real)) | differ, "mismatch").otherwise("ok")
+    """(mismatch, cited, real, differing): surnames of persons compared place by place, accents folded.
+
+    Fewer cited ones than there are is et al and fine; other ones, or more, are a mismatch. ``differing`` are the places, from 1.
+    """
+    keys = lambda authors: F.transform(persons(authors), surname_fold)
+
+    def compare(x: Column) -> Column:
+        places = F.filter(F.transform(x["a"], lambda k, i: F.when(~k.eqNullSafe(F.get(x["b"], i)), i + 1)), lambda i: i.isNotNull())
+        return F.struct((F.size(places) > 0).alias("mismatch"), F.size(x["a"]).alias("cited"), F.size(x["b"]).alias("real"), places.alias("differing"))
+
+    return F.element_at(F.transform(F.array(F.struct(keys(cited).alias("a"), keys(real).alias("b"))), compare), 1)
 
 
 def link_status(cited: DataFrame, library_keys: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from refloom.functions import identifiers as ident
 from refloom.functions import names, rendering
 from refloom.operators import documents, library, ordered, resolver, retractions
-from refloom.plans import manuscripts  # noqa: F401
+from refloom.plans import manuscripts, references  # noqa: F401
 from refloom.plans.registry import ORACLES, oracle_sql, queries, query  # noqa: F401
 from refloom.plans.relations import inline, relation
 
@@ -189,25 +189,28 @@ def changelog_completeness(spark, sf_dir):
 
 
 @query(f"""SELECT c.doc, c.n, CASE WHEN i.key IS NOT NULL THEN 'ok' WHEN cited % 10 = 9 THEN 'external' WHEN cited % 10 = 8 THEN 'unverified' ELSE 'broken' END AS link
-FROM {inline("citations")} c LEFT JOIN (SELECT key FROM {inline("lib_items")} WHERE pos % 2 = 0) i ON i.key = 'K' || lpad(CAST(c.cited AS VARCHAR), 7, '0') AND c.cited % 10 < 8""")
+FROM {inline("citations")} c LEFT JOIN {inline("lib_items")} i ON i.key = 'K' || lpad(CAST(c.cited * 2 AS VARCHAR), 7, '0') AND c.cited % 10 < 8""")
 def check_links(spark, sf_dir):
-    c = relation(spark, sf_dir, "citations").withColumn("where", F.when(F.col("cited") % 10 == 9, "other").when(F.col("cited") % 10 == 8, "unknown").otherwise("own")).withColumn("key", F.concat(F.lit("K"), F.lpad(F.col("cited").cast("string"), 7, "0")))
-    return resolver.link_status(c, relation(spark, sf_dir, "lib_items").where("pos % 2 = 0").select("key")).select("doc", "n", "link")
+    c = relation(spark, sf_dir, "citations").withColumn("where", F.when(F.col("cited") % 10 == 9, "other").when(F.col("cited") % 10 == 8, "unknown").otherwise("own")).withColumn("key", F.concat(F.lit("K"), F.lpad((F.col("cited") * 2).cast("string"), 7, "0")))
+    return resolver.link_status(c, relation(spark, sf_dir, "lib_items").select("key")).select("doc", "n", "link")
 
 
 # --- resolver
 
 
-_CANDIDATES = f"""w AS (SELECT pos, key, title, {_tokens("title")} AS t FROM {inline("lib_items")}), r AS (SELECT ref, text, {_tokens("title")} AS t, {_tokens("text")} AS tt, surname, year FROM {inline("refs")} WHERE ref % 4 = 0),
-pairs AS (SELECT r.ref, w.pos AS work, count(*) AS shared FROM (SELECT ref, unnest(t) AS g FROM r) r JOIN (SELECT pos, unnest(t) AS g FROM w) w USING (g) WHERE abs(r.ref - w.pos) < 40 GROUP BY 1, 2),
-scored AS (SELECT p.ref, p.work, round(len(list_intersect(w.t, r.tt)) / len(list_distinct(list_concat(w.t, r.tt))), 6) AS score FROM pairs p JOIN w ON w.pos = p.work JOIN r ON r.ref = p.ref),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, work) AS rank FROM scored)"""
+_CANDIDATES = f"""w AS (SELECT list_sort({_tokens("title")}) AS t, list_slice(list_sort(list(pos)), 1, 5) AS firsts FROM {inline("lib_items")} GROUP BY 1), r AS (SELECT ref, list_sort({_tokens("title")}) AS t, list_sort({_tokens("text")}) AS tt FROM {inline("refs")}),
+seen AS (SELECT g, count(*) AS c FROM (SELECT unnest(t) AS g FROM w) GROUP BY g), f AS (SELECT DISTINCT t, tt FROM r),
+rare AS (SELECT t, g FROM (SELECT t, g, row_number() OVER (PARTITION BY t ORDER BY c, g) AS k FROM (SELECT t, unnest(t) AS g FROM (SELECT DISTINCT t FROM f)) JOIN seen USING (g)) WHERE k <= 2),
+pairs AS (SELECT DISTINCT rare.t, w.t AS title FROM rare JOIN (SELECT t, unnest(t) AS g FROM w) w USING (g)),
+scored AS (SELECT f.t, f.tt, title, round(len(list_intersect(title, f.tt)) / len(list_distinct(list_concat(title, f.tt))), 6) AS score FROM f JOIN pairs USING (t)),
+best AS (SELECT *, row_number() OVER (PARTITION BY t, tt ORDER BY score DESC, work) AS rank FROM (SELECT s.t, s.tt, score, unnest(firsts) AS work FROM scored s JOIN w ON w.t = s.title)),
+ranked AS (SELECT ref, work, score, rank FROM r JOIN best USING (t, tt) WHERE rank <= 5)"""
 
 
 def _ranked(spark, sf_dir, n: int):
-    refs = relation(spark, sf_dir, "refs").where("ref % 4 = 0").select(F.col("ref").alias("ref"), names.title_tokens(F.col("title")).alias("keys"), names.title_tokens(F.col("text")).alias("tokens"))
+    refs = relation(spark, sf_dir, "refs").select("ref", names.title_tokens(F.col("title")).alias("keys"), names.title_tokens(F.col("text")).alias("tokens"))
     works = relation(spark, sf_dir, "lib_items").select(F.col("pos").alias("work"), names.title_tokens(F.col("title")).alias("tokens"))
-    return resolver.rank_candidates(refs, works, n, near=lambda ref, work: F.abs(ref - work) < 40)
+    return resolver.rank_candidates(refs, works, n)
 
 
 @query(f"WITH {_CANDIDATES} SELECT ref, work, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
@@ -224,15 +227,6 @@ def resolve_confidence(spark, sf_dir):
     return found.join(refs, "ref").select("ref", "work", resolver.confidence(F.col("score"), F.col("second"), F.col("author_ok"), F.col("year_ok")).alias("confidence"))
 
 
-@query(f"""SELECT ref, CASE WHEN n_cited = 0 OR n_real = 0 THEN 'unknown' WHEN n_cited > n_real THEN 'mismatch' WHEN ref % 6 = 0 AND n_cited > 1 THEN 'mismatch' ELSE 'ok' END AS verdict
-FROM (SELECT ref, ref % 4 AS n_cited, ref % 3 AS n_real FROM {inline("refs")})""")
-def author_compare(spark, sf_dir):
-    base = F.array(F.lit("Smith"), F.lit("Lee"), F.lit("Müller"), F.lit("Ng"))
-    other = F.array(F.lit("Smith"), F.lit("Lopez"), F.lit("Müller"), F.lit("Ng"))
-    r = relation(spark, sf_dir, "refs").select("ref", F.slice(F.when(F.col("ref") % 6 == 0, other).otherwise(base), F.lit(1), (F.col("ref") % 4).cast("int")).alias("cited"), F.slice(base, F.lit(1), (F.col("ref") % 3).cast("int")).alias("real"))
-    return r.select("ref", resolver.compare_families(F.col("cited"), F.col("real")).alias("verdict"))
-
-
 # --- ordered text
 
 _PARA = inline("paragraphs")
@@ -352,11 +346,10 @@ def strip_markup(spark, sf_dir):
 
 @query("""SELECT page_id, sha256('GET' || chr(10) || url || chr(10) || 'text/html') AS key FROM pages""")
 def cache_keys(spark, sf_dir):
-    url = F.concat(F.col("url"), F.when(F.contains("url", F.lit("?")), F.lit("&api_key=s3cret")).otherwise(F.lit("?api_key=s3cret")))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").where(~F.contains("url", F.lit("#"))).select("page_id", rendering.cache_key(url, F.lit("text/html")).alias("key"))
-
+    bare, rest = F.regexp_extract("url", "^([^#]*)(.*)$", 1), F.regexp_extract("url", "^([^#]*)(.*)$", 2)
+    url = F.concat(bare, F.when(F.contains(bare, F.lit("?")), F.lit("&api_key=s3cret")).otherwise(F.lit("?api_key=s3cret")), rest)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", rendering.cache_key(url, F.lit("text/html")).alias("key"))
 
-ORACLES["cache_keys"] += " WHERE NOT contains(url, '#')"
 
 _INSTRUCTION = "CASE cited % 6 WHEN 0 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION {}' WHEN 1 THEN ' ADDIN CSL_CITATION {}' WHEN 2 THEN 'ADDIN EN.CITE x' WHEN 3 THEN 'CITATION Abc20 \\\\l 1033' WHEN 4 THEN 'PAGEREF CITATION' ELSE 'Mendeley Citation' END"
 
@@ -398,15 +391,19 @@ def excerpts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", rendering.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size || '.' || (p_partkey % 7) WHEN p_partkey % 3 = 1 AND p_partkey <= 99 THEN CAST(p_partkey AS VARCHAR) END AS number FROM part""")
+_HEADING = "CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) || ') ' || p_name WHEN 1 THEN CAST(p_partkey AS STRING) || '. ' || p_name WHEN 2 THEN '  1.02.' || CAST(p_size AS STRING) WHEN 3 THEN CAST(p_size AS STRING) || 'a ' || p_name ELSE p_name END"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, string_split(nullif(regexp_extract({_HEADING}, '^\\s*(\\d+(?:\\.\\d+)*)[.)]?(?:\\s|$)', 1), ''), '.') AS p FROM part)
+SELECT p_partkey, CASE WHEN len(p) > 1 OR CAST(p[1] AS INT) <= 99 THEN array_to_string(list_transform(p, lambda v: CAST(v AS INT)), '.') END AS number FROM x""")
 def heading_numbers(spark, sf_dir):
-    text = F.expr("CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) || ') ' || p_name WHEN 1 THEN CAST(p_partkey AS STRING) || '. ' || p_name ELSE p_name END")
+    text = F.expr(_HEADING)
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.array_join(rendering.heading_number(text), ".").alias("number"))
 
 
-@query(f"""SELECT a.doc, a.place, a.key, i.title FROM (SELECT doc, n AS place, 'K' || lpad(CAST(cited * 3 % 5000 AS VARCHAR), 7, '0') AS key FROM {inline("citations")} WHERE doc % 10 = 0) a LEFT JOIN {inline("lib_items")} i ON i.key = a.key""")
+@query(f"""SELECT a.doc, a.place, a.key, i.title FROM (SELECT doc, n AS place, 'K' || lpad(CAST(cited * 3 % 5000 AS VARCHAR), 7, '0') AS key FROM {inline("citations")}) a LEFT JOIN {inline("lib_items")} i ON i.key = a.key""")
 def reorder_by_keys(spark, sf_dir):
-    asked = relation(spark, sf_dir, "citations").where("doc % 10 = 0").select("doc", F.col("n").alias("place"), F.concat(F.lit("K"), F.lpad((F.col("cited") * 3 % 5000).cast("string"), 7, "0")).alias("key"))
+    asked = relation(spark, sf_dir, "citations").select("doc", F.col("n").alias("place"), F.concat(F.lit("K"), F.lpad((F.col("cited") * 3 % 5000).cast("string"), 7, "0")).alias("key"))
     return library.reorder(asked, relation(spark, sf_dir, "lib_items").select("key", "title")).select("doc", "place", "key", "title")
 
 

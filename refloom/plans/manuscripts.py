@@ -155,11 +155,14 @@ def open_access_cascade(spark, sf_dir):
     return relation(spark, sf_dir, "payloads").select("pos", payloads.read(F.col("access"), payloads.OPEN_ACCESS, payloads.open_pdf).alias("pdf"))
 
 
-_ADDRESS = "CASE p_partkey % 7 WHEN 0 THEN 'http://10.0.0.' WHEN 1 THEN 'https://example.org/' WHEN 2 THEN 'ftp://example.org/' WHEN 3 THEN 'http://169.254.169.' WHEN 4 THEN 'https://8.8.8.' WHEN 5 THEN 'http://172.20.1.' ELSE 'http://localhost/' END || CAST(p_size AS STRING)"
+_QUAD = "CAST(p_partkey * 37 % 240 AS STRING) || '.' || CAST(p_size * 5 % 256 AS STRING) || '.' || CAST(p_partkey % 200 AS STRING) || '.' || CAST(p_size AS STRING)"
+_ADDRESS = f"CASE p_partkey % 8 WHEN 0 THEN 'http://' || {_QUAD} WHEN 1 THEN 'https://example.org/' WHEN 2 THEN 'ftp://example.org/' WHEN 3 THEN 'HTTP://u:p@' || {_QUAD} || ':80/x' WHEN 4 THEN 'http://[::' || CAST(p_size AS STRING) || ']/' WHEN 5 THEN 'http://' || CAST(p_partkey * 997 AS STRING) || '/' WHEN 6 THEN 'http://localhost./' ELSE 'https://[2606:4700::' || CAST(p_size AS STRING) || ']/' END"
 _HEADER = "CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN '-1' WHEN 2 THEN ' 2 ' ELSE 'Wed, 21 Oct 2015' END"
 
 
-@query("SELECT p_partkey, p_partkey % 7 IN (1, 4) AS public, CASE p_partkey % 4 WHEN 0 THEN least(CAST(p_size AS DOUBLE), 3.0) WHEN 2 THEN 2.0 ELSE 1.0 END AS wait FROM part")
+@query("""WITH q AS (SELECT *, p_partkey * 37 % 240 AS a, p_size * 5 % 256 AS b, p_partkey % 200 AS c FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 8 IN (1, 7) THEN true WHEN p_partkey % 8 IN (0, 3) THEN NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100)))
+  OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)) OR (b = 88 AND c = 99))) OR (a = 203 AND b = 0 AND c = 113)) ELSE false END AS public, CASE p_partkey % 4 WHEN 0 THEN least(CAST(p_size AS DOUBLE), 3.0) WHEN 2 THEN 2.0 ELSE 1.0 END AS wait FROM q""")
 def request_policy(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", payloads.is_public_address(F.expr(_ADDRESS)).alias("public"), payloads.retry_wait(F.expr(_HEADER)).alias("wait"))
 
@@ -222,11 +225,11 @@ def all_or_nothing_markers(spark, sf_dir):
 _STYLE_WORDS = "string_split(lower(p_name || ' ' || p_type), ' ')"
 
 
-@query(f"""WITH s AS (SELECT 'S' || p_partkey AS style, list_distinct({_STYLE_WORDS}) AS w FROM part WHERE p_partkey % 10 = 0), q AS (SELECT p_partkey AS name, string_split(lower(p_name), ' ') AS w FROM (SELECT * FROM part WHERE p_partkey % 3 = 0))
+@query(f"""WITH s AS (SELECT 'S' || p_partkey AS style, list_distinct({_STYLE_WORDS}) AS w FROM part WHERE p_partkey % 10 = 0), q AS (SELECT p_partkey AS name, string_split(lower(p_name), ' ') AS w FROM part)
 SELECT name, min(style) AS style FROM q JOIN s ON list_has_all(s.w, q.w) GROUP BY name HAVING count(DISTINCT style) = 1""")
 def style_by_words(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    names = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("name"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("words"))
+    names = part.select(F.col("p_partkey").alias("name"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("words"))
     styles = part.where("p_partkey % 10 = 0").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("style"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("words"))
     return workflows.resolve_by_words(names, styles)
 
@@ -268,11 +271,11 @@ def findings_json(spark, sf_dir):
     return relation(spark, sf_dir, "citations").select("doc", "n", found.alias("finding"))
 
 
-@query(f"""WITH a AS (SELECT doc, regexp_extract(line, '[a-zA-Z]{{4,}}') AS anchor FROM {_LINES} WHERE para % 7 = 1 GROUP BY 1, 2), h AS (SELECT a.doc, anchor, l.para, l.para % 9 = 0 AS toc FROM a JOIN {_LINES} l ON l.doc = a.doc AND contains(l.line, anchor))
+@query(f"""WITH a AS (SELECT doc, regexp_extract(line, '[a-zA-Z]{{4,}}') AS anchor FROM {_LINES} GROUP BY 1, 2), h AS (SELECT a.doc, anchor, l.para, l.para % 9 = 0 AS toc FROM a JOIN {_LINES} l ON l.doc = a.doc AND contains(l.line, anchor))
 SELECT doc, anchor, count(*) AS n, CAST(CASE WHEN count(*) FILTER (NOT toc) = 1 THEN min(para) FILTER (NOT toc) WHEN count(*) = 1 THEN min(para) END AS VARCHAR) AS para FROM h GROUP BY doc, anchor""")
 def anchor_search(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    anchors = lines.where("para % 7 = 1").select("doc", F.regexp_extract("line", "[a-zA-Z]{4,}", 0).alias("anchor")).distinct()
+    anchors = lines.select("doc", F.regexp_extract("line", "[a-zA-Z]{4,}", 0).alias("anchor")).distinct()
     return workflows.find_anchor(anchors, lines.select("doc", "para", F.col("line").alias("text"), (F.col("para") % 9 == 0).alias("is_toc"))).withColumn("para", F.col("para").cast("string"))
 
 

@@ -63,6 +63,20 @@ SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc, p_partkey AS para, CASE p_p
     WHEN 13 THEN 'the p-value, standard error and 95% CI of ' || p_name || ' (odds ratio 2)' WHEN 14 THEN '(4) ' || p_name || ' PMC123 https://x.org/2011' WHEN 15 THEN '' WHEN 16 THEN 'Cohen et al. found that ' || p_name || ' in 2013.' WHEN 17 THEN '7) First step'
     WHEN 18 THEN 'Accessed https://x.org' ELSE 'Smith & Co, a study of ' || p_name || ' and ' || p_type || ', 2018' END AS line
 FROM {part}""",
+    "metas": """
+SELECT p_partkey AS pos, CAST(floor(p_partkey / 90) AS BIGINT) AS call, f1 || ' and ' || f2 || ' of the study' AS title, CAST(1990 + p_size AS STRING) AS year,
+  CASE WHEN p_partkey % 7 = 3 THEN '' ELSE 'https://doi.org/10.1234/M.' || CAST(p_partkey AS STRING) END AS doi, CASE WHEN p_partkey % 3 = 1 THEN CAST(500000 + p_partkey AS STRING) ELSE '' END AS pmid,
+  CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN f1 || ',Ann;' || f2 || ',Bo' WHEN 2 THEN 'Müller,Eva;' || f2 || ',Bo' WHEN 3 THEN '*' || f1 || ' Consortium;' || f1 || ',Ann;' || f2 || ',Bo' WHEN 4 THEN upper(f1) || ',ANN;' || f2 || ',Bo'
+    WHEN 5 THEN f1 || ',Ann;' || f2 || ',Bo;Ng,Po' WHEN 6 THEN f1 || ' Working Group,;' || f2 || ',Bo' WHEN 7 THEN f2 || ',Bo;*The Data Group' ELSE f1 || ',Ann' END AS authors,
+  CASE WHEN p_partkey % 13 = 5 THEN '' WHEN p_partkey % 13 = 6 THEN f2 || ' alone' WHEN p_partkey % 13 = 7 THEN 'Nothing in common here' ELSE upper(f1) || ': ' || f2 || ' study' END AS rec_title,
+  CASE WHEN p_partkey % 17 = 2 THEN '10.1234/other' ELSE '10.1234/m.' || CAST(p_partkey - p_partkey % 2 * (1 - p_partkey % 3 % 2) AS STRING) END AS rec_doi, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE CAST(500000 + p_partkey AS STRING) END AS rec_pmid,
+  CASE p_partkey % 5 WHEN 0 THEN f1 || ',Ann;' || f2 || ',Bo' WHEN 1 THEN 'Muller,Eva;' || f2 || ',Bo;*Data Group' WHEN 2 THEN f1 || ' Consortium,;' || f1 || ',Ann;' || f2 || ',Bo' WHEN 3 THEN f1 || ',Ann' ELSE '' END AS rec_authors
+FROM (SELECT p_partkey, p_size, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) AS f1, upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS f2 FROM {part})""",
+    "ay_markers": """
+SELECT p_partkey AS marker, CAST(floor(p_partkey / 12) AS BIGINT) AS doc, CASE p_partkey % 8 WHEN 0 THEN '(' || f1 || ' et al., 20' || y || ')' WHEN 1 THEN '(' || f1 || ' and ' || f2 || ', 20' || y || 'a, b)' WHEN 2 THEN '(' || f1 || ', 2001; ' || f2 || ' & Lee, 20' || y || 'b)'
+    WHEN 3 THEN '(' || f1 || ' et al., 2001 and ' || f2 || ' et al., 20' || y || ')' WHEN 4 THEN '(' || f1 || ', n.d.; ' || f2 || ', 2001; 20' || y || ')' WHEN 5 THEN f2 || ' (20' || y || ')' WHEN 6 THEN '(In 20' || y || ' and references therein)' ELSE '(Ó ' || f1 || ', 20' || y || 'a; since then)' END AS text,
+  CAST(p_partkey % 12 + 1 AS STRING) || '. ' || CASE p_partkey % 4 WHEN 0 THEN 'de ' || f1 WHEN 1 THEN 'Ó ' || f1 WHEN 2 THEN f2 ELSE f1 END || ' A, Other B. Title. 20' || y || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'b' END || ';1:2-9.' AS entry
+FROM (SELECT p_partkey, lpad(CAST(p_size % 4 AS STRING), 2, '0') AS y, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) AS f1, upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS f2 FROM {part})""",
     "payloads": """
 SELECT pos, CASE WHEN pos % 17 = 0 THEN '[' ELSE translate(work, '<>', chr(123) || chr(125)) END AS work, CASE WHEN pos % 13 = 0 THEN 'no' ELSE translate(metrics, '<>', chr(123) || chr(125)) END AS metrics,
   CASE WHEN pos % 11 = 0 THEN '' ELSE translate(profile, '<>', chr(123) || chr(125)) END AS profile, CASE WHEN pos % 19 = 0 THEN '' ELSE translate(access, '<>', chr(123) || chr(125)) END AS access

@@ -1,4 +1,4 @@
-"""Readers of library exports and notice feeds. Files are read by Spark; bytes are decoded as UTF-8, else as Latin-1."""
+"""Readers of library exports and notice feeds. Files are read by Spark; lines are decoded as UTF-8, else as Windows-1252."""
 
 from __future__ import annotations
 
@@ -30,6 +30,24 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
 
 
+#: Windows-1252 above Latin-1's control characters; its five undefined bytes give the replacement character.
+_HIGH = bytes(range(0x80, 0xA0))
+_LATIN_CONTROLS, _WINDOWS = _HIGH.decode("iso-8859-1"), _HIGH.decode("cp1252", "replace")
+
+
+def decoded_line(line: Column) -> Column:
+    """One line of bytes as text; never fails."""
+    return F.when(F.is_valid_utf8(line.cast("string")), F.decode(line, "utf-8")).otherwise(F.translate(F.decode(line, "iso-8859-1"), _LATIN_CONTROLS, _WINDOWS))
+
+
+def decoded_lines(content: Column) -> Column:
+    """Bytes as text, each line by its own encoding, without a byte order mark."""
+    # as Latin-1 every byte is one character, so lines can be parted and turned back into their bytes
+    lines = F.split(F.decode(content, "iso-8859-1"), r"(?<=\n)|(?<=\r)(?!\n)")
+    text = F.array_join(F.transform(lines, lambda x: decoded_line(F.encode(x, "iso-8859-1"))), "")
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
 def decoded(content: Column) -> Column:
     text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "utf-8")).otherwise(F.decode(content, "iso-8859-1"))
     return F.regexp_replace(text, "^﻿", "")
@@ -105,9 +123,10 @@ def read_notices(spark: SparkSession, path: str) -> DataFrame:
 
     A header without the required columns is an error, not an empty feed.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    raw = raw.toDF(*(c.lstrip("﻿") for c in raw.columns))
+    # a line's encoding is its own, so bytes are read as Latin-1, which loses none, and decoded field by field
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "iso-8859-1").csv(path)
+    raw = raw.toDF(*(c.removeprefix("\u00ef\u00bb\u00bf").lstrip("\ufeff") for c in raw.columns))
     if missing := [c for c in NOTICE_COLUMNS if c not in raw.columns]:
         raise ValueError(f"not a notice feed: no column {', '.join(missing)}")
-    pick = lambda c: F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("")
+    pick = lambda c: F.coalesce(decoded_lines(F.encode(F.col(c), "iso-8859-1")), F.lit("")) if c in raw.columns else F.lit("")
     return raw.select(F.monotonically_increasing_id().alias("pos"), pick("OriginalPaperDOI").alias("doi"), pick("RetractionNature").alias("nature"), pick("RetractionDate").alias("date"), pick("Title").alias("title"), pick("RetractionDOI").alias("notice_doi"))
