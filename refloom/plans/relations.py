@@ -62,6 +62,13 @@ SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc, p_partkey AS para, CASE p_p
     WHEN 9 THEN 'Methods. ' || p_name || ' in 2014 and later years were taken from the list.' WHEN 10 THEN 'Adapted from Smith AB, Jones C. 2010.' WHEN 11 THEN '3. Lee K and Ng P. ' || p_name || ' 2020' WHEN 12 THEN p_name
     WHEN 13 THEN 'the p-value, standard error and 95% CI of ' || p_name || ' (odds ratio 2)' WHEN 14 THEN '(4) ' || p_name || ' PMC123 https://x.org/2011' WHEN 15 THEN '' WHEN 16 THEN 'Cohen et al. found that ' || p_name || ' in 2013.' WHEN 17 THEN '7) First step'
     WHEN 18 THEN 'Accessed https://x.org' ELSE 'Smith & Co, a study of ' || p_name || ' and ' || p_type || ', 2018' END AS line
+FROM {part}""",
+    "draft": """
+SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc, CAST(p_partkey % 25 AS INT) AS para, CASE p_partkey % 25 WHEN 0 THEN 'Abstract' WHEN 1 THEN 'In this study our methods were ' || p_name || '.' WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN '' ELSE 'A ' || p_name END WHEN 3 THEN 'They agree (Smith et al., 2019) on ' || p_name
+    WHEN 4 THEN CASE p_size % 5 WHEN 0 THEN '2. Methods' WHEN 1 THEN 'Methods and materials' WHEN 2 THEN 'Methods: we took ' || p_name WHEN 3 THEN 'B) Methods. We took ' || p_name ELSE 'About methods' END WHEN 5 THEN 'See https://doi.org/10.1234/P.' || CAST(p_size AS STRING) || '. and (in 2019) ' || p_name WHEN 6 THEN '(2) ' || p_name || ' text of a list'
+    WHEN 7 THEN '' WHEN 8 THEN 'Results' WHEN 9 THEN p_name || ' was found in 2015' WHEN 10 THEN '' WHEN 17 THEN CASE WHEN p_size % 3 = 0 THEN p_name ELSE 'References' END WHEN 18 THEN '1. Smith AB, Lee C. On ' || p_name || '. J. 2019;1:2.' WHEN 19 THEN '2. van der Berg H, Ng P, Roe R. ' || p_name || '. 2020' WHEN 20 THEN '[3] ENIGMA Group. ' || p_name WHEN 21 THEN 'Lee K, ' || p_name
+    WHEN 23 THEN CASE WHEN p_size % 4 = 0 THEN 'Acknowledgements' ELSE p_name END ELSE p_name || ' and more of ' || p_type END AS text,
+  CASE WHEN p_partkey % 25 = 4 AND p_size % 3 = 1 THEN 'Heading 2' WHEN p_partkey % 25 IN (11, 12) THEN 'TOC 1' WHEN p_partkey % 25 = 22 AND p_size % 5 = 0 THEN 'Heading1' ELSE 'Normal' END AS style, p_size AS size
 FROM {part}""",
     "metas": """
 SELECT p_partkey AS pos, CAST(floor(p_partkey / 90) AS BIGINT) AS call, f1 || ' and ' || f2 || ' of the study' AS title, CAST(1990 + p_size AS STRING) AS year,
