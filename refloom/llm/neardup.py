@@ -14,7 +14,7 @@ at least ``percent`` / 100.
    the rest only, over the block. Clusters are taken anew with the pairs that pass.
 5. Clusters are confirmed on full shingle sets made from the texts. Members meet within blocks of 256 first, each text
    once. In clusters of several blocks the smallest members of the confirmed parts then meet each other, and at last the
-   members of all parts but the largest meet whom they haven't met. So a cluster of true copies costs each text little more
+   members of all parts but the largest meet whom they haven't met (where blocks joined less than half, all meet at once). So a cluster of true copies costs each text little more
    than once; pairs of one confirmed part are not compared again, and no other pair is left out. Only a spanning forest of
    confirmed links leaves a task.
 6. The confirmed links' components, carried over to all members of each class.
@@ -261,15 +261,16 @@ def confirm_clusters(docs: DataFrame, members: DataFrame, percent: int) -> DataF
         found = components(links).select(F.col("id").alias("cid"), "component")
         return large.join(found, "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component").checkpoint()
 
-    # the smallest members of the parts, all with all
-    first = parts(links).where("cid = part").drop("part")
-    total = first.groupBy("cluster").agg(_blocks(F.count(F.lit(1))).alias("total"))
-    first = first.join(total, "cluster").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("total")).cast("int"))
-    met = first.withColumn("others", _others(F.col("own"), F.col("total"), lambda x: F.lit(True))).drop("total")
+    # the smallest members of the parts, all with all; where blocks joined few, all members at once
+    found = parts(links)
+    shape = found.groupBy("cluster").agg(F.count_if(F.col("cid") == F.col("part")).alias("parts"), F.count(F.lit(1)).alias("size")).withColumn("whole", F.col("parts") * 2 > F.col("size"))
+    shape = shape.select("cluster", "whole", _blocks(F.when(F.col("whole"), F.col("size")).otherwise(F.col("parts"))).alias("total"))
+    first = found.join(shape, "cluster").where("whole or cid = part").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("total")).cast("int"))
+    met = first.withColumn("others", _others(F.col("own"), F.col("total"), lambda x: F.lit(True))).drop("part", "whole", "total")
     links = links.unionByName(_compare(docs, met, percent))
 
     # then those of parts (0), single members (1), and of the largest part (2) that haven't met
-    after = parts(links)
+    after = parts(links).join(shape.where("not whole").select("cluster"), "cluster", "left_semi")
     count = after.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
     main = count.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     kind = F.when(F.col("part") == F.col("main"), 2).when(F.col("size") > 1, 0).otherwise(1)
