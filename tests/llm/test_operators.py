@@ -453,3 +453,170 @@ def test_long_pages():
     got = htmltext.extract_batch(pages)
     assert all(f"2999 {i}" in g and g.count("\n") == 8999 for i, g in enumerate(got))
     assert htmltext.extract_batch(["<!-- never closed", "<a " * 100_000 + ">", "1 < 2 &amp; 3"]) == ["", "", "1 < 2 & 3"]
+
+
+def test_quality_scores_are_those_of_plain_compression(spark):
+    import zstandard
+
+    docs, labels = labelled(spark)
+    docs = docs.unionByName(spark.createDataFrame([(9100, "the river " * 30_000), (9101, "$$$ " * 3), (9102, "é" * 5000)], "doc_id long, text string"))
+    m = quality.fit_quality(docs, labels)
+
+    def size(text, dictionary):
+        z = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw = text.encode()
+        return sum(len(z.compress(raw[i : i + quality.BLOCK])) for i in range(0, len(raw), quality.BLOCK))
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.score_quality(docs, m).collect():
+        t = texts[r.doc_id]
+        d = (size(t, m.bad) - size(t, m.good) + quality.USUAL_BYTES * m.usual) / (len(t.encode()) + quality.USUAL_BYTES)
+        assert abs(r.size_difference - d) < 1e-12 and abs(r.score - 1 / (1 + math.exp(-(m.slope * d + m.offset)))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
+def test_toxicity_scores_are_the_sum_over_all_pairs(spark):
+    docs, labels = labelled(spark)
+    m = toxicity.fit_toxicity(docs, labels)
+    for r in toxicity.score_toxicity(docs, m).join(docs, "doc_id").collect():
+        found = sorted({m.index[b] for w in set(base.LETTERS.findall((r.text or "").lower())) for b in toxicity.term_buckets(w) if b in m.index})
+        z = m.w0 + sum(float(m.w[i]) for i in found) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(found) for j in found[k + 1 :])
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-4
+
+
+def test_terms_that_matter_only_in_pairs_are_learned():
+    rng = np.random.default_rng(0)
+    rows = []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append((f"{random_text(rng, 30, 300)} {'insultword' if a else ''} {'groupword' if b else ''}".replace("w", "x"), int(a != b)))
+    sets = [{b for w in set(base.LETTERS.findall(re.sub(r"\d", lambda k: "abcdefghij"[int(k[0])], t))) for b in toxicity.term_buckets(w)} for t, _ in rows]
+    y = np.array([label for _, label in rows], dtype=np.float32)
+    chosen = toxicity.choose_buckets(sets[:2000], y[:2000])
+    index = {b: i for i, b in enumerate(chosen)}
+    m = toxicity.ToxicityModel(index, *toxicity._fit(toxicity._matrix(sets[:2000], index), y[:2000], toxicity.RANK, toxicity.STEPS))
+    right = [(m.score([index[b] for b in sorted(s) if b in index]) >= 0.5) == label for s, label in zip(sets[2000:], y[2000:], strict=True)]
+    assert np.mean(right) > 0.95
+
+
+def test_language_sets_are_the_best_of_all():
+    import itertools
+
+    rng = np.random.default_rng(0)
+    worse = 0
+    for _ in range(100):
+        k, w = int(rng.integers(2, 6)), int(rng.integers(3, 120))
+        ll = rng.normal(0, rng.uniform(0.5, 4), (w, k))
+        ll[np.arange(w), rng.integers(0, max(1, k - 1), w)] += rng.uniform(0, 5)
+        count = rng.integers(1, 4, w).astype(float)
+        like = np.exp(np.maximum(ll - ll.max(1, keepdims=True), langid.FLOOR))
+        value = lambda some: langid.mixture(like[:, list(some)], count)[1] - len(some) * langid.PENALTY * np.log(count.sum() + 1)  # noqa: B023, E731
+        best = max(value(some) for n in range(1, k + 1) for some in itertools.combinations(range(k), n))
+        members, shares = langid.choose(ll, count)
+        worse += value(sorted(members)) < best - 0.05
+        assert abs(shares.sum() - 1) < 1e-6 and list(shares) == sorted(shares, reverse=True)
+    assert worse <= 2
+
+
+def test_many_languages_are_all_learned(spark):
+    rng = np.random.default_rng(21)
+    languages = [f"l{i:02d}" for i in range(80)]
+    letters = {lang: [chr(0x4E00 + 40 * i + j) if i % 2 else "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for j in range(12)] for i, lang in enumerate(languages)}
+    make = lambda lang: " ".join("".join(rng.choice(letters[lang], 3)) for _ in range(40))
+    rows = [(i, make(languages[i % 80]), languages[i % 80]) for i in range(960)]
+    rows.append((2000, make("l03") * 600, "l03"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs)
+    assert model.languages == languages
+    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(docs, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
+
+
+def test_license_labels_match_ungated_rules():
+    rng = np.random.default_rng(5)
+    parts = ["Apache License, Version 2.0", "the MIT License", "dedicated to the public domain", "released into the public domain", "SPDX-License-Identifier: GPL-2.0-only", "creativecommons.org/licenses/by-nc/3.0", "All rights reserved", "Mozilla Public License 2.0", "plain words here"]
+    for _ in range(60):
+        text = " ; ".join(str(x) for x in rng.choice(parts, 5))
+        low = " ".join(text.lower().split())
+        every = [(m.start(), m.end(), r.priority, r.label) for r in licenses.rules() for m in r.pattern.finditer(low)]
+        kept = []
+        for x in sorted(every, key=lambda x: (-x[2], x[0], -x[1], x[3])):
+            if not any(k[0] <= x[0] and x[1] <= k[1] for k in kept):
+                kept.append(x)
+        assert licenses.detections(text) == sorted(kept)
+    assert "public-domain" in {x[3] for x in licenses.detections("dedicated to the public domain")}
+
+
+def test_many_detections_take_no_square_of_time():
+    import time
+
+    found = [(i, i + 5, 1 + i % 3, f"l{i % 7}") for i in range(0, 200_000)]
+    began = time.time()
+    kept = licenses.suppress(found)
+    assert time.time() - began < 20 and len(kept) == len(found)
+
+
+def test_short_and_shared_items(spark):
+    """Items of one to four words, items with one prompt, one item with two texts, and a document set without any."""
+    prompt = " ".join(f"p{k}" for k in range(12))
+    items = [(1, "four little words here"), (2, "alone"), (3, "first text of the item with many words in it"), (3, "second text of the same item with other words"), *((100 + k, f"{prompt} answer{k} is number{k} of many{k} things{k}") for k in range(90))]
+    rng = np.random.default_rng(31)
+    rows = [(1, random_text(rng, 1500) + " four little words here " + random_text(rng, 50)), (2, random_text(rng, 900) + " alone"), (3, items[2][1]), (4, items[3][1] + " and " + items[2][1]), (5, prompt + " " + random_text(rng, 40)), (6, items[20][1]), (7, None), (8, "alone")]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contained(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    w = lambda t: [x for x in re.split(r"[^\w]+", (t or "").lower()) if x]
+
+    def grams(t, widths):
+        x = w(t)
+        return {(k, tuple(x[i : i + k])) for k in widths for i in range(len(x) - k + 1)}
+
+    sets = {}
+    for i, t in items:
+        sets.setdefault(i, set()).update(grams(t, [min(5, len(w(t)))]))
+    want = {(d, i) for d, t in rows for i, s in sets.items() if len(s & grams(t, [1, 4, 5])) >= 0.8 * len(s) - 1e-9}
+    assert got == want and {(1, 1), (2, 2), (8, 2), (4, 3)} <= want and (3, 3) not in want
+
+
+def test_found_items_number_follows_the_recall():
+    assert decontam.least_hits(8, 0.3) >= 1 and decontam.least_hits(200, 0.3) > 100
+    for k, x in ((8, 0.3), (40, 0.3), (64, 4.8), (250, 4.8)):
+        s = (1 - math.exp(-x)) / x
+        t = decontam.least_hits(k, x)
+        below = sum(math.comb(k, j) * s**j * (1 - s) ** (k - j) for j in range(t))
+        assert below <= decontam.MISSED * 1.01 or t == 1
+
+
+CLASH = "doc_id long, text string, lang string, quality string, language string, _quality int, kept int, score double, n int, component_id long, found string, w int, h int, key int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Extra columns of operators' own names; nulls in every column; repeated rows; ties; one very long text."""
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    rows = [(i, t, "en", "q", "l", 1, 1, 0.5, 1, 7, "f", 1, 1, 1) for i, t in enumerate(["the river runs near the quiet garden", "the river runs near the quiet garden", "", long, "x" * 200_000, "der die das und nicht"])]
+    rows += [rows[0], (None,) * 14, (8, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, CLASH)
+
+
+def test_odd_tables_keep_their_rows(spark, odd, empty):
+    docs, labels = labelled(spark)
+    n = odd.count()
+    q, t = quality.fit_quality(docs, labels), toxicity.fit_toxicity(docs, labels)
+    lang = langid.fit_languages(odd)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for table, rows in ((odd, n), (odd.limit(0), 0)):
+        assert quality.score_quality(table, q).count() == toxicity.score_toxicity(table, t).count() == langid.identify_languages(table, lang).count() == rows
+        assert licenses.scan_licenses(table).count() == lmscore.score_documents(table).count() == neardup.near_duplicates(table).count() == rows
+        assert fingerprint.edited_copies(table).count() == rows
+        assert packing.pack(table, path).select("doc_id").distinct().count() == (n - 2 if rows else 0) + 0 or rows
+    for stage in (lambda d: quality.keep_good(d, q), lambda d: langid.keep_identified(d, lang), neardup.keep_one_of_each, lambda d: decontam.drop_contaminated(d, spark.createDataFrame([(1, "die das und")], "item_id long, text string"))):
+        got = stage(odd)
+        assert got.columns == odd.columns and got.join(odd.select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null").count() == 0
+        assert stage(odd.limit(0)).count() == 0
+    assert {r.doc_id for r in decontam.drop_contaminated(odd, spark.createDataFrame([(1, "die das und")], "item_id long, text string")).collect()} == {0, 1, 2, 3, 4, 8, None}
+    assert toxicity.score_toxicity(empty, t).count() == 0
+
+
+def test_rows_without_ids_spread_over_packing_groups(spark):
+    docs = spark.createDataFrame([(None, "same text again")] * 3000, "doc_id long, text string")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    groups = [r["count"] for r in got.select((got.sequence_id.bitwiseAND(0) + (got.sequence_id / 2**32).cast("long")).alias("g")).groupBy("g").count().collect()]
+    assert len(groups) > 4 and max(groups) < 1000
