@@ -12,11 +12,9 @@ at least ``percent`` / 100.
 4. Where a bucket of four or more still holds several clusters, all its pairs of different clusters meet, in blocks of 256
    members: the bucket's largest cluster against the rest, and the rest against each other. Rows grow with the square of
    the rest only, over the block. Clusters are taken anew with the pairs that pass.
-5. Clusters are confirmed on full shingle sets made from the texts. Members meet within blocks of 256 first, each text
-   once. In clusters of several blocks the smallest members of the confirmed parts then meet each other, and at last the
-   members of all parts but the largest meet whom they haven't met (where blocks joined less than half, all meet at once). So a cluster of true copies costs each text little more
-   than once; pairs of one confirmed part are not compared again, and no other pair is left out. Only a spanning forest of
-   confirmed links leaves a task.
+5. Within clusters all pairs are confirmed on full shingle sets made from the texts, in blocks of 256 members against each
+   other where a cluster is larger: no pair is left out, so the rows grow with the square of a cluster over the block. Groups
+   of block meetings are sized by what is dealt to them. Only a spanning forest of confirmed links leaves a task.
 6. The confirmed links' components, carried over to all members of each class.
 
 Texts without words, empty ones and nulls have the empty set: n_shingles 0, linked with nothing. Rows without an id take
@@ -243,44 +241,11 @@ def _blocks(n: Column) -> Column:
     return F.ceil(n / BLOCK).cast("int")
 
 
-def _others(own: Column, total: Column, meets) -> Column:
-    """Blocks 0 .. total - 1 that ``meets``."""
-    return F.filter(F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>")), meets)
-
-
 def confirm_clusters(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(u, v): a forest of the links of members (cluster, cid, n, hi, lo), which may be linked within clusters only."""
     sizes = members.groupBy("cluster").agg(_blocks(F.count(F.lit(1))).alias("blocks"))
-    named = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).checkpoint()
-    links = _compare(docs, named.drop("blocks").withColumn("others", F.array("own")), percent)
-    large = named.where("blocks > 1").drop("blocks", "own")
-    if not large.limit(1).count():
-        return links
-
-    def parts(links: DataFrame) -> DataFrame:
-        found = components(links).select(F.col("id").alias("cid"), "component")
-        return large.join(found, "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component").checkpoint()
-
-    # the smallest members of the parts, all with all; where blocks joined few, all members at once
-    found = parts(links)
-    shape = found.groupBy("cluster").agg(F.count_if(F.col("cid") == F.col("part")).alias("parts"), F.count(F.lit(1)).alias("size")).withColumn("whole", F.col("parts") * 2 > F.col("size"))
-    shape = shape.select("cluster", "whole", _blocks(F.when(F.col("whole"), F.col("size")).otherwise(F.col("parts"))).alias("total"))
-    first = found.join(shape, "cluster").where("whole or cid = part").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("total")).cast("int"))
-    met = first.withColumn("others", _others(F.col("own"), F.col("total"), lambda x: F.lit(True))).drop("part", "whole", "total")
-    links = links.unionByName(_compare(docs, met, percent))
-
-    # then those of parts (0), single members (1), and of the largest part (2) that haven't met
-    after = parts(links).join(shape.where("not whole").select("cluster"), "cluster", "left_semi")
-    count = after.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
-    main = count.groupBy("cluster").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    kind = F.when(F.col("part") == F.col("main"), 2).when(F.col("size") > 1, 0).otherwise(1)
-    kinds = after.join(count, ["cluster", "part"]).join(main, "cluster").withColumn("kind", kind).drop("part", "size", "main", "parts").checkpoint()
-    width = kinds.groupBy("cluster").agg(*(_blocks(F.count_if(F.col("kind") == k)).alias(f"w{k}") for k in range(3)))
-    begins = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, F.col("w0")).otherwise(F.col("w0") + F.col("w1"))
-    mine = F.when(F.col("kind") == 0, F.col("w0")).when(F.col("kind") == 1, F.col("w1")).otherwise(F.col("w2"))
-    dealt = kinds.join(width, "cluster").withColumn("own", (begins + F.pmod(F.xxhash64("cid"), mine)).cast("int")).withColumn("begins", begins).withColumn("ends", begins + mine)
-    rest = _others(F.col("own"), F.col("w0") + F.col("w1") + F.col("w2"), lambda x: (F.col("kind") == 0) | (x < F.col("begins")) | (x >= F.col("ends")))
-    return links.unionByName(_compare(docs, dealt.withColumn("others", rest).select("cluster", "cid", "n", "hi", "lo", "own", "others"), percent))
+    named = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    return _compare(docs, named.withColumn("others", F.sequence(F.lit(0), F.col("blocks") - 1)).drop("blocks"), percent)
 
 
 def find_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
