@@ -32,7 +32,7 @@ def text_boxes(tokens: DataFrame, view: str = "accepted") -> DataFrame:
 
 
 def fields(tokens: DataFrame) -> DataFrame:
-    """doc, part, pos, instruction of the outermost complete fields and of simple ones."""
+    """doc, part, pos, instruction of the outermost complete fields, of simple ones and of content controls that carry a citation."""
     w = Window.partitionBy("doc", "part").orderBy("pos")
     step = F.when(F.col("text") == "begin", 1).when(F.col("text") == "end", -1).otherwise(0)
     marks = tokens.where("kind in ('fld', 'instr')").withColumn("depth", F.sum(F.when(F.col("kind") == "fld", step).otherwise(0)).over(w))
@@ -40,7 +40,7 @@ def fields(tokens: DataFrame) -> DataFrame:
     marks = marks.withColumn("field", F.sum(F.when(opens, 1).otherwise(0)).over(w)).where("field > 0")
     complex_ = marks.groupBy("doc", "part", "field").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.when((F.col("kind") == "instr") & (F.col("depth") == 1), F.struct("pos", "text")))).alias("t"), F.max((F.col("text") == "end") & (F.col("depth") == 0) & (F.col("kind") == "fld")).alias("complete"))
     complex_ = complex_.where("complete").select("doc", "part", "pos", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("instruction"))
-    return complex_.unionByName(tokens.where("kind = 'fldsimple'").select("doc", "part", "pos", F.col("text").alias("instruction")))
+    return complex_.unionByName(tokens.where("kind in ('fldsimple', 'sdt')").select("doc", "part", "pos", F.col("text").alias("instruction")))
 
 
 def manager(instruction: Column) -> Column:

@@ -18,21 +18,27 @@ MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 TOKENS = "doc string, part string, para int, pos long, kind string, text string, in_ins boolean, in_del boolean, in_move_from boolean, in_move_to boolean, in_fallback boolean, in_txbx boolean, pstyle string, error string"
 _COLUMNS = [c.split()[0] for c in TOKENS.split(", ")]
 _DECLARES = re.compile(rb"<!(?:DOCTYPE|ENTITY)", re.I)
+_STRICT = b"http://purl.oclc.org/ooxml/wordprocessingml/main"
 #: Bytes of an unpacked part; a larger one is reported, not read.
 LARGEST_PART = 200 << 20
 _MARKS = {f"{W}ins": 0, f"{W}del": 1, f"{W}moveFrom": 2, f"{W}moveTo": 3, f"{MC}Fallback": 4, f"{W}txbxContent": 5}
 
 
 def _tokens(doc: str, part: str, root) -> Iterator[tuple]:
-    para, pos, style = -1, 0, [None]
+    """Tokens in document order, by a stack of what is still to be visited, so nesting may be as deep as it likes.
 
-    def walk(e, marks: tuple[bool, ...]):
-        nonlocal para, pos
+    A paragraph inside a text box has a number of its own; text after the box belongs to the outer paragraph again.
+    """
+    last, pos = -1, 0
+    stack = [(root, (False,) * 6, -1, None)]
+    while stack:
+        e, marks, para, style = stack.pop()
         kind, text = None, None
         if e.tag == f"{W}p":
-            para += 1
+            last += 1
+            para = last
             s = e.find(f"{W}pPr/{W}pStyle")
-            style[0] = s.get(f"{W}val") if s is not None else None
+            style = s.get(f"{W}val") if s is not None else None
             kind = "p"
         elif e.tag in (f"{W}t", f"{W}delText"):
             kind, text = ("t" if e.tag == f"{W}t" else "dt"), e.text or ""
@@ -42,6 +48,10 @@ def _tokens(doc: str, part: str, root) -> Iterator[tuple]:
             kind, text = "fld", e.get(f"{W}fldCharType")
         elif e.tag == f"{W}fldSimple":
             kind, text = "fldsimple", e.get(f"{W}instr") or ""
+        elif e.tag == f"{W}sdt":
+            tag = e.find(f"{W}sdtPr/{W}tag")
+            if tag is not None and re.search("CSL_CITATION|MENDELEY_CITATION", tag.get(f"{W}val") or ""):
+                kind, text = "sdt", tag.get(f"{W}val")
         elif e.tag == f"{W}tab":
             kind, text = "t", "\t"
         elif e.tag in (f"{W}br", f"{W}cr"):
@@ -49,13 +59,10 @@ def _tokens(doc: str, part: str, root) -> Iterator[tuple]:
         if e.tag in _MARKS:
             marks = tuple(m or i == _MARKS[e.tag] for i, m in enumerate(marks))
         if kind:
-            yield (doc, part, max(para, 0), pos, kind, text, *marks, style[0], None)
+            yield (doc, part, max(para, 0), pos, kind, text, *marks, style, None)
             pos += 1
         if e.tag != f"{W}pPr":
-            for c in e:
-                yield from walk(c, marks)
-
-    yield from walk(root, (False,) * 6)
+            stack += [(c, marks, para, style) for c in reversed(e)]
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +79,11 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         part = z.read(info)
                         if _DECLARES.search(part[:4096]):
                             raise ValueError("document type declaration")
+                        if _STRICT in part[:4096]:
+                            raise ValueError("strict namespace: save the document in the usual (transitional) form")
                         rows += _tokens(name, info.filename, ElementTree.fromstring(part))
+                    if "word/document.xml" not in z.namelist():
+                        raise ValueError("no part word/document.xml")
             except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, RecursionError) as e:
                 rows = [(name, None, None, None, None, None, *(None,) * 6, None, f"{type(e).__name__}: {e}")]
             yield pd.DataFrame(rows, columns=_COLUMNS).astype({"para": "Int32", "pos": "Int64"})

@@ -102,3 +102,57 @@ def test_redline(one, old, new, ops):
 )
 def test_figure_numbers(one, text, want):
     assert one(shapes.figure_numbers(F.lit(text))) == want
+
+
+def test_kept_words_between_edits(one):
+    """A stretch of exactly the least length without its trailing space joins the edits, one more letter keeps it."""
+    ops = lambda old, new: [r.op for r in one(items.redline(F.lit(old), F.lit(new)))]
+    assert ops("a abcdefg b", "c abcdefg d") == ["replace"] and ops("a abcdefgh b", "c abcdefgh d") == ["replace", "equal", "replace"]
+    assert ops("x a b", "x c b") == ["equal", "replace", "equal"]
+
+
+def test_redlines_against_brute_force(spark):
+    """Joined pieces give both texts, kept pieces between edits are long, and no two edits stand side by side."""
+    import random
+
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(200):
+        old = " ".join(rng.choice(["a", "river", "mountains", "of", "stone"]) for _ in range(rng.randint(0, 14)))
+        pairs.append((old, " ".join(w if rng.random() < 0.7 else rng.choice(["b", "lake", "valleys"]) for w in old.split()) or "new"))
+    for old, new, got in spark.createDataFrame(pairs, "old string, new string").select("old", "new", items.redline(F.col("old"), F.col("new"))).collect():
+        assert "".join(r.old for r in got) == old and "".join(r.new for r in got) == new
+        assert all(len(r.old.strip()) >= 8 for k, r in enumerate(got) if r.op == "equal" and 0 < k < len(got) - 1)
+        assert all("equal" in (a.op, b.op) for a, b in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize(
+    ("url", "public"),
+    [("http://[::1]/", False), ("http://2130706433/", False), ("http://localhost./", False), ("http://0177.0.0.1/", False), ("http://0x7f.1/", False), ("https://[2606:4700::1]:443/x", True), ("http://[fe80::1]/", False), ("http://[::ffff:10.0.0.1]/", False), ("https://example.org", True), ("https://example.org.", True), ("http://router/", False), ("http://8.8.8.8:80/a", True), ("http://192.0.2.1/", False), ("http://256.1.1.1/", False), ("ftp://example.org/", False), ("", False)],
+)
+def test_public_addresses(one, url, public):
+    assert one(payloads.is_public_address(F.lit(url))) is public
+
+
+def test_nearest_styles_take_any_catalogue(spark):
+    styles = spark.createDataFrame([(f"s{i}", f"style number {i}") for i in range(50)], "style string, key string")
+    names = spark.createDataFrame([(1, "style number 7"), (2, "style number 41")], "name int, key string")
+    got = {(r.name, r["rank"]): r.style for r in items.nearest_styles(names, styles, 2, chunk=10).collect()}
+    whole = {(r.name, r["rank"]): r.style for r in items.nearest_styles(names, styles, 2).collect()}
+    assert got == whole and got[1, 1] == "s7" and got[2, 1] == "s41"
+
+
+def test_group_merging(spark):
+    from refloom.operators import verification as v
+
+    df = spark.createDataFrame([("*First Group;A,x;*The Mid Group;B,y;*Last Group", "A,x;MID GROUP,;B,y;C,z")], "m string, t string").select(v.parse_authors(F.col("m")).alias("m"), v.parse_authors(F.col("t")).alias("t"))
+    got = df.select(v.merge_groups(F.col("m"), v.align_groups(F.col("m"), F.col("t"))).alias("x")).first().x
+    assert [a.family or a.literal for a in got.authors] == ["First Group", "A", "The Mid Group", "B", "Last Group", "C"] and got.kept == ["First Group", "Last Group"]
+
+
+def test_positions_bind_only_without_keys(spark):
+    from refloom.operators import library
+
+    asked = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "b")], "request int, pos int, key string")
+    rows = spark.createDataFrame([(1, 0, "b", "B"), (1, 1, None, "?"), (2, 0, None, "x"), (2, 1, None, "y")], "request int, place int, key string, value string")
+    assert {(r.request, r.key): r.value for r in library.bind_positions(asked, rows).collect()} == {(1, "a"): None, (1, "b"): "B", (2, "a"): "x", (2, "b"): "y"}
