@@ -97,8 +97,24 @@ FROM (SELECT p_partkey AS pos,
   '<"group":[<"work-summary":[<"title":<"title":<"value":"A title">>,"publication-date":<"year":<"value":"2011">>,"external-ids":<"external-id":[<"external-id-type":"DOI","external-id-value":" 10.7/' || CAST(p_partkey AS STRING) || '">,<"external-id-type":"doi","external-id-value":"10.8/x">,<"external-id-type":"pmid","external-id-value":"'
     || CAST(p_partkey AS STRING) || '">]>>,<"title":null>]>,<"work-summary":[]>,<"work-summary":[<"title":<"title":<"value":"Only a title">>,"publication-date":null,"external-ids":null>]>,<"work-summary":[<"title":null>]>]>' AS profile,
   '<"best_oa_location":<"url_for_pdf":' || CASE WHEN p_partkey % 3 = 0 THEN '"https://x.org/best.pdf"' ELSE 'null' END || ',"url":"https://x.org/landing">,"oa_locations":[<"url_for_pdf":null>' || CASE WHEN p_partkey % 3 = 1 THEN ',<"url_for_pdf":"https://x.org/other.pdf">' ELSE '' END || ']>' AS access FROM {part})""",
+    "tokens": """
+SELECT doc, 'word/document.xml' AS part, CAST(sum(CASE WHEN kind = 'p' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS INT) AS para, pos, kind, text,
+  flag IN (0, 1, 2, 7) AND kind <> 'p' AS in_ins, flag IN (3, 4, 5, 7) AND kind <> 'p' AS in_del, flag = 8 AND kind = 't' AS in_move_from, flag = 9 AND kind = 't' AS in_move_to
+FROM (
+  SELECT doc, 2 * event_id AS pos, flag, CASE WHEN one IN (0, 1, 2, 3, 4, 5, 6) THEN 'fld' WHEN one IN (7, 8) THEN 'instr' WHEN one = 9 THEN 'p' WHEN one = 10 AND two < 6 THEN 'cstart' WHEN one = 10 AND two < 11 THEN 'cend'
+      WHEN one = 10 THEN 'cref' WHEN one = 11 AND two < 6 THEN 'fmt' WHEN one = 12 AND two = 0 AND flag < 4 THEN 'geom' WHEN flag IN (3, 4, 5, 7) THEN 'dt' ELSE 't' END AS kind,
+    CASE WHEN one IN (0, 1, 2) THEN 'begin' WHEN one IN (3, 4, 5) THEN 'end' WHEN one = 6 THEN 'separate' WHEN one = 7 THEN CASE WHEN two < 5 THEN 'ADDIN ZOTERO_ITEM ' WHEN two < 10 THEN 'PAGEREF _T' ELSE ' CITATION ' END WHEN one = 8 THEN 'x' || CAST(two AS STRING) || ' '
+      WHEN one = 9 THEN CAST(NULL AS STRING) WHEN one = 10 THEN CAST(two AS STRING) WHEN one = 11 AND two < 6 THEN translate('<"scope":"rPr","now":"b ' || CAST(two AS STRING) || '","prior":"i ' || CAST(flag AS STRING) || '">', '<>', chr(123) || chr(125))
+      WHEN one = 12 AND two = 0 AND flag < 4 THEN CASE WHEN flag % 2 = 0 THEN 'cellIns' ELSE 'cellMerge' END ELSE event_type || CAST(event_id % 97 AS STRING) || ' ' END AS text
+  FROM {hashed}
+  UNION ALL SELECT doc, 2 * event_id + 1, flag, 'pmark', CAST(NULL AS STRING) FROM {hashed} WHERE one = 9 AND flag < 6)""",
 }
 
+#: Events with three hexadecimal digits of their number's hash.
+_HASHED = """(SELECT event_id, event_type, CAST(floor(event_id / 60) AS BIGINT) AS doc, instr('0123456789abcdef', substr(m, 1, 1)) - 1 AS one, instr('0123456789abcdef', substr(m, 2, 1)) - 1 AS two, instr('0123456789abcdef', substr(m, 3, 1)) - 1 AS flag
+  FROM (SELECT event_id, event_type, md5(CAST(event_id AS STRING)) AS m FROM {events}))"""
+SQL["tokens"] = SQL["tokens"].replace("{hashed}", _HASHED)
+
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation over the tables of a folder."""

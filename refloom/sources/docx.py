@@ -1,8 +1,10 @@
-"""Word documents as a token relation: one row for each piece of text, break or field mark, with what surrounds it."""
+"""Word documents as a token relation: one row for each piece of text, break, field or comment mark, tracked paragraph mark and
+change of properties, with what surrounds it."""
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -23,6 +25,18 @@ _STRICT = b"http://purl.oclc.org/ooxml/wordprocessingml/main"
 LARGEST_PART = 200 << 20
 _MARKS = {f"{W}ins": 0, f"{W}del": 1, f"{W}moveFrom": 2, f"{W}moveTo": 3, f"{MC}Fallback": 4, f"{W}txbxContent": 5}
 
+# Marks of comments, tracked changes of a table's geometry, changes of properties with their scope, and children of a
+# scope that its record of change doesn't cover.
+_COMMENT_MARKS = {f"{W}commentRangeStart": "cstart", f"{W}commentRangeEnd": "cend", f"{W}commentReference": "cref"}
+_GEOMETRY = (f"{W}cellIns", f"{W}cellDel", f"{W}cellMerge")
+_CHANGES = {f"{W}{x}Change": x for x in ("rPr", "pPr", "trPr", "tcPr", "tblPr", "tblGrid", "sectPr")}
+_KEPT = {"pPr": (f"{W}rPr", f"{W}sectPr"), "rPr": (f"{W}ins", f"{W}del", f"{W}moveTo", f"{W}moveFrom")}
+
+
+def _property(e) -> str:
+    """A property as its name and values."""
+    return "=".join([e.tag.rpartition("}")[2], *(v for _, v in sorted(e.attrib.items()))])
+
 
 def _tokens(doc: str, part: str, root) -> Iterator[tuple]:
     """Tokens in document order, by a stack of what is still to be visited, so nesting may be as deep as it likes.
@@ -56,12 +70,32 @@ def _tokens(doc: str, part: str, root) -> Iterator[tuple]:
             kind, text = "t", "\t"
         elif e.tag in (f"{W}br", f"{W}cr"):
             kind, text = "t", "\n"
+        elif e.tag in _COMMENT_MARKS:
+            kind, text = _COMMENT_MARKS[e.tag], e.get(f"{W}id")
+        elif e.tag in _GEOMETRY:
+            kind, text = "geom", e.tag.removeprefix(W)
         if e.tag in _MARKS:
             marks = tuple(m or i == _MARKS[e.tag] for i, m in enumerate(marks))
         if kind:
             yield (doc, part, max(para, 0), pos, kind, text, *marks, style, None)
             pos += 1
-        if e.tag != f"{W}pPr":
+        if e.tag == f"{W}p" and (mark := e.find(f"{W}pPr/{W}rPr")) is not None and (tracked := [m for m in mark if m.tag in _MARKS]):
+            own = tuple(m or any(_MARKS[t.tag] == i for t in tracked) for i, m in enumerate(marks))
+            yield (doc, part, max(para, 0), pos, "pmark", None, *own, style, None)
+            pos += 1
+        if e.tag.endswith("Pr") or e.tag == f"{W}tblGrid":
+            # the properties themselves are no content: only what they were before, and changes of a table's geometry
+            for c in e.iter():
+                if c.tag in _CHANGES:
+                    scope = _CHANGES[c.tag]
+                    owner = next((x for x in e.iter() if c in x), e)
+                    now, prior = ([x for x in owner if x is not c and x.tag not in _KEPT.get(scope, ())], [x for x in c.find(f"{W}{scope}") or () if x.tag not in _KEPT.get(scope, ())])
+                    yield (doc, part, max(para, 0), pos, "fmt", json.dumps({"scope": scope, "now": " ".join(map(_property, now)), "prior": " ".join(map(_property, prior))}), *marks, style, None)
+                    pos += 1
+                elif c.tag in _GEOMETRY:
+                    yield (doc, part, max(para, 0), pos, "geom", c.tag.removeprefix(W), *marks, style, None)
+                    pos += 1
+        else:
             stack += [(c, marks, para, style) for c in reversed(e)]
 
 
