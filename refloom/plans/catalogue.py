@@ -423,3 +423,7 @@ def tier_summary(spark, sf_dir):
     c = F.when(k < 3, "high").when(k < 5, "medium").when(k == 5, "low").otherwise("none")
     r = relation(spark, sf_dir, "refs").select("doc", resolver.tier(c).alias("tier"))
     return r.groupBy("doc").agg(F.count_if(F.col("tier") == "high").alias("auto"), F.count_if(F.col("tier") == "medium").alias("medium"), F.count_if(F.col("tier") == "low").alias("low"))
+
+
+# these use the forms above
+from refloom.plans import unify  # noqa: E402, F401
