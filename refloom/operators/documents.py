@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.functions.identifiers import none_if_empty
+from refloom.functions.citations import payload_pmid, word_tag
+from refloom.functions.identifiers import none_if_empty, normalise_doi
 
 ITEM = "id STRING, uris ARRAY<STRING>, itemData STRUCT<title: STRING, DOI: STRING, PMID: STRING, note: STRING>"
 CITATION = f"citationID STRING, citationItems ARRAY<STRUCT<{', '.join(p.replace(' ', ': ', 1) for p in ITEM.split(', ', 2))}>>"
@@ -63,3 +64,50 @@ def cited_items(found: DataFrame) -> DataFrame:
     items = parsed.select("doc", "pos", F.posexplode("c.citationItems").alias("item", "x"))
     key = F.coalesce(none_if_empty(F.element_at(F.split(F.get("x.uris", 0), "/"), -1)), F.col("x.id"))
     return items.select("doc", "pos", "item", key.alias("key"), F.col("x.itemData.title").alias("title"), F.col("x.itemData.DOI").alias("doi"))
+
+
+def cited_data(found: DataFrame) -> DataFrame:
+    """doc, pos, item, key, data of every work in the citation fields, data being its JSON text. The key is the last part of the work's
+    id, of its data or else of its entry; empty without one. Other fields and malformed payloads give nothing."""
+    payload = F.when(F.contains("instruction", F.lit("ZOTERO_ITEM CSL_CITATION")), F.regexp_extract("instruction", r"(?s)\{.*\}", 0))
+    items = found.select("doc", "pos", F.from_json(payload, "citationItems ARRAY<STRUCT<id: STRING, itemData: STRING>>").alias("c")).select("doc", "pos", F.posexplode("c.citationItems").alias("item", "x"))
+    raw = F.trim(F.coalesce(none_if_empty(F.get_json_object("x.itemData", "$.id")), F.col("x.id"), F.lit("")))
+    return items.select("doc", "pos", "item", F.element_at(F.split(raw, "/"), -1).alias("key"), F.col("x.itemData").alias("data"))
+
+
+def _data(*names: str) -> Column:
+    return F.trim(F.coalesce(*(none_if_empty(F.get_json_object("data", f"$.{n}")) for n in names), F.lit("")))
+
+
+def cited_dois(found: DataFrame) -> DataFrame:
+    """doc, rank, doi: a document's cited DOIs in order, each in the form in which it came first."""
+    rows = cited_data(found).withColumn("doi", _data("DOI", "doi")).where("doi <> ''")
+    place = F.struct("pos", "item")
+    # a DOI that a third of the fields cite is added up before it is shuffled
+    first = rows.groupBy("doc", normalise_doi(F.col("doi")).alias("same")).agg(F.min_by("doi", place).alias("doi"), F.min(place).alias("at"))
+    return first.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("at")).alias("rank"), "doi")
+
+
+def cited_references(found: DataFrame) -> DataFrame:
+    """doc, rank, key, doi, pmid, title, authors of a document's cited works in order: of one key the first, and all without a key."""
+    authors = F.from_json(F.get_json_object("data", "$.author"), "ARRAY<STRUCT<family: STRING, given: STRING, literal: STRING>>")
+    rows = cited_data(found).select(
+        "doc", F.struct("pos", "item").alias("at"), "key", _data("DOI", "doi").alias("doi"),
+        F.coalesce(payload_pmid(F.coalesce(F.get_json_object("data", "$.PMID"), F.get_json_object("data", "$.pmid")), F.get_json_object("data", "$.extra"), F.get_json_object("data", "$.note")), F.lit("")).alias("pmid"),
+        _data("title").alias("title"), F.coalesce(authors, F.array().cast("array<struct<family:string,given:string,literal:string>>")).alias("authors"),
+    )
+    same = F.when(F.col("key") != "", F.col("key")).otherwise(F.concat(F.lit("/"), F.to_json("at")))
+    first = rows.groupBy("doc", same.alias("same")).agg(F.min(F.struct("at", "key", "doi", "pmid", "title", "authors")).alias("r"))
+    return first.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("r.at")).alias("rank"), "r.key", "r.doi", "r.pmid", "r.title", "r.authors")
+
+
+def cited_sources(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """doc, pos, tag, status, title, doi, year, authors of Word's CITATION fields by the sources stored in their document
+    (``sources.docx.read_sources``): found, not found, or unreadable where the document has a store that can't be read and none that
+    has the tag. Of several sources of one tag the last in the package counts."""
+    tagged = found.where(manager(F.col("instruction")) == "word").select("doc", "pos", word_tag(F.col("instruction")).alias("tag")).where("tag is not null")
+    stored = sources.where("error is null").groupBy("doc", "tag").agg(F.max(F.struct("part", "place", "title", "doi", "year", "authors")).alias("s"))
+    broken = sources.where("error is not null").select("doc").distinct().withColumn("_broken", F.lit(True))
+    met = tagged.join(stored, ["doc", "tag"], "left").join(broken, "doc", "left")
+    status = F.when(F.col("s").isNotNull(), "found").when(F.col("_broken"), "unreadable").otherwise("not found")
+    return met.select("doc", "pos", "tag", status.alias("status"), "s.title", "s.doi", "s.year", "s.authors")

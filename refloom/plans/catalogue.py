@@ -426,4 +426,4 @@ def tier_summary(spark, sf_dir):
 
 
 # these use the forms above
-from refloom.plans import unify  # noqa: E402, F401
+from refloom.plans import unify, works  # noqa: E402, F401

@@ -110,6 +110,26 @@ FROM (
   UNION ALL SELECT doc, 2 * event_id + 1, flag, 'pmark', CAST(NULL AS STRING) FROM {hashed} WHERE one = 9 AND flag < 6)""",
 }
 
+SQL["cited_fields"] = """
+SELECT doc, pos, CASE WHEN one = 0 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION ' || chr(123) || '"citationItems":[' WHEN one = 1 THEN 'ADDIN ZOTERO_BIBL x' ELSE 'ADDIN ZOTERO_ITEM CSL_CITATION ' || translate('<"citationID":"c","citationItems":[' || item || CASE WHEN one < 8 THEN ',' || other ELSE '' END || ']>', '<>', chr(123) || chr(125)) || ' x' END AS instruction
+FROM (SELECT *, instr('0123456789abcdef', substr(m, 1, 1)) - 1 AS one,
+    '<"id":"' || CAST(cited AS STRING) || '","itemData":<' || CASE WHEN substr(m, 2, 1) < '3' THEN '' ELSE '"id":"12/K' || CAST(cited % 50 AS STRING) || '",' END || '"title":" Work ' || CAST(cited AS STRING) || ' ","DOI":"' || CASE WHEN substr(m, 3, 1) < '4' THEN '' ELSE doi END || '"'
+      || CASE WHEN substr(m, 4, 1) < '5' THEN ',"PMID":"PMID ' || CAST(cited AS STRING) || '"' WHEN substr(m, 4, 1) < 'a' THEN ',"note":"x PMID: ' || CAST(cited AS STRING) || ' y"' ELSE '' END || ',"author":' || CASE WHEN substr(m, 5, 1) < '4' THEN '"x"' ELSE '[<"family":"F' || CAST(cited AS STRING) || '","given":"A">]' END || '>>' AS item,
+    CASE WHEN substr(m, 6, 1) < '4' THEN '<"id":""' ELSE '<"id":"a/b/K' || CAST(cited % 7 AS STRING) || '"' END || ',"itemData":<"doi":"10.1234/O.' || CAST(cited % 90 AS STRING) || '","title":"Other">>' AS other
+  FROM (SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS doc, CAST(l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS pos, l_partkey AS cited, md5(CAST(l_orderkey * 10 + l_linenumber AS STRING)) AS m,
+    CASE l_linenumber % 3 WHEN 0 THEN 'https://doi.org/10.1234/p.' WHEN 1 THEN '10.1234/P.' ELSE 'HTTP://dx.doi.org/10.1234/(x)' END || CAST(l_partkey % 40 AS STRING) || CASE l_linenumber % 2 WHEN 0 THEN '.' ELSE '' END AS doi FROM {lineitem}))"""
+SQL["word_fields"] = """
+SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS doc, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS pos, CASE l_linenumber % 3 WHEN 0 THEN ' CITATION ' WHEN 1 THEN 'CITATION ' || chr(92) || 'l 1033 ' ELSE ' ADDIN x ' END || 'Tag' || CAST(l_partkey % 30 AS STRING) || ' ' || chr(92) || 'p 3' AS instruction FROM {lineitem}"""
+SQL["word_sources"] = """
+SELECT CAST(floor(o_orderkey / 8) AS BIGINT) AS doc, 'customXml/item' || CAST(o_custkey % 3 AS STRING) || '.xml' AS part, CAST(o_orderkey AS INT) AS place, CASE WHEN bad THEN NULL ELSE 'Tag' || CAST(o_custkey % 30 AS STRING) END AS tag, CASE WHEN bad THEN NULL ELSE 'Source ' || CAST(o_orderkey AS STRING) END AS title,
+  CASE WHEN NOT bad AND o_orderkey % 2 = 0 THEN '10.1234/s.' || CAST(o_orderkey AS STRING) END AS doi, CASE WHEN NOT bad THEN CAST(1990 + o_orderkey % 30 AS STRING) END AS year, CASE WHEN bad THEN 'ParseError' END AS error
+FROM (SELECT *, substr(md5(CAST(o_orderkey AS STRING)), 1, 2) < '0a' AS bad FROM {orders})"""
+SQL["migrated"] = """
+SELECT pos, call AS source, CASE WHEN h < 9 THEN 'high' WHEN h < 13 THEN 'medium' ELSE 'low' END AS tier, k = 0 AS retracted, title, doi, year, authors, rec_title, rec_doi, rec_pmid, rec_authors, h, k
+FROM (SELECT *, instr('0123456789abcdef', substr(md5('t' || CAST(pos AS STRING)), 1, 1)) - 1 AS h, instr('0123456789abcdef', substr(md5('t' || CAST(pos AS STRING)), 2, 1)) - 1 AS k FROM (""" + SQL["metas"] + """))"""
+#: The library that records are migrated into: some of the same works.
+SQL["migrated_into"] = "SELECT pos, 'L' || CAST(pos AS STRING) AS key, CASE WHEN k < 6 THEN rec_title ELSE 'Item ' || CAST(pos AS STRING) END AS title, CASE WHEN k < 3 THEN doi WHEN k < 5 THEN rec_doi END AS doi, CASE WHEN k = 5 THEN rec_pmid END AS pmid, '' AS extra FROM (" + SQL["migrated"] + ")"
+
 #: Events with three hexadecimal digits of their number's hash.
 _HASHED = """(SELECT event_id, event_type, CAST(floor(event_id / 60) AS BIGINT) AS doc, instr('0123456789abcdef', substr(m, 1, 1)) - 1 AS one, instr('0123456789abcdef', substr(m, 2, 1)) - 1 AS two, instr('0123456789abcdef', substr(m, 3, 1)) - 1 AS flag
   FROM (SELECT event_id, event_type, md5(CAST(event_id AS STRING)) AS m FROM {events}))"""

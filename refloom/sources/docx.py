@@ -126,3 +126,43 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Tokens of all documents under a path; a file that can't be read gives one row with its error."""
     return files(spark, path).mapInPandas(_read, TOKENS)
+
+
+B = "{http://schemas.openxmlformats.org/officeDocument/2006/bibliography}"
+SOURCES = "doc string, part string, place int, tag string, title string, doi string, year string, authors array<string>, error string"
+
+
+def _sources(doc: str, part: str, root) -> Iterator[tuple]:
+    """The sources of a store that have a tag, in order."""
+    words = lambda e: " ".join((e.text or "").split()) if e is not None else ""
+    for place, source in enumerate(root.iter(f"{B}Source")):
+        if tag := words(source.find(f"{B}Tag")):
+            doi = re.search(r"10\.\d{4,9}/[^\s\"<>']+", words(source.find(f"{B}DOI")))
+            people = ((words(p.find(f"{B}Last")), words(p.find(f"{B}First"))) for p in source.iter(f"{B}Person"))
+            authors = [f"{last} {''.join(w[0].upper() for w in first.split())}".strip() for last, first in people if last]
+            yield doc, part, place, tag, words(source.find(f"{B}Title")) or None, doi[0].rstrip(".,);:]") if doi else None, words(source.find(f"{B}Year")) or None, authors, None
+
+
+def _read_sources(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for name, raw in zip(frame.source_file, frame.content, strict=True):
+            rows = []
+            try:
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for info in sorted(z.infolist(), key=lambda i: i.filename):
+                        if not info.filename.endswith(".xml") or info.file_size > LARGEST_PART or b"Sources" not in (part := z.read(info)) or B[1:-1].encode() not in part:
+                            continue
+                        try:
+                            if _DECLARES.search(part[:4096]):
+                                raise ValueError("document type declaration")
+                            rows += _sources(name, info.filename, ElementTree.fromstring(part))
+                        except (ElementTree.ParseError, ValueError) as e:
+                            rows.append((name, info.filename, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            except (zipfile.BadZipFile, ValueError) as e:
+                rows = [(name, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SOURCES.split(", ")], dtype="object").astype({"place": "Int32"})
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Sources stored in the documents under a path, by tag; a store that can't be read gives one row with its error."""
+    return files(spark, path).mapInPandas(_read_sources, SOURCES)
