@@ -4,13 +4,15 @@ Pages of a host are aligned in batches of about ``BATCH``. Each page becomes a t
 text; neighbouring siblings of one structure are one place), and simple tree matching against the batch's richest page puts
 nodes of different pages into common slots. What a slot holds over all pages then decides:
 
-1. Template: a text that most pages have in the same slot. Pages whose long blocks are mostly the same (copies) count once.
+1. Template: a text that most pages have in the same slot. Pages whose long blocks are mostly the same (copies) count once. In the
+   region it is content all the same where it stands in an article or between blocks that vary (a series' headings).
 2. Region: from the root down, the slot that holds most of the varying text outside links, as the mean of the pages' shares.
    Beside it, slots whose text stands bare in a container, a short piece a page, vary without being content (adverts,
    closing lines) and are left; where anything else stands beside it, the descent stops and all of the slot is content.
 3. Names refine this: elements that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their tag,
-   role or class hold no content; article or main elements that hold most of the varying text are preferred to what stands
-   beside them.
+   role or class hold no content; of what the descent has found, article or main elements that hold most of the varying text are
+   preferred to what stands beside them. A class or id that says other things too (story-notice) doesn't count where its element
+   holds most of a page's text.
 
 The text is what the region holds outside template. Fewer than ``LEAST_PAGES`` different pages show no template and no
 varying slots: then only names tell, and the descent passes only slots that hold everything. A page without any text in
@@ -51,33 +53,66 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "template", "dialog", "menu", "head", "audio", "video", "map", "datalist", "fieldset"}
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "main", "section", "div"}
-_NOISE = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promo(?:tion|s)?|navs?|navigation|navbar|menus?|breadcrumbs?|sidebars?|side-?bar|footers?|masthead|site-?header|page-?header|top-?bar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|signup|login|comments?|replies|respond|disqus|shar(?:e|ing)|social|related|recommended|widgets?|pagination|pager|toolbar|skip-?link|hidden|screen-?reader|sr-only)(?:$|[-_ ])")
+# What class and id words say of themselves; words that go with them without saying anything else.
+_WORDS = r"ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promo(?:tion|s)?|navs?|navigation|navbar|menus?|breadcrumbs?|sidebars?|side-?bar|footers?|masthead|site-?header|page-?header|top-?bar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|signup|login|comments?|replies|respond|disqus|shar(?:e|ing)|social|related|recommended|widgets?|pagination|pager|toolbar|skip-?link|hidden|screen-?reader|sr-only"
+_PLAIN = r"area|bar|block|box|buttons?|container|form|group|inner|items?|left|links?|lists?|main|outer|page|panel|primary|right|secondary|section|site|top|bottom|user|wrap(?:per)?|\d+"
+_NOISE = re.compile(rf"(?:^|[-_ ])(?:{_WORDS})(?:$|[-_ ])")
+_PURE = re.compile(rf"(?:(?:{_WORDS}|{_PLAIN})(?:[-_]+|$))+")
 _BARE = {"html", "body", "div", "section", "center", "span", "main", "article", "header"}
 
+#: Elements that hold text or a list of it: the descent doesn't go into them.
+_PIECES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "blockquote", "pre", "figure", "figcaption", "details", "summary", "address"}
+
 
 class Node:
-    __slots__ = ("tag", "key", "noise", "children", "texts", "parent", "link", "kind", "runs")
+    __slots__ = ("tag", "key", "noise", "sure", "mixed", "children", "texts", "parent", "link", "kind", "runs")
 
     def __init__(self, tag: str, key: str, noise: bool, parent: Node | None):
         self.tag, self.key, self.noise, self.parent = tag, key, noise, parent
         self.children: list[Node] = []
         self.link = self.kind = 0
+        self.sure = self.mixed = False  # boilerplate by itself; by a name that says something else too
         self.texts: list[tuple[int, str]] = []  # (place in the page, text) of each block of text directly inside
         self.runs: list[list[Node]] = []  # neighbouring children of one kind
 
 
-def _noisy(tag: str, attributes: str) -> tuple[str, bool]:
-    """A node's key for alignment, and whether it is boilerplate by what it says of itself."""
+def _noisy(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A node's key for alignment, whether it is boilerplate by what it says of itself, and whether only a word of a name that has other
+    words too says so."""
     if not attributes.strip():
-        return tag, tag in _NEVER
+        return tag, tag in _NEVER, False
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     name = found.get("class", "").lower()
     marks = f"{name} {found.get('id', '').lower()}"
     hidden = bool(re.search(r"(?:^|\s)hidden(?:$|[\s=])", attributes)) or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     role = found.get("role", "").lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"}
-    noise = tag in _NEVER or hidden or role or (tag not in {"body", "html", "main"} and bool(_NOISE.search(marks)))
+    sure = tag in _NEVER or hidden or role
+    named = tag not in {"body", "html", "main"} and bool(_NOISE.search(marks))
+    mixed = named and not sure and not any(_NOISE.search(m) and _PURE.fullmatch(m) for m in marks.split())
     plain = re.sub(r"[^a-z]", "", name.split()[0]) if name.split() else ""
-    return f"{tag}.{plain}" if plain else tag, noise
+    return f"{tag}.{plain}" if plain else tag, sure or named, mixed
+
+
+def _overrule(nodes: list[Node]) -> None:
+    """A name that says more than boilerplate doesn't outweigh the text: an element named so that holds ``MOST`` of what stands outside
+    certain boilerplate is content, but for boilerplate inside it."""
+    if not any(x.mixed for x in nodes):
+        return
+    place = {id(x): i for i, x in enumerate(nodes)}
+    certain = [x.sure for x in nodes]
+    for i, x in enumerate(nodes[1:], 1):
+        certain[i] |= certain[place[id(x.parent)]]
+    below = [0 if c else sum(len(t) for _, t in x.texts) for x, c in zip(nodes, certain, strict=True)]
+    for i in range(len(nodes) - 1, 0, -1):
+        below[place[id(nodes[i].parent)]] += below[i]
+    for i, x in enumerate(nodes[1:], 1):
+        if x.mixed and not certain[i] and below[i] >= MOST * below[0] > 0:
+            x.mixed = False
+            clear = [x]
+            while clear:
+                y = clear.pop()
+                y.noise = False
+                clear += [c for c in y.children if not c.mixed and not c.sure]
 
 
 def parse(source: str) -> list[Node]:
@@ -170,15 +205,18 @@ def parse(source: str) -> list[Node]:
                 x = x.parent
             if x.tag in ends:
                 here = up(x)
-        key, noise = _noisy(tag, attributes)
+        key, noise, mixed = _noisy(tag, attributes)
         node = Node(tag, key, noise or here.noise, here)
+        node.sure, node.mixed = noise and not mixed, mixed
         if tag == "header" and not noise:
-            node.noise = here.noise or opened["article"] + opened["main"] <= 0
+            node.sure = opened["article"] + opened["main"] <= 0
+            node.noise = here.noise or node.sure
         here.children.append(node)
         nodes.append(node)
         opened[tag] += 1
         here = node
     flush()
+    _overrule(nodes)
     return nodes
 
 
@@ -342,25 +380,37 @@ def copies(pages: list[list[Node]]) -> list[int]:
 
 
 def _region(slots: Slots, weight: list[float], own: list[float], bare: list[bool], aligned: bool) -> set[int]:
-    """The slots whose text is content, each with all below it."""
+    """The slots whose text is content, each with all below it: where the varying text lies, and then the articles there.
+
+    The descent knows no names. Where it ends beside or inside article or main elements that hold most of the varying text, these
+    are the content.
+    """
     children = defaultdict(list)
     for s, p in enumerate(slots.parent):
         if p >= 0 and weight[s] > 0:
             children[p].append(s)
-    top = 0
+    path, top = [0], 0
     while children[top]:
-        named = [c for c in children[top] if slots.tag[c] in ("article", "main")]
-        if named and sum(weight[c] for c in named) >= MOST * weight[top]:
-            if len(named) > 1 or slots.tag[named[0]] == "article":
-                return set(named)
-            top = named[0]
-            continue
         main = max(children[top], key=lambda c: weight[c])
         rest = [c for c in children[top] if c != main]
         bare_only = aligned and all(bare[c] and weight[c] <= SMALL * weight[top] for c in rest)
-        if weight[main] < MOST * weight[top] or own[top] > 0 or (rest and not bare_only) or slots.tag[main] not in _BARE:
+        if weight[main] < MOST * weight[top] or own[top] > 0 or (rest and not bare_only) or slots.tag[main] in _PIECES:
             break
         top = main
+        path.append(top)
+    for tag in ("article", "main"):
+        around = next((s for s in path if slots.tag[s] == tag), None)
+        if around is not None:
+            return {around}
+        found, todo = [], [top]
+        while todo:
+            s = todo.pop()
+            if slots.tag[s] == tag:
+                found.append(s)
+            else:
+                todo += children[s]
+        if sum(weight[s] for s in found) >= MOST * weight[top] and found:
+            return set(found)
     return {top}
 
 
@@ -412,11 +462,22 @@ def extract_batch(pages: list[str], kinds: Kinds | None = None) -> list[str]:
     for s in range(n):
         inside[s] = s in region or (s > 0 and inside[slots.parent[s]])
 
+    articles = {s for s in region if slots.tag[s] == "article"}
+    in_article = [False] * n
+    for s in range(n):
+        in_article[s] = s in articles or (s > 0 and in_article[slots.parent[s]])
+
     out = []
     for page in placed:
-        kept = [(slot, place, t) for slot, nodes in page for x in nodes if not x.noise for place, t in x.texts if t not in template.get(slot, ())]
-        chosen = [x for x in kept if inside[x[0]]] or kept
-        out.append("\n".join(t for _, t in sorted(x[1:] for x in chosen)))
+        every = sorted((place, t, slot, t in template.get(slot, ())) for slot, nodes in page for x in nodes if not x.noise for place, t in x.texts)
+        kept = [x for x in every if inside[x[2]] and not x[3]]
+        if kept:
+            # what stands between kept blocks belongs to them, as does all of an article
+            lo, hi = kept[0][0], kept[-1][0]
+            chosen = [x for x in every if inside[x[2]] and (in_article[x[2]] or lo <= x[0] <= hi)]
+        else:
+            chosen = [x for x in every if not x[3]]
+        out.append("\n".join(x[1] for x in sorted(chosen)))
     return out
 
 

@@ -361,7 +361,50 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script
 @pytest.mark.parametrize("main", ["article", "main", "div"])
 def test_pages_of_a_host(main):
     texts = htmltext.extract_batch([PAGE.format(i=f"n{i}", main=main) for i in range(6)])
-    assert texts[2] == "Title n2\nFirst & boldn2 é line\nSecond paragraph n2\nitem n2"
+    assert texts[2] == "Title n2\nFirst & boldn2 é line\nSecond paragraph n2\nSubscribe to our letter today\nitem n2"
+
+
+@pytest.mark.parametrize("name", ["entry related-content", "post-comments-open", "story-notice", "widget-text", "advert-free", "comments story-text"])
+def test_a_name_does_not_empty_a_page(name):
+    body = [f"Sentence {k} of a text that stands alone on its page, in one container." for k in range(9)]
+    page = f"<body><nav><ul><li>Menu</ul></nav><header>Site</header><div class='{name}'>{''.join(f'<p>{b}</p>' for b in body)}<div class='sidebar'>side</div></div><div class='site-notice'>Cookies</div><footer>end</footer></body>"
+    want = "" if name.startswith("comments") else "\n".join(body)
+    assert htmltext.extract_batch([page]) == [want]
+    assert htmltext.extract_batch([page.replace("Sentence", f"Phrase{i}") for i in range(6)])[1] == want.replace("Sentence", "Phrase1")
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+def test_recurring_text_of_articles_stays(tag):
+    rng = np.random.default_rng(31)
+    intro = "This series of reports is written by members of the club and looks at one place every week of the year."
+    pages, bodies = [], []
+    for _ in range(6):
+        body = [random_text(rng, 6), intro, random_text(rng, 60), "Yes.", random_text(rng, 50), "Conclusion", random_text(rng, 40)]
+        bodies.append("\n".join(body))
+        pages.append(f"<body><nav>Menu</nav><div>Welcome to this site</div><{tag}><h1>{body[0]}</h1>{''.join(f'<p>{b}</p>' for b in body[1:])}</{tag}><div>All rights reserved here</div><footer>end</footer></body>")
+    assert htmltext.extract_batch(pages) == bodies
+
+
+def plain_text(page, region):
+    """Brute force for the pages below: the texts of a container's leaves in order, by a parser of its own."""
+    import html as h
+
+    inside = re.search(rf"<{region}>(.*)</{region}>", page, re.S)[1]
+    leaves = re.findall(r"<(?:h1|p|li)>(.*?)</(?:h1|p|li)>", inside, re.S)
+    return "\n".join(x for x in (" ".join(h.unescape(re.sub(r"</?(?:b|em)>", "", leaf)).split()) for leaf in leaves) if x)
+
+
+def test_texts_are_those_of_the_varying_container():
+    """Random articles in a container of any name among random menus and closing lines, with entities, inline tags and white space."""
+    rng = np.random.default_rng(32)
+    for region in ("section", "article", "main", "x-story"):
+        pages = []
+        for _ in range(8):
+            parts = [f"<{rng.choice(['p', 'p', 'p', 'li'])}>" + random_text(rng, int(rng.integers(0, 60))).replace(" w1", " <b>w1</b>\n &amp; ") + "</p>" for _ in range(int(rng.integers(2, 9)))]
+            parts = [x if x.startswith("<p>") else x.replace("</p>", "</li>") for x in parts]
+            menu = "".join(f"<li><a href=x>{random_text(rng, 1)}</a>" for _ in range(int(rng.integers(1, 6))))
+            pages.append(f"<body><ul>{menu}</ul><{region}><h1>{random_text(rng, 7)}</h1>{''.join(parts)}<p>{random_text(rng, 40)}</p></{region}><div>Every page says this</div></body>")
+        assert htmltext.extract_batch(pages) == [plain_text(p, region) for p in pages], region
 
 
 def test_text_beside_the_largest_part_is_kept():
