@@ -11,27 +11,56 @@ from refloom.functions.shapes import is_corporate
 
 # Thresholds of the confidence ladder.
 HIGH, MEDIUM, LEAD = 0.55, 0.30, 0.10
+#: Titles tried for each of a reference's rarest tokens, to learn what its n-th best score reaches at least.
+SEEDS, SEED_TOKENS = 64, 4
 
 
-def rank_candidates(refs: DataFrame, works: DataFrame, n: int, rarest: int = 2) -> DataFrame:
-    """refs(ref, keys, tokens) and works(work, tokens) -> ref, work, score, rank of the n best works.
+def rank_candidates(refs: DataFrame, works: DataFrame, n: int) -> DataFrame:
+    """refs(ref, tokens) and works(work, tokens) -> ref, work, score, rank of the n works of the highest Jaccard similarity, ties by smaller
+    work; only works that share a token.
 
-    Works that share one of the ``rarest`` title tokens (by the number of different titles that have them) of the reference
-    are candidates; the score is the overlap of the work's title with all of the reference's text. Works and references
-    with the same tokens are compared once: a title that a third of the works have is one row until the ranking, which
-    takes the n smallest ids of a title.
+    Exact, without comparing all: a few titles of a reference's rarest tokens give a score that its n-th best reaches at least. A
+    title that scores as much has most of the reference's tokens, so that it holds one of its first ones when all are ordered by
+    how many titles have them; sizes and the places of the first common token rule out most of the rest. Frequent tokens stand
+    last and join nothing unless a reference has no better ones. Works and references of the same tokens are compared once.
     """
-    titles = _first_works(works, n)
-    asked = refs.select("ref", F.array_sort("keys").alias("keys"), F.array_sort("tokens").alias("tokens"))
-    forms = asked.select("keys", "tokens").distinct()
-    seen = titles.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    words = forms.select("keys").distinct().select("keys", F.explode("keys").alias("token")).join(seen, "token")
-    rare = words.withColumn("k", F.row_number().over(Window.partitionBy("keys").orderBy("c", "token"))).where(F.col("k") <= rarest).select("keys", "token")
-    pairs = rare.join(titles.select(F.col("tokens").alias("title"), F.explode("tokens").alias("token")), "token").select("keys", "title").distinct()
-    scored = forms.join(pairs, "keys").select("keys", "tokens", "title", F.round(jaccard(F.col("title"), F.col("tokens")), 6).alias("score"))
-    with_works = scored.join(titles.withColumnRenamed("tokens", "title"), "title").select("keys", "tokens", "score", F.explode("firsts").alias("work"))
-    ranked = with_works.withColumn("rank", F.row_number().over(Window.partitionBy("keys", "tokens").orderBy(F.desc("score"), "work"))).where(F.col("rank") <= n)
-    return asked.join(ranked, ["keys", "tokens"]).select("ref", "work", "score", "rank")
+    titles = _first_works(works, n).withColumnRenamed("tokens", "title")
+    forms = refs.select(F.array_sort("tokens").alias("tokens")).distinct()
+    seen = titles.select(F.explode("title").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    by_title = _in_order(titles, "title", seen)
+    by_form = _in_order(forms, "tokens", seen)
+
+    # the score that the n-th best reaches at least: of works among SEEDS titles of each of the SEED_TOKENS rarest tokens
+    place = F.row_number().over(Window.partitionBy("token").orderBy("title"))
+    some = by_title.select("title", "firsts", F.explode("ordered").alias("token")).withColumn("k", place).where(F.col("k") <= SEEDS).drop("k")
+    rare = by_form.select("tokens", F.explode(F.slice("present", 1, SEED_TOKENS)).alias("token"))
+    tried = rare.join(some, "token").groupBy("tokens", "title").agg(F.size(F.first("firsts")).alias("m")).withColumn("score", _score())
+    upto = F.sum("m").over(Window.partitionBy("tokens").orderBy(F.desc("score"), "title").rowsBetween(Window.unboundedPreceding, 0))
+    least = tried.withColumn("_upto", upto).where(F.col("_upto") >= n).groupBy("tokens").agg(F.max("score").alias("least"))
+
+    size, slack = F.size("tokens"), 1e-6
+    asked = by_form.join(least, "tokens", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(0.0)) - slack, F.lit(0.0)))
+    first = asked.select("tokens", "ordered", "least", F.posexplode(F.slice("ordered", F.lit(1), (size - F.greatest(F.ceil(F.col("least") * size), F.lit(1)) + 1).cast("int"))).alias("i", "token")).join(seen.select("token"), "token", "left_semi")
+    held = by_title.select("title", "firsts", F.col("ordered").alias("t_ordered"), F.posexplode("ordered").alias("j", "token"))
+    t = F.size("title")
+    least_common = F.col("least") / (1 + F.col("least")) * (size + t)
+    fits = (t >= F.col("least") * size) & (size >= F.col("least") * t) & (F.least(size - F.col("i"), t - F.col("j")) >= least_common)
+    pairs = first.join(held, "token").where(fits).where(F.get(F.array_intersect("ordered", "t_ordered"), 0) == F.col("token"))
+    scored = pairs.select("tokens", "firsts", _score().alias("score"), "least").where("score >= least").select("tokens", "score", F.explode("firsts").alias("work"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tokens").orderBy(F.desc("score"), "work"))).where(F.col("rank") <= n)
+    return refs.select("ref", F.array_sort("tokens").alias("tokens")).join(ranked, "tokens").select("ref", "work", "score", "rank")
+
+
+def _score() -> Column:
+    return F.round(jaccard(F.col("title"), F.col("tokens")), 6)
+
+
+def _in_order(sets: DataFrame, name: str, seen: DataFrame) -> DataFrame:
+    """Sets with ``ordered``, their tokens by how many titles have them, and ``present``, those that any title has, likewise."""
+    met = sets.select(name, F.explode(name).alias("token")).join(seen, "token", "left")
+    by = met.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "token"))).alias("o"))
+    tokens = lambda o: F.transform(o, lambda x: x["token"])
+    return sets.join(by, name).select(*sets.columns, tokens(F.col("o")).alias("ordered"), tokens(F.filter("o", lambda x: x["c"] > 0)).alias("present"))
 
 
 def _first_works(works: DataFrame, n: int) -> DataFrame:

@@ -198,17 +198,16 @@ def check_links(spark, sf_dir):
 # --- resolver
 
 
-_CANDIDATES = f"""w AS (SELECT list_sort({_tokens("title")}) AS t, list_slice(list_sort(list(pos)), 1, 5) AS firsts FROM {inline("lib_items")} GROUP BY 1), r AS (SELECT ref, list_sort({_tokens("title")}) AS t, list_sort({_tokens("text")}) AS tt FROM {inline("refs")}),
-seen AS (SELECT g, count(*) AS c FROM (SELECT unnest(t) AS g FROM w) GROUP BY g), f AS (SELECT DISTINCT t, tt FROM r),
-rare AS (SELECT t, g FROM (SELECT t, g, row_number() OVER (PARTITION BY t ORDER BY c, g) AS k FROM (SELECT t, unnest(t) AS g FROM (SELECT DISTINCT t FROM f)) JOIN seen USING (g)) WHERE k <= 2),
-pairs AS (SELECT DISTINCT rare.t, w.t AS title FROM rare JOIN (SELECT t, unnest(t) AS g FROM w) w USING (g)),
-scored AS (SELECT f.t, f.tt, title, round(len(list_intersect(title, f.tt)) / len(list_distinct(list_concat(title, f.tt))), 6) AS score FROM f JOIN pairs USING (t)),
-best AS (SELECT *, row_number() OVER (PARTITION BY t, tt ORDER BY score DESC, work) AS rank FROM (SELECT s.t, s.tt, score, unnest(firsts) AS work FROM scored s JOIN w ON w.t = s.title)),
-ranked AS (SELECT ref, work, score, rank FROM r JOIN best USING (t, tt) WHERE rank <= 5)"""
+# all references against all titles that share a token
+_CANDIDATES = f"""w AS (SELECT list_sort({_tokens("title")}) AS t, list_slice(list_sort(list(pos)), 1, 5) AS firsts FROM {inline("lib_items")} GROUP BY 1), r AS (SELECT ref, list_sort({_tokens("text")}) AS tt FROM {inline("refs")}),
+f AS (SELECT DISTINCT tt FROM r),
+scored AS (SELECT tt, firsts, round(len(list_intersect(t, tt)) / len(list_distinct(list_concat(t, tt))), 6) AS score FROM f JOIN w ON list_has_any(t, tt)),
+best AS (SELECT *, row_number() OVER (PARTITION BY tt ORDER BY score DESC, work) AS rank FROM (SELECT tt, score, unnest(firsts) AS work FROM scored)),
+ranked AS (SELECT ref, work, score, rank FROM r JOIN best USING (tt) WHERE rank <= 5)"""
 
 
 def _ranked(spark, sf_dir, n: int):
-    refs = relation(spark, sf_dir, "refs").select("ref", names.title_tokens(F.col("title")).alias("keys"), names.title_tokens(F.col("text")).alias("tokens"))
+    refs = relation(spark, sf_dir, "refs").select("ref", names.title_tokens(F.col("text")).alias("tokens"))
     works = relation(spark, sf_dir, "lib_items").select(F.col("pos").alias("work"), names.title_tokens(F.col("title")).alias("tokens"))
     return resolver.rank_candidates(refs, works, n)
 
