@@ -60,11 +60,12 @@ class LatestItem(StatefulProcessor):
 
 
 def latest_items(changes: DataFrame, keep: int = 0) -> DataFrame:
-    """changes(key, version, op, payload), a stream with op put, delete or full (what a full read of a key found) -> an update for each
-    key that changed: live, deleted, or resync where its state can't be told without a full read.
+    """changes(key, version, library, op, payload), a stream with op put, delete or full (what a full read of a key found) -> an update
+    for each key that changed: live, deleted, or resync where its state can't be told without a full read.
 
-    Versions are the stream's clock: the watermark is the highest version seen less ``keep``, and deletions before it leave the
-    state. So the state holds the live items and the deletions of the last ``keep`` versions.
+    ``library`` is the library's version when the change was read. It is the stream's clock: the watermark is the highest one seen
+    less ``keep``, and deletions before it leave the state. So the state holds the live items and the deletions of the last
+    ``keep`` versions. A change may be older than the watermark; it is the reading of it that is not.
     """
-    timed = changes.withColumn("at", F.timestamp_seconds("version")).withWatermark("at", f"{keep} seconds")
+    timed = changes.withColumn("at", F.timestamp_seconds("library")).withWatermark("at", f"{keep} seconds")
     return timed.groupBy("key").transformWithStateInPandas(LatestItem(), OUT, "Update", "EventTime")
