@@ -101,3 +101,57 @@ def doi_coverage(entries: DataFrame, share: float = 0.2, least: int = 10) -> Dat
     """Documents whose entries hardly carry DOIs."""
     out = entries.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_if("has_doi").alias("with_doi"))
     return out.where((F.col("n") >= least) & (F.col("with_doi") < F.col("n") * share))
+
+
+def reference_run(paragraphs: DataFrame, least: int = 3) -> DataFrame:
+    """paragraphs(doc, para, is_ref, filler_ok, number, blank, excluded) -> doc, start, length of the last run of at least so many entries.
+
+    A run goes on over entries and over year-less fillers whose number follows the last accepted one. A blank or other paragraph ends
+    it; an excluded one (of a list that a heading has already shown) discards it. Each paragraph depends on the state before it, so
+    a document is one array and its runs a fold.
+    """
+    rows = paragraphs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("para", "is_ref", "filler_ok", "number", "blank", "excluded"))).alias("p"))
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("start"), F.lit(0).alias("length"), none.alias("last"), none.alias("best"), F.lit(0).alias("best_length"))
+
+    def step(s: Column, x: Column) -> Column:
+        filler = s["start"].isNotNull() & x["filler_ok"] & F.coalesce(x["number"] == s["last"] + 1, F.lit(False))
+        inside = ~x["excluded"] & ~x["blank"] & (x["is_ref"] | filler)
+        done = ~x["excluded"] & ~inside & (s["length"] >= least)
+        return F.struct(
+            F.when(inside, F.coalesce(s["start"], x["para"].cast("int"))).alias("start"), F.when(inside, s["length"] + 1).otherwise(0).alias("length"), F.when(inside, F.coalesce(x["number"].cast("int"), s["last"])).alias("last"),
+            F.when(done, s["start"]).otherwise(s["best"]).alias("best"), F.when(done, s["length"]).otherwise(s["best_length"]).alias("best_length"),
+        )
+
+    def finish(s: Column) -> Column:
+        open_ = s["length"] >= least
+        return F.struct(F.when(open_, s["start"]).otherwise(s["best"]).alias("start"), F.when(open_, s["length"]).otherwise(s["best_length"]).alias("length"))
+
+    return rows.select("doc", F.aggregate("p", start, step, finish).alias("r")).where("r.start is not null").select("doc", "r.start", "r.length")
+
+
+# Fixed value: one number in round brackets.
+ENUMERATOR = r"\(\s*(\d+)\s*\)"
+
+
+def text_enumerators(text: Column) -> Column:
+    """Which of a text's bracketed single numbers, from 0, enumerate a list in one sentence and so cite nothing.
+
+    The list begins at the first 1 that lower-case words follow; a next number belongs to it if it is one more, lower-case words
+    follow it, a separator (colon, semicolon, comma, and, or) stands before it, and no sentence ends between the two. One number is no
+    list.
+    """
+
+    def find(x: Column) -> Column:
+        pieces, numbers = x["pieces"], x["numbers"]
+        item = lambda i: F.ltrim(F.get(pieces, i + 1)).rlike(r"^\p{Ll}")
+        # nothing but white space between two markers is no separator
+        separated = lambda i: F.rtrim(F.get(pieces, i)).rlike(r"[:;,]$|(?<![\p{L}\p{N}_])(?:and|or)$")
+        places = F.when(F.size(numbers) > 0, F.sequence(F.lit(0), F.size(numbers) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.get(F.filter(places, lambda i: (F.get(numbers, i) == 1) & item(i)), 0)
+        goes_on = lambda i: (F.get(numbers, i) == F.get(numbers, i - 1) + 1) & item(i) & separated(i) & ~F.get(pieces, i).rlike(r"[.!?]")
+        stop = F.coalesce(F.get(F.filter(places, lambda i: (i > first) & ~goes_on(i)), 0), F.size(numbers))
+        return F.when(stop - first >= 2, F.sequence(first, stop - 1)).otherwise(F.array().cast("array<int>"))
+
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(ENUMERATOR), F.lit(1)), lambda n: n.try_cast("long"))
+    return F.element_at(F.transform(F.array(F.struct(F.split(text, ENUMERATOR).alias("pieces"), numbers.alias("numbers"))), find), 1)
