@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,36 +69,71 @@ def orphan_comments(comments: DataFrame, anchors: DataFrame) -> DataFrame:
     return comments.join(anchors.select("doc", "id"), ["doc", "id"], "left_anti")
 
 
+def closest(key: str, keys: list[str], counts: np.ndarray, letters: dict[str, int], n: int) -> list[tuple[int, float]]:
+    """Places and ratios of keys that may be among the n of the best matching ratio, equals included.
+
+    A ratio is at most twice the common letters over the lengths. Keys are tried by that bound, until it is below the n-th best.
+    """
+    own = np.zeros(counts.shape[1], dtype=np.int32)
+    for c, k in Counter(key).items():
+        if c in letters:
+            own[letters[c]] = k
+    lengths = counts.sum(1) + len(key)
+    bound = np.where(lengths > 0, 2.0 * np.minimum(counts, own).sum(1) / np.maximum(1, lengths), 1.0)
+    found: list[tuple[int, float]] = []
+    best: list[float] = []
+    for i in np.argsort(-bound, kind="stable"):
+        if len(best) == n and bound[i] < best[0] - 1e-12:
+            break
+        r = SequenceMatcher(None, key, keys[i]).ratio()
+        found.append((int(i), r))
+        heapq.heappush(best, r)
+        if len(best) > n:
+            heapq.heappop(best)
+    return found
+
+
+def _closest(n: int):
+    def search(names: pd.DataFrame, styles: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(names) and len(styles):
+            # keys of one style compete as one: the style's best counts
+            by_key = styles.groupby("key")["style"].agg(list)
+            keys = list(by_key.index)
+            letters = {c: i for i, c in enumerate(sorted(set("".join(keys))))}
+            counts = np.zeros((len(keys), max(1, len(letters))), dtype=np.int32)
+            for i, k in enumerate(keys):
+                for c, m in Counter(k).items():
+                    counts[i, letters[c]] = m
+            most = styles.groupby("style").size().max()
+            for name in names["key"]:
+                ratios: dict[str, float] = {}
+                for i, r in closest(name, keys, counts, letters, n * int(most)):
+                    for style in by_key.iloc[i]:
+                        ratios[style] = max(ratios.get(style, 0.0), r)
+                out += [(name, style, r) for style, r in sorted(ratios.items(), key=lambda x: (-x[1], x[0]))[:n]]
+        return pd.DataFrame(out, columns=["key", "style", "ratio"])
+
+    return search
+
+
 def nearest_styles(names: DataFrame, styles: DataFrame, n: int = 3, chunk: int = 10_000) -> DataFrame:
     """names(name, key) against styles(style, key): the n of the best matching ratio, the smaller id of equals.
 
-    A matching ratio has no index, so every name meets the whole catalogue: ``chunk`` keys at a time go to the names' tasks,
-    each keeping its n best, and the best of the chunks' best are the catalogue's.
+    Blocks of different names meet blocks of the catalogue, ``chunk`` rows each; common letters bound the ratio, so that few pairs are
+    compared in full. Null keys count as empty.
     """
-    kind = names.schema["name"].dataType.simpleString()
-    parts = max(1, -(-styles.count() // chunk))
-    dealt = styles.select("style", "key", F.pmod(F.xxhash64("style"), F.lit(parts)).alias("part"))
-
-    def rank(keys: list[tuple[str, str]]):
-        def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for name, key in zip(b["name"], b["key"], strict=True):
-                    best: dict[str, float] = {}
-                    for style, k in keys:
-                        best[style] = max(best.get(style, 0.0), SequenceMatcher(None, key or "", k or "").ratio())
-                    out += [(name, style, float(r)) for style, r in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n]]
-                yield pd.DataFrame(out, columns=["name", "style", "ratio"])
-
-        return best_of
-
-    found = None
-    for part in range(parts):
-        keys = [(r["style"], r["key"]) for r in dealt.where(F.col("part") == part).select("style", "key").collect()]  # about ``chunk`` rows
-        some = names.select("name", "key").mapInPandas(rank(keys), f"name {kind}, style string, ratio double")
-        found = some if found is None else found.unionByName(some)
-    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ratio"), "style"))
-    return found.groupBy("name", "style").agg(F.max("ratio").alias("ratio")).withColumn("rank", place).where(F.col("rank") <= n)
+    key = F.coalesce("key", F.lit(""))
+    asked, given = names.select(key.alias("key")).distinct(), styles.select(F.col("style").cast("string").alias("style"), key.alias("key")).distinct()
+    parts, slots = max(1, -(-given.count() // chunk)), max(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // chunk))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")).withColumn("part", every(parts))
+    right = given.withColumn("part", F.pmod(F.xxhash64("style"), F.lit(parts)).cast("int")).withColumn("slot", every(slots))
+    search = _closest(n)
+    found = left.groupBy("part", "slot").cogroup(right.groupBy("part", "slot")).applyInPandas(lambda a, b: search(a, b), "key string, style string, ratio double")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ratio"), "style"))
+    best = found.withColumn("rank", place).where(F.col("rank") <= n)
+    return names.select("name", key.alias("key")).join(best, "key").select("name", "style", "ratio", "rank")
 
 
 def _redline(old: str, new: str) -> list[dict]:

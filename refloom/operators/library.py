@@ -85,3 +85,17 @@ def cited_key(doi: Column, title: Column, year: Column, first_author: Column) ->
 def not_yet_cited(rows: DataFrame, cited: DataFrame) -> DataFrame:
     """rows(cited_key) without those whose key is among the cited ones; rows without a key stay."""
     return rows.join(cited.select("cited_key").distinct(), "cited_key", "left_anti").select(*rows.columns)
+
+
+def not_yet_cited_works(works: DataFrame, live: DataFrame) -> DataFrame:
+    """works(doi, title, year, author) without those that live(doi, title, year, author), what a document cites already, has.
+
+    By their key: the DOI, else the title with year and first author. A work without a DOI also goes if any live one has its title, since
+    a live citation may lack year and authors; one with a DOI never goes by its title. Works without DOI and title stay.
+    """
+    title = lambda: none_if_empty(fuzzy_title_key(F.col("title")))
+    key = F.when(none_if_empty(F.trim("doi")).isNotNull() | title().isNotNull(), cited_key(F.col("doi"), F.col("title"), F.col("year"), F.lower("author")))
+    keys = live.select(key.alias("_key")).where("_key is not null").distinct().withColumn("_cited", F.lit(True))
+    titles = live.select(title().alias("_title")).where("_title is not null").distinct().withColumn("_shadow", F.lit(True))
+    met = works.withColumn("_key", key).withColumn("_title", F.when(none_if_empty(F.trim("doi")).isNull(), title())).join(keys, "_key", "left").join(titles, "_title", "left")
+    return met.where("_cited is null and _shadow is null").select(*works.columns)

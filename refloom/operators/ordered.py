@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions.citations import author_year_items, entry_years, first_author_keys
 from refloom.functions.names import compact_surname
+from refloom.lineage import cut
 
 
 def _by_place(*keys: str) -> Window:
@@ -155,3 +156,15 @@ def text_enumerators(text: Column) -> Column:
 
     numbers = F.transform(F.regexp_extract_all(text, F.lit(ENUMERATOR), F.lit(1)), lambda n: n.try_cast("long"))
     return F.element_at(F.transform(F.array(F.struct(F.split(text, ENUMERATOR).alias("pieces"), numbers.alias("numbers"))), find), 1)
+
+
+def number_rows(rows: DataFrame, name: str, *keys: Column) -> DataFrame:
+    """Rows with their number, from 1, in the order of keys, which must tell rows apart: range partitions, sorted and numbered each, with the
+    counts of the partitions before. Only those counts meet in one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    # as many rows as partitions
+    numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*keys))).join(F.broadcast(before), "_part")
+    return numbered.withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")

@@ -415,6 +415,17 @@ def already_cited_anti(spark, sf_dir):
     return library.not_yet_cited(keyed.where("ref % 4 <> 1"), keyed.where("ref % 4 = 1"))
 
 
+_META = f"""SELECT ref, doc, substr(md5(CAST(ref AS STRING)), 1, 1) < '6' AS live, CASE WHEN substr(md5(CAST(ref AS STRING)), 2, 1) < '7' THEN '' ELSE doi END AS doi, CASE WHEN ref % 3 = 0 THEN 'Work ' ELSE 'work: ' END || CAST(ref % 90 AS STRING) AS title,
+  CASE WHEN substr(md5(CAST(ref AS STRING)), 3, 1) < '5' THEN '' ELSE year END AS year, CASE WHEN substr(md5(CAST(ref AS STRING)), 3, 1) < '5' THEN '' ELSE surname END AS author FROM {{refs}}"""
+
+
+@query(f"""WITH m AS ({_META.replace("{refs}", inline("refs"))}), k AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, CASE WHEN doi <> '' THEN 'doi:' || {_doi("doi")} ELSE 'title:' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || '|' || year || '|' || lower(author) END AS key FROM m)
+SELECT ref FROM k WHERE NOT live AND key NOT IN (SELECT key FROM k WHERE live) AND NOT (doi = '' AND t IN (SELECT t FROM k WHERE live))""")
+def already_cited_titles(spark, sf_dir):
+    works = spark.sql(_META, refs=relation(spark, sf_dir, "refs"))
+    return library.not_yet_cited_works(works.where("not live"), works.where("live")).select("ref")
+
+
 @query(f"""WITH f AS (SELECT doc, ref, CASE WHEN ref % 8 < 3 THEN 'high' WHEN ref % 8 < 5 THEN 'medium' WHEN ref % 8 = 5 THEN 'low' ELSE 'none' END AS confidence FROM {inline("refs")})
 SELECT doc, count(*) FILTER (confidence = 'high') AS auto, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence IN ('low', 'none')) AS low FROM f GROUP BY doc""")
 def tier_summary(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from refloom.functions import citations, rendered
-from refloom.operators import services
+from refloom.operators import ordered, services
 from refloom.plans.registry import query
 from refloom.plans.relations import inline, relation
 
@@ -59,11 +59,9 @@ def style_validity(spark, sf_dir):
 
 @query("SELECT brand, title, row_number() OVER (ORDER BY lower(title), brand) AS place FROM (SELECT DISTINCT p_brand AS brand, p_brand || ' ' || p_type AS title FROM part)")
 def listed_styles(spark, sf_dir):
-    """The style catalogue in order of lower-cased names: bounded by the catalogue, so one ordered task is fine."""
-    from pyspark.sql import Window
-
+    """The style catalogue in order of lower-cased names."""
     styles = _part(spark, sf_dir).select(F.col("p_brand").alias("brand"), F.concat_ws(" ", "p_brand", "p_type").alias("title")).distinct()
-    return styles.withColumn("place", F.row_number().over(Window.orderBy(F.lower("title"), "brand")).cast("long"))
+    return ordered.number_rows(styles, "place", F.lower("title"), F.col("brand"))
 
 
 @query(rf"""SELECT pos, '{{"id":"K' || pos || '","type":"article-journal","title":"' || title || '"' || ',"issued":{{"date-parts":[[' || year || ']]}}' || CASE WHEN pos % 2 = 0 THEN ',"container-title":"J \"' || call || '\""' ELSE '' END || CASE WHEN doi <> '' THEN ',"DOI":"' || doi || '"' ELSE '' END || '}}' AS item,
