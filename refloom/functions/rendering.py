@@ -40,11 +40,11 @@ def volume_issue_pages(volume: Column, issue: Column, pages: Column) -> Column:
     return F.concat(v, F.coalesce(F.concat(F.when(v != "", F.lit(":")).otherwise(F.lit("")), filled(pages)), F.lit("")))
 
 
-def vancouver(authors: Column, title: Column, journal: Column, year: Column, volume: Column, issue: Column, pages: Column, pmid: Column, doi: Column) -> Column:
+def vancouver(authors: Column, title: Column, journal: Column, year: Column, volume: Column, issue: Column, pages: Column, pmid: Column, doi: Column, et_al_after: int = ET_AL_AFTER) -> Column:
     """Authors. Title. Journal. Year;Volume(Issue):Pages. doi: ... PMID: ..."""
     where = filled(volume_issue_pages(volume, issue, pages))
     dated = F.nullif(F.concat_ws(";", filled(year), where), F.lit(""))
-    return F.concat_ws(" ", ensure_period(filled(join_authors(authors))), ensure_period(filled(title)), ensure_period(filled(journal)), ensure_period(dated), F.concat(F.lit("doi: "), filled(doi), F.lit(".")), F.concat(F.lit("PMID: "), filled(pmid), F.lit(".")))
+    return F.concat_ws(" ", ensure_period(filled(join_authors(authors, et_al_after))), ensure_period(filled(title)), ensure_period(filled(journal)), ensure_period(dated), F.concat(F.lit("doi: "), filled(doi), F.lit(".")), F.concat(F.lit("PMID: "), filled(pmid), F.lit(".")))
 
 
 def surname(author: Column) -> Column:
@@ -88,6 +88,19 @@ def author_year(authors: Column, title: Column, journal: Column, year: Column, v
     return F.concat_ws(" ", head, ensure_period(filled(title)), ensure_period(F.nullif(where, F.lit(""))), F.concat(F.lit("doi: "), filled(doi), F.lit(".")))
 
 
+def format_reference(style: Column, authors: Column, title: Column, journal: Column, year: Column, volume: Column, issue: Column, pages: Column, pmid: Column, doi: Column, journal_style: Column | None = None, et_al: dict[str, int] | None = None) -> Column:
+    """A reference in the style that its row names: vancouver or author_year; another one is an error. ``et_al`` has how many authors
+    a journal's style lists in vancouver before et al."""
+    fields = (title, journal, year, volume, issue, pages)
+    plain = vancouver(authors, *fields, pmid, doi)
+    listed = plain
+    for name, n in (et_al or {}).items():
+        if journal_style is not None:
+            listed = F.when(journal_style == name, vancouver(authors, *fields, pmid, doi, n)).otherwise(listed)
+    unknown = F.raise_error(F.concat(F.lit("unknown style: "), F.coalesce(style, F.lit("null")))).cast("string")
+    return F.when(style == "vancouver", listed).when(style == "author_year", author_year(authors, *fields, doi)).otherwise(unknown)
+
+
 def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]+>", "")
 

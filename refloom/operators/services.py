@@ -83,6 +83,30 @@ def key_batches(keys: DataFrame, size: int = KEYS_AT_ONCE) -> DataFrame:
     return first.withColumn("_n", nth).withColumn("batch", F.floor(F.col("_n") / size)).groupBy("list", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "key"))), lambda x: x["key"]).alias("keys"))
 
 
+def fetch_batched(asked: DataFrame, records: DataFrame, failed: DataFrame, size: int) -> DataFrame:
+    """asked(list, pos, id) against records(id, ...), fetched in batches of ``size`` different ids a list, in order of first place, of which
+    failed(list, batch) went wrong -> list, pos, id, batch, status (found, missing, degraded) and the record's columns.
+
+    Each asked row has a row. What a failed batch asked for is degraded, not missing: its record isn't known. Of several records of an id
+    the smallest counts.
+    """
+    first = asked.where("id is not null").groupBy("list", "id").agg(F.min("pos").alias("_pos"))
+    nth = F.row_number().over(Window.partitionBy("list").orderBy("_pos", "id")) - 1
+    batches = first.withColumn("batch", F.floor(nth / size)).select("list", "id", "batch").join(failed.select("list", "batch").distinct().withColumn("_bad", F.lit(True)), ["list", "batch"], "left")
+    columns = [c for c in records.columns if c != "id"]
+    one = records.groupBy("id").agg(F.min(F.struct(*columns)).alias("_r"))
+    # a failed batch meets no record
+    met = batches.withColumn("_id", F.when(F.col("_bad").isNull(), F.col("id"))).join(one.withColumnRenamed("id", "_id"), "_id", "left")
+    status = F.when(F.col("_bad"), "degraded").when(F.col("_r").isNull(), "missing").otherwise("found")
+    found = met.select("list", "id", "batch", status.alias("status"), *(F.col(f"_r.{c}").alias(c) for c in columns))
+    return asked.join(found, ["list", "id"], "left").select("list", "pos", "id", "batch", F.coalesce("status", F.lit("missing")).alias("status"), *columns)
+
+
+def fetch_status(fetched: DataFrame) -> DataFrame:
+    """list, n, found, missing, degraded of ``fetch_batched``."""
+    return fetched.groupBy("list").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("status") == x).alias(x) for x in ("found", "missing", "degraded")))
+
+
 def deleted_since(changes: DataFrame, since: int) -> DataFrame:
     """Keys whose deletion came after a version."""
     return changes.where((F.col("op") == "delete") & (F.col("version") > since)).select("key").distinct()

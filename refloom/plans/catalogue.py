@@ -314,6 +314,21 @@ def format_vancouver(spark, sf_dir):
     return _with_authors(spark, sf_dir).select("ref", rendering.vancouver(c("authors"), c("title"), c("journal"), c("year"), c("volume"), c("issue"), c("pages"), c("pmid"), c("doi")).alias("reference"))
 
 
+_STYLE = "CASE WHEN substr(md5(CAST(ref AS STRING)), 1, 1) < '6' THEN 'author_year' ELSE 'vancouver' END"
+_JOURNAL_STYLE = "CASE WHEN substr(md5(CAST(ref AS STRING)), 2, 1) < '5' THEN 'three' WHEN substr(md5(CAST(ref AS STRING)), 2, 1) < '8' THEN 'one' ELSE 'none' END"
+
+
+@query(f"""WITH s AS (SELECT *, {_STYLE} AS style, CASE {_JOURNAL_STYLE} WHEN 'three' THEN 3 WHEN 'one' THEN 1 ELSE 6 END AS most, ref % 9 AS n FROM {inline("refs")}),
+x AS (SELECT *, CASE WHEN style = 'vancouver' THEN most ELSE 6 END AS k, volume || CASE WHEN issue <> '' THEN '(' || issue || ')' ELSE '' END AS vi FROM s),
+y AS (SELECT *, vi || CASE WHEN pages = '' THEN '' WHEN vi <> '' THEN ':' || pages ELSE pages END AS loc, nullif(array_to_string({_AUTHORS}[1:k], ', ') || CASE WHEN n > k THEN ', et al' ELSE '' END, '') AS a FROM x)
+SELECT ref, CASE style WHEN 'vancouver' THEN concat_ws(' ', {_dot("a")}, {_dot("title")}, {_dot("journal")}, concat_ws(';', year, nullif(loc, '')) || '.', 'doi: ' || nullif(doi, '') || '.', 'PMID: ' || nullif(pmid, '') || '.')
+  ELSE concat_ws(' ', coalesce(a, 'Anon') || ' (' || year || ').', {_dot("title")}, {_dot("nullif(concat_ws(', ', regexp_replace(journal, '\\.$', ''), nullif(loc, '')), '')")}, 'doi: ' || nullif(doi, '') || '.') END AS reference FROM y""")
+def styled_references(spark, sf_dir):
+    rows = _with_authors(spark, sf_dir)
+    fields = [F.col(c) for c in ("authors", "title", "journal", "year", "volume", "issue", "pages", "pmid", "doi")]
+    return rows.select("ref", rendering.format_reference(F.expr(_STYLE), *fields, F.expr(_JOURNAL_STYLE), {"three": 3, "one": 1}).alias("reference"))
+
+
 @query(f"""SELECT ref, '(' || CASE ref % 9 WHEN 0 THEN 'Anon' WHEN 1 THEN surname WHEN 2 THEN surname || ' & Other' ELSE surname || ' et al.' END || ', ' || year || ')' AS marker FROM {inline("refs")}""")
 def intext_markers(spark, sf_dir):
     return _with_authors(spark, sf_dir).select("ref", rendering.marker_author_year(F.col("authors"), F.col("year")).alias("marker"))

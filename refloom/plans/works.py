@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from refloom.lineage import cut
-from refloom.operators import documents, library, migration
+from refloom.operators import documents, library, migration, services
 from refloom.plans.catalogue import _doi
 from refloom.plans.registry import query
 from refloom.plans.relations import inline, relation
@@ -87,3 +87,20 @@ def migrated_citations(spark, sf_dir):
     cited = cites.select("source", "doc", "field", "item", doi.alias("doi"), F.when(F.col("way") > 0, F.concat(F.upper("rec_title"), F.lit("!"))).otherwise("").alias("title"))
     out = migration.migrate_citations(cited, _created(_decided(spark, sf_dir)))
     return out.select("doc", "field", "item", F.coalesce("rec", F.lit(-1)).alias("rec"), F.coalesce("key", F.lit("")).alias("key"), "outcome", "status")
+
+
+_ASKED = "(SELECT l_suppkey AS list, CAST(l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS pos, l_partkey * 2 AS id FROM {lineitem})"
+_BROKEN = "substr(md5(CAST(list AS STRING) || '/' || CAST(batch AS STRING)), 1, 1) < '3'"
+_RECORDS = "(SELECT CAST(p_partkey + floor(p_size / 5) AS BIGINT) AS id, p_name AS title, p_brand AS journal FROM {part})"
+
+
+@query(f"""WITH a AS (SELECT * FROM {_ASKED.replace("{lineitem}", "lineitem")}), u AS (SELECT list, id, CAST(floor((row_number() OVER (PARTITION BY list ORDER BY min(pos), id) - 1) / 50) AS BIGINT) AS batch FROM a GROUP BY list, id),
+r AS (SELECT * FROM {_RECORDS.replace("{part}", "part")} QUALIFY row_number() OVER (PARTITION BY id ORDER BY title, journal) = 1)
+SELECT a.list, a.pos, a.id, u.batch, CASE WHEN {_BROKEN.replace("list", "a.list")} THEN 'degraded' WHEN r.id IS NULL THEN 'missing' ELSE 'found' END AS status, CASE WHEN {_BROKEN.replace("list", "a.list")} THEN '' ELSE coalesce(r.title, '') END AS title
+FROM a JOIN u ON u.list = a.list AND u.id = a.id LEFT JOIN r ON r.id = a.id""")
+def fetched_records(spark, sf_dir):
+    asked = spark.sql(f"SELECT * FROM {_ASKED}", lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    records = spark.sql(f"SELECT * FROM {_RECORDS}", part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    # a list's batches: as many as its ids can make
+    most = asked.groupBy("list").agg(F.countDistinct("id").alias("n")).select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 50))).alias("batch"))
+    return services.fetch_batched(asked, records, most.where(_BROKEN), 50).select("list", "pos", "id", "batch", "status", F.coalesce("title", F.lit("")).alias("title"))

@@ -3,9 +3,11 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from refloom.operators import documents, migration
+from refloom.functions import people, rendering
+from refloom.operators import documents, migration, services
 from refloom.sources import docx
 
 
@@ -53,3 +55,26 @@ def test_records_are_merged_by_precedence(spark):
     assert (got[1].title, got[1].doi, got[1].journal, got[1].year, got[1].volume, got[1].pages, got[1].type) == ("Real", "10.1234/o", "J", "2001", "4", "1-9", "article-journal")
     assert [a.literal or a.family for a in got[1].authors] == ["Ng", "Group"] and [(a.family, a.given) for a in got[2].authors] == [("Lee", "Ann B"), ("WHO", "")]
     assert (got[3].title, got[3].pages, got[3].authors) == ("Real", "", [])
+
+
+def test_batches_that_fail_are_degraded(spark):
+    asked = spark.createDataFrame([("l", i, x) for i, x in enumerate(["a", "b", "a", "c", None, "d"])] + [("m", 0, "c")], "list string, pos int, id string")
+    records = spark.createDataFrame([("a", "A"), ("c", "C2"), ("c", "C1"), ("d", "D")], "id string, title string")
+    failed = spark.createDataFrame([("l", 1), ("l", 9)], "list string, batch long")
+    got = services.fetch_batched(asked, records, failed, 2).collect()
+    assert sorted((r.list, r.pos, r.batch, r.status, r.title) for r in got) == [("l", 0, 0, "found", "A"), ("l", 1, 0, "missing", None), ("l", 2, 0, "found", "A"), ("l", 3, 1, "degraded", None), ("l", 4, None, "missing", None), ("l", 5, 1, "degraded", None), ("m", 0, 0, "found", "C1")]
+    assert [tuple(r) for r in services.fetch_status(spark.createDataFrame(got)).orderBy("list").collect()] == [("l", 6, 2, 2, 2), ("m", 1, 1, 0, 0)]
+
+
+def test_a_style_that_nobody_knows_is_an_error(spark):
+    fields = [F.lit(x) for x in ("T", "J", "2001", "1", "", "2-3", "", "")]
+    one = lambda style: spark.range(1).select(rendering.format_reference(F.lit(style), F.array(*map(F.lit, ["A B", "C D"])), *fields, F.lit("short"), {"short": 1})).first()[0]
+    assert one("vancouver") == "A B, et al. T. J. 2001;1:2-3." and one("author_year").startswith("A B, C D (2001). T.")
+    with pytest.raises(Exception, match="unknown style: odd"):
+        one("odd")
+
+
+def test_metadata_of_a_work_to_create(spark):
+    raw = F.struct(F.lit("A <i>big</i> &amp;amp; bold").alias("t"), F.lit(" J &amp; K ").alias("j"), F.array(*map(F.lit, ["SMITH-JONES, ANNA B", "WHO", " ", "McDonald J"])).alias("a"))
+    once = spark.range(1).select(people.normalise_meta(raw["t"], raw["j"], raw["a"]).alias("m")).first().m
+    assert (once.title, once.journal) == ("A big & bold", "J & K") and [(a.family, a.given) for a in once.authors] == [("Smith-Jones", "Anna B"), ("WHO", ""), ("McDonald", "J")]
