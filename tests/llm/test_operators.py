@@ -649,7 +649,7 @@ def test_odd_tables_keep_their_rows(spark, odd, empty):
         assert quality.score_quality(table, q).count() == toxicity.score_toxicity(table, t).count() == langid.identify_languages(table, lang).count() == rows
         assert licenses.scan_licenses(table).count() == lmscore.score_documents(table).count() == neardup.near_duplicates(table).count() == rows
         assert fingerprint.edited_copies(table).count() == rows
-        assert packing.pack(table, path).select("doc_id").distinct().count() == (n - 2 if rows else 0) + 0 or rows
+        assert packing.pack(table, path).select("doc_id").distinct().count() == table.select("doc_id").distinct().count()
     for stage in (lambda d: quality.keep_good(d, q), lambda d: langid.keep_identified(d, lang), neardup.keep_one_of_each, lambda d: decontam.drop_contaminated(d, spark.createDataFrame([(1, "die das und")], "item_id long, text string"))):
         got = stage(odd)
         assert got.columns == odd.columns and got.join(odd.select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null").count() == 0
