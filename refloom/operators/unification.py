@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from refloom.functions.identifiers import none_if_empty, normalise_doi
 from refloom.functions.names import library_title_key
 from refloom.operators import library
+from refloom.operators.edits import citation_code
 
 WORK = ("doc", "source", "id", "item", "title", "doi", "pmid")
 
@@ -185,3 +186,22 @@ def summary(works: DataFrame, placed: DataFrame, held: DataFrame, found: DataFra
     left = (F.col("needs_input") + F.col("unresolved") + F.col("retracted")) > 0
     status = F.when(F.col("problems") > 0, "refused").when(left, "partial").otherwise("applied")
     return out.select("doc", status.alias("status"), "replaced", "matched", "added", "needs_input", "retracted", "unresolved", "problems")
+
+
+def cite_into(requests: DataFrame, index: DataFrame, found: DataFrame, paragraphs: DataFrame, base: Column) -> DataFrame:
+    """requests(doc, request, anchor, identifiers) -> doc, request, status, keys, para, before, code, after: one citation field for all of a
+    request's identifiers, behind the anchor's text.
+
+    found(doc, anchor, n, para) is what ``workflows.find_anchor`` says of the anchors, index the library's. A request whose identifiers
+    are malformed or not all in the library, or whose anchor isn't in one place, inserts nothing. Items keep their order.
+    """
+    each = requests.select("doc", "request", F.posexplode_outer("identifiers").alias("item", "raw")).withColumn("given", given_identifier(F.col("raw")))
+    known = index.select("kind", "value", "key").unionByName(index.select(F.lit("key").alias("kind"), F.col("key").alias("value"), "key").distinct())
+    met = each.withColumns({"_kind": F.col("given.kind"), "_value": F.col("given.value")}).join(known.toDF("_kind", "_value", "_key"), ["_kind", "_value"], "left")
+    per = met.groupBy("doc", "request").agg(F.max(F.col("given").isNull()).alias("_odd"), F.max(F.col("_key").isNull()).alias("_lost"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("item", "_key")))), lambda x: x["_key"]).alias("keys"))
+    rows = requests.select("doc", "request", "anchor").join(per, ["doc", "request"]).join(found, ["doc", "anchor"], "left").join(paragraphs.select("doc", "para", "text"), ["doc", "para"], "left")
+    status = F.when(F.col("_odd"), "malformed").when(F.col("_lost"), "no such item").when(F.coalesce("n", F.lit(0)) == 0, "not found").when(F.col("para").isNull(), "not unique").otherwise("inserted")
+    at = F.instr("text", F.col("anchor")) + F.length("anchor") - 1
+    rows = rows.withColumn("status", status)
+    only = lambda x: F.when(F.col("status") == "inserted", x)
+    return rows.select("doc", "request", "status", only(F.col("keys")).alias("keys"), only(F.col("para")).alias("para"), only(F.substr(F.col("text"), F.lit(1), at)).alias("before"), only(citation_code(F.col("keys"), base)).alias("code"), only(F.substr(F.col("text"), at + 1)).alias("after"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions.rendering import marker_numbers
 from refloom.lineage import cut
-from refloom.operators import library, unification
+from refloom.operators import library, unification, workflows
 from refloom.plans.catalogue import _INDEX, _doi
 from refloom.plans.registry import query
 from refloom.plans.relations import SQL, inline, relation
@@ -164,3 +164,22 @@ def unify_summary(spark, sf_dir):
     found = _found(inputs)
     works = _works(spark, sf_dir, inputs, found)
     return unification.summary(works, _placed(inputs, works), unification.place_placeholders(relation(spark, sf_dir, "unify_held"), works), found)
+
+
+_REQUESTS = f"""(SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc, p_partkey AS request, CASE WHEN {_digit("e", "p_partkey")} < 8 THEN p_name WHEN {_digit("e", "p_partkey")} < 10 THEN 'Results' WHEN {_digit("e", "p_partkey")} < 12 THEN ' and more of ' ELSE 'nowhere to be found' END AS anchor,
+  CASE WHEN {_digit("f", "p_partkey")} = 0 THEN 'x y' WHEN {_digit("f", "p_partkey")} < 4 THEN 'K' || lpad(CAST(p_partkey * 7 % 230 AS STRING), 7, '0') WHEN {_digit("f", "p_partkey")} < 8 THEN 'PMID ' || CAST(10000000 + p_partkey * 4 % 200 + 2 AS STRING) ELSE 'doi:10.1234/P.' || CAST(p_partkey * 4 % 200 AS STRING) END AS one,
+  CASE WHEN {_digit("h", "p_partkey")} < 4 THEN 'K' || lpad(CAST(p_partkey * 3 % 200 AS STRING), 7, '0') END AS two FROM {{part}})"""
+
+
+@query(rf"""WITH d AS (SELECT * FROM {inline("draft")}), r AS (SELECT * FROM {_REQUESTS.replace("{part}", "part")}), ix AS (SELECT * FROM {_INDEX}),
+a AS (SELECT r.doc, r.request, count(*) FILTER (style NOT LIKE 'TOC%') AS body, count(*) AS n, min(para) AS p, min(para) FILTER (style NOT LIKE 'TOC%') AS b FROM r JOIN d ON d.doc = r.doc AND contains(d.text, r.anchor) GROUP BY 1, 2),
+k AS (SELECT r.*, CASE WHEN one LIKE 'x%' THEN NULL WHEN one LIKE 'K%' THEN (SELECT min(key) FROM ix WHERE key = one) WHEN one LIKE 'PMID%' THEN (SELECT min(key) FROM ix WHERE kind = 'pmid' AND value = one[6:]) ELSE (SELECT min(key) FROM ix WHERE kind = 'doi' AND value = lower(one[5:])) END AS k1, (SELECT min(key) FROM ix WHERE key = two) AS k2 FROM r),
+s AS (SELECT k.*, CASE WHEN body = 1 THEN b WHEN n = 1 THEN p END AS para, CASE WHEN one LIKE 'x%' THEN 'malformed' WHEN k1 IS NULL OR (two IS NOT NULL AND k2 IS NULL) THEN 'no such item' WHEN n IS NULL THEN 'not found' WHEN NOT (body = 1 OR n = 1) THEN 'not unique' ELSE 'inserted' END AS status FROM k LEFT JOIN a ON a.doc = k.doc AND a.request = k.request)
+SELECT s.doc, request, status, CASE WHEN status = 'inserted' THEN concat_ws(',', k1, k2) ELSE '' END AS keys, CASE WHEN status = 'inserted' THEN text[1:strpos(text, anchor) + length(anchor) - 1] || '|' || text[strpos(text, anchor) + length(anchor):] ELSE '' END AS text
+FROM s LEFT JOIN d ON d.doc = s.doc AND d.para = s.para""")
+def cited_into(spark, sf_dir):
+    requests = spark.sql(f"SELECT * FROM {_REQUESTS}", part=spark.read.parquet(f"{sf_dir}/part.parquet")).withColumn("identifiers", F.array_compact(F.array("one", "two")))
+    draft = relation(spark, sf_dir, "draft").withColumn("is_toc", F.col("style").startswith("TOC"))
+    found = workflows.find_anchor(requests.select("doc", "anchor").distinct(), draft)
+    out = unification.cite_into(requests, library.build_indexes(relation(spark, sf_dir, "lib_items")), found, draft, F.lit("http://x/"))
+    return out.select("doc", "request", "status", F.coalesce(F.array_join("keys", ","), F.lit("")).alias("keys"), F.coalesce(F.concat("before", F.lit("|"), "after"), F.lit("")).alias("text"))

@@ -95,3 +95,13 @@ def test_gates_leave_markers_as_text(applied, case):
 
 def test_nothing_to_do(spark):
     assert outcomes(spark, {}) == ([], [], [], [])
+
+
+def test_one_field_for_all_items_of_a_request(spark):
+    requests = [(1, "here", ["KKKKKKKK", "doi:10.1234/K"]), (2, "here", ["10.1234/none"]), (3, "here", ["odd one"]), (4, "gone", ["KKKKKKKK"]), (5, "twice", ["KKKKKKKK"]), (6, "here", [])]
+    asked = spark.createDataFrame([("d", *r) for r in requests], "doc string, request int, anchor string, identifiers array<string>")
+    found = spark.createDataFrame([("d", "here", 1, 4), ("d", "twice", 2, None)], "doc string, anchor string, n long, para int")
+    index = spark.createDataFrame([("doi", "10.1234/k", "KKKKKKKK")], "kind string, value string, key string")
+    got = {r.request: r for r in u.cite_into(asked, index, found, spark.createDataFrame([("d", 4, "put it here, please")], "doc string, para int, text string"), F.lit("http://x/")).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "inserted", 2: "no such item", 3: "malformed", 4: "not found", 5: "not unique", 6: "malformed"}
+    assert (got[1].before, got[1].after, got[1]["keys"]) == ("put it here", ", please", ["KKKKKKKK", "KKKKKKKK"]) and got[1].code.startswith("ADDIN ZOTERO_ITEM") and got[2].code is None
