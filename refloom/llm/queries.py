@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import decontam, fingerprint, hardneg, htmltext, langid, licenses, lmscore, neardup, packing, quality, toxicity, turntrie, vecdup
+from refloom.llm import decontam, fingerprint, hardneg, htmltext, langid, licenses, neardup, ngramtables, packing, quality, toxicity, turntrie, vecdup
 from refloom.llm.base import table
 
 
@@ -35,7 +35,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score_documents(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+    return ngramtables.backoff_scores(table(spark, sf_dir, "documents"), order=2).withColumn("score", F.round("score", 6))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from refloom.llm import base, components, decontam, fingerprint, htmltext, langid, licenses, lmscore, neardup, packing, quality, toxicity
+from refloom.llm import base, components, decontam, fingerprint, htmltext, langid, licenses, lmscore, neardup, ngramtables, packing, quality, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -179,6 +179,36 @@ def test_language_model_scores_match_brute_force(docs, empty):
     assert lmscore.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_relational_scores_match_brute_force(spark, empty, order):
+    texts = [None, "", " \t", "a", "b b", "A  b", *("a b" * (i % 3) + " c" * (i % 4) + " d a b c" * (i % 2) + f" x{i % 5}" for i in range(30)), "a b " * 500]
+    docs = spark.createDataFrame([(None if i == 9 else i // 2, t, "w") for i, t in enumerate(texts)], "doc_id long, text string, n string")
+    counts = [Counter() for _ in range(order + 1)]
+    padded = [(("",) * (order - 1) + tuple(words(t))) for t in texts]
+    for p in padded:
+        for i in range(order - 1, len(p)):
+            for k in range(1, order + 1):
+                counts[k][p[i - k + 1 : i + 1]] += 1
+    for k in range(1, order):
+        counts[k][("",) * k] = sum(len(p) >= order for p in padded)
+    total = sum(c for g, c in counts[1].items() if g != ("",))
+
+    def log_s(gram):
+        if len(gram) == 1:
+            return math.log(counts[1][gram] / total)
+        if counts[len(gram)][gram] >= 2:
+            return math.log(counts[len(gram)][gram] / counts[len(gram) - 1][gram[:-1]])
+        return math.log(0.4) + log_s(gram[1:])
+
+    want = Counter()
+    for i, p in enumerate(padded):
+        s = [log_s(p[j - order + 1 : j + 1]) for j in range(order - 1, len(p))]
+        want[None if i == 9 else i // 2, len(s), round(sum(s) / len(s), 9) if s else None] += 1
+    got = Counter((r.doc_id, r.n_tokens, None if r.score is None else round(r.score, 9)) for r in ngramtables.backoff_scores(docs, order).collect())
+    assert got == want
+    assert ngramtables.backoff_scores(empty, order).count() == 0
+
+
 def test_contained_items_are_found_in_long_documents(spark, empty):
     rng = np.random.default_rng(9)
     items = [(i, random_text(rng, int(n), 5000), "z") for i, n in enumerate([6, 12, 40, 80])] + [(4, "three little words", "z"), (5, None, "z"), (6, "", "z")]
