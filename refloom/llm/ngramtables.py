@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.base import prepare
+from refloom.llm.base import mix, prepare
 from refloom.llm.lmscore import BACKOFF, MIN_COUNT, word_ids
 
 _START, _NONE = 1, 2
@@ -47,7 +47,10 @@ def exploded(docs: DataFrame, order: int) -> DataFrame:
                 w = word_ids(text).astype(np.int64)
                 if len(w):
                     padded = np.concatenate([np.full(order - 1, _START, dtype=np.int64), w])
-                    found, n = np.unique(np.lib.stride_tricks.sliding_window_view(padded, order), axis=0, return_counts=True)
+                    windows = np.lib.stride_tricks.sliding_window_view(padded, order)
+                    keys = reduce(lambda k, i: mix(k + windows[:, i].astype(np.uint64)), range(order), np.zeros(len(w), dtype=np.uint64))
+                    _, at, n = np.unique(keys, return_index=True, return_counts=True)
+                    found = windows[at]
                 else:
                     found, n = np.full((1, order), _NONE, dtype=np.int64), np.zeros(1, dtype=np.int64)
                     found[0, 0] = -1 - row
