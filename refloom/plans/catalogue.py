@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from refloom.functions import identifiers as ident
 from refloom.functions import names, rendering
 from refloom.operators import documents, library, ordered, resolver, retractions
-from refloom.plans import drafts, exchanges, manuscripts, markup, references, runs  # noqa: F401
+from refloom.plans import drafts, exchanges, files, manuscripts, markup, references, runs  # noqa: F401
 from refloom.plans.registry import ORACLES, oracle_sql, queries, query  # noqa: F401
 from refloom.plans.relations import inline, relation
 
