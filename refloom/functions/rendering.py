@@ -25,6 +25,22 @@ def year_in(raw: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(raw, r"\d{4}", 0), F.lit("")), filled(raw))
 
 
+def year_run(raw: Column) -> Column:
+    """The first four digits in a row, else null: what has no year shows none."""
+    return F.nullif(F.regexp_extract(raw, r"\d{4}", 0), F.lit(""))
+
+
+def year_of_century(raw: Column) -> Column:
+    """The first number of four digits, no more, that begins with 19 or 20, else null."""
+    return F.nullif(F.regexp_extract(raw, r"(?<!\d)(?:19|20)\d{2}(?!\d)", 0), F.lit(""))
+
+
+def year_of_issue(issued: Column) -> Column:
+    """The year of a work's JSON date: of its parts (a number in any spelling, else as it is), else its raw text, else null."""
+    first = filled(F.get_json_object(issued, "$.date-parts[0][0]"))
+    return F.coalesce(first.try_cast("int").cast("string"), first, filled(F.get_json_object(issued, "$.raw")))
+
+
 def ensure_period(x: Column) -> Column:
     return F.when(x.rlike(r"[.?!]$"), x).otherwise(F.concat(x, F.lit(".")))
 

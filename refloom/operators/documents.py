@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions.citations import payload_pmid, word_tag
 from refloom.functions.identifiers import none_if_empty, normalise_doi
+from refloom.functions.rendering import excerpt
 
 ITEM = "id STRING, uris ARRAY<STRING>, itemData STRUCT<title: STRING, DOI: STRING, PMID: STRING, note: STRING>"
 CITATION = f"citationID STRING, citationItems ARRAY<STRUCT<{', '.join(p.replace(' ', ': ', 1) for p in ITEM.split(', ', 2))}>>"
@@ -58,6 +59,21 @@ def manager_counts(found: DataFrame) -> DataFrame:
     return by.agg(*(F.count_if(F.col("manager") == m).alias(m) for m in ("zotero", "mendeley", "endnote", "word")))
 
 
+def citation_sources(found: DataFrame, manual: DataFrame) -> DataFrame:
+    """fields(doc, pos, instruction) and manual references(doc, para, text, doi, title) -> doc, manager, place, excerpt, doi, title,
+    low_confidence: a row for each citation; one without a field is of manager ``manual`` and only a guess. Other fields have none.
+    Of a field with several works the first one's identifiers are given; a malformed payload has none."""
+    by = found.withColumn("manager", manager(F.col("instruction"))).where("manager is not null")
+    first = cited_items(by).where("item = 0").select("doc", "pos", "doi", "title")
+    fields_ = by.join(first, ["doc", "pos"], "left").select("doc", "manager", F.col("pos").cast("long").alias("place"), excerpt(F.col("instruction")).alias("excerpt"), "doi", "title", F.lit(False).alias("low_confidence"))
+    return fields_.unionByName(manual.select("doc", F.lit("manual").alias("manager"), F.col("para").cast("long").alias("place"), excerpt(F.col("text")).alias("excerpt"), "doi", "title", F.lit(True).alias("low_confidence")))
+
+
+def source_counts(sources: DataFrame) -> DataFrame:
+    """doc and how many citations each manager has, and how many are manual."""
+    return sources.groupBy("doc").agg(*(F.count_if(F.col("manager") == m).alias(m) for m in ("zotero", "mendeley", "endnote", "word", "manual")))
+
+
 def cited_items(found: DataFrame) -> DataFrame:
     """doc, pos, item, key, title, doi of the works that fields cite; malformed payloads are skipped."""
     parsed = found.select("doc", "pos", F.from_json(F.regexp_extract("instruction", r"(?s)\{.*\}", 0), CITATION).alias("c")).where("c.citationItems is not null")

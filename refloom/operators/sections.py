@@ -9,9 +9,11 @@ from refloom.functions.citations import NAME
 from refloom.functions.identifiers import DOI
 from refloom.functions.rendering import filled
 from refloom.functions.shapes import ENUMERATED, SECTION_WORD, is_heading_shape, is_heading_style, rough_title
+from refloom.operators.revisions import nested_fields
 
-# How early a label stands in its line, and what an enumerator of a top-level section looks like.
+# How early a label stands in its line, what an enumerator of a top-level section looks like, particles of surnames.
 LABEL_WITHIN = 60
+PARTICLES = "van|von|de|der|den|del|della|di|da|la|le|du"
 TOP_LEVEL = r"^\s*(?:[A-Za-z]|[IVXivx]{2,4}|\d{1,2})[.)]\s+"
 AFTER_LABEL = r"^[ \t.:;)\]}\-–—]*$"
 REFERENCE_HEADING = r"(?i)^\s*(?:\d+\.?\s+)?(?:references|bibliography|works cited|literature cited|reference list)\s*:?\s*$"
@@ -96,6 +98,26 @@ def contents_paragraphs(paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
     return both.withColumn("inside", inside).where("own").select("doc", "para", (F.col("inside") | F.coalesce(F.lower("style").startswith("toc"), F.lit(False))).alias("is_toc"))
 
 
+def token_contents(tokens: DataFrame) -> DataFrame:
+    """doc, part, para, is_toc of the paragraphs of tokens (``sources.docx``): a contents style, a simple contents field, or text shown
+    inside a complete contents field (whatever fields are open within it) or a content control of the contents gallery.
+
+    A paragraph that only has the field's end isn't part of the contents. Copies for old readers don't count. All is sums within
+    a part; fields that stay open hold nothing.
+    """
+    contents = lambda c: F.upper(F.trim(c)).rlike(r"^TOC(?:$|[ \\])")
+    by_part = Window.partitionBy("doc", "part")
+    rows = tokens.withColumn("place", F.row_number().over(by_part.orderBy("pos")))
+    spans = nested_fields(tokens).where(contents(F.col("instruction"))).select("doc", "part", F.explode(F.array(F.struct(F.col("begin").alias("place"), F.lit(1).alias("d")), F.struct(F.col("end").alias("place"), F.lit(-1).alias("d")))).alias("s"))
+    steps = spans.groupBy("doc", "part", "s.place").agg(F.sum("s.d").alias("_d"))
+    gallery = F.when(F.col("kind") == "toc", F.when(F.col("text") == "begin", 1).otherwise(-1)).otherwise(0)
+    shown = (F.col("kind") == "t") & (~F.col("in_fallback") if "in_fallback" in tokens.columns else F.lit(True))
+    open_ = F.sum(F.coalesce("_d", F.lit(0)) + gallery).over(by_part.orderBy("place")) > 0
+    style = F.coalesce(F.col("pstyle").startswith("TOC"), F.lit(False)) if "pstyle" in tokens.columns else F.lit(False)
+    met = rows.join(steps, ["doc", "part", "place"], "left").withColumn("_in", (open_ & shown) | style | ((F.col("kind") == "fldsimple") & contents(F.coalesce("text", F.lit("")))))
+    return met.where("kind <> 'toc'").groupBy("doc", "part", "para").agg(F.max(F.coalesce("_in", F.lit(False))).alias("is_toc"))
+
+
 def live_renderings(fields: DataFrame) -> DataFrame:
     """doc, text: what citation fields(doc, instruction) show, distinct; malformed payloads show nothing."""
     payload = F.from_json(F.regexp_extract("instruction", r"(?s)\{.*\}", 0), "properties STRUCT<formattedCitation: STRING, plainCitation: STRING>")
@@ -114,7 +136,7 @@ def has_bibliography(fields: DataFrame) -> DataFrame:
 
 def enumerated_author_groups(entry: Column) -> Column:
     """How many "Surname AB" groups lead an entry, one after a comma each, up to the one that a full stop or the end closes."""
-    group = r"\s*(?:(?:van|von|de|der|den|del|della|di|da|la|le|du)\s+)*[A-Z][A-Za-z'\-]+(?:\s+(?:van|von|de|der|den|del|della|di|da|la|le|du)\b)*\s+(?:[A-Z]\.?){1,4}\s*"
+    group = rf"\s*(?:(?:{PARTICLES})\s+)*[A-Z][A-Za-z'\-]+(?:\s+(?:{PARTICLES})\b)*\s+(?:[A-Z]\.?){{1,4}}\s*"
     bare = F.trim(F.regexp_replace(entry, r"^\s*(?:\[\s*\d+\s*\]|\(?\d+\)\.?|\d+\.)\s+", ""))
     led = F.regexp_extract(bare, rf"^((?:{group},)*(?:{group}(?:\.|$))?)", 1)
     return F.regexp_count(led, F.lit(rf"{group}(?:,|\.|$)"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+WINDOW_FORM = "%Y-%m-%d %H:%M:%S"
 SEVERITIES = ("ERROR", "WARN", "INFO")
 #: Above this many rows a small side is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -102,6 +105,26 @@ def spread_times(events: DataFrame, start: str, stop: str) -> DataFrame:
     return rows.withColumn("at", F.timestamp_seconds(a + F.floor((b - a) * share))).drop("gap", "n", "k")
 
 
+def spread_marks(marks: DataFrame, author: str, start: str, stop: str, least_minutes: int = 15) -> DataFrame:
+    """marks(doc, mark, kind, author, para, pos, at) with ``at`` of one author's marks spread from start to stop, others' as they were.
+
+    The tracked marks of a paragraph are one edit and share a time; each comment (kind ``comment``, placed where its range begins) has
+    its own, before the paragraph's edit; comments without a place come last, by mark. A window shorter than ``least_minutes`` begins
+    earlier; one that begins after its end is refused.
+    """
+    begin, end = (datetime.strptime(x, WINDOW_FORM) for x in (start, stop))
+    if begin > end:
+        raise ValueError(f"the window begins at {start}, after its end at {stop}")
+    begin = min(begin, end - timedelta(minutes=least_minutes))
+    comment = F.col("kind") == "comment"
+    of_comment = lambda c: F.when(comment, F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
+    edit = F.struct(F.col("para").isNull().alias("lost"), F.coalesce("para", F.lit(0)).alias("para"), (~comment).alias("edit"), of_comment("pos").alias("pos"), of_comment("mark").alias("mark"))
+    rows = marks.withColumn("_edit", F.when(F.col("author") == author, edit))
+    events = rows.where("_edit is not null").select("doc", F.col("_edit").alias("place")).distinct()
+    timed = spread_times(events, begin.strftime(WINDOW_FORM), end.strftime(WINDOW_FORM)).select("doc", F.col("place").alias("_edit"), F.col("at").alias("_at"))
+    return rows.join(timed, ["doc", "_edit"], "left").select(*(F.coalesce("_at", "at").alias("at") if c == "at" else F.col(c) for c in marks.columns))
+
+
 def versioned_write(items: DataFrame, patches: DataFrame) -> DataFrame:
     """patches(key, base_version, value) on items(key, version): written where the version is still the base, else conflict; missing without an item."""
     return patches.join(items.select("key", "version"), "key", "left").withColumn("outcome", F.when(F.col("version").isNull(), "missing").when(F.col("version") == F.col("base_version"), "written").otherwise("conflict"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from refloom.operators import edits, sections, workflows
+from refloom.operators import documents, edits, sections, workflows
 from refloom.plans.registry import query
 from refloom.plans.relations import inline, relation
 
@@ -167,3 +167,29 @@ def saved_packages(spark, sf_dir):
     d = relation(spark, sf_dir, "draft").select("doc", F.concat(F.lit("part"), "para").alias("name"), F.col("size").alias("crc"), F.lit("text/xml").alias("kind"), "size")
     changed = d.where("size % 3 <> 2").withColumn("crc", F.when(F.col("size") % 3 == 1, F.col("crc") + 1).otherwise(F.col("crc")))
     return edits.saved_parts(d.where("size % 5 <> 0"), changed)
+
+
+_CODE = "CASE size % 4 WHEN 0 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION  ' || translate('<\"citationItems\":[<\"id\":\"1\",\"itemData\":<\"DOI\":\"10.1/' || CAST(para AS STRING) || '\",\"title\":\"T\">>]>', '<>', chr(123) || chr(125)) WHEN 1 THEN 'CITATION Abc20' WHEN 2 THEN 'PAGEREF x' ELSE 'ADDIN EN.CITE ' || text END"
+_SOURCES = rf"""h AS (SELECT doc, max(para) AS head FROM {_DRAFT} WHERE text = 'References' GROUP BY doc),
+cited AS (SELECT doc, para, text, size, {_CODE} AS code FROM {_DRAFT} WHERE size % 6 = 1 AND size % 4 <> 2),
+typed AS (SELECT d.doc, para, text, CASE WHEN para = 5 THEN lower(regexp_extract(text, '10\.1234/P\.\d+')) END AS doi FROM {_DRAFT} d LEFT JOIN h USING (doc) WHERE (head IS NULL OR para < head) AND size % 6 <> 1
+  AND (para IN (3, 5, 6, 18, 19, 20) OR (para = 4 AND regexp_matches(text, '^(?:2\.|[12]\))')))),
+found AS (SELECT doc, CASE size % 4 WHEN 0 THEN 'zotero' WHEN 1 THEN 'word' ELSE 'endnote' END AS manager, CAST(para AS BIGINT) AS place, trim(regexp_replace(code, '\s+', ' ', 'g')) AS x, CASE WHEN size % 4 = 0 THEN '10.1/' || para END AS doi, false AS low_confidence FROM cited
+  UNION ALL SELECT doc, 'manual', para, trim(regexp_replace(text, '\s+', ' ', 'g')), doi, true FROM typed)"""
+
+
+def _citation_sources(spark, sf_dir):
+    d = relation(spark, sf_dir, "draft")
+    with_field = d.where("size % 6 = 1")
+    typed = sections.manual_references(d, with_field, sections.reference_region(d)).join(d.select("doc", "para", "text"), ["doc", "para"])
+    return documents.citation_sources(with_field.select("doc", F.col("para").alias("pos"), F.expr(_CODE).alias("instruction")), typed)
+
+
+@query(f"WITH {_SOURCES} SELECT doc, manager, place, CASE WHEN length(x) > 140 THEN x[1:140] || '…' ELSE x END AS excerpt, doi, low_confidence FROM found")
+def citation_source_rows(spark, sf_dir):
+    return _citation_sources(spark, sf_dir).drop("title")
+
+
+@query(f"""WITH {_SOURCES} SELECT doc, count(*) FILTER (manager = 'zotero') AS zotero, count(*) FILTER (manager = 'mendeley') AS mendeley, count(*) FILTER (manager = 'endnote') AS endnote, count(*) FILTER (manager = 'word') AS word, count(*) FILTER (manager = 'manual') AS manual FROM found GROUP BY doc""")
+def citation_source_counts(spark, sf_dir):
+    return documents.source_counts(_citation_sources(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from refloom.functions import payloads, people, shapes
+from refloom.functions import payloads, people, rendering, shapes
 from refloom.operators import items, workflows
 from refloom.plans.registry import query
 from refloom.plans.relations import inline, relation
@@ -350,3 +350,31 @@ def figure_references(spark, sf_dir):
     text = F.expr(f"CASE p_partkey % 4 WHEN 0 THEN 'see Figs. ' || {n} || '-' || CAST(p_size + 2 AS STRING) || '.' WHEN 1 THEN 'Figure ' || {n} || ', 100 cells (Tables 2 and 4)' WHEN 2 THEN 'Fig. S1' ELSE 'Figures 60 and 61.' END")
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", joined(shapes.figure_numbers(text)).alias("figures"), joined(shapes.table_numbers(text)).alias("tables"))
+
+
+_MARKS = "(SELECT conv_id AS doc, turn AS mark, CASE WHEN turn % 3 = 0 THEN 'comment' ELSE 'ins' END AS kind, role AS author, CASE WHEN turn % 9 = 3 THEN NULL ELSE turn - turn % 4 END AS para, turn AS pos FROM (SELECT conv_id, turn, min(role) AS role FROM {} WHERE turn IS NOT NULL GROUP BY conv_id, turn))"
+
+
+@query(rf"""WITH m AS (SELECT *, author = 'user' AS own, CASE WHEN kind = 'comment' THEN [CAST(para IS NULL AS INT), coalesce(para, 0), 0, pos, mark] ELSE [CAST(para IS NULL AS INT), coalesce(para, 0), 1, 0, 0] END AS e FROM {_MARKS.format("conversations")}),
+k AS (SELECT doc, e, row_number() OVER (PARTITION BY doc ORDER BY e) AS k, count(*) OVER (PARTITION BY doc) AS n FROM (SELECT DISTINCT doc, e FROM m WHERE own)),
+g AS (SELECT *, CASE WHEN k < 2 THEN 0 ELSE 0.55::DOUBLE + 0.9::DOUBLE * ((('0x' || left(sha1('gf-spread-' || (k - 2)), 8))::BIGINT % 10000) / 10000.0::DOUBLE) END AS g FROM k),
+t AS (SELECT doc, e, strftime(TIMESTAMP '2024-01-01 09:45:00' + to_seconds(CAST(floor(900 * CASE WHEN k = n THEN 1.0::DOUBLE ELSE sum(g) OVER (PARTITION BY doc ORDER BY k) / sum(g) OVER (PARTITION BY doc) END) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS at FROM g)
+SELECT m.doc, m.mark, coalesce(t.at, '2020-01-01 00:00:00') AS at FROM m LEFT JOIN t ON m.own AND t.doc = m.doc AND t.e = m.e""")
+def author_marks_spread(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn is not null").groupBy("conv_id", "turn").agg(F.min("role").alias("author"))
+    turn = F.col("turn")
+    marks = turns.select(F.col("conv_id").alias("doc"), turn.alias("mark"), F.when(turn % 3 == 0, "comment").otherwise("ins").alias("kind"), "author", F.when(turn % 9 != 3, turn - turn % 4).alias("para"), turn.alias("pos"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("at"))
+    # five minutes are less than the least window, so it begins at 09:45
+    return workflows.spread_marks(marks, "user", "2024-01-01 09:55:00", "2024-01-01 10:00:00").select("doc", "mark", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+_DATES = "CASE pos % 7 WHEN 0 THEN 'in press' WHEN 1 THEN 'c' || date WHEN 2 THEN '12019' WHEN 3 THEN '1850-1899, 1901' WHEN 4 THEN '' WHEN 5 THEN '21' ELSE date END"
+_ISSUED = "CASE pos % 5 WHEN 0 THEN '<\"date-parts\":[[' || CAST(1990 + pos % 30 AS STRING) || ',3]]>' WHEN 1 THEN '<\"date-parts\":[[\"0' || CAST(1990 + pos % 30 AS STRING) || '\"]]>' WHEN 2 THEN '<\"date-parts\":[],\"raw\":\"May 2001\">' WHEN 3 THEN '<\"date-parts\":[[\"c. 1990\"]],\"raw\":\"x\">' ELSE '<' END"
+
+
+@query(rf"""WITH d AS (SELECT pos, {_DATES} AS d FROM {inline("notices")})
+SELECT pos, nullif(regexp_extract(d, '\d{{4}}'), '') AS run, [y FOR y IN regexp_extract_all(d, '\d+') IF length(y) = 4 AND left(y, 2) IN ('19', '20')][1] AS century,
+  CASE pos % 5 WHEN 2 THEN 'May 2001' WHEN 3 THEN 'c. 1990' WHEN 4 THEN NULL ELSE CAST(1990 + pos % 30 AS VARCHAR) END AS issued FROM d""")
+def year_variants(spark, sf_dir):
+    d = relation(spark, sf_dir, "notices").select("pos", F.expr(_DATES).alias("d"), F.translate(F.expr(_ISSUED), "<>", "{}").alias("i"))
+    return d.select("pos", rendering.year_run(F.col("d")).alias("run"), rendering.year_of_century(F.col("d")).alias("century"), rendering.year_of_issue(F.col("i")).alias("issued"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from refloom.operators import revisions, workflows
+from refloom.operators import revisions, sections, workflows
 from refloom.plans.registry import query
 from refloom.plans.relations import inline, relation
 
@@ -114,3 +114,14 @@ def edited_paragraphs(spark, sf_dir):
     edits, draft = _placed(spark, sf_dir)
     out = revisions.edit_paragraphs(draft.select("doc", "para", "text", "style"), edits.where("status = 'placed'"))
     return out.select("doc", "place", "op", F.coalesce("style", F.lit("")).alias("style"), "text")
+
+
+@query(f"""WITH {_T}, own AS (SELECT t.doc, t.place, t.kind, t.text, max(f.first) AS owner FROM t JOIN f ON f.doc = t.doc AND f.first < t.place AND coalesce(f.last > t.place, true) WHERE t.kind = 'instr' OR (t.kind = 'fld' AND t.text = 'separate') GROUP BY ALL),
+cut AS (SELECT doc, owner, min(place) AS cut FROM own WHERE kind = 'fld' GROUP BY ALL),
+code AS (SELECT o.doc, o.owner, upper(trim(replace(string_agg(text, '' ORDER BY place), 'PAGEREF _T', 'TOC x'))) AS code FROM own o LEFT JOIN cut c ON c.doc = o.doc AND c.owner = o.owner WHERE kind = 'instr' AND coalesce(place < cut, true) GROUP BY o.doc, o.owner),
+toc AS (SELECT f.* FROM f JOIN code c ON c.doc = f.doc AND c.owner = f.first WHERE last IS NOT NULL AND (code = 'TOC' OR left(code, 4) = 'TOC ')),
+shown AS (SELECT DISTINCT t.doc, t.para FROM t JOIN toc ON toc.doc = t.doc AND toc.first < t.place AND toc.last > t.place WHERE t.kind = 't')
+SELECT t.doc, t.para, bool_or(s.doc IS NOT NULL) AS is_toc FROM t LEFT JOIN shown s ON s.doc = t.doc AND s.para = t.para GROUP BY t.doc, t.para""")
+def contents_of_tokens(spark, sf_dir):
+    t = relation(spark, sf_dir, "tokens").withColumn("text", F.when(F.col("kind") == "instr", F.replace("text", F.lit("PAGEREF _T"), F.lit("TOC x"))).otherwise(F.col("text")))
+    return sections.token_contents(t).drop("part")

@@ -17,6 +17,8 @@ from refloom.sources.exports import files
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+# Fixed value: the gallery of content controls that hold a table of contents.
+CONTENTS_GALLERY = "table of contents"
 TOKENS = "doc string, part string, para int, pos long, kind string, text string, in_ins boolean, in_del boolean, in_move_from boolean, in_move_to boolean, in_fallback boolean, in_txbx boolean, pstyle string, error string"
 _COLUMNS = [c.split()[0] for c in TOKENS.split(", ")]
 _DECLARES = re.compile(rb"<!(?:DOCTYPE|ENTITY)", re.I)
@@ -48,6 +50,10 @@ def _tokens(doc: str, part: str, root) -> Iterator[tuple]:
     while stack:
         e, marks, para, style = stack.pop()
         kind, text = None, None
+        if e is None:
+            yield (doc, part, max(last, 0), pos, "toc", "end", *marks, style, None)
+            pos += 1
+            continue
         if e.tag == f"{W}p":
             last += 1
             para = last
@@ -64,7 +70,11 @@ def _tokens(doc: str, part: str, root) -> Iterator[tuple]:
             kind, text = "fldsimple", e.get(f"{W}instr") or ""
         elif e.tag == f"{W}sdt":
             tag = e.find(f"{W}sdtPr/{W}tag")
-            if tag is not None and re.search("CSL_CITATION|MENDELEY_CITATION", tag.get(f"{W}val") or ""):
+            gallery = next((g.get(f"{W}val") or "" for x in ("docPartObj", "docPartList") if (g := e.find(f"{W}sdtPr/{W}{x}/{W}docPartGallery")) is not None), "")
+            if gallery.strip().lower() == CONTENTS_GALLERY:
+                kind, text = "toc", "begin"
+                stack.append((None, marks, para, style))  # read again after all that is inside
+            elif tag is not None and re.search("CSL_CITATION|MENDELEY_CITATION", tag.get(f"{W}val") or ""):
                 kind, text = "sdt", tag.get(f"{W}val")
         elif e.tag == f"{W}tab":
             kind, text = "t", "\t"

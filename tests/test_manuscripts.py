@@ -156,3 +156,13 @@ def test_positions_bind_only_without_keys(spark):
     asked = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "b")], "request int, pos int, key string")
     rows = spark.createDataFrame([(1, 0, "b", "B"), (1, 1, None, "?"), (2, 0, None, "x"), (2, 1, None, "y")], "request int, place int, key string, value string")
     assert {(r.request, r.key): r.value for r in library.bind_positions(asked, rows).collect()} == {(1, "a"): None, (1, "b"): "B", (2, "a"): "x", (2, "b"): "y"}
+
+
+def test_marks_of_one_author_are_spread(spark):
+    rows = [(1, 1, "ins", "a", 0, 3), (1, 2, "del", "a", 0, 4), (1, 3, "comment", "a", 0, 9), (1, 4, "comment", "a", None, None), (1, 5, "ins", "b", 0, 5), (2, 6, "ins", "a", 7, 1)]
+    marks = spark.createDataFrame([(*r, None) for r in rows], "doc int, mark int, kind string, author string, para int, pos int, at timestamp")
+    got = {r.mark: r.at and r.at.strftime("%H:%M:%S") for r in workflows.spread_marks(marks, "a", "2024-01-01 08:00:00", "2024-01-01 10:00:00").collect()}
+    # the comment, then the paragraph's edit, then the comment without a place; a lone edit falls on the end
+    assert got[3] == "08:00:00" and got[1] == got[2] and "08:00:00" < got[1] < "10:00:00" and got[4] == "10:00:00" and got[5] is None and got[6] == "10:00:00"
+    with pytest.raises(ValueError, match="begins"):
+        workflows.spread_marks(marks, "a", "2024-01-01 10:00:01", "2024-01-01 10:00:00")
