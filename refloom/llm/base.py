@@ -51,19 +51,19 @@ def held_out(col="doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, max_chars: int):
     """Texts and labels to learn from, as a pandas frame on the driver.
 
-    Bounded: at most ``per_class`` rows of each label, none over ``max_chars`` characters. Rows are those with the
-    smallest hash of their id, so the same ones at every run; held-out rows never take part. Of several labels of one id
-    the smallest counts.
+    Bounded: at most ``per_class`` rows of each label, none over ``max_chars`` characters; rows are chosen among those that have
+    such a text, by the smallest hash of their id, so the same ones at every run. Held-out rows never take part. Of several
+    labels of one id the smallest counts, of several texts the one with the smallest hash.
     """
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     picked = None
     usable = labels.select("doc_id", F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("y").alias("y"))
+    usable = usable.join(texts.select("doc_id"), "doc_id", "left_semi")
     for y in (0, 1):
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     # 2 * per_class pairs of integers at most: always small enough to send to every task
-    found = texts.join(F.broadcast(picked), "doc_id").toPandas()
-    found = found.drop_duplicates(["doc_id", "text"])
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("doc_id", "r.text", "y").toPandas()
     order = [xxhash.xxh64_intdigest(str(i)) for i in found.doc_id]
     return found.assign(o=order).sort_values(["o", "doc_id"]).drop(columns="o").reset_index(drop=True)
 

@@ -4,9 +4,10 @@ d = (bytes under the bad dictionary - bytes under the good one) / bytes of the t
 difference, becomes a score by logistic calibration; nothing else goes into it. (Over the text's own bytes, a text that
 shrinks to nothing under either dictionary, one word again and again, has next to no difference; over the sum of the
 compressed sizes it would have a chance one.) A text of a few words shows no difference because it is too short to be
-compressed, so every text counts as if ``USUAL_BYTES`` bytes of usual text, of the labelled sample's mean difference, came
+compressed, so every text counts as if ``usual_bytes`` bytes of usual text, of the labelled sample's mean difference, came
 with it. Whole texts are compressed, in blocks of ``BLOCK`` bytes so that the
-dictionary keeps its weight in long texts.
+dictionary keeps its weight in long texts. The dictionaries' size and the bytes of usual text are those of ``DICTIONARIES`` and
+``USUALS`` that rank the calibrating half of the sample best; held-out rows have no part in it.
 
 Nulls and empty texts: no bytes, so d is the mean difference and the score is the calibration's value there. Rows with a null id are scored
 as any other. Repeated rows are scored alike, one output row for each. An empty table gives no rows. Without labelled rows
@@ -29,7 +30,9 @@ from refloom.llm.base import free_name, held_out, labelled_sample, prepare
 
 #: The sample that is learned from: rows of each label, characters of a row. Half trains dictionaries, half calibrates.
 PER_CLASS, MAX_CHARS = 1500, 50_000
-DICTIONARY_BYTES, BLOCK, LEVEL, USUAL_BYTES = 112_640, 512, 3, 64
+BLOCK, LEVEL = 512, 3
+#: Settings that are tried on the half that calibrates, none of it held out: bytes of a dictionary, bytes of usual text.
+DICTIONARIES, USUALS = (40_000, 112_640), (16, 64, 256)
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -57,10 +60,10 @@ class Sizes:
         return sum(len(self.z.compress(raw[i : i + block])) for i in range(0, len(raw), block))
 
 
-def difference(text: str | None, good: Sizes, bad: Sizes, usual: float = 0.0) -> float:
+def difference(text: str | None, good: Sizes, bad: Sizes, usual: float = 0.0, usual_bytes: int = USUALS[0]) -> float:
     """The normalised size difference of a text."""
     raw = (text or "").encode("utf-8", "replace")
-    return (bad.of(raw) - good.of(raw) + USUAL_BYTES * usual) / (len(raw) + USUAL_BYTES)
+    return (bad.of(raw) - good.of(raw) + usual_bytes * usual) / (len(raw) + usual_bytes)
 
 
 @dataclass
@@ -70,6 +73,7 @@ class QualityModel:
     slope: float
     offset: float
     usual: float = 0.0
+    usual_bytes: int = USUALS[0]
 
     def score(self, d) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.asarray(d, dtype=np.float64) * self.slope + self.offset, -30, 30)))
@@ -99,15 +103,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     if len(by[0]) < 2 or len(by[1]) < 2:
         return QualityModel(b"", b"", 0.0, 0.0)
     fit, rest = {y: t[0::2] for y, t in by.items()}, {y: t[1::2] for y, t in by.items()}
-    good, bad = (_dictionary(fit[y], DICTIONARY_BYTES) for y in (1, 0))
-    g, b = Sizes(good), Sizes(bad)
-    sizes = [[(g.of(raw), b.of(raw), len(raw)) for raw in (t.encode("utf-8", "replace") for t in rest[y])] for y in (0, 1)]
-    means = [np.mean([(v - u) / max(1, n) for u, v, n in rows]) for rows in sizes]
-    usual = float((1 - share) * means[0] + share * means[1])
-    d = np.array([(v - u + USUAL_BYTES * usual) / (n + USUAL_BYTES) for rows in sizes for u, v, n in rows])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     weight = np.where(y == 1, share / len(rest[1]), (1 - share) / len(rest[0])) * len(y)
-    return QualityModel(good, bad, *_calibrate(d, y, weight), usual)
+    best = None
+    for size in DICTIONARIES:
+        good, bad = (_dictionary(fit[k], size) for k in (1, 0))
+        g, b = Sizes(good), Sizes(bad)
+        sizes = [[(g.of(raw), b.of(raw), len(raw)) for raw in (t.encode("utf-8", "replace") for t in rest[k])] for k in (0, 1)]
+        means = [np.mean([(v - u) / max(1, n) for u, v, n in rows]) for rows in sizes]
+        usual = float((1 - share) * means[0] + share * means[1])
+        for usual_bytes in USUALS:
+            d = np.array([(v - u + usual_bytes * usual) / (n + usual_bytes) for rows in sizes for u, v, n in rows])
+            ranked = _ranking(d, y)
+            if best is None or ranked > best[0]:
+                best = ranked, QualityModel(good, bad, *_calibrate(d, y, weight), usual, usual_bytes)
+    return best[1]
+
+
+def _ranking(d: np.ndarray, y: np.ndarray) -> float:
+    """How often a good text stands above a bad one; ties count half (area under the curve)."""
+    _, place, n = np.unique(d, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[place]
+    good = y == 1
+    return float((rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum()))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
@@ -133,7 +151,7 @@ def _scorer(model: QualityModel):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         good, bad = Sizes(model.good), Sizes(model.bad)
         for texts in batches:
-            d = np.array([difference(t, good, bad, model.usual) for t in texts], dtype=np.float64)
+            d = np.array([difference(t, good, bad, model.usual, model.usual_bytes) for t in texts], dtype=np.float64)
             yield pd.DataFrame({"score": model.score(d), "size_difference": d})
 
     return score

@@ -543,7 +543,7 @@ def test_quality_scores_are_those_of_plain_compression(spark):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for r in quality.score_quality(docs, m).collect():
         t = texts[r.doc_id]
-        d = (size(t, m.bad) - size(t, m.good) + quality.USUAL_BYTES * m.usual) / (len(t.encode()) + quality.USUAL_BYTES)
+        d = (size(t, m.bad) - size(t, m.good) + m.usual_bytes * m.usual) / (len(t.encode()) + m.usual_bytes)
         assert abs(r.size_difference - d) < 1e-12 and abs(r.score - 1 / (1 + math.exp(-(m.slope * d + m.offset)))) < 1e-9 and r.predicted == int(r.score >= 0.3)
 
 
@@ -693,3 +693,14 @@ def test_rows_without_ids_spread_over_packing_groups(spark):
     got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     groups = [r["count"] for r in got.select((got.sequence_id.bitwiseAND(0) + (got.sequence_id / 2**32).cast("long")).alias("g")).groupBy("g").count().collect()]
     assert len(groups) > 4 and max(groups) < 1000
+
+
+def test_sample_is_bounded_by_rows(spark):
+    texts = [(1, f"text {i}") for i in range(500)] + [(i, "x" * 100) for i in range(2, 40)] + [(i, "short") for i in range(40, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(1, 60)] + [(1, 1)], "doc_id long, quality int")
+    kept = {i for i in [1, *range(40, 60)] if zlib.crc32(str(i).encode()) % 5}
+    # one row of an id, none over the length, and ids are chosen among those that have a text
+    assert set(base.labelled_sample(docs, labels, "quality", 100, 50).doc_id) == kept
+    found = base.labelled_sample(docs, labels, "quality", 5, 50)
+    assert len(found) == 5 and set(found.doc_id) <= kept and set(found.columns) == {"doc_id", "text", "y"}
