@@ -60,14 +60,14 @@ def author_group_counts(spark, sf_dir):
     return relation(spark, sf_dir, "draft").select("doc", "para", sections.enumerated_author_groups(F.col("text")).cast("long").alias("groups"))
 
 
-_CODE = "CASE cited % 4 WHEN 0 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION ' || chr(123) || '\"properties\":' || chr(123) || '\"formattedCitation\":\"(' || CAST(cited % 50 AS STRING) || ')\",\"plainCitation\":\" \"' || chr(125) || chr(125) WHEN 1 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION ' || chr(123) || 'broken' WHEN 2 THEN 'ADDIN ZOTERO_BIBL x' ELSE 'PAGEREF' END"
+_RENDERED_CODE = "CASE cited % 4 WHEN 0 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION ' || chr(123) || '\"properties\":' || chr(123) || '\"formattedCitation\":\"(' || CAST(cited % 50 AS STRING) || ')\",\"plainCitation\":\" \"' || chr(125) || chr(125) WHEN 1 THEN 'ADDIN ZOTERO_ITEM CSL_CITATION ' || chr(123) || 'broken' WHEN 2 THEN 'ADDIN ZOTERO_BIBL x' ELSE 'PAGEREF' END"
 
 
 @query(f"""WITH l AS (SELECT DISTINCT doc, '(' || cited % 50 || ')' AS text FROM {inline("citations")} WHERE cited % 4 = 0), b AS (SELECT doc, bool_or(cited % 4 = 2) AS bib FROM {inline("citations")} GROUP BY doc)
 SELECT m.doc, m.n, m.text, b.bib FROM (SELECT doc, n, '(' || cited % 50 || ')' AS text FROM {inline("citations")}) m JOIN b USING (doc) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc = m.doc AND l.text = m.text)""")
 def plain_markers(spark, sf_dir):
     c = relation(spark, sf_dir, "citations")
-    fields = c.select("doc", F.expr(_CODE).alias("instruction"))
+    fields = c.select("doc", F.expr(_RENDERED_CODE).alias("instruction"))
     markers = c.select("doc", "n", F.concat(F.lit("("), F.col("cited") % 50, F.lit(")")).alias("text"))
     return sections.not_live(markers, sections.live_renderings(fields)).join(sections.has_bibliography(fields).withColumnRenamed("has_bibliography", "bib"), "doc")
 
