@@ -19,8 +19,10 @@ def _folded(s: pd.Series) -> pd.Series:
 
 
 def fold_accents(x: Column) -> Column:
-    """Compatibility decomposition without combining marks. Spark has no built-in for it, so text beyond ASCII goes through Arrow."""
-    return F.when(x.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_folded, "string")(x)).otherwise(x)
+    """Compatibility decomposition without combining marks. Spark has no built-in for it, so text beyond ASCII goes through Arrow;
+    other rows send a null, since Spark evaluates the function for all of them."""
+    beyond = x.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, F.pandas_udf(_folded, "string")(F.when(beyond, x))).otherwise(x)
 
 
 def _one_letter_folds() -> tuple[str, str]:

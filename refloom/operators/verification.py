@@ -180,11 +180,19 @@ def match_foreign(cited: DataFrame, index: DataFrame, items: DataFrame) -> DataF
     year and whose authors don't contradict.
     """
     found = lookup(cited, index, F.col("doi"), F.col("pmid"), F.col("title"))
-    open_ = found.where("library_key is null").withColumn("_title", none_if_empty(fuzzy_title_key(F.col("title"))))
-    same = items.select(none_if_empty(fuzzy_title_key(F.col("title"))).alias("_title"), "pos", "key", year_in(F.col("date")).alias("_year"), F.transform("families", lambda f: F.lower(f)).alias("_families"))
-    year_ok = filled(F.col("year")).isNull() | filled(F.col("_year")).isNull() | (F.col("year") == F.col("_year"))
-    author_ok = filled(F.col("author")).isNull() | (F.size("_families") == 0) | F.array_contains("_families", F.lower(F.trim("author")))
-    best = open_.join(same, "_title").where(year_ok & author_ok).groupBy("cite").agg(F.min_by("key", "pos").alias("_key"))
+    open_ = found.where("library_key is null").withColumn("_title", none_if_empty(fuzzy_title_key(F.col("title")))).where("_title is not null")
+    # titles that thousands share would meet in all pairs: the first item of each title, year and author is looked up instead, with
+    # * for items that any asked year or author meets, and ! for items without one, which contradict none
+    any_, none = F.lit("*"), F.lit("!")
+    year = F.when(filled(F.col("_year")).isNull(), none).otherwise(F.concat(F.lit("="), "_year"))
+    families = F.when(F.size("_families") == 0, F.array(none)).otherwise(F.transform(F.array_compact("_families"), lambda f: F.concat(F.lit("="), f)))
+    same = items.select(none_if_empty(fuzzy_title_key(F.col("title"))).alias("_title"), "pos", "key", year_in(F.col("date")).alias("_year"), F.transform("families", lambda f: F.lower(f)).alias("_families")).where("_title is not null")
+    by_year = same.select("_title", "pos", "key", F.explode(F.array(any_, year)).alias("_by_year"), F.array_union(F.array(any_), F.coalesce(families, F.array().cast("array<string>"))).alias("_f"))
+    firsts = by_year.select("_title", "pos", "key", "_by_year", F.explode("_f").alias("_by_author")).groupBy("_title", "_by_year", "_by_author").agg(F.min(F.struct("pos", "key")).alias("_w"))
+    asked_year = F.when(filled(F.col("year")).isNull(), F.array(any_)).otherwise(F.array(F.concat(F.lit("="), "year"), none))
+    asked_author = F.when(filled(F.col("author")).isNull(), F.array(any_)).otherwise(F.array(F.concat(F.lit("="), F.lower(F.trim("author"))), none))
+    asked = open_.select("cite", "_title", F.explode(asked_year).alias("_by_year"), asked_author.alias("_f")).select("cite", "_title", "_by_year", F.explode("_f").alias("_by_author"))
+    best = asked.join(firsts, ["_title", "_by_year", "_by_author"]).groupBy("cite").agg(F.min("_w")["key"].alias("_key"))
     out = found.join(best, "cite", "left")
     return out.select("cite", F.coalesce("library_key", "_key").alias("library_key"), F.coalesce("matched_by", F.when(F.col("_key").isNotNull(), F.lit("search"))).alias("matched_by"))
 

@@ -1,11 +1,15 @@
 """Plans: what their modules hold, and results on inputs with many rows of one key."""
 
 import ast
+import re
 from collections import Counter
 from pathlib import Path
 
 import pytest
 
+from refloom.lineage import cut
+from refloom.operators import library, verification
+
 PLANS = sorted((Path(__file__).resolve().parents[1] / "refloom" / "plans").glob("*.py"))
 
 
@@ -15,3 +19,35 @@ def test_a_module_binds_each_name_once(path):
     bound = Counter(t.id for node in ast.parse(path.read_text()).body if isinstance(node, ast.Assign) for t in node.targets if isinstance(t, ast.Name))
     bound.update(node.name for node in ast.parse(path.read_text()).body if isinstance(node, ast.FunctionDef))
     assert [name for name, n in bound.items() if n > 1] == []
+
+
+def test_a_cut_result_is_read_by_the_columns_that_are_used(spark):
+    """A later step that uses one column reads one, and an empty result keeps its types."""
+    df = cut(spark.range(100).selectExpr("id", "repeat('x', 100) AS long", "named_struct('a', id, 'b', array(1, 2)) AS s"))
+    assert df.columns == ["id", "long", "s"]
+    assert df.inputFiles() and df.agg({"id": "sum"}).first()[0] == 4950
+    empty = cut(df.where("id < 0"))
+    assert empty.count() == 0 and empty.columns == df.columns
+
+
+def test_foreign_works_of_one_title(spark):
+    """Each cited work finds the first item of its title whose year and authors don't contradict, as comparing all pairs does."""
+    years, families = ["", "2001", "in 2002", None], [[], ["Ng"], ["Lee", "ng"], ["Po", "Ng", "Lee"]]
+    items = [(i, f"K{i:03}", "One title" if i % 3 else "Other: title", None, None, "", years[i * 7 % 4], families[i * 5 % 7 % 4]) for i in range(40, 0, -1)]
+    lib = spark.createDataFrame(items, "pos long, key string, title string, doi string, pmid string, extra string, date string, families array<string>")
+    cited = [(i, None, None, title, year, author) for i, (title, year, author) in enumerate((t, y, a) for t in ("One title!", "Other title!", "None", "") for y in ("2001", "2002", "1999", "", None) for a in ("NG", " Lee", "Po", "X", "", None))]
+    got = verification.match_foreign(spark.createDataFrame(cited, "cite long, doi string, pmid string, title string, year string, author string"), library.build_indexes(lib), lib)
+
+    def fits(item, year, author):
+        own = re.sub(r"^in ", "", item[6] or "")
+        return (not (year or "").strip() or not own or own == year) and (not (author or "").strip() or not item[7] or author.strip().lower() in [f.lower() for f in item[7]])
+
+    key = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+    want = {i: min(((x[0], x[1]) for x in items if key(x[2]) == key(t) and fits(x, y, a)), default=(0, None))[1] for i, _, _, t, y, a in cited}
+    assert {r.cite: r.library_key for r in got.collect()} == want
+
+
+def test_foreign_works_do_not_meet_in_all_pairs_of_a_title(spark, capsys):
+    none = spark.createDataFrame([], "cite long, doi string, pmid string, title string, year string, author string, pos long, key string, extra string, date string, families array<string>")
+    verification.match_foreign(none, library.build_indexes(none), none).explain()
+    assert re.search(r"Join.*_title#\d+, _by_year#\d+, _by_author#\d+\]", capsys.readouterr().out)
