@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that spark.checkpoint.dir names. A local session without one gets a folder of its own; a
-    cluster without one is refused, since executors would not see each other's files."""
-    context = df.sparkSession.sparkContext
+    """The rows, written as a table to the folder that spark.checkpoint.dir names, from which each later step reads the columns that it
+    uses. A local session without one gets a folder of its own; a cluster without one is refused, since executors would not see
+    each other's files."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="refloom-checkpoint-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

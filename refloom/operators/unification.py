@@ -143,9 +143,11 @@ def place_markers(markers: DataFrame, links: DataFrame, works: DataFrame, paragr
     by_ref = links.join(keyed.where("source = 'reference' and outcome <> 'retracted'").select("doc", F.col("id").alias("ref"), "key", "outcome"), ["doc", "ref"]).join(mine, ["doc", "marker"], "left_anti")
     by_ref = by_ref.select("doc", "marker", "item", "key", F.col("ref").cast("long").alias("of"), "outcome", F.lit(False).alias("owned"))
     by_name = keyed.where("source = 'marker'").select("doc", F.col("id").cast("int").alias("marker"), F.col("_item").alias("item"), "key", F.col("_item").cast("long").alias("of"), "outcome", F.lit(True).alias("owned"))
+    each = F.when(F.col("key").isNotNull(), F.struct("item", "of", "key"))
+    groups = by_ref.unionByName(by_name).repartition("doc", "marker").groupBy("doc", "marker", "owned").agg(F.array_sort(F.collect_list(each)).alias("_all"), F.max((F.col("outcome") == "refused").cast("int")).alias("refused"))
     # two references of one number: the first is meant
-    each = by_ref.unionByName(by_name).groupBy("doc", "marker", "item", "owned").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("of", "key"))).alias("w"), F.max((F.col("outcome") == "refused").cast("int")).alias("refused"))
-    groups = each.groupBy("doc", "marker", "owned").agg(F.count("w").alias("have"), F.countDistinct("w.of").alias("different"), F.max("refused").alias("refused"), F.transform(F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("item", F.col("w.key").alias("key"))))), lambda x: x["key"]).alias("keys"))
+    groups = groups.withColumn("_w", F.filter("_all", lambda x, i: (i == 0) | (F.get("_all", i - 1)["item"] != x["item"])))
+    groups = groups.select("doc", "marker", "owned", "refused", F.size("_w").alias("have"), F.size(F.array_distinct(F.transform("_w", lambda x: x["of"]))).alias("different"), F.transform("_w", lambda x: x["key"]).alias("keys"))
 
     here = markers.join(groups, ["doc", "marker"]).join(paragraphs.select("doc", "para", F.col("text").alias("_text")), ["doc", "para"], "left")
     # the same texts of one document, and what stands before a marker in its paragraph
