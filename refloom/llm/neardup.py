@@ -13,8 +13,9 @@ at least ``percent`` / 100.
    members: the bucket's largest cluster against the rest, and the rest against each other. Rows grow with the square of
    the rest only, over the block. Clusters are taken anew with the pairs that pass.
 5. Within clusters all pairs are confirmed on full shingle sets made from the texts, in blocks of 256 members against each
-   other where a cluster is larger: no pair is left out, so the rows grow with the square of a cluster over the block. Groups
-   of block meetings are sized by what is dealt to them. Only a spanning forest of confirmed links leaves a task.
+   other where a cluster is larger: no pair is left out, so the rows grow with the square of a cluster over the block. A block
+   of a larger cluster is one row, its texts compressed together, which near copies are to a small part. Groups of block
+   meetings are sized by what is dealt to them. Only a spanning forest of confirmed links leaves a task.
 6. The confirmed links' components, carried over to all members of each class.
 
 Texts without words, empty ones and nulls have the empty set: n_shingles 0, linked with nothing. Rows without an id take
@@ -24,11 +25,13 @@ table gives no rows. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -230,11 +233,42 @@ def _compare(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(u, v): confirmed links of members (cluster, cid, n, hi, lo, own, others): each is dealt to its block's meetings with
     the blocks of ``others``. Groups are sized by what is dealt."""
     members = members.where(F.size("others") > 0).checkpoint()
-    count, dealt = members.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("others")), F.lit(0))).first()
-    groups = F.lit(max(1, int(dealt) // GROUP_ROWS))
-    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(_sent(members, count), "cid").withColumn("other", F.explode("others"))
-    rows = texts.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "hi", "lo", "text")
-    return rows.withColumn("g", F.pmod(F.xxhash64("cluster", "i", "j"), groups)).groupBy("g").applyInPandas(_confirm(percent), "u long, v long").checkpoint()
+    large = F.size("others") > 1
+    count, dealt, met = members.agg(F.count(F.lit(1)), F.count_if(~large), F.coalesce(F.sum(F.when(large, F.size("others"))), F.lit(0))).first()
+    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(_sent(members, count), "cid")
+    at = lambda groups: F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(max(1, int(groups)))).alias("g")
+    rows = texts.where(~large).select("cluster", F.col("own").alias("i"), F.col("own").alias("j"), *_TEXT).select("*", at(dealt // GROUP_ROWS))
+    links = rows.groupBy("g").applyInPandas(_confirm(percent), "u long, v long")
+    if met:
+        packed = texts.where(large).select("cluster", "own", "others", *_TEXT).groupBy("cluster", "own").applyInPandas(_pack, "cluster long, own int, others array<int>, packed binary")
+        # two blocks' meeting has the pairs within each of them too
+        blocks = packed.withColumn("other", F.explode("others")).where("other <> own").select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "packed")
+        links = links.unionByName(blocks.select("*", at(met // GROUP_ROWS)).groupBy("g").applyInPandas(_confirm_packed(percent), "u long, v long"))
+    return links.checkpoint()
+
+
+_TEXT = ["cid", "n", "hi", "lo", "text"]
+
+
+def _pack(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block of a cluster as one row; rows of similar length stand together."""
+    rows = frame.sort_values("n")[_TEXT].itertuples(index=False, name=None)
+    how = zstandard.ZstdCompressionParameters.from_level(3, window_log=24, enable_ldm=True)
+    packed = zstandard.ZstdCompressor(compression_params=how).compress(pickle.dumps(list(rows)))
+    return pd.DataFrame({"cluster": frame.cluster.iloc[:1], "own": frame.own.iloc[:1], "others": frame.others.iloc[:1], "packed": [packed]})
+
+
+def _confirm_packed(percent: int):
+    confirm = _confirm(percent)
+
+    def confirm_blocks(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (cluster, i, j), g in frame.groupby(["cluster", "i", "j"], sort=False):
+            rows = [r for p in g.packed for r in pickle.loads(zstandard.decompress(p))]
+            out.append(confirm(pd.DataFrame(rows, columns=_TEXT).assign(cluster=cluster, i=i, j=j)))
+        return pd.concat(out)
+
+    return confirm_blocks
 
 
 def _blocks(n: Column) -> Column:

@@ -5,6 +5,8 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from refloom.lineage import cut
@@ -51,3 +53,19 @@ def test_foreign_works_do_not_meet_in_all_pairs_of_a_title(spark, capsys):
     none = spark.createDataFrame([], "cite long, doi string, pmid string, title string, year string, author string, pos long, key string, extra string, date string, families array<string>")
     verification.match_foreign(none, library.build_indexes(none), none).explain()
     assert re.search(r"Join.*_title#\d+, _by_year#\d+, _by_author#\d+\]", capsys.readouterr().out)
+
+
+def test_a_block_of_near_copies_is_sent_compressed():
+    from refloom.llm import neardup
+
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+    texts = [" ".join(f"e{i}" if k == i else w for k, w in enumerate(base)) for i in range(256)]
+    frame = pd.DataFrame({"cluster": 7, "own": 2, "others": [[0, 1, 2]] * 256, "cid": range(256), "n": 396, "hi": range(256), "lo": 0, "text": texts})
+    packed = neardup._pack(frame)
+    assert len(packed) == 1 and packed.own[0] == 2 and 20 * len(packed.packed[0]) < sum(map(len, texts))
+    from pickle import loads
+
+    import zstandard
+
+    assert sorted(loads(zstandard.decompress(packed.packed[0]))) == [(i, 396, i, 0, t) for i, t in enumerate(texts)]
