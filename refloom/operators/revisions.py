@@ -21,6 +21,13 @@ def _fld(text: str) -> Column:
     return (F.col("kind") == "fld") & (F.col("text") == text)
 
 
+def by_part(tokens: DataFrame) -> DataFrame:
+    """Tokens dealt by part to four tasks a core, at most to as many as shuffles have. Left to their compressed bytes, millions of small
+    rows are put together in one task, whose sorts hold them unpacked all at once."""
+    spark = tokens.sparkSession
+    return tokens.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *_KEY)
+
+
 def _levels(tokens: DataFrame) -> DataFrame:
     """Tokens with ``depth``, the number of fields open before them, and ``place``, their number in the part.
 
@@ -29,7 +36,7 @@ def _levels(tokens: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy(*_KEY).orderBy("pos")
     step = F.when(_fld("begin"), 1).when(_fld("end"), -1).otherwise(0)
-    rows = tokens.withColumns({"_sum": F.sum(step).over(w), "place": F.row_number().over(w)})
+    rows = by_part(tokens).withColumns({"_sum": F.sum(step).over(w), "place": F.row_number().over(w)})
     rows = rows.withColumn("_low", F.least(F.lit(0), F.min("_sum").over(w)))
     rows = rows.withColumn("_open", F.col("_sum") - F.col("_low"))
     # at an end that closes something one more was open; one that closes nothing sets a new low, where the balance stays 0

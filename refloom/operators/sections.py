@@ -9,6 +9,7 @@ from refloom.functions.citations import NAME
 from refloom.functions.identifiers import DOI
 from refloom.functions.rendering import filled
 from refloom.functions.shapes import ENUMERATED, SECTION_WORD, is_heading_shape, is_heading_style, rough_title
+from refloom.operators import revisions
 from refloom.operators.revisions import nested_fields
 
 # How early a label stands in its line, what an enumerator of a top-level section looks like, particles of surnames.
@@ -107,7 +108,7 @@ def token_contents(tokens: DataFrame) -> DataFrame:
     """
     contents = lambda c: F.upper(F.trim(c)).rlike(r"^TOC(?:$|[ \\])")
     by_part = Window.partitionBy("doc", "part")
-    rows = tokens.withColumn("place", F.row_number().over(by_part.orderBy("pos")))
+    rows = revisions.by_part(tokens).withColumn("place", F.row_number().over(by_part.orderBy("pos")))
     spans = nested_fields(tokens).where(contents(F.col("instruction"))).select("doc", "part", F.explode(F.array(F.struct(F.col("begin").alias("place"), F.lit(1).alias("d")), F.struct(F.col("end").alias("place"), F.lit(-1).alias("d")))).alias("s"))
     steps = spans.groupBy("doc", "part", "s.place").agg(F.sum("s.d").alias("_d"))
     gallery = F.when(F.col("kind") == "toc", F.when(F.col("text") == "begin", 1).otherwise(-1)).otherwise(0)

@@ -8,9 +8,10 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from refloom.lineage import cut
-from refloom.operators import library, verification
+from refloom.operators import library, revisions, verification
 
 PLANS = sorted((Path(__file__).resolve().parents[1] / "refloom" / "plans").glob("*.py"))
 
@@ -69,3 +70,9 @@ def test_a_block_of_near_copies_is_sent_compressed():
     import zstandard
 
     assert sorted(loads(zstandard.decompress(packed.packed[0]))) == [(i, 396, i, 0, t) for i, t in enumerate(texts)]
+
+
+def test_tokens_are_not_put_together_in_few_tasks(spark):
+    """Tasks that hold sorts of many small rows are as many as shuffles have, whatever the rows' compressed size."""
+    t = spark.range(4000).selectExpr("id div 20 AS doc", "'p' AS part", "0 AS para", "id AS pos", "'fld' AS kind", "CASE id % 2 WHEN 0 THEN 'begin' ELSE 'end' END AS text", "false AS in_ins", "false AS in_del")
+    assert revisions._levels(t).select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
