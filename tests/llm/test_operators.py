@@ -163,6 +163,22 @@ def test_components_of_a_chain(spark):
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 51: 50}
 
 
+def test_rounds_of_components_have_as_many_tasks_as_their_edges_need(spark, monkeypatch):
+    edges = spark.createDataFrame([(50 * (i // 40) * 40 + i % 40, 50 * (i // 40) * 40 + i % 40 + 1) for i in range(400)], "u long, v long")
+    want = {2000 * g + j: 2000 * g for g in range(10) for j in range(41)}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components.components(edges)
+        assert found.rdd.getNumPartitions() < 10
+        monkeypatch.setattr(components, "TASK_ROWS", 50)  # eight tasks
+        assert {r.id: r.component for r in components.components(edges).collect()} == {r.id: r.component for r in found.collect()} == want
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_language_model_scores_match_brute_force(docs, empty):
     rows = docs.collect()
     tokens = [words(r.text) for r in rows]
