@@ -9,7 +9,7 @@ The joins are relational, but rows are packed: a row holds a chunk's n-grams of
    so their counts go to every task.
 2. Each task deals its bigrams (context, word, document) into partitions by the context's hash, by context and word for
    heavy contexts. All bigrams of a context meet in a partition, which so knows c(v w) and c(v). It sums what is decided;
-   back-offs to rare words become requests, partitioned by the word's hash.
+   back-offs to rare words become requests, one row for each partition of words' hashes that is asked.
 3. Requests meet the word table, partition by partition.
 4. Partial sums meet by chunk, the bounded set of documents that a task handled together.
 
@@ -66,6 +66,15 @@ def _unruns(steps: bytes, n: bytes) -> np.ndarray:
     return np.repeat(np.cumsum(_unsqueeze(steps, 6), dtype=np.uint64), _unsqueeze(n, 4).astype(np.int64))
 
 
+def _framed(a: bytes, b: bytes) -> bytes:
+    return np.array([len(a)], dtype="<u4").tobytes() + a + b
+
+
+def _unframed(raw: bytes) -> tuple[bytes, bytes]:
+    n = 4 + int(np.frombuffer(raw[:4], dtype="<u4")[0])
+    return raw[4:n], raw[n:]
+
+
 def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Values of sorted keys, 0 where x isn't one."""
     if not len(keys):
@@ -119,9 +128,7 @@ def _deal(heavy: np.ndarray, parts: int):
             v, w, d, part = v[order], w[order], d[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             for lo, hi in zip(cuts, np.append(cuts, len(part))[1:], strict=True):
-                steps, runs = _runs(v[lo:hi])
-                head = np.array([len(steps)], dtype="<u4").tobytes()
-                out.append((int(part[lo]), "pairs", chunk, head + steps + runs, _squeeze(w[lo:hi], 6), _squeeze(d[lo:hi], 2)))
+                out.append((int(part[lo]), "pairs", chunk, _framed(*_runs(v[lo:hi])), _squeeze(w[lo:hi], 6), _squeeze(d[lo:hi], 2)))
         return pd.DataFrame(out, columns=_COLUMNS)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,8 +172,7 @@ def _score_pairs(heavy: np.ndarray, counts: np.ndarray, total: int, parts: int,
             v, w, d, chunk = [], [], [], []
             known = frame.chunk.tolist()
             for k, (a, b, c) in enumerate(frame[["a", "b", "c"]].itertuples(index=False)):
-                n = int(np.frombuffer(a[:4], dtype="<u4")[0])
-                v.append(_unruns(a[4 : 4 + n], a[4 + n :]))
+                v.append(_unruns(*_unframed(a)))
                 w.append(_unsqueeze(b, 6))
                 d.append(_unsqueeze(c, 2).astype(np.int32))
                 chunk.append(np.full(len(d[-1]), k, dtype=np.int32))
@@ -189,12 +195,14 @@ def _score_pairs(heavy: np.ndarray, counts: np.ndarray, total: int, parts: int,
             ask = scored & ~done
             w, d, chunk = w[ask], d[ask], chunk[ask]
             part = (mix(w) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((w, chunk, part))
+            order = np.lexsort((w, part))
             w, d, chunk, part = w[order], d[order], chunk[order], part[order]
-            cuts = np.flatnonzero(np.diff(part * len(known) + chunk.astype(np.int64), prepend=-1))
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            known = np.array(known, dtype=np.uint64)
             for lo, hi in zip(cuts, np.append(cuts, len(part))[1:], strict=True):
-                steps, runs = _runs(w[lo:hi])
-                out.append((int(part[lo]), "asks", known[chunk[lo]], steps, runs, _squeeze(d[lo:hi].astype(np.uint64), 2)))
+                # one row for a partition that is asked, whatever the chunks: a row a chunk too would grow with the cube of the corpus
+                owners, owner = np.unique(chunk[lo:hi], return_inverse=True)
+                out.append((int(part[lo]), "asks", -1, _framed(*_runs(w[lo:hi])), _framed(_squeeze(np.diff(known[owners], prepend=np.uint64(0)), 8), _squeeze(owner, 4)), _squeeze(d[lo:hi], 2)))
         return pd.DataFrame(out, columns=_COLUMNS)
 
     return score
@@ -204,20 +212,24 @@ def _answer(total: int, parts: int):
     floor = np.log(BACKOFF / max(1, total))
 
     def answer(asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        out = [tuple(r) for r in asked[asked.kind != "asks"][_COLUMNS].itertuples(index=False)]
+        out = [tuple(r) for r in asked[asked.kind == "docs"][_COLUMNS].itertuples(index=False)]
+        # a chunk's sums have met here, so one row of them goes on
+        for k, g in asked[asked.kind == "sums"].groupby("chunk", sort=False):
+            docs, sums = np.frombuffer(b"".join(g.a), dtype="<u2").astype(np.int64), np.frombuffer(b"".join(g.b), dtype="<f8")
+            out += _sums(np.zeros(len(docs), dtype=np.int64), docs, sums, [k], parts)
         asked = asked[asked.kind == "asks"]
         if len(asked):
             order = np.argsort(words.w.to_numpy(), kind="stable")
             keys, n = words.w.to_numpy()[order].astype(np.uint64), words.n.to_numpy()[order]
-            known = sorted(set(asked.chunk.tolist()))
-            place = {k: i for i, k in enumerate(known)}
             chunk, d, value = [], [], []
-            for k, a, b, c in asked[["chunk", "a", "b", "c"]].itertuples(index=False):
-                x = _unruns(a, b)
+            for a, b, c in asked[["a", "b", "c"]].itertuples(index=False):
+                x = _unruns(*_unframed(a))
                 value.append(floor + np.log(np.maximum(1, _lookup(keys, n, x))))
                 d.append(_unsqueeze(c, 2).astype(np.int64))
-                chunk.append(np.full(len(x), place[k]))
-            out += _sums(np.concatenate(chunk), np.concatenate(d), np.concatenate(value), known, parts)
+                steps, owner = _unframed(b)
+                chunk.append(np.cumsum(_unsqueeze(steps, 8), dtype=np.uint64)[_unsqueeze(owner, 4).astype(np.int64)])
+            known, chunk = np.unique(np.concatenate(chunk), return_inverse=True)
+            out += _sums(chunk, np.concatenate(d), np.concatenate(value), known.tolist(), parts)
         return pd.DataFrame(out, columns=_COLUMNS)
 
     return answer

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -195,6 +196,31 @@ def test_language_model_scores_match_brute_force(docs, empty):
     assert lmscore.score_documents(empty).count() == 0
 
 
+def test_requests_of_a_partition_are_a_row_for_each_one_asked(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [None, "", *(" ".join(f"w{k}" for k in rng.integers(0, 300, rng.integers(1, 60))) for _ in range(200))]
+    tokens = [words(t) for t in texts]
+    one, two = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip(["", *t], t))
+    total, parts, starts = sum(one.values()), 5, sum(bool(t) for t in tokens)
+    monkeypatch.setattr(lmscore, "CHUNK_DOCS", 10)
+    monkeypatch.setattr(lmscore, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 3})())}))
+    heavy, counts = np.array([1], dtype=np.uint64), np.array([starts], dtype=np.float64)
+    dealt = pd.concat(lmscore._deal(heavy, parts)([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})]))
+    assert dealt.chunk.nunique() > 20
+    scored = pd.concat([lmscore._score_pairs(heavy, counts, total, parts, 2)(g) for _, g in dealt.groupby("part")])
+    asks = scored[scored.kind == "asks"]
+    assert len(asks) <= parts * parts
+    table = pd.DataFrame([(int(lmscore.word_ids(w)[0]), n) for w, n in one.items()], columns=["w", "n"])
+    part = base.mix(table.w.to_numpy().astype(np.uint64)) % np.uint64(parts)
+    answered = pd.concat([lmscore._answer(total, parts)(g, table[part == k]) for k, g in scored.groupby("part")])
+    sums = answered[answered.kind == "sums"].groupby("chunk").size()
+    assert sums.max() <= parts + 1  # of those asked, and of what was known before
+    got = {i: s for i, _, s in lmscore._finish(answered).itertuples(index=False)}
+    for i, t in enumerate(tokens):
+        want = sum(math.log(two[v, w] / (one[v] if v else starts)) if two[v, w] >= 2 else math.log(0.4 * one[w] / total) for v, w in zip(["", *t], t)) / len(t) if t else None
+        assert got[i] == pytest.approx(want, abs=1e-12) if t else pd.isna(got[i])
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_relational_scores_match_brute_force(spark, empty, order):
     texts = [None, "", " \t", "a", "b b", "A  b", *("a b" * (i % 3) + " c" * (i % 4) + " d a b c" * (i % 2) + f" x{i % 5}" for i in range(30)), "a b " * 500]
