@@ -83,16 +83,17 @@ def cited_items(found: DataFrame) -> DataFrame:
 
 
 def cited_data(found: DataFrame) -> DataFrame:
-    """doc, pos, item, key, data of every work in the citation fields, data being its JSON text. The key is the last part of the work's
-    id, of its data or else of its entry; empty without one. Other fields and malformed payloads give nothing."""
+    """doc, pos, item, key, data of every work in the citation fields, data mapping its members to their JSON text. The key is the last
+    part of the work's id, of its data or else of its entry; empty without one. Other fields and malformed payloads give nothing."""
     payload = F.when(F.contains("instruction", F.lit("ZOTERO_ITEM CSL_CITATION")), F.regexp_extract("instruction", r"(?s)\{.*\}", 0))
-    items = found.select("doc", "pos", F.from_json(payload, "citationItems ARRAY<STRUCT<id: STRING, itemData: STRING>>").alias("c")).select("doc", "pos", F.posexplode("c.citationItems").alias("item", "x"))
-    raw = F.trim(F.coalesce(none_if_empty(F.get_json_object("x.itemData", "$.id")), F.col("x.id"), F.lit("")))
+    # one parse: the members of a work's data, each as its JSON text
+    items = found.select("doc", "pos", F.from_json(payload, "citationItems ARRAY<STRUCT<id: STRING, itemData: MAP<STRING, STRING>>>").alias("c")).select("doc", "pos", F.posexplode("c.citationItems").alias("item", "x"))
+    raw = F.trim(F.coalesce(none_if_empty(F.col("x.itemData")["id"]), F.col("x.id"), F.lit("")))
     return items.select("doc", "pos", "item", F.element_at(F.split(raw, "/"), -1).alias("key"), F.col("x.itemData").alias("data"))
 
 
 def _data(*names: str) -> Column:
-    return F.trim(F.coalesce(*(none_if_empty(F.get_json_object("data", f"$.{n}")) for n in names), F.lit("")))
+    return F.trim(F.coalesce(*(none_if_empty(F.col("data")[n]) for n in names), F.lit("")))
 
 
 def cited_dois(found: DataFrame) -> DataFrame:
@@ -106,15 +107,17 @@ def cited_dois(found: DataFrame) -> DataFrame:
 
 def cited_references(found: DataFrame) -> DataFrame:
     """doc, rank, key, doi, pmid, title, authors of a document's cited works in order: of one key the first, and all without a key."""
-    authors = F.from_json(F.get_json_object("data", "$.author"), "ARRAY<STRUCT<family: STRING, given: STRING, literal: STRING>>")
+    data = F.col("data")
     rows = cited_data(found).select(
         "doc", F.struct("pos", "item").alias("at"), "key", _data("DOI", "doi").alias("doi"),
-        F.coalesce(payload_pmid(F.coalesce(F.get_json_object("data", "$.PMID"), F.get_json_object("data", "$.pmid")), F.get_json_object("data", "$.extra"), F.get_json_object("data", "$.note")), F.lit("")).alias("pmid"),
-        _data("title").alias("title"), F.coalesce(authors, F.array().cast("array<struct<family:string,given:string,literal:string>>")).alias("authors"),
+        F.coalesce(payload_pmid(F.coalesce(data["PMID"], data["pmid"]), data["extra"], data["note"]), F.lit("")).alias("pmid"),
+        _data("title").alias("title"), data["author"].alias("authors"),
     )
     same = F.when(F.col("key") != "", F.col("key")).otherwise(F.concat(F.lit("/"), F.to_json("at")))
     first = rows.groupBy("doc", same.alias("same")).agg(F.min(F.struct("at", "key", "doi", "pmid", "title", "authors")).alias("r"))
-    return first.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("r.at")).alias("rank"), "r.key", "r.doi", "r.pmid", "r.title", "r.authors")
+    # authors are parsed of the works that stay
+    authors = F.coalesce(F.from_json("r.authors", "ARRAY<STRUCT<family: STRING, given: STRING, literal: STRING>>"), F.array().cast("array<struct<family:string,given:string,literal:string>>"))
+    return first.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("r.at")).alias("rank"), "r.key", "r.doi", "r.pmid", "r.title", authors.alias("authors"))
 
 
 def cited_sources(found: DataFrame, sources: DataFrame) -> DataFrame:

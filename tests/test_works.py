@@ -28,6 +28,17 @@ def test_cited_works_once_in_order(spark):
     assert documents.cited_dois(found.limit(0)).count() == documents.cited_references(found.limit(0)).count() == 0
 
 
+def test_a_cited_work_is_parsed_once(spark):
+    twice = '{"id": "a/K3", "itemData": {"DOI": "10.1/c", "DOI": "10.1/d", "title": null, "note": {"x": [1, 2]}}}'
+    rows = [
+        ("d", 1, field({"id": "1/K1", "itemData": "odd"}, {"id": "K2", "itemData": {"DOI": "10.1/b", "title": 5}}, {"id": "K4", "itemData": None}, {"id": "K5", "itemData": [1]})),
+        ("d", 2, 'ADDIN ZOTERO_ITEM CSL_CITATION {"citationItems": [' + twice + "]}"),
+    ]
+    found = documents.cited_references(spark.createDataFrame(rows, "doc string, pos long, instruction string"))
+    assert [(r.key, r.doi, r.title, len(r.authors)) for r in found.orderBy("rank").collect()] == [("K1", "", "", 0), ("K2", "10.1/b", "5", 0), ("K4", "", "", 0), ("K5", "", "", 0), ("K3", "10.1/c", "", 0)]
+    assert "get_json_object" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sources_are_read_and_joined_by_tag(spark, tmp_path):
     b = docx.B[1:-1]
     source = lambda tag, title: f"<b:Source><b:Tag>{tag}</b:Tag><b:Title>{title}</b:Title><b:Year>2020</b:Year><b:DOI>doi:10.1234/x.</b:DOI><b:Author><b:Author><b:NameList><b:Person><b:Last>Lee</b:Last><b:First>Ann bo</b:First></b:Person></b:NameList></b:Author></b:Author></b:Source>"
