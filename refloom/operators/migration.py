@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.identifiers import none_if_empty, normalise_doi
@@ -68,5 +68,6 @@ def migrate_citations(cited: DataFrame, records: DataFrame) -> DataFrame:
     asked = cited.withColumn("_doi", none_if_empty(normalise_doi(F.col("doi")))).withColumn("_title", none_if_empty(fuzzy_title_key(F.col("title"))))
     met = asked.join(first("_doi", "_d"), ["source", "_doi"], "left").join(first("_title", "_t"), ["source", "_title"], "left").withColumn("_r", F.coalesce("_d", "_t"))
     rows = met.select(*cited.columns, "_r.rec", "_r.key", F.coalesce("_r.outcome", F.lit("unmatched")).alias("outcome"))
-    fields = rows.groupBy("doc", "field").agg(F.bool_and(F.col("key").isNotNull()).alias("_all"))
-    return rows.join(fields, ["doc", "field"]).withColumn("status", F.when(F.col("_all"), "converted").otherwise("left")).drop("_all")
+    # a field's items are few; a join with their sum would look all of them up a second time, and lose those without doc or field
+    whole = F.bool_and(F.col("key").isNotNull()).over(Window.partitionBy("doc", "field"))
+    return rows.withColumn("status", F.when(whole, "converted").otherwise("left"))

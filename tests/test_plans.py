@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refloom.lineage import cut
-from refloom.operators import library, revisions, verification
+from refloom.operators import library, migration, revisions, verification
 
 PLANS = sorted((Path(__file__).resolve().parents[1] / "refloom" / "plans").glob("*.py"))
 
@@ -56,6 +56,19 @@ def test_foreign_works_do_not_meet_in_all_pairs_of_a_title(spark, capsys):
     assert re.search(r"Join.*_title#\d+, _by_year#\d+, _by_author#\d+\]", capsys.readouterr().out)
 
 
+def test_citations_are_looked_up_once(spark):
+    """A field's status takes no second lookup of all citations, and citations outside a document or field stay."""
+    records = spark.createDataFrame([(1, 5, "K5", "created", ("10.1/a", "A b")), (1, 4, "K4", "matched", ("10.1/A.", "Other")), (1, 6, None, "failed", ("", "Last"))], "source long, rec long, key string, outcome string, record struct<doi:string,title:string>")
+    rows = [(1, 1, 0, 1, "10.1/a", ""), (1, 1, 0, 2, "", "a B!"), (1, 1, 1, 1, "10.1/z", "other"), (1, 1, 1, 2, "", "last"), (1, None, None, 1, "", "Other"), (2, 2, 0, 1, "10.1/a", "")]
+    out = migration.migrate_citations(spark.createDataFrame(rows, "source long, doc long, field int, item int, doi string, title string"), records)
+    got = {(r.source, r.doc, r.field, r.item): (r.rec, r.key, r.outcome, r.status) for r in out.collect()}
+    assert got == {
+        (1, 1, 0, 1): (4, "K4", "matched", "converted"), (1, 1, 0, 2): (5, "K5", "created", "converted"), (1, 1, 1, 1): (4, "K4", "matched", "left"),
+        (1, 1, 1, 2): (6, None, "failed", "left"), (1, None, None, 1): (4, "K4", "matched", "converted"), (2, 2, 0, 1): (None, None, "unmatched", "left"),
+    }
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_a_block_of_near_copies_is_sent_compressed():
     from refloom.llm import neardup
 
