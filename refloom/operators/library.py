@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions.identifiers import none_if_empty, normalise_doi
 from refloom.functions.names import fuzzy_title_key, library_title_key
+from refloom.lineage import cut
 
 
 def item_doi(doi: Column, extra: Column) -> Column:
@@ -41,14 +42,38 @@ def lookup(rows: DataFrame, index: DataFrame, doi: Column, pmid: Column, title:
 
 def gate_creation(candidates: DataFrame, index: DataFrame, degraded: bool = False) -> DataFrame:
     """candidates(pos, doi, pmid, title) with an outcome: skipped if the library has it, repeated within the batch, refused
-    where an unreadable library could hide a title, else created."""
-    identity = F.coalesce(F.concat(F.lit("doi:"), none_if_empty(normalise_doi(F.col("doi")))), F.concat(F.lit("pmid:"), none_if_empty(F.col("pmid"))), F.concat(F.lit("title:"), none_if_empty(library_title_key(F.col("title")))))
-    keyed = candidates.withColumn("identity", identity)
+    where an unreadable library could hide a title, else created. The library is asked by DOI before PMID before exact title.
+
+    What a candidate is known by is worked out once and written out. Each distinct identity is looked up, not each candidate, and so
+    are the PMIDs and titles that stand behind a stronger identity; candidates without one are spread, as equal keys would meet in a task.
+    """
+    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    keyed = candidates.withColumn("_doi", named("doi", none_if_empty(normalise_doi(F.col("doi"))))).withColumn("_title", named("title", none_if_empty(library_title_key(F.col("title")))))
+    keyed = keyed.withColumn("identity", F.coalesce("_doi", named("pmid", none_if_empty(F.col("pmid"))), "_title"))
+    second = F.when(F.col("_doi").isNotNull(), named("pmid", none_if_empty(F.trim("pmid"))))
+    third = F.when(F.col("identity") != F.col("_title"), F.col("_title"))
+    keyed = cut(keyed.select(*candidates.columns, "identity", second.alias("_second"), third.alias("_third")))
+
+    values = cut(index.select(F.concat_ws(":", "kind", "value").alias("_id"), "key"))
     # a window would send all rows of a hot identity to one task; the smallest position is an aggregate
-    first = keyed.where("identity is not null").groupBy("identity").agg(F.min("pos").alias("first"))
-    found = lookup(keyed, index, F.col("doi"), F.col("pmid"), F.col("title"))
-    outcome = F.when(F.col("library_key").isNotNull(), "skipped").when(F.col("first") < F.col("pos"), "repeated").when(F.lit(degraded) & ~F.col("identity").startswith("doi:"), "refused").otherwise("created")
-    return found.join(first, "identity", "left").withColumn("outcome", outcome).drop("first")
+    first = keyed.where("identity is not null").groupBy("identity").agg(F.min("pos").alias("_first"))
+    own = F.when(F.col("identity").startswith("pmid:"), named("pmid", F.trim(F.substring("identity", 6, 2**31 - 1)))).otherwise(F.col("identity"))
+    found = _met(keyed, "identity", first.withColumn("_id", own).join(values, "_id", "left").drop("_id").withColumnRenamed("identity", "_id").withColumnRenamed("key", "_key_identity"))
+    # often few: written out, its size tells how to join it
+    behind = cut(keyed.select(F.col("_second").alias("_id")).union(keyed.select("_third")).where("_id is not null").distinct().join(values, "_id"))
+    for c in ("_second", "_third"):
+        found = _met(found, c, behind.withColumnRenamed("key", f"_key{c}"))
+    key = F.coalesce("_key_identity", "_key_second", "_key_third")
+    by = F.when(F.col("_key_identity").isNotNull(), F.substring_index("identity", ":", 1)).when(F.col("_key_second").isNotNull(), "pmid").when(F.col("_key_third").isNotNull(), "title")
+    outcome = F.when(F.col("library_key").isNotNull(), "skipped").when(F.col("_first") < F.col("pos"), "repeated").when(F.lit(degraded) & ~F.col("identity").startswith("doi:"), "refused").otherwise("created")
+    out = found.withColumn("library_key", key).withColumn("matched_by", by).withColumn("outcome", outcome)
+    return out.select("identity", *candidates.columns, "library_key", "matched_by", "outcome")
+
+
+def _met(rows: DataFrame, column: str, side: DataFrame) -> DataFrame:
+    """rows(pos) with what side(_id) has of the column's identifier, if any; those without an identifier are spread by position."""
+    spread = F.coalesce(column, F.concat(F.lit("-"), F.xxhash64("pos").cast("string")))
+    return rows.withColumn("_id", spread).join(side, "_id", "left").drop("_id")
 
 
 def reconcile(cited: DataFrame, custom: DataFrame, omitted: DataFrame, listed: DataFrame) -> DataFrame:

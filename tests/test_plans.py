@@ -69,6 +69,34 @@ def test_citations_are_looked_up_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
 
 
+@pytest.mark.parametrize("degraded", [False, True])
+def test_what_candidates_are_known_by_is_worked_out_once(spark, degraded):
+    """Outcomes are those of asking for each candidate by each identifier; what is looked up was worked out and written before."""
+    items = [(1, "K1", "One", "10.1/a", None, ""), (2, "K2", "Two", None, "7", ""), (3, "K3", "Trois  été", "10.1/c", "9", ""), (4, "K4", "one", "10.1/A.", None, "")]
+    dois, pmids, titles = ["10.1/A", "https://doi.org/10.1/c).", "10.1/x", "", None], ["7", " 9 ", "  ", "8", None], ["ONE", "trois ete", "Café", "cafe", " ", None]
+    rows = [(i * 7 % 151, *c) for i, c in enumerate((d, p, t) for d in dois for p in pmids for t in titles)]
+    index = library.build_indexes(spark.createDataFrame(items, "pos long, key string, title string, doi string, pmid string, extra string"))
+    out = library.gate_creation(spark.createDataFrame(rows, "pos long, doi string, pmid string, title string"), index, degraded)
+    assert out.columns == ["identity", "pos", "doi", "pmid", "title", "library_key", "matched_by", "outcome"]
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+    doi_of = {"10.1/A": "10.1/a", "https://doi.org/10.1/c).": "10.1/c", "10.1/x": "10.1/x"}
+    known = {"doi": {"10.1/a": "K4", "10.1/c": "K3"}, "pmid": {"7": "K2", "9": "K3"}, "title": {"one": "K1", "two": "K2", "trois ete": "K3"}}
+    title_of = {"ONE": "one", "trois ete": "trois ete", "Café": "cafe", "cafe": "cafe"}
+    asked = {pos: {"doi": doi_of.get(d), "pmid": (p or "").strip() or None, "title": title_of.get(t)} for pos, d, p, t in rows}
+    named = {pos: f"doi:{doi_of[d]}" if doi_of.get(d) else f"pmid:{p}" if p else f"title:{title_of[t]}" if title_of.get(t) else None for pos, d, p, t in rows}
+    first = {}
+    for pos, name in named.items():
+        first[name] = min(pos, first.get(name, pos))
+
+    def want(pos):
+        key, by = next(((known[k][v], k) for k, v in asked[pos].items() if v in known[k]), (None, None))
+        name = named[pos]
+        return name, key, by, "skipped" if key else "repeated" if name and first[name] < pos else "refused" if degraded and name and not name.startswith("doi:") else "created"
+
+    assert len(asked) == len(rows) and {r.pos: (r.identity, r.library_key, r.matched_by, r.outcome) for r in out.collect()} == {pos: want(pos) for pos in asked}
+
+
 def test_a_block_of_near_copies_is_sent_compressed():
     from refloom.llm import neardup
 
