@@ -43,13 +43,15 @@ _CITES = "(SELECT l_orderkey AS doc, CAST(l_linenumber % 3 AS INT) AS field, CAS
 
 
 def _decided(spark, sf_dir):
-    rows = relation(spark, sf_dir, "migrated")
+    # a table of parts is a file of few pieces: dealt out, so that keys and merged data are worked out by all cores
+    rows = relation(spark, sf_dir, "migrated").repartition("pos")
     person = lambda x: F.struct(F.get(F.split(x, ","), 0).alias("family"), F.coalesce(F.get(F.split(x, ","), 1), F.lit("")).alias("given"), F.lit(None).cast("string").alias("literal"))
     found = F.struct(F.when(F.col("k") % 5 != 1, F.col("title")).alias("title"), F.when(F.col("k") % 3 != 1, F.col("doi")).alias("doi"), F.lit("J").alias("journal"), F.when(F.col("k") % 2 == 0, F.col("year")).alias("year"), F.lit("").alias("type"), F.lit(None).cast("string").alias("volume"), F.lit("1-2").alias("pages"), F.transform(F.filter(F.split("authors", ";"), lambda x: x != ""), person).alias("authors"))
     record = F.struct(F.col("rec_title").alias("title"), F.col("rec_doi").alias("doi"), F.lit("Own journal").alias("journal"), F.lit("1999").alias("year"), F.lit("9").alias("volume"), F.lit(None).cast("string").alias("pages"), F.filter(F.split("rec_authors", ";"), lambda x: x != "").alias("authors"))
     records = rows.select("source", F.col("pos").alias("rec"), "tier", "retracted", found.alias("found"), record.alias("record"), F.col("rec_pmid").alias("pmid"))
     gates = rows.select("source").distinct().selectExpr("source", "source % 13 <> 5 AS readable", f"{_GATES} AS writable")
-    return cut(migration.decide_records(records, library.build_indexes(relation(spark, sf_dir, "migrated_into")), gates))
+    index = cut(library.build_indexes(relation(spark, sf_dir, "migrated_into").repartition("pos")))
+    return cut(migration.decide_records(records, index, gates))
 
 
 def _created(decided):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from refloom.lineage import cut
 from refloom.operators import library, migration, revisions, verification
+from refloom.plans import works
 
 PLANS = sorted((Path(__file__).resolve().parents[1] / "refloom" / "plans").glob("*.py"))
 
@@ -56,6 +57,15 @@ def test_foreign_works_do_not_meet_in_all_pairs_of_a_title(spark, capsys):
     assert re.search(r"Join.*_title#\d+, _by_year#\d+, _by_author#\d+\]", capsys.readouterr().out)
 
 
+def test_the_index_that_records_meet_is_built_once(spark, monkeypatch):
+    """Three joins by DOI, PMID and title read an index that was written before."""
+    written = []
+    monkeypatch.setattr(works, "cut", lambda df: written.append(df) or cut(df))
+    assert works._decided(spark, "/root/testdata/sf0.001").count() == 200
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in written]
+    assert [p.count("Generate explode") for p in plans] == [1, 0]
+
+
 def test_citations_are_looked_up_once(spark):
     """A field's status takes no second lookup of all citations, and citations outside a document or field stay."""
     records = spark.createDataFrame([(1, 5, "K5", "created", ("10.1/a", "A b")), (1, 4, "K4", "matched", ("10.1/A.", "Other")), (1, 6, None, "failed", ("", "Last"))], "source long, rec long, key string, outcome string, record struct<doi:string,title:string>")
