@@ -138,34 +138,54 @@ def place_markers(markers: DataFrame, links: DataFrame, works: DataFrame, paragr
     different ones. A numeric marker must still stand at its place and not overlap an earlier one; an author-year marker's text
     must occur once.
     """
-    mine = works.where("source = 'marker'").select("doc", F.col("id").cast("int").alias("marker")).distinct()
-    keyed = works.select("doc", "source", "id", F.col("item").alias("_item"), "key", "outcome")
-    by_ref = links.join(keyed.where("source = 'reference' and outcome <> 'retracted'").select("doc", F.col("id").alias("ref"), "key", "outcome"), ["doc", "ref"]).join(mine, ["doc", "marker"], "left_anti")
-    by_ref = by_ref.select("doc", "marker", "item", "key", F.col("ref").cast("long").alias("of"), "outcome", F.lit(False).alias("owned"))
-    by_name = keyed.where("source = 'marker'").select("doc", F.col("id").cast("int").alias("marker"), F.col("_item").alias("item"), "key", F.col("_item").cast("long").alias("of"), "outcome", F.lit(True).alias("owned"))
-    each = F.when(F.col("key").isNotNull(), F.struct("item", "of", "key"))
-    groups = by_ref.unionByName(by_name).repartition("doc", "marker").groupBy("doc", "marker", "owned").agg(F.array_sort(F.collect_list(each)).alias("_all"), F.max((F.col("outcome") == "refused").cast("int")).alias("refused"))
+    linked = links.groupBy("doc", "marker").agg(F.collect_list(F.struct("item", F.col("ref").cast("long").alias("ref"))).alias("links"))
+    here = markers.join(linked, ["doc", "marker"], "left").join(paragraphs.select("doc", "para", F.col("text").alias("_text")), ["doc", "para"], "left")
+    # the same texts of one document
+    places = markers.groupBy("doc", "text").agg(F.count(F.lit(1)).alias("places"))
+    return place_located(here.join(places, ["doc", "text"]).withColumn("stands", stands(F.col("_text"))), works)
+
+
+def stands(paragraph: Column) -> Column:
+    """Whether a marker's text stands at its place of the paragraph's text."""
+    return F.coalesce(F.substr(paragraph, F.col("start") + 1, F.length("text")) == F.col("text"), F.lit(False))
+
+
+def place_located(markers: DataFrame, works: DataFrame) -> DataFrame:
+    """``place_markers`` of markers that have their links (item, ref) as an array, ``stands``, and ``places``, how many markers of the document
+    have their text.
+
+    All of it is by document: a document's works are one row of maps, so markers are shuffled once, without their texts.
+    """
+    wanted = works.where("source = 'marker' or (source = 'reference' and outcome <> 'retracted')").select("doc", "source", "id", "item", "key", (F.col("outcome") == "refused").alias("refused"))
+    each = wanted.repartition("doc").groupBy("doc", "source", "id").agg(F.collect_list(F.struct("item", "key", "refused")).alias("w"))
+    of = lambda source: F.map_from_entries(F.collect_list(F.when(F.col("source") == source, F.struct("id", "w"))))
+    by_doc = each.groupBy("doc").agg(of("reference").alias("_refs"), of("marker").alias("_named"))
+
+    rows = markers.select("doc", "marker", "kind", "para", "start", (F.col("start") + F.length("text")).alias("_stop"), "items", "live", "stands", "places", "links").join(by_doc, "doc")
+    rows = rows.withColumn("_mine", F.try_element_at("_named", F.col("marker").cast("long"))).withColumn("owned", F.col("_mine").isNotNull())
+    work = lambda item, ref, w: F.struct(item.alias("item"), ref.cast("long").alias("of"), w["key"].alias("key"), w["refused"].alias("refused"))
+    named = F.transform("_mine", lambda w: work(w["item"], w["item"], w))
+    linked = F.flatten(F.transform("links", lambda x: F.coalesce(F.transform(F.try_element_at(F.col("_refs"), x["ref"]), lambda w: work(x["item"], x["ref"], w)), F.array().cast("array<struct<item:int,of:bigint,key:string,refused:boolean>>"))))
+    rows = rows.withColumn("_found", F.coalesce(F.when(F.col("owned"), named).otherwise(linked), F.array().cast("array<struct<item:int,of:bigint,key:string,refused:boolean>>"))).drop("_refs", "_named", "_mine", "links")
+    rows = rows.withColumns({"any": F.size("_found") > 0, "refused": F.exists("_found", lambda w: w["refused"]), "_all": F.array_sort(F.transform(F.filter("_found", lambda w: w["key"].isNotNull()), lambda w: F.struct(w["item"].alias("item"), w["of"].alias("of"), w["key"].alias("key"))))})
     # two references of one number: the first is meant
-    groups = groups.withColumn("_w", F.filter("_all", lambda x, i: (i == 0) | (F.get("_all", i - 1)["item"] != x["item"])))
-    groups = groups.select("doc", "marker", "owned", "refused", F.size("_w").alias("have"), F.size(F.array_distinct(F.transform("_w", lambda x: x["of"]))).alias("different"), F.transform("_w", lambda x: x["key"]).alias("keys"))
+    rows = rows.withColumn("_w", F.filter("_all", lambda x, i: (i == 0) | (F.get("_all", i - 1)["item"] != x["item"])))
+    here = rows.withColumns({"have": F.size("_w"), "different": F.size(F.array_distinct(F.transform("_w", lambda x: x["of"]))), "keys": F.transform("_w", lambda x: x["key"])}).drop("_found", "_all", "_w")
 
-    here = markers.join(groups, ["doc", "marker"]).join(paragraphs.select("doc", "para", F.col("text").alias("_text")), ["doc", "para"], "left")
-    # the same texts of one document, and what stands before a marker in its paragraph
-    places = markers.groupBy("doc", "text").agg(F.count(F.lit(1)).alias("places"))
-    here = here.join(places, ["doc", "text"])
     whole = (F.col("have") == F.col("items")) & (F.col("owned") | (F.col("kind") == "numeric") | (F.col("different") == F.col("items")))
-    stands = F.substr(F.col("_text"), F.col("start") + 1, F.length("text")) == F.col("text")
     reason = (
         F.when(F.col("owned") & ~whole, "an identifier has no item").when((F.col("have") == F.col("items")) & ~whole, "two items name one reference").when(~whole, "not all works accepted with a key")
-        .when((F.col("kind") != "numeric") & (F.col("places") > 1), "text not unique").when((F.col("kind") == "numeric") & ~F.coalesce(stands, F.lit(False)), "not at its place")
+        .when((F.col("kind") != "numeric") & (F.col("places") > 1), "text not unique").when((F.col("kind") == "numeric") & ~F.col("stands"), "not at its place")
     )
-    here = here.withColumn("reason", F.when(F.col("refused") == 1, None).when(F.col("live"), None).otherwise(reason))
-    ready = (F.col("refused") == 0) & ~F.col("live") & F.col("reason").isNull()
-    before = F.max(F.when(ready & (F.col("kind") == "numeric"), F.col("start") + F.length("text"))).over(Window.partitionBy("doc", "para").orderBy("start", "marker").rowsBetween(Window.unboundedPreceding, -1))
+    here = here.withColumn("reason", F.when(F.col("refused"), None).when(F.col("live"), None).otherwise(reason))
+    ready = F.col("any") & ~F.col("refused") & ~F.col("live") & F.col("reason").isNull()
+    # what stands before a marker in its paragraph
+    before = F.max(F.when(ready & (F.col("kind") == "numeric"), F.col("_stop"))).over(Window.partitionBy("doc", "para").orderBy("start", "marker").rowsBetween(Window.unboundedPreceding, -1))
     overlaps = ready & (F.col("kind") == "numeric") & F.coalesce(before > F.col("start"), F.lit(False))
     reason = F.when(overlaps, "overlaps an earlier marker").otherwise(F.col("reason"))
-    outcome = F.when(F.col("refused") == 1, "refused").when(F.col("live"), "live").when(reason.isNotNull(), "unresolved").otherwise("replaced")
-    return here.select("doc", "marker", outcome.alias("outcome"), reason.alias("reason"), F.when(outcome == "replaced", F.col("keys")).alias("keys"))
+    outcome = F.when(F.col("refused"), "refused").when(F.col("live"), "live").when(reason.isNotNull(), "unresolved").otherwise("replaced")
+    # markers that no work touches go after the window, through which a filter isn't pushed: below it their works would be sought twice
+    return here.select("doc", "marker", "any", outcome.alias("outcome"), reason.alias("reason"), F.when(outcome == "replaced", F.col("keys")).alias("keys")).where("any").drop("any")
 
 
 def place_placeholders(placeholders: DataFrame, works: DataFrame) -> DataFrame:

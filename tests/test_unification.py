@@ -1,10 +1,15 @@
 """A plan applied to documents: each refusal and each outcome of a marker, by named cases."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from refloom.lineage import cut
 from refloom.operators import unification as u
+from refloom.plans import catalogue, unify
+from refloom.plans.relations import relation
 
 @pytest.mark.parametrize(
     ("raw", "want"),
@@ -105,3 +110,40 @@ def test_one_field_for_all_items_of_a_request(spark):
     got = {r.request: r for r in u.cite_into(asked, index, found, spark.createDataFrame([("d", 4, "put it here, please")], "doc string, para int, text string"), F.lit("http://x/")).collect()}
     assert {k: r.status for k, r in got.items()} == {1: "inserted", 2: "no such item", 3: "malformed", 4: "not found", 5: "not unique", 6: "malformed"}
     assert (got[1].before, got[1].after, got[1]["keys"]) == ("put it here", ", please", ["KKKKKKKK", "KKKKKKKK"]) and got[1].code.startswith("ADDIN ZOTERO_ITEM") and got[2].code is None
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def shuffles(df):
+    """Keys of the shuffles that the plan has before it runs."""
+    return re.findall(r"(?m)^[ :+*()\d-]*Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_markers_are_shuffled_once_to_be_drawn_and_once_to_be_placed(spark):
+    assert len(shuffles(catalogue.queries()["unify_placed"](spark, SF))) <= 2
+    refs = cut(relation(spark, SF, "unify_refs"))
+    drawn = unify._markers(spark, SF, refs)
+    assert drawn.select("doc", "marker", "text", "start", "items", "live").exceptAll(relation(spark, SF, "unify_markers").select("doc", "marker", "text", "start", "items", "live")).isEmpty()
+    assert drawn.count() == relation(spark, SF, "unify_markers").count() and len(shuffles(spark.sql(unify._BY_DOC, lineitem=spark.read.parquet(f"{SF}/lineitem.parquet")))) == 1
+
+
+def test_first_of_two_references_of_a_number_is_placed(spark):
+    markers = spark.createDataFrame([("d", 0, "numeric", "[1]", 0, 0, 1, False)], "doc string, marker int, kind string, text string, para int, start int, items int, live boolean")
+    links = spark.createDataFrame([("d", 0, 0, 2), ("d", 0, 0, 1)], "doc string, marker int, item int, ref int")
+    works = spark.createDataFrame([("d", "reference", 1, None, k, "matched") for k in ("KEY1", "KEY0")] + [("d", "reference", 2, None, "KEY2", "matched")], "doc string, source string, id long, item int, key string, outcome string")
+    got = u.place_markers(markers, links, works, spark.createDataFrame([("d", 0, "[1]")], "doc string, para int, text string")).collect()
+    assert [(r.marker, r.outcome, r["keys"]) for r in got] == [(0, "replaced", ["KEY0"])]
+
+
+def test_a_cut_that_releases_leaves_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = cut(spark.range(1000).repartition(3, "id"), release=True)
+    own = files() - before
+    # the events of a query may still hold it when it ends, so its files go with those of the next at the latest
+    cut(spark.range(1), release=True)
+    until = time.time() + 10
+    while own & files() and time.time() < until:
+        time.sleep(0.2)
+    assert not own & files() and kept.count() == 1000
